@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, pii, secret_scan, url_filter, warc
+from . import chat_format, decontaminate, mixing, pii, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_chat_format": chat_format.op3_chat_format,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op7_mixing": mixing.op7_mixing,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_pii": pii.op9_pii,
     "op10_warc": warc.op10_warc,
 }
@@ -17,6 +18,7 @@ SQL = {
     "op3_chat_format": chat_format.OP3_SQL,
     "op5_secret_scan": secret_scan.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_pii": pii.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
