@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, mixing, pii, secret_scan, url_filter, warc
+from . import chat_format, decontaminate, mixing, pii, secret_scan, url_filter, warc, webp
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_chat_format": chat_format.op3_chat_format,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_webp_media": webp.op6_webp_media,
     "op7_mixing": mixing.op7_mixing,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_pii": pii.op9_pii,
