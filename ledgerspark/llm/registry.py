@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, mixing, pii, secret_scan, url_filter, warc, webp
+from . import chat_format, decontaminate, mixing, pii, quality, secret_scan, url_filter, warc, webp
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_quality": quality.op2_quality,
     "op3_chat_format": chat_format.op3_chat_format,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_webp_media": webp.op6_webp_media,
