@@ -25,35 +25,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, table
+from .common import key_filter, materialize, scratch, table
 
 CRLF = b"\r\n"
 END = "\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
-def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
-    """pages with payload_bytes, payload_digest, record_type and refers_to.
+def plan_records(pages: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """pages with payload_bytes, payload_digest, record_type and refers_to, in two parts: payloads that occur once, and the rest.
 
-    Equal payloads are found by SHA-256. A hot payload is met in the aggregate's map side and in a
-    join that Spark may split. Of rows that repeat (the same page_id and payload) each is a response
-    if its page_id is the smallest. A null page_id is never the smallest, unless all are null; then
-    all are responses. Short and empty payloads are responses.
+    Equal payloads are found by SHA-256. The digests that occur more than once go into a bitmap of
+    fixed size; pages that it doesn't hold are written as they are read, and only the others are
+    shuffled to meet the smallest page_id, by a join that Spark may split where a payload is hot. Of
+    rows that repeat (the same page_id and payload) each is a response if its page_id is the
+    smallest. A null page_id is never the smallest, unless all are null; then all are responses.
+    Short and empty payloads are responses.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     known = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha2(payload, 256)})
-    first = (
+    first = materialize(
         known.where(F.col("payload_bytes") >= least)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .where("copies > 1")
-        .select(F.col("payload_digest").alias("d"), "first_id")
+        .select(F.col("payload_digest").alias("d"), "first_id"),
+        "warc-copies",
     )
-    joined = known.join(first, F.col("payload_digest") == F.col("d"), "left")
+    copied = key_filter(first, "d")(F.col("payload_digest"))
+    marked = known.withColumn("maybe", copied)
+    once = marked.where(~F.col("maybe")).withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast(pages.schema["page_id"].dataType)})
+    joined = marked.where("maybe").join(first, F.col("payload_digest") == F.col("d"), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.withColumns(
-        {"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_id"))}
-    ).drop("d", "first_id")
+    more = joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_id"))})
+    return once.drop("maybe"), more.drop("maybe", "d", "first_id")
 
 
 def _header(fields: list[tuple[str, object]]) -> bytes:
@@ -89,8 +94,8 @@ def _records(page_id, url, html, size, digest, kind, refers, key: str, date: str
         yield _header([*head, ("Content-Length", len(http) + len(piece))]) + http + bytes(piece)
 
 
-def write_archives(planned: DataFrame, path: str, chunk: int = 1 << 16, block: int = 1 << 25, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write what plan_records() returns (page_id, url, html and its columns) as .warc files below path."""
+def write_archives(planned: DataFrame, path: str, chunk: int = 1 << 16, block: int = 1 << 24, name: str = "warc", date: str = "2024-01-01T00:00:00Z") -> None:
+    """Write what plan_records() returns (page_id, url, html and its columns) as .warc files below path; name is part of the record ids."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, n = TaskContext.get().partitionId(), 0
@@ -99,7 +104,7 @@ def write_archives(planned: DataFrame, path: str, chunk: int = 1 << 16, block: i
         for b in batches:
             for row in zip(*(b[c] for c in ("page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"))):
                 page_id, url, html, length, digest, kind, refers = (None if x is None or x is pd.NA or x != x else x for x in row)
-                for record in _records(page_id, url, html, length, digest, kind, refers, f"{task}-{n}", date, chunk):
+                for record in _records(page_id, url, html, length, digest, kind, refers, f"{name}-{task}-{n}", date, chunk):
                     held.append(record)
                     size += len(record)
                     if size >= block:
@@ -133,8 +138,8 @@ def _parse(content: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
 CHUNKS = "record_id string, page_id string, record_type string, refers_to string, chunk_no int, chunks int, payload_bytes long, header_digest string, digest string, data binary"
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The archives below path as rows of record and chunk number. Chunks of a payload of several carry data, others their digest."""
+def read_chunks(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The archives in these folders as rows of record and chunk number. Chunks of a payload of several carry data, others their digest."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in CHUNKS.split(", ")]
@@ -159,15 +164,15 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(paths).select("content")
     return files.mapInPandas(parse, CHUNKS)
 
 
 RECORDS = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, header_digest string, chunks int"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record in the archives below path, with digest and length of its whole payload as read; revisits have those that they tell."""
+def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row for each record in the archives in these folders, with digest and length of its whole payload as read; revisits have those that they tell."""
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
@@ -187,13 +192,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     first = None
             yield pd.DataFrame(rows, columns=names)
 
-    table_ = materialize(read_chunks(spark, path), "warc-chunks")
+    table_ = materialize(read_chunks(spark, paths), "warc-chunks")
     single = table_.where("chunks = 1").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "header_digest", "chunks")
     several = table_.where("chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
     return single.unionByName(several.mapInPandas(chain, RECORDS))
 
 
-def round_trip(pages: DataFrame, least: int = 100, chunk: int = 1 << 16, block: int = 1 << 25) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = 100, chunk: int = 1 << 16, block: int = 1 << 24) -> DataFrame:
     """Write pages (page_id, url, html) as archives in the shared folder and read them back.
 
     A null html is an empty payload, a null url or page_id has no header field. Other columns are
@@ -202,8 +207,11 @@ def round_trip(pages: DataFrame, least: int = 100, chunk: int = 1 << 16, block:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     id_type = pages.schema["page_id"].dataType
-    write_archives(plan_records(pages.select("page_id", "url", "html"), least), path, chunk, block)
-    read = read_records(spark, path)
+    paths = []
+    for name, part in zip(("once", "copied"), plan_records(pages.select("page_id", "url", "html"), least)):
+        paths.append(f"{path}/{name}")
+        write_archives(part, paths[-1], chunk, block, name)
+    read = read_records(spark, paths)
     return read.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
 
 
