@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, mixing, pii, quality, secret_scan, url_filter, warc, webp
+from . import chat_format, decontaminate, jaccard_join, mixing, pii, quality, secret_scan, url_filter, warc, webp
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_quality": quality.op2_quality,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_webp_media": webp.op6_webp_media,
     "op7_mixing": mixing.op7_mixing,
@@ -18,6 +19,7 @@ QUERIES = {
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_chat_format": chat_format.OP3_SQL,
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
     "op5_secret_scan": secret_scan.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
