@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,10 +40,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path that scratch() made."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote for these tables, which nothing may read any more, and let Spark drop shuffle files that no plan needs."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if path.startswith(shared_dir(spark)):
+                hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the driver has collected what refers to them; ask for that now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -54,6 +66,13 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most so many rows to a Python worker at once, where nobody has set this: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,12 +11,16 @@ exact copies costs no more than one document. Then
 * the boundary is where listing subsets would cost more than the lists, by the lengths of lists
   measured over all sets.
 
-Inverted lists are not turned into all their pairs. First each list's members are checked against
-its most central member only; the links so found make components. What remains are the pairs of a
-list in different components: while there are many, further rounds with other members follow, then
+Only short inverted lists are turned into their pairs. Of longer ones, first each member is checked
+against the most central one only; the links so found make components. What remains are the pairs of
+a list in different components: while there are many, further rounds with other members follow, then
 all that remain are checked. So a group of near copies takes time in proportion to its size, and no
 link between different components is lost: the components are exact.
 
+All this is done by the prints of the sets first, counts of shingles by bin of hash, whose difference
+never exceeds that of the sets. Whole sets are then read, from the texts, only for documents that are
+in a pair which passes, and the same is done with them.
+
 How rare a shingle is comes from the documents of a fixed share of hashes, as levels in a table of
 fixed size. Levels decide the order only; any order gives right results, as it is the same for all.
 """
@@ -24,7 +28,7 @@ fixed size. Levels decide the order only; any order gives right results, as it i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -35,18 +39,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded_batches, discard, key_filter, materialize, sweep, table
 
 SHINGLE = 5
 #: The least similarity is NUM / DEN.
 NUM, DEN = 4, 5
 #: One document in so many is looked at for how frequent shingles are.
-LEVEL_SHARE = 32
+LEVEL_SHARE = 8
 LEVEL_BITS, SHARED_BITS = 22, 26
 #: Beyond this size no set counts as small.
 MOST_SMALL = 16
 #: What checking a pair costs, in entries of a list.
 CHECK_COST = 4
+#: Lists of up to so many members are turned into pairs at once.
+SHORT = 8
+#: Whole sets are stored with so many bytes of each hash. Two different hashes of a pair agree in these once in some billion pairs.
+HASH_BYTES = 6
+#: A set's print: how many of its shingles fall into each of so many bins, up to 255.
+PRINT_BITS = 7
 
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _U = np.uint64
@@ -56,7 +66,7 @@ class _Hashes(dict):
     """Hashes of words met so far."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -82,6 +92,21 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def print_of(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> _U(64 - PRINT_BITS)).astype(np.int64), minlength=1 << PRINT_BITS), 255).astype(np.uint8).tobytes()
+
+
+def pack(s: np.ndarray) -> bytes:
+    """The upper HASH_BYTES bytes of ascending hashes."""
+    return np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    x = np.zeros((len(raw) // HASH_BYTES, 8), dtype=np.uint8)
+    x[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES)
+    return x.reshape(-1).view(">u8").astype(_U)
+
+
 def must_share(n: int, m: int) -> int:
     return -(-NUM * (n + m) // (NUM + DEN))
 
@@ -125,7 +150,7 @@ def _levels(docs: DataFrame, share: int) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id {}, n int, fp binary, f long, score float, tokens array<long>, whole array<long>"
+SIGNED = "doc_id {}, n int, fp binary, f long, score float, print binary, tokens array<long>, whole array<long>"
 
 
 def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -143,7 +168,7 @@ def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 level = table_[s & _U((1 << LEVEL_BITS) - 1)]
                 order = np.argsort(level, kind="stable")  # then by hash
                 tokens = s[order[: prefix_size(len(s))]] if len(s) else s
-                rows.append((None if pd.isna(doc_id) else doc_id, len(s), fp, int.from_bytes(fp[:8], "little", signed=True), float(level.mean()) if len(s) else 0.0, tokens.view(np.int64), s.view(np.int64) if len(s) <= MOST_SMALL else None))
+                rows.append((None if pd.isna(doc_id) else doc_id, len(s), fp, int.from_bytes(fp[:8], "little", signed=True), float(level.mean()) if len(s) else 0.0, print_of(s), tokens.view(np.int64), s.view(np.int64) if len(s) <= MOST_SMALL else None))
                 if len(rows) >= 2000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -244,14 +269,31 @@ def _small_links(signed: DataFrame, small: int) -> DataFrame:
     return linked.where("b is not null and a <> b").distinct()
 
 
+def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prints differ by no more than similar sets of their sizes can."""
+
+    @F.pandas_udf("boolean")
+    def test(p: pd.Series, q: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1).astype(np.int16) for v in (p, q))
+        sizes = n.to_numpy(dtype=np.int64) + m.to_numpy(dtype=np.int64)
+        return pd.Series(np.abs(x - y).sum(axis=1) <= sizes - 2 * -(-NUM * sizes // (NUM + DEN)))
+
+    first = pairs.join(prints.select(F.col("fp").alias("a"), F.col("print").alias("p"), F.col("n").alias("np")), "a")
+    both = first.join(prints.select(F.col("fp").alias("b"), F.col("print").alias("q"), F.col("n").alias("nq")), "b")
+    return both.where(test("p", "q", "np", "nq")).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar, by their whole sets."""
+    pairs = materialize(pairs, "jaccard-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
+    sets = sets.where(key_filter(ends, "fp")(F.col("fp")))
 
     @F.pandas_udf("boolean")
     def test(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.zeros(len(x), dtype=bool)
         for i, (p, q) in enumerate(zip(x, y)):
-            a, b = np.frombuffer(p, _U), np.frombuffer(q, _U)
+            a, b = unpack(p), unpack(q)
             at = np.minimum(np.searchsorted(b, a), len(b) - 1)
             both = int(np.count_nonzero(b[at] == a))
             out[i] = both * DEN >= NUM * (len(a) + len(b) - both)
@@ -259,7 +301,9 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     first = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a")
     both = first.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    return both.where(test("x", "y")).select("a", "b")
+    found = materialize(both.where(test("x", "y")).select("a", "b"), "jaccard-links")
+    discard(pairs)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -280,41 +324,77 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.where("a <> b").distinct(), "jaccard-edges")
 
 
-def _list_links(entries: DataFrame, sets: DataFrame, small: int, links: DataFrame, rounds: int = 8) -> DataFrame:
-    """links and those that the inverted lists add: all that connect different components."""
-    live = materialize(_live(entries), "jaccard-lists")
-    total = live.count()
-    if not total:
-        return links
-    added = 0
+def _all_pairs(entries: DataFrame, small: int) -> DataFrame:
+    found = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & _pair_test("x", "y", small))
+    return found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+
+
+def _heads(entries: DataFrame, small: int, turn: int) -> DataFrame:
+    """Pairs of each list's members with one of them: the most central, and in later turns one by a hash that differs each turn."""
+    rank = F.struct("score", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), F.col("fp"))
+    heads = entries.groupBy("token").agg(F.max_by(F.struct("fp", "n", "most", "comp"), rank).alias("y"))
+    met = entries.alias("x").join(heads.alias("h"), "token").where(_pair_test("x", "y", small))
+    return met.select(F.least(F.col("x.fp"), F.col("y.fp")).alias("a"), F.greatest(F.col("x.fp"), F.col("y.fp")).alias("b")).distinct()
+
+
+def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    first = pairs.join(comps.select(F.col("fp").alias("a"), F.col("comp").alias("c")), "a", "left")
+    both = first.join(comps.select(F.col("fp").alias("b"), F.col("comp").alias("d")), "b", "left")
+    return both.where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b")
+
+
+def _rounds(lists: DataFrame, links: DataFrame, small: int, check: Callable[[DataFrame], DataFrame], rounds: int = 8) -> DataFrame:
+    """links and those that check() finds among the lists' pairs, as far as they join different components.
+
+    While lists have many pairs in different components, one member of each is checked with the
+    others; once these are few, or a round has found nothing, all of them are.
+    """
+    total, added = lists.count(), 1
     for k in range(rounds + 1):
-        comps = components(links)
-        at = live.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        if not total:
+            return links
+        at = lists.join(components(links), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         # lists whose members are all of one component are done with
-        lists = at.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("token")
-        at = materialize(at.join(lists, "token"), "jaccard-open")
+        open_ = at.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("token")
+        at = materialize(at.join(open_, "token"), "jaccard-open")
         parts = at.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
-        open_pairs = parts.agg(F.sum("pairs")).first()[0] or 0
-        if not open_pairs:
-            return links
-        last = k == rounds or (k > 0 and open_pairs <= 8 * total) or (k > 1 and not added)
-        if last:
-            found = at.alias("x").join(at.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & _pair_test("x", "y", small))
-            pairs = found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-        else:
-            # the most central member first, then others by a hash that differs each round
-            rank = F.struct("score", "fp") if k == 0 else F.struct(F.xxhash64("fp", F.lit(k)), F.col("fp"))
-            heads = at.groupBy("token").agg(F.max_by(F.struct("fp", "n", "most", "comp"), rank).alias("y"))
-            found = at.alias("x").join(heads.alias("h"), "token").where(_pair_test("x", "y", small))
-            pairs = found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-        new = materialize(_similar(pairs, sets), "jaccard-links")
-        added = new.count()
-        links = materialize(links.unionByName(new), "jaccard-all-links")
-        if last:
+        pairs = parts.agg(F.sum("pairs")).first()[0] or 0
+        last = k == rounds or pairs <= 8 * total or not added
+        if pairs:
+            new = materialize(check(_all_pairs(at, small) if last else _heads(at, small, k + 1)), "jaccard-new")
+            added = new.count()
+            links = materialize(links.unionByName(new), "jaccard-all-links")
+        discard(at)
+        if last or not pairs:
             return links
     return links
 
 
+def _list_links(docs: DataFrame, members: DataFrame, entries: DataFrame, prints: DataFrame, small: int, links: DataFrame) -> DataFrame:
+    """links and those that the inverted lists add: all that connect different components."""
+    live = _live(entries)
+    lengths = live.groupBy("token").agg(F.count("*").alias("k"))
+    live = materialize(live.join(lengths, "token"), "jaccard-lists").withColumn("comp", F.col("fp"))
+    long = live.where(F.col("k") > SHORT)
+    # by prints alone: every link is a pair that passes, or lies within a component of such pairs
+    near = materialize(_close(_all_pairs(live.where(F.col("k") <= SHORT), small).unionByName(_heads(long, small, 0)).distinct(), prints), "jaccard-near")
+    near = _rounds(long.drop("comp"), near, small, lambda pairs: _close(pairs, prints))
+    wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "jaccard-wanted")
+    sets = materialize(_sets(docs, members, wanted), "jaccard-sets")
+    sweep(docs.sparkSession)
+    # by whole sets: each class with the most central of its partners first, then what else joins two components
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ranked = both.join(prints.select(F.col("fp").alias("b"), "score"), "b")
+    chosen = ranked.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = materialize(links.unionByName(_similar(chosen, sets)), "jaccard-all-links")
+    links = materialize(links.unionByName(_similar(_between(near, components(links)), sets)), "jaccard-all-links")
+    rest = materialize(long.drop("comp").join(wanted, "fp"), "jaccard-rest")
+    links = _rounds(rest, links, small, lambda pairs: _similar(_close(pairs, prints), sets))
+    discard(sets, live, rest)
+    return links
+
+
 def jaccard_components(docs: DataFrame, level_share: int = LEVEL_SHARE) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -324,47 +404,46 @@ def jaccard_components(docs: DataFrame, level_share: int = LEVEL_SHARE) -> DataF
     doc_id takes part; it is the smallest only where there is no other. Rows that repeat are equal
     texts and so linked. An empty table gives an empty one. Other columns are dropped.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = materialize(_signatures(docs, _levels(docs, level_share)), "jaccard-signed")
-    lists = signed.select("f", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("f").alias("c"), F.max("f").alias("d"), F.count("*").alias("k"))
-    lists = materialize(lists.where("c <> d").select("token", "k"), "jaccard-shared")
+    lists = signed.select("f", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("f").alias("c"), F.max("f").alias("d"))
+    bitmap = _bitmap(lists.where("c <> d").select("token"), SHARED_BITS)
+    entries = materialize(_entries(signed, bitmap), "jaccard-entries")
     n_entries = signed.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    met = lists.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
+    met = entries.groupBy("token").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
     small = boundary(met / max(1, n_entries))
-    bitmap = _bitmap(lists, SHARED_BITS)
-    entries = materialize(_entries(signed, bitmap), "jaccard-entries")
-    sets = materialize(_sets(docs, entries), "jaccard-sets")
-    comps = components(_list_links(entries, sets, small, _small_links(signed, small)))
-
-    classes = signed.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low")).join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    prints = materialize(signed.where("n > 0").select("fp", "n", "score", "print").dropDuplicates(["fp"]), "jaccard-prints")
+    links = materialize(_small_links(signed, small), "jaccard-all-links")
+    members = materialize(signed.select("doc_id", "n", "fp"), "jaccard-members")
+    discard(signed)
+    comps = components(_list_links(docs, members, entries, prints, small, links))
+    discard(entries, prints)
+
+    classes = members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("low")).join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     classes = materialize(classes, "jaccard-classes")
     lowest = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = classes.join(lowest, "comp").select("fp", "component_id")
-    full = signed.where("n > 0").select("doc_id", "n", "fp").join(named, "fp")
-    none = signed.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = members.where("n > 0").select("doc_id", "n", "fp").join(named, "fp")
+    none = members.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(none)
 
 
-def _sets(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(fp, set): the whole sets of the classes that have entries, read from the texts once more."""
-    wanted = entries.select(F.expr("conv(hex(substring(fp, 1, 7)), 16, 10)").cast("long").alias("token"))
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, SHARED_BITS))
+def _sets(docs: DataFrame, members: DataFrame, fps: DataFrame) -> DataFrame:
+    """(fp, set): the whole sets of the classes in fps, and by chance of some others, read from the texts once more.
+
+    Of each class only the documents with its smallest doc_id are read; a bitmap tells most others off.
+    """
+    one = members.join(fps, "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    wanted = key_filter(one.select(own.alias("key")), "key", 1 << SHARED_BITS)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps, sets = [], []
-            for text in b["text"]:
-                s = shingles(text).tobytes()
-                fp = hashlib.blake2b(s, digest_size=16).digest()
-                if s and _has(shared.value, np.array([int.from_bytes(fp[:7], "big")]), SHARED_BITS)[0]:
-                    fps.append(fp)
-                    sets.append(s)
-                if len(fps) >= 2000:
-                    yield pd.DataFrame({"fp": fps, "set": sets})
-                    fps, sets = [], []
-            yield pd.DataFrame({"fp": fps, "set": sets})
-
-    found = docs.select("text").mapInPandas(build, "fp binary, set binary")
+            sets = [s for s in map(shingles, b["text"]) if len(s)]
+            yield pd.DataFrame({"fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "set": [pack(s) for s in sets]})
+
+    found = docs.where(wanted(own)).select("text").mapInPandas(build, "fp binary, set binary")
     return found.groupBy("fp").agg(F.first("set").alias("set"))
 
 
