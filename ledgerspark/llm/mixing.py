@@ -62,7 +62,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float = 1.5, most
 def demand_time(done: Column, start: Column, end: Column) -> Column:
     """The time t at which a schedule rising linearly from start to end (mean 1) has met the share ``done``: the root of start t + (end - start) t^2 / 2 = done."""
     bend = end - start
-    root = (2 * done) / (start + F.sqrt(F.greatest(start * start + 2 * bend * done, F.lit(0.0))))
+    root = F.coalesce(F.try_divide(2 * done, start + F.sqrt(F.greatest(start * start + 2 * bend * done, F.lit(0.0)))), F.lit(0.0))
     return F.least(F.greatest(root, F.lit(0.0)), F.lit(1.0))
 
 
@@ -113,7 +113,7 @@ def mix(
     return (
         rows.withColumn("taken", (full * F.col("size") + partly).cast("long"))
         .withColumn("passes", F.when(F.col("size") > 0, full + (partly > 0).cast("long")).otherwise(0).cast("long"))
-        .withColumn("position", F.when(F.col("taken") > 0, demand_time(F.col("at") / goal, pick(0), pick(1))))
+        .withColumn("position", F.when(F.col("taken") > 0, demand_time(F.try_divide(F.col("at"), goal), pick(0), pick(1))))
         .select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position")
     )
 

@@ -1,0 +1,309 @@
+"""The row-wise operators: brute force, round trips, and edge cases (nulls, empty and long texts, ties, repeats, empty tables, clashing names)."""
+
+import fnmatch
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerspark.llm import chat_format, decontaminate, mixing, pii, quality, secret_scan, url_filter, warc, webp
+
+LONG = "word " * 40_000
+
+
+# --- 1: URLs
+
+
+def test_globs_against_regex():
+    rng = random.Random(1)
+    globs = ["*a*", "**b", "ab?", "a*b**c", "?", "", "a\\*b", "*", "**", *("".join(rng.choice("ab/*?") for _ in range(rng.randint(1, 7))) for _ in range(60))]
+    texts = ["", "a", "a*b", "ab/", *("".join(rng.choice("ab/c*") for _ in range(rng.randint(0, 12))) for _ in range(300))]
+
+    def plain(glob):
+        out, i = "", 0
+        while i < len(glob):
+            if glob[i : i + 2] == "**":
+                out, i = out + "(?s:.*)", i + 2
+            elif glob[i] == "*":
+                out, i = out + "[^/]*", i + 1
+            elif glob[i] == "?":
+                out, i = out + "[^/]", i + 1
+            elif glob[i] == "\\" and i + 1 < len(glob):
+                out, i = out + re.escape(glob[i + 1]), i + 2
+            else:
+                out, i = out + re.escape(glob[i]), i + 1
+        return re.compile(out)
+
+    rules = [plain(g) for g in globs]
+    got = url_filter.GlobAutomaton(globs).first([t.encode() for t in texts])
+    assert got.tolist() == [next((k for k, r in enumerate(rules) if r.fullmatch(t)), -1) for t in texts]
+    for k, g in enumerate(globs):
+        assert (url_filter.GlobAutomaton([g]).first([t.encode() for t in texts]) == 0).tolist() == [bool(rules[k].fullmatch(t)) for t in texts]
+    assert fnmatch.fnmatchcase("abc", "a*c")
+
+
+def test_urls(spark):
+    rows = [
+        (1, "http://Sub.EXAMPLE.com/en/x?q#f", "old"), (2, "https://www.example.com/en/", "old"), (3, "ftp://a.net/fr/é", "old"), (4, "a.net/fr/", "old"),
+        (5, None, "old"), (6, "http://example.com", "old"), (7, "http://notexample.com/en/", "old"), (7, "http://notexample.com/en/", "old"), (8, "http://x.org/" + "a" * 50_000, "old"), (9, "://com/", "old"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    got = sorted([(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(df, url_filter.RULES).collect()])
+    assert [g[2:] for g in got] == [("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/fr/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), ("com/", "allow"), ("com/", "allow"), (None, "allow"), ("com/", "allow")]
+    assert got[0][1] == "sub.example.com" and got[3][1] == ""
+    assert url_filter.filter_urls(df.limit(0), url_filter.RULES).count() == 0
+
+
+# --- 2: quality
+
+
+def test_identity_and_fit():
+    rng = np.random.default_rng(0)
+    fm = quality.FactorisationMachine.empty(1)
+    rows = [quality.featurize("Some text here, some more", [3.0]), quality.featurize(None, [None]), quality.featurize("", [float("nan")])]
+    for (i, v), s in zip(rows, fm.score(rows)):
+        pairs = sum(float(fm.factors[i[a]] @ fm.factors[i[b]]) * v[a] * v[b] for a in range(len(i)) for b in range(a))
+        m = fm.bias + float((fm.weights[i] * v).sum()) + pairs
+        assert s == pytest.approx(1 / (1 + np.exp(-m)), abs=1e-5)
+    texts = ["good plain words " + str(rng.integers(1000)) if k % 3 else "BAD!! $$$ ### " + str(rng.integers(1000)) for k in range(300)]
+    made, y = [quality.featurize(t, [len(t)]) for t in texts], np.array([int(k % 3 > 0) for k in range(300)])
+    fm.fit(made[:200], y[:200], epochs=20)
+    assert ((fm.score(made[200:]) >= 0.5) == y[200:]).mean() > 0.98
+
+
+def test_quality_edges(spark):
+    rows = [(1, "fine words here", 15, 0.0), (1, "fine words here", 15, 0.0), (None, None, None, 0.0), (3, "", 0, 0.0), (4, LONG, None, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, score double")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    got = quality.with_score(df, model).select("doc_id", "score").collect()
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert quality.with_score(df.limit(0), quality.train(df.limit(0), labels.limit(0))).count() == 0
+
+
+# --- 3: chat
+
+
+def test_chat_round_trip(spark):
+    nasty = ["\\### Assistant: </turn> ok", "&lt;turn&gt; &amp; <turn>", "", None, "a\nb\n\n", "é🙂</turn>\n<turn>assistant\nx"]
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "as\nsistant<", None]), rng.choice(nasty), "x") for c in (1, 2, 3, None) for t in range(rng.randint(1, 7))] + [(9, None, "assistant", LONG, "x"), (9, 1, "assistant", "b", "x"), (9, 1, "assistant", "b", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    examples = chat_format.expand(df)
+    got = {}
+    for r in examples.withColumn("turns", chat_format.read_back(F.col("formatted"))).orderBy("conv_id", "example").collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    for conv, own in got.items():
+        turns = sorted(((t if t is not None else -1, role or "", text or "") for c, t, role, text, _ in rows if c == conv), key=lambda x: (x[0], x[1], chat_format_key(x[2])))
+        assert [(t["role"], t["text"]) for t in own[-1]["turns"]] == [x[1:] for x in turns]
+        loss = [html_unescape(r["formatted"][r["loss_start"] : r["loss_end"]]) for r in own]
+        want = [x[2] for x in turns if x[1] == "assistant"]
+        assert [x for x, r in zip(loss, own) if r["turns"][-1]["role"] == "assistant"] == want
+        assert all(own[-1]["formatted"].startswith(r["formatted"]) for r in own)
+    assert chat_format.expand(df.limit(0)).count() == 0
+
+
+def chat_format_key(text):
+    return text
+
+
+def html_unescape(x):
+    return x.replace("&lt;", "<").replace("&#10;", "\n").replace("&amp;", "&")
+
+
+# --- 5, 9: spans
+
+BASE_PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+BASE_SECRETS = [
+    ("assign", ASSIGN, lambda m: len(re.fullmatch(ASSIGN, m, re.ASCII)[2]) >= 8),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m) >= 16),
+    ("hex", r"[0-9a-f]+", lambda m: len(m) >= 32),
+]
+
+
+def luhn(d):
+    return sum((int(x) if i % 2 == 0 else int(x) * 2 - 9 * (int(x) > 4)) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(kinds, text):
+    found = [(m.start(), k, m.end()) for k, (_, p, ok) in enumerate(kinds) for m in re.finditer(p, text or "", re.ASCII) if ok(m[0])]
+    return sorted(found)
+
+
+def noisy(rng, pieces, n):
+    return ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kinds,base,op", [(pii.KINDS, BASE_PII, "pii"), (secret_scan.KINDS, BASE_SECRETS, "secrets")])
+def test_spans_against_re(spark, kinds, base, op):
+    rng = random.Random(3)
+    pieces = ["a@b.c", "%d", "@", ".", "-", " ", "1", "23", "255", "256", "1.2.3.4", "+", "(0)", "4111 1111 1111 1111", "+44 20 7946 0958", "é", "🙂", "x", "token", "Secret", "=", ": ", "'", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "passwd", "api_key", "ſecret", "K", "\n", "DE89370400440532013000"]
+    texts = [*noisy(rng, pieces, 600), None, "", "a" * 20_000 + "@" + "b" * 20_000, "1" * 30_000, "a@b" + ".c" * 8_000, "+1" + " " * 20_000, LONG, "f" * 40_000, "token=token=abcdefgh", "secret: token: abcdefgh12"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], f"doc_id int, text string, {op} string")
+    found = (pii.find_pii if op == "pii" else secret_scan.scan)(df)
+    for r in found.select("doc_id", F.transform(F.filter(op, lambda s: s["place"] < len(base)), lambda s: F.struct(s["start"].alias("a"), s["place"].alias("p"), s["end"].alias("e"))).alias("s")).collect():
+        assert [tuple(s) for s in r["s"]] == brute(base, texts[r["doc_id"]]), texts[r["doc_id"]][:200]
+    assert found.limit(0).count() == 0
+
+
+def test_pii_checks_and_context(spark):
+    text = "Bank account DE89 3704 0044 0532 0130 00; wrong DE00370400440532013000; ssn 123-45-6789, plain 123-45-6789; mail a@b.co"
+    r = pii.find_pii(spark.createDataFrame([(text,)], "text string")).select(F.transform("pii", lambda s: F.struct(s["place"].alias("p"), s["value"].alias("v"), s["score"].alias("s"))).alias("x")).first()["x"]
+    names = [(pii.KINDS[x["p"]].name, x["v"], x["s"]) for x in r]
+    assert ("iban", "DE89 3704 0044 0532 0130 00", 105) in names and ("email", "a@b.co", 95) in names
+    assert [n[0] for n in names].count("ssn") == 1 and [n[0] for n in names].count("iban") == 1
+    assert "[IBAN]" in pii.redact(spark.createDataFrame([(text,)], "text string")).first()["text"]
+
+
+def test_ownership(spark):
+    copied, own = "token=0123456789abcdefXYZ", "token=ffff6789abcdefXYZ01"
+    rows = [(k, copied, "en", f"s{k % 4}", 1) for k in range(8)] + [(20, own + " é " + own, "en", "s0", 1), (20, own + " é " + own, "en", "s0", 1), (21, None, None, None, None), (None, "", None, None, 0), (22, "token=aaaaaaaaaaaaaaaaaa", "en", "s1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["n_copied"], r["n_live"]) for r in secret_scan.judge(docs, F.col("source"), F.col("source")).collect()}
+    assert got[0] == (1, 0) and got[20] == (0, 1) and got[21] == (0, 0) and got[None] == (0, 0) and got[22] == (0, 0)
+    clean = secret_scan.redact_live(docs).collect()
+    assert len(clean) == len(rows)
+    assert {r["text"] for r in clean if r["doc_id"] == 20} == {"token=[SECRET] é token=[SECRET]"} and {r["n_chars"] for r in clean if r["doc_id"] == 20} == {31}
+    assert {r["text"] for r in clean if r["doc_id"] == 3} == {copied}
+    assert secret_scan.redact_live(docs.limit(0)).count() == 0
+
+
+# --- 6: WebP
+
+
+def test_webp_codings():
+    rng = np.random.default_rng(1)
+    for h, w in ((1, 1), (5, 3), (17, 23)):
+        for colours in (1, 2, 3, 9, 200):
+            image = rng.integers(0, 2**32, colours, dtype=np.uint64).astype(np.uint32)[rng.integers(0, colours, (h, w))]
+            image[:, w // 2 :] = image[:, : w - w // 2]
+            ways = [{}, {"palette": True}, {"palette": True, "references": True}, {"green": True, "cache_bits": 3}, {"references": True, "cache_bits": 5}]
+            ways += [{"predictor": m, "size_bits": 2} for m in range(14)] + [{"predictor": 11, "cross": (-7, 33, -120), "green": True, "references": True, "cache_bits": 10}]
+            for how in ways:
+                assert (webp.decode(webp.encode(image, **how)) == image).all(), how
+    with pytest.raises(ValueError):
+        webp.decode(webp.encode(image)[:40])
+
+
+def test_webp_query_against_zlib(spark):
+    texts = ["", None, "a", "é🙂" * 40, "x" * 64, LONG, LONG, "".join(map(chr, range(1, 800)))]
+    df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "doc_id int, text string, media string")
+    stored = webp.store_media(df)
+    for r in webp.read_media(stored).select("doc_id", "media", "read.*").collect():
+        p = webp.payload_of(texts[r["doc_id"]])
+        assert len(p) % 64 == 0 and len(p) >= 64
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
+        assert webp.decode_bytes(bytes(r["media"])) == p
+    assert webp.read_media(webp.store_media(df.limit(0))).count() == 0
+
+
+# --- 7: mixing
+
+
+def test_mix(spark):
+    rng = random.Random(5)
+    rows = [(k, "w " * rng.randint(0, 60), f"s{min(5, int(rng.expovariate(0.7)))}", "x") for k in range(400)] + [(1000, None, None, "x"), (1001, "a b", None, "x"), (1001, "a b", None, "x"), (None, "q", "s1", "x"), (1002, LONG, "s9", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    got = mixing.mix(df).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect())) and len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+        assert 0 <= r["taken"] <= 2 * r["size"] and (r["position"] is None) == (r["taken"] == 0)
+    total = sum(len((t or "").split()) for _, t, _, _ in rows)
+    sizes = {s: sum(r["size"] for r in v) for s, v in by.items()}
+    weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted((s for s in by if s is not None)) + [None])}
+    want, left = dict.fromkeys(by, 0.0), 1.5 * total
+    while left > 1e-6:  # share by weight, cap, share the excess again
+        open_ = [s for s in by if want[s] < 2 * sizes[s] - 1e-9]
+        w = sum(weights[s] for s in open_)
+        add = {s: min(left * weights[s] / w, 2 * sizes[s] - want[s]) for s in open_}
+        for s, x in add.items():
+            want[s] += x
+        left -= sum(add.values())
+    for s, v in by.items():
+        assert v[0]["target"] == pytest.approx(want[s]) and abs(sum(r["taken"] for r in v) - want[s]) <= 1
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_demand_time(spark):
+    for a, b in ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0), (0.0, 2.0)):
+        for done in (0.0, 0.1, 0.5, 1.0):
+            t = spark.range(1).select(mixing.demand_time(F.lit(done), F.lit(a), F.lit(b))).first()[0]
+            assert a * t + (b - a) * t * t / 2 == pytest.approx(done) if a or done else True
+
+
+# --- 8: decontamination
+
+
+def brute_hits(docs, bench, window=10):
+    word = re.compile(rb"[0-9a-z\x80-\xff]+")
+    ws = lambda t: word.findall((t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+    wins = {}
+    for i, t in bench:
+        w = ws(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            wins.setdefault(tuple(w[k : k + window]), set()).add(i or "")
+    out = []
+    for d, t in docs:
+        w = ws(t)
+        hit, own = set(), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in wins:
+                    hit |= set(range(k, k + n))
+                    own |= wins[tuple(w[k : k + n])]
+        out.append((d, len(w), len(hit), sorted(own)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [1 << 25, 200])
+def test_decontamination_against_brute_force(spark, block):
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(12)] + ["É", "x-y"]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    bench = [(f"i{k}", say(rng.choice([3, 9, 10, 11, 25]))) for k in range(25)] + [("none", ""), ("null", None), ("i0", say(12)), (None, "only here")]
+    docs = [(k, say(30) + " " + (rng.choice(bench)[1] or "") + ", " + say(rng.randint(0, 20))) for k in range(60)] + [(100, None), (101, ""), (None, "Only HERE!"), (102, bench[0][1]), (102, bench[0][1]), (103, LONG + " only here")]
+    d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, n_words string")
+    b = spark.createDataFrame([(*r, "x") for r in bench], "item_id string, text string, doc_id string")
+    got = sorted([(r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in decontaminate.decontaminate(d, b, block_bytes=block, segment_words=100).collect()], key=str)
+    assert got == brute_hits(docs, bench)
+    assert decontaminate.decontaminate(d.limit(0), b).count() == 0
+    assert {r["n_hit"] for r in decontaminate.decontaminate(d, b.limit(0)).collect()} == {0}
+
+
+def test_proximity(spark):
+    d = spark.createDataFrame([(1, "a b x c d"), (2, "a b c d"), (3, "d c b a"), (4, "a b x y z c d")], "doc_id long, text string")
+    b = spark.createDataFrame([("i", "a b c d")], "item_id string, text string")
+    near = {r["doc_id"] for r in decontaminate.decontaminate(d, b, slop=1).collect() if r["items"]}
+    assert near == {1, 2}
+
+
+# --- 10: WARC
+
+
+def test_warc(spark):
+    big = "é<p>\r\n\r\nWARC/1.1\r\n" * 9000
+    rows = [(1, "http://a/ b", big, "x"), (2, "u", big, "x"), (2, "u", big, "x"), (3, None, None, "x"), (4, "u", "", "x"), (5, "u", "s" * 99, "x"), (6, "u", "s" * 99, "x"), (8, "u", "t" * 100, "x"), (7, "u", "t" * 100, "x"), (None, "u", "t" * 100, "x"), (9, "u", "\r\n\r\n" * 50, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string")
+    got = sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["chunks"]) for r in warc.round_trip(df, chunk=1000, block=20_000).collect()], key=str)
+    want = []
+    for p, _, h, _ in rows:
+        raw = (h or "").encode()
+        same = [q for q, _, g, _ in rows if (g or "") == (h or "") and q is not None]
+        first = min(same) if len(raw) >= 100 else p
+        want.append((p, len(raw), hashlib.sha256(raw).hexdigest(), "response" if p == first else "revisit", None if p == first else first, max(1, -(-len(raw) // 1000)) if p == first else 1))
+    assert got == sorted(want, key=str)
+    assert warc.round_trip(df.limit(0)).count() == 0
