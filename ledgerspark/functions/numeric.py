@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from .text import col, contains_any, strip
 NUMBER = r"^\s*\(?\s*-?\s*[\d.,]+\s*\)?\s*$"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def _count(c: Column, mark: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
 
@@ -27,16 +34,31 @@ def normalize_number(c: Column | str) -> Column:
     decimal mark; several marks of one kind, and one before exactly three digits, separate thousands.
     Null and the empty text stay as they are.
     """
-    raw = col(c)
-    trimmed = strip(raw)
-    percent = trimmed.endswith("%")
-    body = F.when(percent, strip(F.substr(trimmed, F.lit(1), F.length(trimmed) - 1))).otherwise(trimmed)
-    negative = (body.startswith("(") & body.endswith(")")) | body.startswith("-")
-    digits = strip(F.regexp_replace(body, "[()-]", ""))
+    return let(col(c), lambda raw: let(strip(raw), lambda t: _normalized(raw, t)))
+
+
+def _normalized(raw: Column, trimmed: Column) -> Column:
+    def of_body(body: Column) -> Column:
+        percent = trimmed.endswith("%")
+        negative = (body.startswith("(") & body.endswith(")")) | body.startswith("-")
+        digits = F.when(negative, strip(F.regexp_replace(body, "[()-]", ""))).otherwise(body)
+        number = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), let(digits, _separated))
+        return (
+            F.when(raw.isNull() | (raw == ""), raw)
+            .when(body.isin("-", "–", "—", ""), F.lit("0"))
+            .when(~body.rlike(NUMBER), F.concat(body, F.when(percent, F.lit("%")).otherwise(F.lit(""))))
+            .otherwise(number)
+        )
+
+    body = F.when(trimmed.endswith("%"), strip(F.substr(trimmed, F.lit(1), F.length(trimmed) - 1))).otherwise(trimmed)
+    return let(body, of_body)
+
+
+def _separated(digits: Column) -> Column:
+    """digits without thousands separators, with a dot for decimals."""
     dots, commas = _count(digits, "."), _count(digits, ",")
-    dot_later = F.instr(digits, ".") > F.instr(digits, ",")
     plain = (
-        F.when((dots > 0) & (commas > 0) & dot_later, _drop(digits, ","))
+        F.when((dots > 0) & (commas > 0) & (F.instr(digits, ".") > F.instr(digits, ",")), _drop(digits, ","))
         .when((dots > 0) & (commas > 0), F.replace(_drop(digits, "."), F.lit(","), F.lit(".")))
         .when(dots > 1, _drop(digits, "."))
         .when(commas > 1, _drop(digits, ","))
@@ -45,13 +67,7 @@ def normalize_number(c: Column | str) -> Column:
         .when(commas == 1, F.replace(digits, F.lit(","), F.lit(".")))
         .otherwise(digits)
     )
-    number = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), _drop(plain, " "))
-    return (
-        F.when(raw.isNull() | (raw == ""), raw)
-        .when(body.isin("-", "–", "—", ""), F.lit("0"))
-        .when(~body.rlike(NUMBER), F.concat(body, F.when(percent, F.lit("%")).otherwise(F.lit(""))))
-        .otherwise(number)
-    )
+    return _drop(plain, " ")
 
 
 def to_number(c: Column | str) -> Column:

@@ -151,12 +151,15 @@ def by_text(plans: DataFrame, texts: DataFrame, metrics: DataFrame) -> DataFrame
     return found.groupBy("id").agg(F.min_by(F.struct("value", *TABLE), F.struct("table_pos", "line_no")).alias("x")).select("id", "x.*")
 
 
-def cascade(questions: DataFrame, *tiers) -> DataFrame:
-    """questions (id, ...) with value, tier and table of the first tier that has one; each tier is a function of the ids still open."""
+def cascade(questions: DataFrame, *tiers, cut=lambda df: df) -> DataFrame:
+    """questions (id, ...) with value, tier and table of the first tier that has one; each tier is a function of the ids still open.
+
+    cut() may cut the lineage of what a tier has found, as each later tier builds on it.
+    """
     open_, parts = questions.select("id"), []
     shape = ["id", "value", *TABLE, "tier"]
     for k, tier in enumerate(tiers, 1):
-        found = tier(open_).withColumn("tier", F.lit(k)).select(shape)
+        found = cut(tier(open_).withColumn("tier", F.lit(k)).select(shape))
         parts.append(found)
         open_ = open_.join(found, "id", "left_anti")
     out = parts[0]

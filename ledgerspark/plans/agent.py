@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answer, extract, filters, intent, lookup, rank, ratios
 from ..operators.rank import TOP_TABLES
+from .cut import cut
 
 
 def retrieve(intents: DataFrame, catalog: DataFrame, question_vectors: DataFrame | None = None, table_vectors: DataFrame | None = None) -> DataFrame:
@@ -67,16 +68,16 @@ def answer_questions(
     provider of intents (a language model, say) with the same columns.
     """
     keys = ["report_id", "table_index"]
-    intents = understand(questions, aliases)
-    ranked = retrieve(intents, catalog, question_vectors, table_vectors)
-    tables = catalog.join(ranked.select(*keys).distinct(), keys, "left_semi")
-    cells = extract.cells_of(tables)
-    roles = lookup.column_roles(cells)
+    intents = cut(understand(questions, aliases), "intents")
+    ranked = cut(retrieve(intents, catalog, question_vectors, table_vectors), "ranked")
+    tables = cut(catalog.join(ranked.select(*keys).distinct(), keys, "left_semi"), "tables")
+    cells = cut(extract.cells_of(tables), "cells")
+    roles = cut(lookup.column_roles(cells), "roles")
     columns = lookup.value_column(cells, roles, ranked.select("id", "question", *keys))
-    plans = columns.join(ranked.select("id", *keys, F.col("rank").alias("table_pos")), ["id", *keys])
+    plans = cut(columns.join(ranked.select("id", *keys, F.col("rank").alias("table_pos")), ["id", *keys]), "plans")
 
     entity = catalog.join(ranked.select("report_id").distinct(), "report_id", "left_semi")
-    all_cells = extract.cells_of(entity)
+    all_cells = cut(extract.cells_of(entity), "entity-cells")
     values = ratios.tall(ratios.ratios(lookup.facts(entity, all_cells, lookup.column_roles(all_cells))))
     first_report = ranked.where("rank = 1").select("id", *keys)
     by_ratio = intents.where("formula is not null").select("id", "formula").join(first_report, "id").join(values, ["report_id", "formula"]).where("value is not null").select("id", "value", *keys)
@@ -95,9 +96,10 @@ def answer_questions(
         lambda ids: lookup.by_label(plans.join(ids, "id", "left_semi"), cells, roles, metrics).drop("score"),
         lambda ids: lookup.by_text(narrow.join(ids, "id", "left_semi"), texts, metrics),
         lambda ids: lookup.first_nonzero(narrow.join(ids, "id", "left_semi"), cells).select("id", "value", F.lit(None).cast("string").alias("report_id"), F.lit(None).cast("int").alias("table_index")),
+        cut=lambda df: cut(df, "tier"),
     )
     scaled = F.when(F.col("tier") == 1, F.round(ratios.scaled(F.col("value"), F.col("formula"), F.col("is_percent")), 6)).otherwise(answer.scale(F.col("value"), F.col("scaling_factor"), F.col("is_percent")))
-    answered = found.withColumn("answer", scaled)
+    answered = cut(found.withColumn("answer", scaled), "answered")
     used = answered.where("report_id is not null").select("id", *keys)
     kept = answer.prune(ranked, used)
     query = F.when(F.col("report_id").isNotNull(), answer.plan_text(F.col("report_id"), F.col("table_index"), F.get("codes", F.lit(0)), F.col("scaling_factor")))

@@ -196,7 +196,7 @@ t AS (SELECT *, CASE (l_orderkey + l_linenumber) % 6
    WHEN 3 THEN '(' || replace(format('{:,}', c), ',', '.') || ')'
    WHEN 4 THEN CAST(c % 100 AS VARCHAR) || ',5 %' ELSE l_returnflag || ' %' END AS raw FROM s),
 b AS (SELECT *, raw LIKE '%\%' ESCAPE '\' AS pct, trim(regexp_replace(raw, '%$', '')) AS body FROM t),
-d AS (SELECT *, body LIKE '(%)' OR body LIKE '-%' AS neg, regexp_replace(body, '[()-]', '', 'g') AS dig FROM b),
+d AS (SELECT *, body LIKE '(%)' OR body LIKE '-%' AS neg, CASE WHEN body LIKE '(%)' OR body LIKE '-%' THEN regexp_replace(body, '[()-]', '', 'g') ELSE body END AS dig FROM b),
 k AS (SELECT *, length(dig) - length(replace(dig, '.', '')) AS dots, length(dig) - length(replace(dig, ',', '')) AS commas FROM d)
 SELECT l_orderkey, l_linenumber, l_partkey, raw, CASE
    WHEN NOT regexp_matches(body, '^\s*\(?\s*-?\s*[\d.,]+\s*\)?\s*$') THEN body || CASE WHEN pct THEN '%' ELSE '' END
