@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-Index: the documents stream into segments, each an inverted index of its own over some million
+Index: the documents stream into segments, each an inverted index of its own over some 100,000
 words: for each term its postings, sorted by (document, position). The segments are a table in the
 shared folder. Only the benchmark's terms are ever looked up, so only their postings are stored;
 the word counts cover all words.
@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 
 #: Words are runs of 0-9, a-z (A-Z lower-cased) and all beyond ASCII. On UTF-8 bytes that is one translation.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW = 10
 #: A segment is closed after so many words.
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 500_000
 BLOCK_BYTES = 1 << 25
 
 
@@ -181,6 +181,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop:
     string; rows of one id are one item. Rows of docs that repeat each get a result; an empty docs
     table gives an empty result, an empty benchmark no hits. Other columns are dropped.
     """
+    bounded_batches(docs.sparkSession)
     text = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1

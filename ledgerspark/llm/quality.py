@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 WORD_BITS = 16
 SAMPLE = 10_000
@@ -162,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, meta: Sequence[str] = ("n_chars",)
     with the smallest hash, whatever the size of the tables: the bound on what the driver holds.
     Without any label the score is 0.5 plus noise of the untrained factors.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text", _meta_columns(docs, meta).alias("meta")).join(F.broadcast(chosen), "doc_id")
@@ -185,6 +186,7 @@ def with_score(df: DataFrame, model: FactorisationMachine, meta: Sequence[str] =
     Null and empty texts are scored by their statistics (all 0) and metadata; null metadata has a
     bin of its own. Rows that repeat get equal scores; an empty table gives an empty one.
     """
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_filter, materialize, scratch, table
+from .common import bounded_batches, key_filter, materialize, scratch, table
 
 CRLF = b"\r\n"
 END = "\r\n\r\n"
@@ -205,6 +205,7 @@ def round_trip(pages: DataFrame, least: int = 100, chunk: int = 1 << 16, block:
     dropped. Rows that repeat are records of their own. An empty table gives an empty result.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     path = scratch(spark, "warc")
     id_type = pages.schema["page_id"].dataType
     paths = []
