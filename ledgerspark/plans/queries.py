@@ -757,3 +757,39 @@ def packaging_paths(spark, sf_dir):
     from ..sources.writers import packaged_paths
 
     return packaged_paths(answer.evidence(_ranked(spark, sf_dir)))
+
+
+# --- names, variants, summaries
+
+_NAMES = (("roe", "ROE"), ("gross_margin of the year", "gross_margin"), ("margin", "gross_margin"), ("Current_Ratio", "current_ratio"), ("xyz", None), ("debt", "debt_to_equity"))
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT {pick_sql('o_orderkey', *[n for n, _ in _NAMES])} || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE ' ' END AS name FROM orders)
+SELECT name, CASE trim(name) {' '.join(f"WHEN '{n}' THEN '{f}'" for n, f in _NAMES if f and n not in ('roe', 'margin', 'debt'))} WHEN 'roe' THEN CASE WHEN name = 'roe' OR contains(name, 'roe') THEN 'ROE' END
+  WHEN 'margin' THEN CASE WHEN name = 'margin' THEN 'gross_margin' END WHEN 'debt' THEN CASE WHEN name = 'debt' THEN 'debt_to_equity' END END AS formula FROM n"""
+)
+def formula_names(spark, sf_dir):
+    name = F.concat(pick(F.col("o_orderkey"), *[n for n, _ in _NAMES]), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(" "))
+    names = table(spark, sf_dir, "orders").select(name.alias("name")).distinct()
+    return intent.resolve_formula(spark, names, [r.name for r in ratios.RATIOS])
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE 2 END AS n_variants, CASE WHEN c_nationkey % 3 = 0 THEN c_name ELSE 'T' || c_nationkey || ' ' || (2000 + c_nationkey) || ' ' || c_name END AS last FROM customer"""
+)
+def query_variants(spark, sf_dir):
+    named = F.col("c_nationkey") % 3 != 0
+    tickers = F.when(named, F.array(F.concat(F.lit("T"), F.col("c_nationkey").cast("string")))).otherwise(F.array().cast("array<string>"))
+    years = F.when(named, F.array(2000 + F.col("c_nationkey"))).otherwise(F.array().cast("array<int>"))
+    found = table(spark, sf_dir, "customer").select("c_custkey", rank.query_variants(F.col("c_name"), tickers, years).alias("v"))
+    return found.select("c_custkey", F.size("v").alias("n_variants"), F.element_at("v", -1).alias("last"))
+
+
+@query(
+    """SELECT p_partkey, 'Báo cáo: ' || p_brand || ' | Loại: ' || p_type || ' | Ngữ cảnh: ' || p_name || ' | Tiêu đề: ' || p_brand || ' ' || p_size || ' | Chỉ tiêu: ' || substr(repeat(p_name || ' ', 20), 1, 150) AS summary FROM part"""
+)
+def table_summary(spark, sf_dir):
+    headers = F.array("p_brand", F.col("p_size").cast("string"))
+    text_ = rank.memory_text(F.col("p_brand"), F.col("p_type"), F.col("p_name"), headers, F.repeat(F.concat("p_name", F.lit(" ")), 20))
+    return table(spark, sf_dir, "part").select("p_partkey", text_.alias("summary"))
