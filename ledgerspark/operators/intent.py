@@ -131,7 +131,7 @@ def understand(questions: DataFrame, aliases: DataFrame, codes: DataFrame | None
     spark = questions.sparkSession
     codes = code_dimension(spark) if codes is None else codes
     known = aliases.select(F.upper("ticker").alias("code")).distinct()
-    by_code = questions.select("id", F.explode(uppercase_codes("question")).alias("code")).join(F.broadcast(known), "code").select("id", F.col("code").alias("ticker"))
+    by_code = questions.select("id", F.explode(uppercase_codes("question")).alias("code")).join(known, "code").select("id", F.col("code").alias("ticker"))
     by_name = outermost(alias_matches(questions, aliases))
     # a code that only stands inside a longer name isn't a mention
     covered = alias_matches(questions, aliases).select("id", "ticker", F.lower("ticker").alias("t"), "alias").where("t = alias").select("id", "ticker")

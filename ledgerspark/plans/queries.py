@@ -100,7 +100,7 @@ SELECT id, vec_id, score, rank FROM r WHERE rank <= 5"""
 def cosine_topk(spark, sf_dir):
     e, probes = _probes(spark, sf_dir)
     # one probe a label: a stated query set against all rows
-    scored = e.crossJoin(F.broadcast(probes)).select("id", "vec_id", F.round(vectors.cosine("qv", "embedding"), 6).alias("score"))
+    scored = e.crossJoin(probes).select("id", "vec_id", F.round(vectors.cosine("qv", "embedding"), 6).alias("score"))
     return rank.top_k(scored, ["id"], [F.desc("score"), F.col("vec_id")], 5)
 
 
@@ -112,7 +112,7 @@ SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS ran
 )
 def two_stage_rerank(spark, sf_dir):
     e, probes = _probes(spark, sf_dir)
-    both = e.crossJoin(F.broadcast(probes))
+    both = e.crossJoin(probes)
     cheap = both.withColumn("score", F.round(vectors.dot(F.slice("qv", 1, 8), F.slice("embedding", 1, 8)), 6))
     first = rank.top_k(cheap, ["id"], [F.desc("score"), F.col("vec_id")], 20)
     final = first.select("id", "vec_id", F.round(F.col("score") + 300 * F.round(vectors.cosine("qv", "embedding"), 6), 4).alias("score"))
