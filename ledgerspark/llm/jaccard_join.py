@@ -306,22 +306,23 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each vertex with an edge to a lesser one has just that edge, and that one has none."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) to (fp, comp): each vertex with the least of its component, by alternating large and small stars."""
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "jaccard-edges")
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(now) == state:
-            return edges.select(F.col("a").alias("fp"), F.col("b").alias("comp"))
-        state = tuple(now)
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "jaccard-large")
+        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "jaccard-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = materialize(small.where("a <> b").distinct(), "jaccard-edges")
+    return edges.select(F.col("a").alias("fp"), F.col("b").alias("comp"))
 
 
 def _all_pairs(entries: DataFrame, small: int) -> DataFrame:
@@ -350,11 +351,12 @@ def _rounds(lists: DataFrame, links: DataFrame, small: int, check: Callable[[Dat
     While lists have many pairs in different components, one member of each is checked with the
     others; once these are few, or a round has found nothing, all of them are.
     """
-    total, added = lists.count(), 1
+    total, added, known = lists.count(), 1, links
     for k in range(rounds + 1):
         if not total:
             return links
-        at = lists.join(components(links), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        comps = components(known)
+        at = lists.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         # lists whose members are all of one component are done with
         open_ = at.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("token")
         at = materialize(at.join(open_, "token"), "jaccard-open")
@@ -364,6 +366,7 @@ def _rounds(lists: DataFrame, links: DataFrame, small: int, check: Callable[[Dat
         if pairs:
             new = materialize(check(_all_pairs(at, small) if last else _heads(at, small, k + 1)), "jaccard-new")
             added = new.count()
+            known = comps.select(F.col("fp").alias("a"), F.col("comp").alias("b")).unionByName(new)
             links = materialize(links.unionByName(new), "jaccard-all-links")
         discard(at)
         if last or not pairs:
