@@ -32,26 +32,24 @@ def expand(turns: DataFrame, answerer: str = "assistant") -> DataFrame:
 
     The loss mask is the span [loss_start, loss_end) of formatted, in code points; it is empty in
     the example that has no target. A null text or role counts as empty. Turns are taken by turn
-    (null first), equal ones by role and text; rows that repeat are turns of their own. All rows of
+    (null first), equal ones by role and escaped text; rows that repeat are turns of their own. All rows of
     null conv_id are one conversation. Other columns are dropped; an empty table gives an empty one.
     A conversation's text is held once while it is expanded; examples are made row by row.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit(OPEN), F.replace(escape(role), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
+    head = lambda r: F.concat(F.lit(OPEN), F.replace(escape(r), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
     pieces = turns.select(
         "conv_id",
         F.struct(
             F.col("turn").alias("turn"),
             role.alias("role"),
-            text.alias("text"),
-            head.alias("head"),
             escape(text).alias("body"),
         ).alias("t"),
     )
     whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     rendered = whole.select(
         "conv_id",
-        F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))).alias("parts"),
+        F.transform("ts", lambda t: F.concat(head(t["role"]), t["body"], F.lit(CLOSE))).alias("parts"),
         # the assistant turns' places, and past the end if anything follows the last of them
         F.filter(F.transform("ts", lambda t, i: F.when(t["role"] == answerer, i + 1)), lambda i: i.isNotNull()).alias("targets"),
         F.transform("ts", lambda t: F.length(t["body"])).alias("body_chars"),
@@ -139,7 +137,7 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS i,
          length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + 15 AS chars
   FROM t
 ), c AS (

@@ -109,7 +109,7 @@ def test_chat_round_trip(spark):
 
 
 def chat_format_key(text):
-    return text
+    return text.replace("&", "&amp;").replace("<", "&lt;")
 
 
 def html_unescape(x):
