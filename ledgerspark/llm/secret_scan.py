@@ -79,24 +79,30 @@ def judge(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", wi
     return some.unionByName(none)
 
 
+#: Texts in which none of KINDS can find a value don't match this.
+HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8}"""
+
+
 def redact_live(docs: DataFrame, mark: str = "[SECRET]", wide: int = WIDE) -> DataFrame:
     """docs (documents' columns) with every live value replaced by mark wherever it stands in its text, n_chars with it.
 
-    Only the texts that hold a live value are shuffled, keyed by doc_id and the text's hash; rows
-    that are equal in these get equal texts. Texts without secrets pass unchanged, null ones too.
+    Only the texts that may hold a value are shuffled, keyed by doc_id and the text's hash; rows that
+    are equal in these get equal texts. Texts without secrets pass unchanged, null ones too.
     """
-    key = [F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_hash"), F.length("text").alias("k_chars")]
-    keyed = docs.select("*", *key)
+    maybe = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    keyed = docs.where(maybe).withColumns({"k_id": F.col("doc_id"), "k_hash": F.xxhash64("text"), "k_chars": F.length("text")})
     live = (
         judge(keyed.select("k_id", "k_hash", "k_chars", "source", "lang", "text"), F.concat_ws("/", "source", "lang"), F.col("source"), wide=wide)
         .where("n_live > 0")
-        .select("k_id", "k_hash", "k_chars", "live")
-        .dropDuplicates(["k_id", "k_hash", "k_chars"])
+        .select(F.col("k_id").alias("l_id"), F.col("k_hash").alias("l_hash"), F.col("k_chars").alias("l_chars"), F.col("live").alias("live_"))
+        .dropDuplicates(["l_id", "l_hash", "l_chars"])
     )
-    marked = materialize(keyed.select(*docs.columns, *[F.col(c) for c in ("k_id", "k_hash", "k_chars")]).join(live, [keyed.k_id.eqNullSafe(live.k_id), keyed.k_hash == live.k_hash, keyed.k_chars == live.k_chars], "left").select(*[keyed[c] for c in docs.columns], live.live), "secret-texts")
-    text = F.aggregate("live", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
-    changed = F.col("live").isNotNull()
-    return marked.withColumn("text", F.when(changed, text).otherwise(F.col("text"))).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    same = F.col("k_id").eqNullSafe(F.col("l_id")) & (F.col("k_hash") == F.col("l_hash")) & (F.col("k_chars") == F.col("l_chars"))
+    met = keyed.join(live, same, "left")
+    text = F.aggregate("live_", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    changed = met.withColumn("text", F.when(F.col("live_").isNotNull(), text).otherwise(F.col("text")))
+    changed = changed.withColumn("n_chars", F.when(F.col("live_").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return docs.where(~maybe).unionByName(changed.select(*docs.columns))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
