@@ -77,28 +77,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def key_filter(keys: DataFrame, column: str, bits: int = 1 << 23):
-    """A test, Column to Column, that is true for every value in keys[column], and rarely for others.
+def _slot(c: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+
+
+class KeyBits:
+    """Which values stand in keys[column], as a bitmap of fixed size: true for each of them, and rarely for others.
 
     The keys are hashed to ``bits`` bits, which Spark gathers in bitmaps; what comes to the driver and
     goes to the executors is bits / 8 bytes, however many keys there are. With far more keys than
     bits the test lets all pass, which costs time and changes no result.
     """
-    def slot(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-
-    at = keys.select(slot(F.col(column)).alias("at"))
-    parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
-    table_ = np.zeros(bits, dtype=bool)
-    for p in parts:
-        one = np.unpackbits(np.frombuffer(p["map"], dtype=np.uint8), bitorder="little")
-        begin = (p["bucket"] - 1) * len(one)
-        table_[begin : begin + len(one)] = one[: bits - begin]
-    shared = keys.sparkSession.sparkContext.broadcast(np.packbits(table_))
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 23):
+        self.bits = bits
+        at = keys.select(_slot(F.col(column), bits).alias("at"))
+        parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
+        table_ = np.zeros(bits, dtype=bool)
+        for p in parts:
+            one = np.unpackbits(np.frombuffer(p["map"], dtype=np.uint8), bitorder="little")
+            begin = (p["bucket"] - 1) * len(one)
+            table_[begin : begin + len(one)] = one[: bits - begin]
+        self.shared = keys.sparkSession.sparkContext.broadcast(np.packbits(table_))
+
+    def slot(self, c: Column) -> Column:
+        return _slot(c, self.bits)
+
+
+def has_bit(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    x = slots - 1
+    return (packed[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
+
+
+def key_filter(keys: DataFrame, column: str, bits: int = 1 << 23):
+    """KeyBits as a test from Column to Column."""
+    known = KeyBits(keys, column, bits)
+    shared = known.shared
 
     @F.pandas_udf("boolean")
     def test(slots: pd.Series) -> pd.Series:
-        x = slots.to_numpy() - 1
-        return pd.Series((shared.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1)
+        return pd.Series(has_bit(shared.value, slots.to_numpy()))
 
-    return lambda c: test(slot(c))
+    return lambda c: test(known.slot(c))

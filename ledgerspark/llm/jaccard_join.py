@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, key_filter, materialize, sweep, table
+from .common import KeyBits, bounded_batches, discard, has_bit, key_filter, materialize, sweep, table
 
 SHINGLE = 5
 #: The least similarity is NUM / DEN.
@@ -439,14 +439,16 @@ def _sets(docs: DataFrame, members: DataFrame, fps: DataFrame) -> DataFrame:
     """
     one = members.join(fps, "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    wanted = key_filter(one.select(own.alias("key")), "key", 1 << SHARED_BITS)
+    known = KeyBits(one.select(own.alias("key")), "key", 1 << SHARED_BITS)
+    shared = known.shared
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [s for s in map(shingles, b["text"]) if len(s)]
+            # tested here, as a filter of its own would take another Python worker for each task
+            sets = [s for s in map(shingles, b["text"][has_bit(shared.value, b["slot"].to_numpy())]) if len(s)]
             yield pd.DataFrame({"fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "set": [pack(s) for s in sets]})
 
-    found = docs.where(wanted(own)).select("text").mapInPandas(build, "fp binary, set binary")
+    found = docs.select(known.slot(own).alias("slot"), "text").mapInPandas(build, "fp binary, set binary")
     return found.groupBy("fp").agg(F.first("set").alias("set"))
 
 
