@@ -2,9 +2,10 @@
 
 The decoder reads prefix codes, back-references, the colour cache and meta prefix codes, and inverts
 the predictor, cross-colour, subtract-green and palette transforms; it returns pixels as uint32 ARGB.
-The encoder can write each of these. Bytes become grey samples: ``encode_bytes`` writes them with the
-subtract-green transform and one prefix code whose codes have equal lengths, which numpy packs and
-unpacks without a loop over pixels. Any other stream goes through the general decoder.
+The encoder can write each of these but meta prefix codes. Bytes become grey samples:
+``encode_bytes`` writes them with back-references, with the colour cache that pays and with the
+transform that pays. Matches are found and bits packed by numpy; Python loops over back-references
+when writing, over symbols when reading.
 
 A side is at most 16384, so long payloads become several images, one RIFF file after the other.
 """
@@ -14,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,12 @@ CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 #: The nearby pixels that the distance codes 1 to 120 stand for, nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
+#: Code lengths that the encoder uses at most (the format has 15), its colour caches, and the longest distance, the shortest and longest copy.
+MOST_BITS, CACHES, FAR, RUN, LONGEST = 11, (2, 6), (1 << 20) - len(NEAR), 6, 4096
+#: Predictor modes that can be undone by whole rows: left, top, top right, top left, and means of the row above.
+ROW_MODES = (1, 2, 3, 4, 8, 9)
+#: A predictor is tried if it leaves so much of the entropy of single samples at most.
+PAYS = 0.9
 #: Samples of one image of a payload.
 TILE_WIDTH, TILE = 64, 64 * 16384
 
@@ -80,10 +89,8 @@ class Writer:
             self.value >>= whole * 8
             self.held -= whole * 8
 
-    def bits(self) -> np.ndarray:
-        tail = self.value.to_bytes(-(-self.held // 8), "little")
-        count = sum(map(len, self.parts)) * 8 + self.held
-        return np.unpackbits(np.frombuffer(b"".join(self.parts) + tail, np.uint8), bitorder="little")[:count]
+    def bytes(self) -> bytes:
+        return b"".join(self.parts) + self.value.to_bytes(-(-self.held // 8), "little")
 
 
 def canonical(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
@@ -110,20 +117,26 @@ class Code:
         self.most = max(n for _, n in codes.values())
         if sum(1 << (self.most - n) for _, n in codes.values()) != 1 << self.most:
             raise ValueError("a prefix code is not complete")
-        self.table = [(0, 0)] * (1 << self.most)
+        self.mask = (1 << self.most) - 1
+        #: by the next bits: symbol << 4 | length
+        self.table = [0] * (1 << self.most)
         for s, (code, n) in codes.items():
-            for k in range(code, 1 << self.most, 1 << n):
-                self.table[k] = (s, n)
-        self.codes = codes
+            self.table[code :: 1 << n] = [s << 4 | n] * (1 << (self.most - n))
+
+    @classmethod
+    def lone(cls, symbol: int) -> Code:
+        """The code of one symbol, which takes no bits."""
+        self = cls.__new__(cls)
+        self.most = self.mask = 0
+        self.table = [symbol << 4]
+        return self
 
     def read(self, r: Reader) -> int:
-        if not self.most:
-            return self.table[0][0]
         r.need(self.most)
-        s, n = self.table[r.value & ((1 << self.most) - 1)]
-        r.value >>= n
-        r.held -= n
-        return s
+        x = self.table[r.value & self.mask]
+        r.value >>= x & 15
+        r.held -= x & 15
+        return x >> 4
 
 
 def read_code(r: Reader, size: int) -> Code:
@@ -131,6 +144,8 @@ def read_code(r: Reader, size: int) -> Code:
     if r.read(1):
         two, wide = r.read(1), r.read(1)
         symbols = [r.read(8 if wide else 1)] + ([r.read(8)] if two else [])
+        if not two:
+            return Code.lone(symbols[0])
         for s in symbols:
             lengths[s] = 1
         return Code(lengths)
@@ -162,18 +177,22 @@ def code_lengths(counts: dict[int, int], size: int, most: int) -> list[int]:
     if len(counts) == 1:
         lengths[next(iter(counts))] = 1
         return lengths
-    floor = 0
+    order, floor = sorted(counts.items()), 0
     while True:
-        heap = [(max(n, floor), k, [s]) for k, (s, n) in enumerate(sorted(counts.items()))]
+        heap = [(max(n, floor), k) for k, (_, n) in enumerate(order)]
         heapq.heapify(heap)
-        depth, k = Counter(), len(heap)
+        parent, k = [0] * (2 * len(order)), len(order)
         while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            depth.update(a[2])
-            depth.update(b[2])
-            heapq.heappush(heap, (a[0] + b[0], k := k + 1, a[2] + b[2]))
-        if max(depth.values(), default=0) <= most:
-            for s, n in depth.items():
+            n, a = heapq.heappop(heap)
+            m, b = heap[0]
+            parent[a] = parent[b] = k
+            heapq.heapreplace(heap, (n + m, k))
+            k += 1
+        depth = [0] * k
+        for a in range(k - 2, -1, -1):
+            depth[a] = depth[parent[a]] + 1
+        if max(depth[: len(order)], default=0) <= most:
+            for (s, _), n in zip(order, depth):
                 lengths[s] = n
             return lengths
         floor = max(1, floor * 2)
@@ -226,29 +245,13 @@ def write_code(w: Writer, lengths: Sequence[int]) -> None:
         w.put(x, n)
 
 
-def prefix_of(x: int) -> tuple[int, int, int]:
-    """A length or distance from 1 on: prefix code, extra value, extra bits."""
-    if x <= 4:
-        return x - 1, 0, 0
-    top = (x - 1).bit_length() - 1
-    second = ((x - 1) >> (top - 1)) & 1
-    return 2 * top + second, (x - 1) & ((1 << (top - 1)) - 1), top - 1
-
-
-def _value_of(r: Reader, prefix: int) -> int:
-    if prefix < 4:
-        return prefix + 1
-    n = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << n) + r.read(n) + 1
-
-
 # --- images
 
 
 def _read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image; main: it may have meta prefix codes."""
     bits = r.read(4) if r.read(1) else 0
-    cache = [0] * (1 << bits) if bits else []
+    held_colours = [0] * (1 << bits) if bits else []
     which, size_bits, across = None, 0, 0
     if main and r.read(1):
         size_bits = r.read(3) + 2
@@ -257,25 +260,59 @@ def _read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         which = (meta >> 8) & 0xFFFF
     groups = []
     for _ in range(1 + (int(which.max()) if which is not None else 0)):
-        groups.append([read_code(r, n) for n in (LITERALS + LENGTHS + len(cache), 256, 256, 256, DISTANCES)])
+        groups.append([read_code(r, n) for n in (LITERALS + LENGTHS + len(held_colours), 256, 256, 256, DISTANCES)])
     total = width * height
-    if which is None and not cache:
-        fast = _equal_lengths(r, groups[0], total)
-        if fast is not None:
-            return fast
-    out = [0] * total
+    if which is None and not any(c.most for c in groups[0][1:4]):
+        found = _read_green(r, groups[0], width, total, bits)
+        if found is not None:
+            return found
+    out = array("I", bytes(4 * total))
+    data, at, value, held, end = r.data, r.at, r.value, r.held, len(r.data)
     green, red, blue, alpha, distance = groups[0]
     k = cached = 0
     while k < total:
         if which is not None:
             green, red, blue, alpha, distance = groups[which[(k // width >> size_bits) * across + (k % width >> size_bits)]]
-        s = green.read(r)
+        if held < 64:  # no pixel and no back-reference has more bits
+            if at - (held >> 3) > end:
+                raise ValueError("the stream ends early")
+            value |= int.from_bytes(data[at : at + 32], "little") << held
+            at += 32
+            held += 256
+        x = green.table[value & green.mask]
+        value >>= x & 15
+        held -= x & 15
+        s = x >> 4
         if s < LITERALS:
-            out[k] = red.read(r) << 16 | s << 8 | blue.read(r) | alpha.read(r) << 24
+            p = s << 8
+            for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
+                x = code.table[value & code.mask]
+                if x & 15:
+                    value >>= x & 15
+                    held -= x & 15
+                p |= x >> 4 << shift
+            out[k] = p
             k += 1
         elif s < LITERALS + LENGTHS:
-            n = _value_of(r, s - LITERALS)
-            d = _value_of(r, distance.read(r))
+            n, d = s - LITERALS, 0
+            if n < 4:
+                n += 1
+            else:
+                m = (n - 2) >> 1
+                n = ((2 + (n & 1)) << m) + (value & ((1 << m) - 1)) + 1
+                value >>= m
+                held -= m
+            x = distance.table[value & distance.mask]
+            value >>= x & 15
+            held -= x & 15
+            d = x >> 4
+            if d < 4:
+                d += 1
+            else:
+                m = (d - 2) >> 1
+                d = ((2 + (d & 1)) << m) + (value & ((1 << m) - 1)) + 1
+                value >>= m
+                held -= m
             if d <= len(NEAR):
                 x, y = NEAR[d - 1]
                 d = max(1, x + y * width)
@@ -283,106 +320,267 @@ def _read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
                 d -= len(NEAR)
             if d > k or k + n > total:
                 raise ValueError("a back-reference leaves the image")
-            for _ in range(n):
-                out[k] = out[k - d]
-                k += 1
+            out[k : k + n] = out[k - d : k - d + n] if d >= n else (out[k - d : k] * -(-n // d))[:n]
+            k += n
         else:
             for p in out[cached:k]:
-                cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - bits)] = p
+                held_colours[(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - bits)] = p
             cached = k
-            out[k] = cache[s - LITERALS - LENGTHS]
+            out[k] = held_colours[s - LITERALS - LENGTHS]
             k += 1
-        if r.over:
-            raise ValueError("the stream ends early")
-    return np.array(out, dtype=np.uint32)
-
-
-def _equal_lengths(r: Reader, codes: list[Code], total: int) -> np.ndarray | None:
-    """All pixels at once where only green varies, by codes of equal length without back-references."""
-    green, red, blue, alpha, _ = codes
-    n = green.most
-    if red.most or blue.most or alpha.most or any(s >= LITERALS or m != n for s, (_, m) in green.codes.items()):
-        return None
-    start = r.position
-    if start + n * total > len(r.data) * 8:
+    r.at, r.value, r.held = at, value, held
+    if r.over:
         raise ValueError("the stream ends early")
-    table_ = np.array([s for s, _ in green.table], dtype=np.uint8)
-    rest = red.table[0][0] << 16 | blue.table[0][0] | alpha.table[0][0] << 24
-    out = np.empty(total, dtype=np.uint8)
-    step = 1 << 20
-    for a in range(0, total, step):
-        m = min(step, total - a)
-        first = start + a * n
-        raw = np.frombuffer(r.data, np.uint8, count=-(-(first % 8 + m * n) // 8), offset=first // 8)
-        bits = np.unpackbits(raw, bitorder="little")[first % 8 : first % 8 + m * n].reshape(m, n) if n else np.zeros((m, 0), np.uint8)
-        code = np.zeros(m, dtype=np.uint8)
-        for i in range(n):
-            code |= bits[:, i] << i
-        out[a : a + m] = table_[code]
-    r.__init__(r.data[(start + n * total) // 8 :])
-    r.read((start + n * total) % 8)
-    return out.astype(np.uint32) << 8 | np.uint32(rest)
-
-
-def _write_pixels(w: Writer, pixels: Sequence[int], width: int, main: bool, cache_bits: int = 0, references: bool = False) -> None:
-    """The general encoder of an entropy-coded image: greedy back-references to the last place of four equal pixels."""
-    size = 1 << cache_bits if cache_bits else 0
-    cache, seen, symbols = [0] * size, {}, []
-    near = {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(NEAR)))}
-    k, total = 0, len(pixels)
+    return np.frombuffer(out, dtype=np.uint32)
+
+
+def _read_green(r: Reader, codes: list[Code], width: int, total: int, bits: int) -> np.ndarray | None:
+    """The pixels where only green varies and no meta codes stand: the loop of _read_pixels on bytes, two literals at once."""
+    green, red, blue, alpha, distance = codes
+    rest = red.table[0] >> 4 << 16 | blue.table[0] >> 4 | alpha.table[0] >> 4 << 24
+    # symbol << 4 | length, or where two literals stand in the next bits: PAIR | second << 13 | first << 4 | both lengths
+    pair = 1 << 24
+    one = np.array(green.table, dtype=np.int64)
+    two = one[np.arange(len(one)) >> (one & 15)]
+    both = (one >> 4 < LITERALS) & (two >> 4 < LITERALS) & ((one & 15) + (two & 15) <= min(green.most, 15))
+    table_ = np.where(both, pair | two >> 4 << 13 | one >> 4 << 4 | (one & 15) + (two & 15), one).tolist()
+    single, mask, far, far_mask = green.table, green.mask, distance.table, distance.mask
+    slots = [(CACHE_FACTOR * (rest | g << 8) & 0xFFFFFFFF) >> (32 - bits) for g in range(256)] if bits else []
+    colours: dict[int, int] = {}
+    out = bytearray(total)
+    data, at, value, held, end = r.data, r.at, r.value, r.held, len(r.data)
+    k = cached = 0
     while k < total:
-        n = 0
-        if references and k + 4 <= total:
-            at = seen.get(tuple(pixels[k : k + 4]))
-            if at is not None:
-                while n < 4096 and k + n < total and pixels[at + n] == pixels[k + n]:
-                    n += 1
-        if n >= 4:
-            d = k - at
-            symbols.append((prefix_of(n), prefix_of(near.get(d, d + len(NEAR)))))
+        if held < 64:
+            if at - (held >> 3) > end:
+                raise ValueError("the stream ends early")
+            value |= int.from_bytes(data[at : at + 16], "little") << held
+            at += 16
+            held += 128
+        x = table_[value & mask]
+        if x >= pair:
+            if k + 1 < total:
+                value >>= x & 15
+                held -= x & 15
+                out[k] = x >> 4 & 255
+                out[k + 1] = x >> 13 & 255
+                k += 2
+                continue
+            x = single[value & mask]
+        value >>= x & 15
+        held -= x & 15
+        s = x >> 4
+        if s < LITERALS:
+            out[k] = s
+            k += 1
+        elif s < LITERALS + LENGTHS:
+            n = s - LITERALS + 1
+            if n > 4:
+                m = (n - 3) >> 1
+                n = ((2 + ((n - 1) & 1)) << m) + (value & ((1 << m) - 1)) + 1
+                value >>= m
+                held -= m
+            x = far[value & far_mask]
+            value >>= x & 15
+            held -= x & 15
+            d = (x >> 4) + 1
+            if d > 4:
+                m = (d - 3) >> 1
+                d = ((2 + ((d - 1) & 1)) << m) + (value & ((1 << m) - 1)) + 1
+                value >>= m
+                held -= m
+            if d <= len(NEAR):
+                x, y = NEAR[d - 1]
+                d = max(1, x + y * width)
+            else:
+                d -= len(NEAR)
+            if d > k or k + n > total:
+                raise ValueError("a back-reference leaves the image")
+            out[k : k + n] = out[k - d : k - d + n] if d >= n else (out[k - d : k] * -(-n // d))[:n]
+            k += n
         else:
-            n = 1
-            p = pixels[k]
-            h = (CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits) if size else 0
-            symbols.append(LITERALS + LENGTHS + h if size and cache[h] == p else (p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24))
-        for j in range(k, k + n):
-            if size:
-                cache[(CACHE_FACTOR * pixels[j] & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[j]
-            if references and j + 4 <= total:
-                seen[tuple(pixels[j : j + 4])] = j
-        k += n
-    counts = [Counter() for _ in range(5)]
-    for s in symbols:
-        if isinstance(s, int):
-            counts[0][s] += 1
-        elif len(s) == 2:
-            counts[0][LITERALS + s[0][0]] += 1
-            counts[4][s[1][0]] += 1
+            for g in out[cached:k]:
+                colours[slots[g]] = g
+            cached = k
+            g = colours.get(s - LITERALS - LENGTHS)
+            if g is None:  # an empty place is a pixel whose other channels differ
+                return None
+            out[k] = g
+            k += 1
+    r.at, r.value, r.held = at, value, held
+    if r.over:
+        raise ValueError("the stream ends early")
+    return np.frombuffer(out, dtype=np.uint8).astype(np.uint32) << 8 | np.uint32(rest)
+
+
+def _references(pixels: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy back-references to the last place of RUN equal pixels, where they take fewer bits than literals: starts, lengths, distances."""
+    total = len(pixels)
+    none = np.zeros(0, dtype=np.int64)
+    if total <= RUN:
+        return none, none, none
+    if (pixels & 0xFFFF00FF == pixels[0] & 0xFFFF00FF).all():
+        raw = (pixels >> 8 & 255).astype(np.uint8)
+        counts = np.bincount(raw)
+        counts = counts[counts > 0]
+    else:
+        colours, raw, counts = np.unique(pixels, return_inverse=True, return_counts=True)
+        raw = raw.astype(np.uint8 if len(colours) <= 256 else np.uint32)
+    key = np.zeros(total - RUN + 1, dtype=np.uint64)
+    for i in range(RUN):  # a clash, of more than 256 colours only, makes a short match
+        key = key << np.uint64(8) ^ raw[i : total - RUN + 1 + i]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    last = np.full(total, -1, dtype=np.int64)
+    last[order[1:][same]] = order[:-1][same]
+    # from each place, the next one that has an earlier match
+    place = np.where(last >= 0, np.arange(total), total)
+    following = np.minimum.accumulate(place[::-1])[::-1].tolist()
+    last = last.tolist()
+    each = max(0.05, float(counts @ np.log2(total / counts)) / total)
+    data, z = raw.tobytes(), raw.itemsize
+    out = []
+    k = following[0]
+    while k < total:
+        at, n = last[k], 0
+        most = min(LONGEST, total - k)
+        step = 16
+        while n < most:
+            a, b = data[(at + n) * z : (at + n + step) * z], data[(k + n) * z : (k + n + step) * z]
+            if len(b) == len(a) and a == b:
+                n += step
+                step *= 2
+                continue
+            differ = int.from_bytes(a[: len(b)], "little") ^ int.from_bytes(b, "little")
+            n += ((differ & -differ).bit_length() - 1) // (8 * z) if differ else len(b) // z
+            break
+        n = min(n, most)
+        if n >= RUN and k - at <= FAR and n * each > 10 + (k - at).bit_length():
+            out.append((k, n, k - at))
+            k += n
         else:
-            for c, x in zip(counts, s):
-                c[x] += 1
+            k += 1
+        k = following[k] if k < total else total
+    if not out:
+        return none, none, none
+    found = np.array(out, dtype=np.int64)
+    return found[:, 0], found[:, 1], found[:, 2]
+
+
+def _prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths or distances from 1 on: prefix codes, extra values, extra bits."""
+    y = x - 1
+    top = np.frexp(np.maximum(y, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.where(y < 4, 0, np.maximum(top - 1, 0))
+    return np.where(y < 4, y, 2 * top + (y >> np.maximum(top - 1, 0) & 1)), y & ((1 << extra) - 1), extra
+
+
+def _cost(symbols: np.ndarray) -> float:
+    """About the bits that a prefix code and its symbols take."""
+    n = np.bincount(symbols)
+    n = n[n > 0]
+    return float(n @ np.log2(len(symbols) / n)) + 5 * len(n) if len(n) else 0.0
+
+
+@cache
+def _near(width: int) -> np.ndarray:
+    """By distance, the code of the nearby pixel there, or 0."""
+    near = np.zeros(7 * width + 9, dtype=np.int64)
+    for i, (x, y) in reversed(list(enumerate(NEAR))):
+        near[max(1, x + y * width)] = i + 1
+    return near
+
+
+def _cached(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's slot, and whether the pixel is there when it is coded."""
+    slot = ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")
+    a, b = order[:-1], order[1:]
+    hit = np.zeros(len(pixels), dtype=bool)
+    hit[b] = (slot[a] == slot[b]) & (pixels[a] == pixels[b])
+    return slot, hit
+
+
+def _write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int | None = 0, references: bool = False) -> None:
+    """The general encoder of an entropy-coded image. cache_bits: None for what pays."""
+    pixels = np.asarray(pixels, dtype=np.uint32)
+    total = len(pixels)
+    starts, lengths, distances = _references(pixels, width) if references else (np.zeros(0, dtype=np.int64),) * 3
+    edge = np.zeros(total + 1, dtype=np.int64)
+    edge[starts] += 1
+    edge[starts + lengths] -= 1
+    literal = np.cumsum(edge[:-1]) == 0
+    length, length_x, length_n = _prefixes(lengths)
+    channels = [pixels >> 8 & 255, pixels >> 16 & 255, pixels & 255, pixels >> 24]
+    channels = [c.astype(np.int64) for c in channels]
+    slot = hit = None
+    if cache_bits is None:
+        varied = [c for c in channels[1:] if (c != c[0]).any()]
+        cost = lambda keep, more: _cost(np.concatenate([channels[0][keep], LITERALS + length, more])) + sum(_cost(c[keep]) for c in varied)
+        best, cache_bits = cost(literal, length[:0]), 0
+        for bits in CACHES:
+            slot_, hit_ = _cached(pixels, bits)
+            now = cost(literal & ~hit_, LITERALS + LENGTHS + slot_[literal & hit_].astype(np.int64))
+            if now < best:
+                best, cache_bits, slot, hit = now, bits, slot_, hit_
+    elif cache_bits:
+        slot, hit = _cached(pixels, cache_bits)
+    size = 1 << cache_bits if cache_bits else 0
+    # a row for each literal, cached pixel and back-reference, in order
+    first = literal.copy()
+    first[starts] = True
+    at = np.flatnonzero(first)
+    kind = np.where(literal[at], 0, 2)
+    if size:
+        kind[hit[at] & (kind == 0)] = 1
+    plain, ref = kind == 0, kind == 2
+    head = channels[0][at]
+    if size:
+        head[kind == 1] = LITERALS + LENGTHS + slot[at[kind == 1]]
+    head[ref] = LITERALS + length
+    near = _near(width)
+    coded = distances + len(NEAR)
+    short = distances < len(near)
+    coded[short] = np.where(near[distances[short]] > 0, near[distances[short]], coded[short])
+    distance, distance_x, distance_n = _prefixes(coded)
     w.put(int(bool(size)), 1)
     if size:
         w.put(cache_bits, 4)
     if main:
         w.put(0, 1)
-    codes = []
-    for c, n in zip(counts, (LITERALS + LENGTHS + size, 256, 256, 256, DISTANCES)):
-        lengths = code_lengths(c or {0: 1}, n, 15)
-        write_code(w, lengths)
-        codes.append(canonical(lengths))
-    for s in symbols:
-        if isinstance(s, int):
-            w.put(*codes[0][s])
-        elif len(s) == 2:
-            (a, ax, an), (b, bx, bn) = s
-            w.put(*codes[0][LITERALS + a])
-            w.put(ax, an)
-            w.put(*codes[4][b])
-            w.put(bx, bn)
-        else:
-            for c, x in zip(codes, s):
-                w.put(*c[x])
+    codes, bits_ = [], []
+    for x, n in zip((head, *(c[at[plain]] for c in channels[1:]), distance), (LITERALS + LENGTHS + size, 256, 256, 256, DISTANCES)):
+        counts = np.bincount(x, minlength=n)
+        if len(x) == 0 or (x[0] < 256 and counts[x[0]] == len(x)):
+            w.put(0b101 if len(x) else 0b1, 3 if len(x) else 4)
+            if len(x):
+                w.put(int(x[0]), 8)
+            codes.append(np.zeros_like(x))
+            bits_.append(np.zeros_like(x))
+            continue
+        own = code_lengths({int(v): int(counts[v]) for v in np.flatnonzero(counts)}, n, MOST_BITS)
+        write_code(w, own)
+        code, bit = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for v, (c, m) in canonical(own).items():
+            code[v], bit[v] = c, m
+        codes.append(code[x])
+        bits_.append(bit[x])
+    value, held = codes[0], bits_[0]
+
+    def add(which: np.ndarray, x: np.ndarray, n: np.ndarray) -> None:
+        if len(x) and n.any():
+            value[which] |= x << held[which]
+            held[which] += n
+
+    for i in (1, 2, 3):
+        add(plain, codes[i], bits_[i])
+    for x, n in ((length_x, length_n), (codes[4], bits_[4]), (distance_x, distance_n)):
+        add(ref, x, n)
+    ends = np.cumsum(held)
+    if n := int(ends[-1]):
+        step = np.arange(n) - np.repeat(ends - held, held)
+        packed = np.packbits((np.repeat(value, held) >> step & 1).astype(np.uint8), bitorder="little")
+        w.put(int.from_bytes(packed.tobytes(), "little"), n)
 
 
 # --- transforms, on arrays (height, width, 4) of A, R, G, B as int64
@@ -430,6 +628,22 @@ def _predict(image: np.ndarray, modes: np.ndarray, size_bits: int, undo: bool) -
     out = image.copy()
     known = out if undo else image
     sign = 1 if undo else -1
+    mode = int(modes.flat[0])
+    if mode in ROW_MODES and (modes == mode).all():
+        out[0, 0] = (image[0, 0] + sign * np.array([255, 0, 0, 0])) & 255
+        out[0] = np.cumsum(out[0], axis=0) & 255 if undo else np.concatenate([out[0, :1], np.diff(image[0], axis=0) & 255])
+        for y in range(1, height):
+            top, row = known[y - 1], image[y]
+            if mode == 1:
+                out[y, 0] = (row[0] + sign * top[0]) & 255
+                out[y, 1:] = (np.cumsum(np.concatenate([out[y, :1], row[1:]]), axis=0)[1:] if undo else np.diff(row, axis=0)) & 255
+                continue
+            out[y, 0] = (row[0] + sign * top[0]) & 255
+            beyond = np.concatenate([top[1:], known[y, :1]])  # of the last pixel: the row's first one
+            corner = np.concatenate([top[:1], top[:-1]])
+            p = {2: top, 3: beyond, 4: corner, 8: (corner + top) // 2, 9: (top + beyond) // 2}[mode]
+            out[y, 1:] = (row[1:] + sign * p[1:]) & 255
+        return out
     for y in range(height):
         for x in range(width):
             if x and y:
@@ -508,9 +722,8 @@ def decode(data: bytes) -> np.ndarray:
     return pixels
 
 
-def _file(w: Writer, samples: np.ndarray | None = None) -> bytes:
-    bits = w.bits() if samples is None else np.concatenate([w.bits(), samples])
-    body = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
+def _file(w: Writer) -> bytes:
+    body = b"\x2f" + w.bytes()
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
@@ -522,8 +735,8 @@ def _head(w: Writer, width: int, height: int) -> None:
     w.put(0, 3)
 
 
-def encode(pixels: np.ndarray, predictor: int | None = None, cross: tuple[int, int, int] | None = None, green: bool = False, palette: bool = False, cache_bits: int = 0, references: bool = False, size_bits: int = 3) -> bytes:
-    """An array (height, width) of ARGB to a WebP file, with the transforms and codings asked for. A palette can't stand with the other transforms."""
+def encode(pixels: np.ndarray, predictor: int | None = None, cross: tuple[int, int, int] | None = None, green: bool = False, palette: bool = False, cache_bits: int | None = 0, references: bool = False, size_bits: int = 3) -> bytes:
+    """An array (height, width) of ARGB to a WebP file, with the transforms and codings asked for; cache_bits is None for the colour cache that pays. A palette can't stand with the other transforms."""
     height, width = pixels.shape
     w = Writer()
     _head(w, width, height)
@@ -537,7 +750,7 @@ def encode(pixels: np.ndarray, predictor: int | None = None, cross: tuple[int, i
         w.put(PALETTE, 2)
         w.put(len(colours) - 1, 8)
         table_ = _channels(colours)
-        _write_pixels(w, _joined(np.diff(table_, axis=0, prepend=0) & 255).tolist(), len(colours), False)
+        _write_pixels(w, _joined(np.diff(table_, axis=0, prepend=0) & 255), len(colours), False)
         k = _bundle_bits(len(colours))
         padded = np.zeros((height, -(-width >> k) << k), dtype=np.int64)
         padded[:, :width] = index.reshape(height, width)
@@ -548,14 +761,14 @@ def encode(pixels: np.ndarray, predictor: int | None = None, cross: tuple[int, i
         w.put(1, 1)
         w.put(PREDICTOR, 2)
         w.put(size_bits - 2, 3)
-        _write_pixels(w, (modes << 8 | 0xFF000000).ravel().tolist(), across, False)
+        _write_pixels(w, (modes << 8 | 0xFF000000).ravel(), across, False)
         pixels = _joined(_predict(_channels(pixels), modes, size_bits, False))
     if cross is not None:
         factors = np.tile(np.array([255, *(v & 255 for v in cross)]), (down, across, 1))
         w.put(1, 1)
         w.put(CROSS, 2)
         w.put(size_bits - 2, 3)
-        _write_pixels(w, _joined(factors).ravel().tolist(), across, False)
+        _write_pixels(w, _joined(factors).ravel(), across, False)
         pixels = _joined(_cross(_channels(pixels), factors, size_bits, False))
     if green:
         w.put(1, 1)
@@ -563,33 +776,47 @@ def encode(pixels: np.ndarray, predictor: int | None = None, cross: tuple[int, i
         g = pixels >> 8 & 255
         pixels = pixels & np.uint32(0xFF00FF00) | ((pixels >> 16) - g & 255) << 16 | (pixels - g & 255)
     w.put(0, 1)
-    _write_pixels(w, pixels.ravel().tolist(), pixels.shape[1], True, cache_bits, references)
+    _write_pixels(w, pixels.ravel(), pixels.shape[1], True, cache_bits, references)
     return _file(w)
 
 
 # --- bytes as grey samples
 
 
+def _entropy(x: np.ndarray) -> float:
+    n = np.bincount(x.ravel(), minlength=256)
+    n = n[n > 0]
+    return float(n @ np.log2(x.size / n))
+
+
+def _ways(x: np.ndarray) -> list[dict]:
+    """Transforms that may pay for samples (height, width), besides none: a palette that bundles pixels, the predictor that leaves the least entropy."""
+    ways = []
+    if np.count_nonzero(np.bincount(x.ravel(), minlength=256)) <= 16:
+        ways.append({"palette": True})
+    y = x.astype(np.int64)
+    top, row = y[:-1], y[1:]
+    ahead, behind = top[:, 2:], top[:, :-2]
+    middle = row[:, 1:-1]
+    by = {1: row[:, :-2], 2: top[:, 1:-1], 3: ahead, 4: behind, 8: (behind + top[:, 1:-1]) >> 1, 9: (ahead + top[:, 1:-1]) >> 1} if len(row) else {1: y[:, :-1]}
+    left = {m: _entropy(((middle if len(row) else y[:, 1:]) - p) & 255) for m, p in by.items()}
+    mode = min(left, key=left.get)
+    if left[mode] < PAYS * _entropy(middle if len(row) else y[:, 1:]):
+        ways.append({"predictor": mode, "size_bits": 9, "green": True})
+    return ways
+
+
 def encode_bytes(payload: bytes) -> bytes:
-    """A payload of a positive multiple of 64 bytes to grey images of 64 samples a row."""
+    """A payload of a positive multiple of 64 bytes to grey images of 64 samples a row, each coded in the way that takes the fewest bytes.
+
+    Grey samples need subtract-green or a palette, or two more channels are coded; after it a
+    cross-colour transform has nothing to take off.
+    """
     out = []
     for a in range(0, len(payload), TILE):
-        x = np.frombuffer(payload, np.uint8, count=min(TILE, len(payload) - a), offset=a)
-        used = np.flatnonzero(np.bincount(x, minlength=256))
-        n = max(0, (len(used) - 1).bit_length())
-        symbols = np.concatenate([used, np.setdiff1d(np.arange(256), used)[: (1 << n) - len(used)]])
-        lengths = np.zeros(LITERALS + LENGTHS, dtype=np.int64)
-        lengths[symbols] = max(n, 1)
-        w = Writer()
-        _head(w, TILE_WIDTH, len(x) // TILE_WIDTH)
-        w.put(1 | GREEN << 1, 3)
-        w.put(0, 3)  # no further transform, no colour cache, no meta codes
-        write_code(w, lengths.tolist())
-        for s in (0, 0, 255, 0):
-            write_code(w, [0] * s + [1])
-        table_ = np.zeros((256, n), dtype=np.uint8)
-        table_[np.sort(symbols)] = np.arange(1 << n)[:, None] >> np.arange(n)[::-1] & 1
-        out.append(_file(w, table_[x].ravel()))
+        x = np.frombuffer(payload, np.uint8, count=min(TILE, len(payload) - a), offset=a).reshape(-1, TILE_WIDTH)
+        pixels = x.astype(np.uint32) * np.uint32(0x10101) | np.uint32(0xFF000000)
+        out.append(min((encode(pixels, cache_bits=None, references=True, **how) for how in ({"green": True}, *_ways(x))), key=len))
     return b"".join(out)
 
 

@@ -209,6 +209,50 @@ def test_webp_query_against_zlib(spark):
     assert webp.read_media(webp.store_media(df.limit(0))).count() == 0
 
 
+def test_webp_payload_codings(monkeypatch):
+    rng = np.random.default_rng(2)
+    ramp = (np.arange(64 * 64) * 3 + np.repeat(rng.integers(0, 256, 64), 64)).astype(np.uint8).tobytes()
+    few = rng.choice(np.frombuffer(b"acgt", np.uint8), 6400).tobytes()
+    text = webp.payload_of("".join(rng.choice(["alpha ", "beta, ", "gamma. ", "delta\n"], 2000)))
+    used, plain = [], webp.encode
+    monkeypatch.setattr(webp, "encode", lambda p, **how: used.append(how) or plain(p, **how))
+    for payload, most, way in ((webp.payload_of(LONG), 0.01, "references"), (text, 0.3, "references"), (few, 0.28, "palette"), (ramp, 0.2, "predictor")):
+        used.clear()
+        media = webp.encode_bytes(payload)
+        assert webp.decode_bytes(media) == payload and len(media) < most * len(payload), (way, len(media) / len(payload))
+        assert any(way in how for how in used) and all(how["references"] and how["cache_bits"] is None for how in used)
+    # two greys of one slot in turn: a cache of one pixel a slot pays nothing, but what is chosen must be read
+    image = np.array([[0xFF000000 | int(g) << 8 for g in rng.integers(0, 40, 64)] for _ in range(40)], dtype=np.uint32)
+    for bits in (None, 1, 2, 6, 11):
+        assert (webp.decode(plain(image, green=True, cache_bits=bits, references=True)) == image).all()
+
+
+def test_webp_predictor_by_rows():
+    image = np.random.default_rng(3).integers(0, 256, (9, 11, 4))
+    for m in webp.ROW_MODES:
+        rows, pixels = np.full((2, 2), m), np.array([[m, m, 0], [m, m, 0]])  # a block beyond the image keeps the loop over pixels
+        taken = webp._predict(image, rows, 3, False)
+        assert (taken == webp._predict(image, pixels, 3, False)).all() and (webp._predict(taken, rows, 3, True) == image).all()
+
+
+def test_webp_meta_codes():
+    w = webp.Writer()
+    webp._head(w, 8, 4)
+    w.put(0b100, 3)  # no transform, no cache, meta codes
+    w.put(0, 3)  # blocks of 4 pixels
+    webp._write_pixels(w, [0xFF000000, 0xFF000100], 2, False)
+    for greens in ([10], [20, 21]):
+        webp.write_code(w, [int(s in greens) for s in range(webp.LITERALS + webp.LENGTHS)])
+        for s in (1, 2, 255, 0):
+            webp.write_code(w, [0] * s + [1])
+    want = np.full((4, 8), 0xFF010A02, dtype=np.uint32)
+    for y in range(4):
+        for x in range(4, 8):
+            w.put((x + y) % 2, 1)
+            want[y, x] = 0xFF010002 | (20 + (x + y) % 2) << 8
+    assert (webp.decode(webp._file(w)) == want).all()
+
+
 # --- 7: mixing
 
 
