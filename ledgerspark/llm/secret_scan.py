@@ -23,7 +23,7 @@ KINDS = (
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
     Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "-----BEGIN "),
 )
-BASE = 3
+BASE, ASSIGNED, PEM = 3, 0, 5
 #: From so many owners on a value counts as copied; shorter values, and those of one character class, don't look live.
 WIDE, LIVE_CHARS = 3, 16
 
@@ -33,6 +33,18 @@ def looks_live(value: Column) -> Column:
     return (F.length(value) >= LIVE_CHARS) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~low.rlike("example|changeme|xxxx|1234567890123456")
 
 
+#: Assigned values that are no secrets whoever has them, in lower case: placeholders, references to a variable, the words themselves, one character over and over.
+PLACEHOLDER = (
+    r"example|changeme|change[_-]me|placeholder|redacted|xxxx|1234567890123456|^12345678(?:9|90)?$|^your|^-----begin$|^(.)\1*$"
+    r"|^(?:password|passwd|secret|token|api_?key|undefined|required|optional|disabled)[0-9]*$|^(?:os|process|env|self|this|config|settings|request|params)\."
+)
+
+
+def looks_secret(span: Column) -> Column:
+    """Whether a span's value is redacted if it has few owners: one of a kind with a fixed format is, an assigned one unless it is a placeholder."""
+    return (span["place"] != ASSIGNED) | ~F.lower(span["value"]).rlike(PLACEHOLDER)
+
+
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with secrets: array<struct(start, place, end, value, score)>; a column of that name is replaced.
 
@@ -52,16 +64,18 @@ def ownership(candidates: DataFrame, wide: int = WIDE) -> DataFrame:
     return by_repo.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners")).withColumn("copied", F.col("n_owners") >= wide)
 
 
-def judge(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", wide: int = WIDE) -> DataFrame:
+def judge(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", wide: int = WIDE, whole: bool = False) -> DataFrame:
     """Per row of df (its columns but the text): secrets, n_copied, n_live (distinct values), live (their values).
 
     A live value is one with fewer than ``wide`` owners that looks random; the rest are copied or
-    weak. Rows that repeat stay. An empty table gives an empty one. Columns named secrets, n_copied,
+    weak. ``whole``: values that aren't looks_secret() are left out, and all others with fewer than
+    ``wide`` owners are live. Rows that repeat stay. An empty table gives an empty one. Columns named secrets, n_copied,
     n_live, live and row_id are replaced or dropped.
     """
     kept = [c for c in df.columns if c not in (text_col, "secrets", "n_copied", "n_live", "live", "row_id", "repo_", "owner_", "values_")]
     found = scan(df.withColumns({"repo_": repo.cast("string"), "owner_": owner.cast("string")}), text_col).select(*kept, "repo_", "owner_", "secrets")
-    values = F.array_distinct(F.transform(F.filter("secrets", lambda s: s["place"] != F.lit(5)), lambda s: s["value"]))
+    values = F.array_distinct(F.transform(F.filter("secrets", lambda s: (s["place"] != PEM) & (looks_secret(s) if whole else F.lit(True))), lambda s: s["value"]))
+    looks = F.lit(True) if whole else looks_live(F.col("value"))
     # the id is written with the row, so it stays what it is
     rows = materialize(found.withColumn("values_", values).withColumn("row_id", F.monotonically_increasing_id()), "secret-rows")
     each = rows.select("row_id", "repo_", "owner_", F.explode("values_").alias("value")).withColumn("hash", F.sha2("value", 256))
@@ -71,7 +85,7 @@ def judge(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", wi
         .groupBy("row_id")
         .agg(
             F.count_if("copied").alias("n_copied"),
-            F.sort_array(F.collect_list(F.when(~F.col("copied") & looks_live(F.col("value")), F.col("value")))).alias("live"),
+            F.sort_array(F.collect_list(F.when(~F.col("copied") & looks, F.col("value")))).alias("live"),
         )
     )
     some = rows.where(F.size("values_") > 0).join(judged, "row_id").select(*kept, "secrets", "n_copied", F.size("live").cast("long").alias("n_live"), "live")
@@ -92,14 +106,16 @@ def redact_live(docs: DataFrame, mark: str = "[SECRET]", wide: int = WIDE) -> Da
     maybe = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     keyed = docs.where(maybe).withColumns({"k_id": F.col("doc_id"), "k_hash": F.xxhash64("text"), "k_chars": F.length("text")})
     live = (
-        judge(keyed.select("k_id", "k_hash", "k_chars", "source", "lang", "text"), F.concat_ws("/", "source", "lang"), F.col("source"), wide=wide)
+        judge(keyed.select("k_id", "k_hash", "k_chars", "source", "lang", "text"), F.concat_ws("/", "source", "lang"), F.col("source"), wide=wide, whole=True)
         .where("n_live > 0")
         .select(F.col("k_id").alias("l_id"), F.col("k_hash").alias("l_hash"), F.col("k_chars").alias("l_chars"), F.col("live").alias("live_"))
         .dropDuplicates(["l_id", "l_hash", "l_chars"])
     )
     same = F.col("k_id").eqNullSafe(F.col("l_id")) & (F.col("k_hash") == F.col("l_hash")) & (F.col("k_chars") == F.col("l_chars"))
     met = keyed.join(live, same, "left")
-    text = F.aggregate("live_", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    # the longest first: one may be a part of another
+    longest = F.reverse(F.array_sort(F.transform("live_", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
+    text = F.aggregate(F.transform(longest, lambda x: x["v"]), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
     changed = met.withColumn("text", F.when(F.col("live_").isNotNull(), text).otherwise(F.col("text")))
     changed = changed.withColumn("n_chars", F.when(F.col("live_").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return docs.where(~maybe).unionByName(changed.select(*docs.columns))
