@@ -24,6 +24,8 @@ KINDS = (
     Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "-----BEGIN "),
 )
 BASE, ASSIGNED, PEM = 3, 0, 5
+#: A private key to its END or to the end of the text, whose group 1 is the body; one with fewer characters of base64 than KEY_CHARS holds no key.
+BLOCK, KEY_CHARS = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([\s\S]*?)(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\z)", 16
 #: From so many owners on a value counts as copied; shorter values, and those of one character class, don't look live.
 WIDE, LIVE_CHARS = 3, 16
 
@@ -45,6 +47,13 @@ def looks_secret(span: Column) -> Column:
     return (span["place"] != ASSIGNED) | ~F.lower(span["value"]).rlike(PLACEHOLDER)
 
 
+def key_bodies(text: Column) -> Column:
+    """The bodies of private keys in a text, without the white space around them."""
+    bodies = F.transform(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1)), lambda b: F.btrim(b, F.lit(" \t\r\n")))
+    some = F.filter(bodies, lambda b: F.length(F.regexp_replace(b, "[^A-Za-z0-9+/]", "")) >= KEY_CHARS)
+    return F.when(F.contains(text, F.lit("PRIVATE KEY-----")), some).otherwise(F.array().cast("array<string>"))
+
+
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with secrets: array<struct(start, place, end, value, score)>; a column of that name is replaced.
 
@@ -68,13 +77,15 @@ def judge(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", wi
     """Per row of df (its columns but the text): secrets, n_copied, n_live (distinct values), live (their values).
 
     A live value is one with fewer than ``wide`` owners that looks random; the rest are copied or
-    weak. ``whole``: values that aren't looks_secret() are left out, and all others with fewer than
-    ``wide`` owners are live. Rows that repeat stay. An empty table gives an empty one. Columns named secrets, n_copied,
+    weak. ``whole``: values that aren't looks_secret() are left out, the bodies of private keys are
+    values, and all values with fewer than ``wide`` owners are live. Rows that repeat stay. An empty table gives an empty one. Columns named secrets, n_copied,
     n_live, live and row_id are replaced or dropped.
     """
-    kept = [c for c in df.columns if c not in (text_col, "secrets", "n_copied", "n_live", "live", "row_id", "repo_", "owner_", "values_")]
-    found = scan(df.withColumns({"repo_": repo.cast("string"), "owner_": owner.cast("string")}), text_col).select(*kept, "repo_", "owner_", "secrets")
+    kept = [c for c in df.columns if c not in (text_col, "secrets", "n_copied", "n_live", "live", "row_id", "repo_", "owner_", "values_", "bodies_")]
+    found = scan(df.withColumns({"repo_": repo.cast("string"), "owner_": owner.cast("string")}), text_col).select(*kept, "repo_", "owner_", "secrets", *([key_bodies(F.col(text_col)).alias("bodies_")] if whole else []))
     values = F.array_distinct(F.transform(F.filter("secrets", lambda s: (s["place"] != PEM) & (looks_secret(s) if whole else F.lit(True))), lambda s: s["value"]))
+    if whole:
+        values = F.array_union(values, "bodies_")
     looks = F.lit(True) if whole else looks_live(F.col("value"))
     # the id is written with the row, so it stays what it is
     rows = materialize(found.withColumn("values_", values).withColumn("row_id", F.monotonically_increasing_id()), "secret-rows")
@@ -94,7 +105,7 @@ def judge(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", wi
 
 
 #: Texts in which none of KINDS can find a value don't match this.
-HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8}"""
+HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8}|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"""
 
 
 def redact_live(docs: DataFrame, mark: str = "[SECRET]", wide: int = WIDE) -> DataFrame:

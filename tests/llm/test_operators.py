@@ -194,6 +194,16 @@ def test_redaction_of_all_rare_values(spark):
     assert got[len(own) + len(left)] == "token=[SECRET] secret=[SECRET]"
 
 
+def test_redaction_of_private_keys(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = lambda c: "\n".join([c * 8 + "token=" + c * 8 + "MIIEpAIBAAKCAQEA+/"] * 4)
+    texts = [f"a {begin}\n{body('q')}\n{end} b {begin}\n{body('r')}\n{end} c", f"{begin}\n{body('s')}", f"{begin}...{end} and ...", f"k {begin}" + "Ab1/" * 50_000 + end]
+    rows = [(k, t, "en", "s0", len(t)) for k, t in enumerate(texts)] + [(50 + k, f"{begin}\n{body('z')}\n{end}", "en", f"s{k}", 1) for k in range(3)]
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact_live(spark.createDataFrame(rows, SECRETS)).collect()}
+    assert got[0] == f"a {begin}\n[SECRET]\n{end} b {begin}\n[SECRET]\n{end} c" and got[1] == f"{begin}\n[SECRET]"
+    assert got[2] == texts[2] and got[3] == f"k {begin}[SECRET]{end}" and got[50] == rows[-3][1]
+
+
 # --- 6: WebP
 
 
