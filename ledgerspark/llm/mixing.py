@@ -75,10 +75,11 @@ def mix(
     digits: int = 3,
     size: Column | None = None,
 ) -> DataFrame:
-    """docs (doc_id, source, text) to (doc_id, source, size, source_size, target, taken, passes, position).
+    """docs (doc_id, source, text) to (doc_id, source, size, source_size, target, taken, passes, position, positions).
 
     taken: the words that the mix takes, repeats counted; passes: in how many passes; position: the
-    time in [0, 1] of the first pass (null where nothing is taken). A null text has size 0. A null
+    time in [0, 1] of the first pass (null where nothing is taken); positions: the times of all
+    passes (see ``by_pass``). A null text has size 0. A null
     source is a source of its own, the last one. Documents are ordered within a source by the MD5 of
     doc_id (null: empty), then size: rows that repeat share that place and are told apart by nothing,
     so their results are the same as a set on each run. Documents of size 0 take nothing. An empty
@@ -110,14 +111,26 @@ def mix(
     more = goal - full * F.col("source_size")
     partly = F.least(F.greatest(more - F.col("at"), F.lit(0)), F.col("size"))
     pick = lambda k: F.element_at(F.array(*[F.lit(float(s[k])) for s in schedules]), (F.col("place") % len(schedules) + 1).cast("int"))
+    # the stream of a source begins again after source_size words
+    due = lambda k: demand_time(F.try_divide(F.col("at") + k * F.col("source_size"), goal), pick(0), pick(1))
+    each = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), due))
     return (
         rows.withColumn("taken", (full * F.col("size") + partly).cast("long"))
         .withColumn("passes", F.when(F.col("size") > 0, full + (partly > 0).cast("long")).otherwise(0).cast("long"))
         .withColumn("position", F.when(F.col("taken") > 0, demand_time(F.try_divide(F.col("at"), goal), pick(0), pick(1))))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position")
+        .withColumn("positions", F.coalesce(each, F.array().cast("array<double>")))
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "position", "positions")
     )
 
 
+def by_pass(mixed: DataFrame) -> DataFrame:
+    """A row for each pass of a document: pass from 1 on, taken and position are this pass's. All passes but the last of a source are whole."""
+    each = mixed.select("*", F.posexplode("positions").alias("pass_", "due_"))
+    # the last pass takes what the others leave
+    taken = F.when(F.col("pass_") < F.col("passes") - 1, F.col("size")).otherwise(F.col("taken") - (F.col("passes") - 1) * F.col("size"))
+    return each.withColumns({"pass": F.col("pass_") + 1, "taken": taken, "position": F.col("due_")}).drop("pass_", "due_", "positions")
+
+
 def by_position(mixed: DataFrame) -> DataFrame:
     """Range-sorted by training position; documents that aren't taken come last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")

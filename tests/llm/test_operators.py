@@ -307,6 +307,26 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_gives_each_pass_its_time(spark):
+    rng = random.Random(6)
+    rows = [(k, "w " * rng.randint(0, 30), f"s{k % 7 and 1 + k % 2}") for k in range(300)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    docs = {r["doc_id"]: r for r in mixed.collect()}
+    passes = mixing.by_pass(mixed).collect()
+    assert len(passes) == sum(r["passes"] for r in docs.values()) > len([r for r in docs.values() if r["taken"]])
+    assert {(r["doc_id"], r["position"]) for r in passes if r["pass"] == 1} == {(d, r["position"]) for d, r in docs.items() if r["taken"]}
+    for place, source in enumerate(("s0", "s1", "s2")):
+        mine = sorted((r["position"], r["taken"]) for r in passes if r["source"] == source)
+        goal = int(next(r["target"] for r in docs.values() if r["source"] == source))
+        assert sum(n for _, n in mine) == goal
+        a, b = mixing.SCHEDULES[place]
+        done = 0
+        for t, n in mine:  # what the schedule demands by then is what has been taken
+            assert (a * t + (b - a) * t * t / 2) * goal == pytest.approx(done, abs=1e-6 * goal)
+            done += n
+    assert max(r["position"] for r in passes if r["source"] == "s0") > 0.9
+
+
 def test_demand_time(spark):
     for a, b in ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0), (0.0, 2.0)):
         for done in (0.0, 0.1, 0.5, 1.0):
