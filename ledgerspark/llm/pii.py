@@ -63,6 +63,24 @@ def _scored(name: str):
     return lambda before: F.lit(prior) + F.when(before.rlike(words), RISE).otherwise(0)
 
 
+#: Characters of an IBAN by country.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _spaced(n: int, countries: str) -> str:
+    groups, rest = divmod(n - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\\x20[A-Z0-9]{{4}}){{{groups}}}" + (f"\\x20[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: In groups, with as many characters as the country's have, so that no word after it is taken in; else any run.
+IBAN = (
+    r"(?=[A-Z]{2}[0-9]{2}\x20)(?:" + "|".join(_spaced(n, c) for n, c in IBAN_CHARS.items()) + ")(?![A-Z0-9])"
+    r"|[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]++)"
+)
 KINDS = tuple(
     Kind(name, pattern, hint, keep, None, _scored(name), CONTEXT)
     for name, pattern, hint, keep in (
@@ -70,7 +88,7 @@ KINDS = tuple(
         ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", _ip),
         ("card", r"[0-9](?:[\x20-]?[0-9]){13,}+", "", lambda h, _: _between(F.length(digits_of(h)), 14, 19) & luhn(digits_of(h))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda h, _: _between(F.length(digits_of(h)), 10, 15)),
-        ("iban", r"[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]++)", "", lambda h, _: _between(F.length(F.replace(h, F.lit(" "), F.lit(""))), 15, 34) & mod97(h)),
+        ("iban", IBAN, "", lambda h, _: _between(F.length(F.replace(h, F.lit(" "), F.lit(""))), 15, 34) & mod97(h)),
         ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", lambda h, before: before.rlike(SCORES["ssn"][1])),
     )
 )

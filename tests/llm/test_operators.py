@@ -166,6 +166,16 @@ def test_pii_checks_and_context(spark):
     assert "[IBAN]" in pii.redact(spark.createDataFrame([(text,)], "text string")).first()["text"]
 
 
+def test_ibans_before_other_words(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "BE68 5390 0754 7034", "ES9121000418450200051332"]
+    texts = [f"{i}{after}" for i in ibans for after in (" BIC CAIXESBB", " EUR 12", " 2024 0001", ", BIC", "", " DE89 3704 0044 0532 0130 00")] + ["ES91 2100 0418 4502 0005 1333 BIC"]
+    found = pii.find_pii(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string"))
+    got = {r["doc_id"]: r["x"] for r in found.select("doc_id", F.transform(F.filter("pii", lambda s: s["place"] == 4), lambda s: s["value"]).alias("x")).collect()}
+    for k, t in enumerate(texts[:-1]):
+        assert got[k] == [ibans[k // 6]] + ["DE89 3704 0044 0532 0130 00"] * (k % 6 == 5), t
+    assert got[len(texts) - 1] == []
+
+
 def test_ownership(spark):
     copied, own = "token=0123456789abcdefXYZ", "token=ffff6789abcdefXYZ01"
     rows = [(k, copied, "en", f"s{k % 4}", 1) for k in range(8)] + [(20, own + " é " + own, "en", "s0", 1), (20, own + " é " + own, "en", "s0", 1), (21, None, None, None, None), (None, "", None, None, 0), (22, "token=aaaaaaaaaaaaaaaaaa", "en", "s1", 5)]
