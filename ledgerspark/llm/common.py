@@ -5,9 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +19,29 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local session, as in tests; on a cluster it would
+    be another one on each machine, so there it is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Paths below the shared folder that this session made and nobody has deleted yet.
+_made: dict[str, None] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = None
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,15 +52,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """What scratch() gave and is still there, in order."""
+    return list(_made)
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete paths of scratch(), which nothing may read any more, and let Spark drop shuffle files that no plan needs."""
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _made.pop(path, None)
+    sweep(spark)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete what materialize() wrote for these tables, which nothing may read any more, and let Spark drop shuffle files that no plan needs."""
+    """Delete what materialize() wrote for these tables, which nothing may read any more."""
     spark = tables[0].sparkSession
-    for t in tables:
-        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            if path.startswith(shared_dir(spark)):
-                hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    sweep(spark)
+    found = {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}
+    name = lambda path: path.rpartition("/")[2]
+    delete(spark, [p for p in made() if name(p) in {name(f) for f in found}])
 
 
 def sweep(spark: SparkSession) -> None:
@@ -66,11 +89,51 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send at most so many rows to a Python worker at once, where nobody has set this: texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) == 10_000:
-        spark.conf.set(name, str(rows))
+BATCH_BYTES = 1 << 22
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send about BATCH_BYTES to a Python worker at once, where nobody has set a bound: texts may be long.
+
+    This is a setting of the session, as plans are run after the operators return.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores until it is none of those taken, case aside."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, those met last kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def low_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The low bits of a long column as a bitmap of 2 ** bits bits, however many keys there are."""
+    at = keys.select((F.col(column).bitwiseAND((1 << bits) - 1) + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
+    out = np.zeros(1 << bits >> 3, dtype=np.uint8)
+    for p in parts:
+        one = np.frombuffer(p["map"], dtype=np.uint8)
+        out[(p["bucket"] - 1) * len(one) : p["bucket"] * len(one)] = one
+    return out
+
+
+def has_low_bits(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    at = keys & ((1 << bits) - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

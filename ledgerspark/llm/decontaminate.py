@@ -1,25 +1,26 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 Index: the documents stream into segments, each an inverted index of its own over some 100,000
-words: for each term its postings, sorted by (document, position). The segments are a table in the
-shared folder. Only the benchmark's terms are ever looked up, so only their postings are stored;
-the word counts cover all words.
-
-Search: how often each term occurs in the whole corpus is summed over the segments. Each window of
-an item is then looked up in each segment, its rarest term first: postings of the further terms,
-shifted by their offset, are intersected with what is left, until nothing is. With ``slop`` a term
-may stand up to that many words off its place (proximity); without, the matches are exact phrases.
-
-The benchmark is collected in blocks of at most ``block_bytes`` of text, so what is broadcast has a
-bound that doesn't grow with the corpus or the benchmark. A frequent passage is spread over the
-segments that hold it; no document is compared with another.
+words: for each term (the 64-bit hash of a word) its postings, sorted by (document, position). The
+segments are a table in the shared folder, made once. Only the benchmark's terms are ever looked up,
+so only their postings are stored; a bitmap of fixed size tells them. Word counts cover all words.
+
+Search: how often each term occurs in the whole corpus is summed over the segments, in a table of
+fixed size. The benchmark's windows are a table, too, and come to the executors in blocks of at most
+``block`` windows, as arrays. Each window is looked up in each segment, its rarest term first:
+postings of the further terms, shifted by their offset, are intersected with what is left, until
+nothing is. With ``slop`` a term may stand up to that many words off its place (proximity); without,
+the matches are exact phrases.
+
+So nothing that is collected or broadcast grows with the corpus or the benchmark. A frequent passage
+is spread over the segments that hold it; no document is compared with another. Words are compared
+by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,90 +28,152 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, table
+from .common import WordHashes, bounded_batches, discard, has_low_bits, low_bitmap, materialize, table
 
 #: Words are runs of 0-9, a-z (A-Z lower-cased) and all beyond ASCII. On UTF-8 bytes that is one translation.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW = 10
 #: A segment is closed after so many words.
 SEGMENT_WORDS = 500_000
-BLOCK_BYTES = 1 << 25
+#: Windows that are broadcast at once, and the bits of the tables of terms and of their frequencies.
+BLOCK, TERM_BITS, FREQUENCY_BITS = 1 << 18, 26, 20
 
+_hashes = WordHashes()
+_U = np.uint64
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(_WORDS).split() if text else []
 
+def terms_of(text: str | None) -> np.ndarray:
+    """The hashes of a text's words, in order."""
+    words = text.encode().translate(_WORDS).split() if text else []
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=_U, count=len(words))
 
-class Phrases:
-    """The windows of a block of items, over a vocabulary of their own."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found[tuple(ids[k : k + window])].add(item)
-        self.windows = [(w, sorted(found[w])) for w in found]
+def windows_of(bench: DataFrame, window: int) -> DataFrame:
+    """bench (item_id, text) to (terms, item): each item's distinct windows, as the bytes of their terms; an item of fewer words is one window, one without words none."""
 
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for item, text in zip(b["item_id"], b["text"]):
+                raw = terms_of(text)
+                n = min(window, len(raw))
+                raw, size = raw.tobytes(), 8 * n
+                starts = range(0, len(raw) - size + 1, 8) if n else ()
+                for a in range(0, len(starts), 10_000):
+                    yield pd.DataFrame({"terms": [raw[k : k + size] for k in starts[a : a + 10_000]], "item": item})
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """docs (doc_id, text) to segments: (doc_ids, n_words, terms, counts, postings), stored in the shared folder.
+    return bench.mapInPandas(cut, "terms binary, item string").distinct()
 
-    postings: for each term in turn, ``document << 32 | position`` as int64, ascending.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = T.StructType(
+
+def known_terms(bench: DataFrame) -> np.ndarray:
+    """A bitmap of the terms of bench (item_id, text)."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text in b["text"]:
+                yield pd.DataFrame({"term": np.unique(terms_of(text)).view(np.int64)})
+
+    return low_bitmap(bench.mapInPandas(each, "term long"), "term", TERM_BITS)
+
+
+def _segment_schema(id_type: T.DataType) -> T.StructType:
+    item = T.StructType([T.StructField("doc", T.IntegerType()), T.StructField("item", T.StringType())])
+    return T.StructType(
         [
-            T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
+            T.StructField("doc_ids", T.ArrayType(id_type)),
             T.StructField("n_words", T.ArrayType(T.LongType())),
-            T.StructField("terms", T.ArrayType(T.IntegerType())),
+            T.StructField("terms", T.ArrayType(T.LongType())),
             T.StructField("counts", T.ArrayType(T.LongType())),
             T.StructField("postings", T.BinaryType()),
+            # what has been found so far: items by document, and word intervals as starts, then ends
+            T.StructField("items", T.ArrayType(item)),
+            T.StructField("hits", T.BinaryType()),
         ]
     )
 
+
+def build_index(docs: DataFrame, bitmap: np.ndarray, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """docs (doc_id, text) to segments: (doc_ids, n_words, terms, counts, postings, items, hits), stored in the shared folder.
+
+    postings: for each term in turn, ``document << 32 | position`` as int64, ascending. Terms are
+    ascending as unsigned numbers. items and hits are empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def close(ids, lengths, terms, places) -> pd.DataFrame:
-        term = np.concatenate(terms) if terms else np.empty(0, np.int32)
-        place = np.concatenate(places) if places else np.empty(0, np.int64)
+        term, place = np.concatenate(terms), np.concatenate(places)
         order = np.argsort(term, kind="stable")
         names, counts = np.unique(term, return_counts=True)
-        return pd.DataFrame({"doc_ids": [ids], "n_words": [lengths], "terms": [names.astype(np.int32)], "counts": [counts.astype(np.int64)], "postings": [place[order].tobytes()]})
+        return pd.DataFrame({"doc_ids": [ids], "n_words": [lengths], "terms": [names.view(np.int64)], "counts": [counts.astype(np.int64)], "postings": [place[order].tobytes()], "items": [[]], "hits": [b""]})
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         ids, lengths, terms, places, held = [], [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
-                words = words_of(text)
-                term = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int32, count=len(words))
-                at = np.flatnonzero(term >= 0)
+                term = terms_of(text)
+                at = np.flatnonzero(has_low_bits(shared.value, term.view(np.int64), TERM_BITS))
                 terms.append(term[at])
                 places.append(at.astype(np.int64) | (len(ids) << 32))
                 ids.append(None if pd.isna(doc_id) else doc_id)
-                lengths.append(len(words))
-                held += len(words)
+                lengths.append(len(term))
+                held += len(term) + 1
                 if held >= segment_words:
                     yield close(ids, lengths, terms, places)
                     ids, lengths, terms, places, held = [], [], [], [], 0
         if ids:
             yield close(ids, lengths, terms, places)
 
-    return materialize(docs.select("doc_id", "text").mapInPandas(index, schema), "positional-index")
-
-
-def _matches(window: tuple[int, ...], order: list[int], lists: dict[int, np.ndarray], slop: int) -> np.ndarray:
-    """Where the window begins: ``document << 32 | position``."""
-    none = np.empty(0, np.int64)
-    if any(window[k] not in lists for k in order):
-        return none
-    first = order[0]
-    start = lists[window[first]]
+    return materialize(docs.select("doc_id", "text").mapInPandas(index, _segment_schema(docs.schema["doc_id"].dataType)), "positional-index")
+
+
+def frequencies(index: DataFrame) -> np.ndarray:
+    """By the low bits of a term, how often the terms with these occur in the corpus."""
+    slot = F.col("x.terms").bitwiseAND((1 << FREQUENCY_BITS) - 1).alias("slot")
+    summed = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(slot).agg(F.sum("x.counts").alias("n")).toArrow()
+    out = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+    out[summed["slot"].to_numpy()] = summed["n"].to_numpy()
+    return out
+
+
+class Block:
+    """Some windows as arrays: terms (a row a window, padded), lengths, the order of their terms from the rarest, and their items."""
+
+    def __init__(self, rows: list[tuple[bytes, str]], often: np.ndarray, window: int):
+        keys = sorted({t for t, _ in rows})
+        place = {t: i for i, t in enumerate(keys)}
+        self.items: list[list[str]] = [[] for _ in keys]
+        for t, item in rows:
+            self.items[place[t]].append(item)
+        self.lengths = np.array([len(t) // 8 for t in keys], dtype=np.int64)
+        self.terms = np.frombuffer(b"".join(t.ljust(8 * window, b"\0") for t in keys), dtype=_U).reshape(-1, window)
+        count = often[(self.terms & _U((1 << FREQUENCY_BITS) - 1)).astype(np.int64)]
+        inside = np.arange(window) < self.lengths[:, None]
+        self.order = np.argsort(np.where(inside, count, np.iinfo(np.int64).max), axis=1, kind="stable").astype(np.int8)
+
+    def present(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows all whose terms are among these, and the places of their terms there."""
+        own = np.arange(len(self.terms))
+        places = np.zeros(self.terms.shape, dtype=np.int64)
+        for j in range(self.terms.shape[1]):
+            if not len(own) or not len(terms):
+                break
+            k = self.order[own, j].astype(np.int64)
+            ask = k < self.lengths[own]  # the padding comes last
+            want = self.terms[own, k]
+            at = np.minimum(np.searchsorted(terms, want), len(terms) - 1)
+            places[own, k] = at
+            own = own[~ask | (terms[at] == want)]
+        return (own if len(terms) else own[:0]), places
+
+
+def _matches(order: np.ndarray, lists: list[np.ndarray], slop: int) -> np.ndarray:
+    """Where a window begins: ``document << 32 | position``. lists: the postings of its terms, in the window's order."""
+    first = int(order[0])
+    start = lists[first]
     start = start[(start & 0xFFFFFFFF) >= first] - first
-    for k in order[1:]:
+    for k in order[1:].tolist():
         if not len(start):
-            return none
-        have, want = lists[window[k]], start + k
+            return start
+        have, want = lists[k], start + k
         if slop:
             at = np.searchsorted(have, want - slop)
             start = start[(at < len(have)) & (have[np.minimum(at, len(have) - 1)] <= want + slop)]
@@ -130,50 +193,58 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[np.concatenate([new[1:], [True]])]
 
 
-def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
-    """(doc_id, n_words, items, hits) for each document in the index: item ids with occurring windows, and the word intervals [start, end) that these cover."""
-    spark = index.sparkSession
-    frequency = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).collect()  # at most the vocabulary
-    often = {r["terms"]: r["n"] for r in frequency}
-    plans = [(w, sorted(range(len(w)), key=lambda k: (often.get(w[k], 0), k)), items) for w, items in phrases.windows if all(t in often for t in w)]
-    by_rarest: dict[int, list[int]] = defaultdict(list)
-    for i, (w, order, _) in enumerate(plans):
-        by_rarest[w[order[0]]].append(i)
-    shared = spark.sparkContext.broadcast((plans, dict(by_rarest)))
+HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def search(index: DataFrame, block: Block, slop: int, last: bool) -> DataFrame:
+    """The index with what the block's windows add to its items and hits; of the last block, (doc_id, n_words, items, hits) for each document."""
+    shared = index.sparkSession.sparkContext.broadcast(block)
     id_type = index.schema["doc_ids"].dataType.elementType
-    hits_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", hits_type)])
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", HITS)])
+
+    def find(seg) -> tuple[dict[int, set[str]], np.ndarray, np.ndarray]:
+        block = shared.value
+        posts = np.frombuffer(seg.postings, dtype=np.int64)
+        bounds = np.concatenate([[0], np.cumsum(seg.counts)]).astype(np.int64)
+        items = defaultdict(set)
+        for x in seg.items:
+            items[x["doc"]].add(x["item"])
+        before = np.frombuffer(seg.hits, dtype=np.int64).reshape(2, -1)
+        starts, ends = [before[0]], [before[1]]
+        own, places = block.present(np.asarray(seg.terms, dtype=np.int64).view(_U))
+        for i in own.tolist():
+            n = int(block.lengths[i])
+            found = _matches(block.order[i, :n], [posts[bounds[t] : bounds[t + 1]] for t in places[i, :n].tolist()], slop)
+            if len(found):
+                starts.append(found)
+                ends.append(found + n)
+                for d in np.unique(found >> 32).tolist():
+                    items[d].update(block.items[i])
+        return items, *merged(np.concatenate(starts), np.concatenate(ends))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for seg in batch.itertuples(index=False):
+                items, starts, ends = find(seg)
+                told = [{"doc": d, "item": i} for d in sorted(items) for i in sorted(items[d])]
+                yield pd.DataFrame([seg._replace(items=told, hits=np.concatenate([starts, ends]).tobytes())])
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plans, by_rarest = shared.value
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for seg in batch.itertuples(index=False):
-                posts = np.frombuffer(seg.postings, dtype=np.int64)
-                bounds = np.concatenate([[0], np.cumsum(seg.counts)]).astype(np.int64)
-                lists = {int(t): posts[bounds[i] : bounds[i + 1]] for i, t in enumerate(seg.terms)}
-                starts, ends, items = [], [], defaultdict(set)
-                for t in lists:
-                    for i in by_rarest.get(t, ()):
-                        window, order, names = plans[i]
-                        found = _matches(window, order, lists, slop)
-                        if len(found):
-                            starts.append(found)
-                            ends.append(found + len(window))
-                            for d in np.unique(found >> 32).tolist():
-                                items[d].update(names)
+                items, starts, ends = find(seg)
                 hits = defaultdict(list)
-                if starts:
-                    for s, e in zip(*(x.tolist() for x in merged(np.concatenate(starts), np.concatenate(ends)))):
-                        hits[s >> 32].append({"start": s & 0xFFFFFFFF, "end": e - (s >> 32 << 32)})
+                for s, e in zip(starts.tolist(), ends.tolist()):
+                    hits[s >> 32].append({"start": s & 0xFFFFFFFF, "end": e - (s >> 32 << 32)})
                 n = len(seg.doc_ids)
                 for a in range(0, n, 10_000):
                     part = range(a, min(n, a + 10_000))
                     yield pd.DataFrame({"doc_id": pd.Series([seg.doc_ids[d] for d in part], dtype=object), "n_words": [seg.n_words[d] for d in part], "items": [sorted(items.get(d, ())) for d in part], "hits": [hits.get(d, []) for d in part]})
 
-    return index.mapInPandas(look, schema)
+    return index.mapInPandas(tell, schema) if last else index.mapInPandas(add, index.schema)
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = 0, block: int = BLOCK, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """docs (doc_id, text) against bench (item_id, text): (doc_id, n_words, items, hits, n_hit) for each row of docs.
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window, one
@@ -181,35 +252,23 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop:
     string; rows of one id are one item. Rows of docs that repeat each get a result; an empty docs
     table gives an empty result, an empty benchmark no hits. Other columns are dropped.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     text = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
-    rows = docs.select("doc_id", "text")
-    if blocks > 1:  # the rows get ids that stay over the blocks
-        rows = materialize(rows.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc_id"), "text"), "numbered-docs")
-        rows = rows.select(F.to_json("doc_id", {"ignoreNullFields": "false"}).alias("doc_id"), "text")
-    parts = []
+    windows = materialize(windows_of(text, window), "benchmark-windows")
+    blocks = -(-windows.count() // block) or 1
+    index = build_index(docs, known_terms(text), segment_words)
+    often = frequencies(index)
     for b in range(blocks):
-        own = text.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else text
-        phrases = Phrases([tuple(r) for r in own.collect()], window)
-        parts.append(search(build_index(rows, phrases.vocabulary, segment_words), phrases, slop))
-    found = parts[0]
-    if blocks > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
-        none = F.slice("hits", 1, 0)
-
-        def join(acc, h):
-            last = F.element_at(acc, -1)
-            longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], h["end"]).alias("end"))))
-            return F.when((F.size(acc) == 0) | (F.get(acc, F.size(acc) - 1)["end"] < h["start"]), F.concat(acc, F.array(h))).otherwise(longer)
-
-        id_type = docs.schema["doc_id"].dataType
-        back = F.from_json("doc_id", T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type)]))
-        found = found.withColumn("hits", F.aggregate("hits", none, join)).withColumn("doc_id", back["doc_id"])
-    return found.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"]))
+        own = windows.where(F.pmod(F.xxhash64("terms", "item"), F.lit(blocks)) == b) if blocks > 1 else windows
+        rows = own.toArrow()
+        told = search(index, Block(list(zip(rows["terms"].to_pylist(), rows["item"].to_pylist())), often, window), slop, last=b == blocks - 1)
+        if b < blocks - 1:
+            told = materialize(told, "positional-index")
+            discard(index)
+            index = told
+    discard(windows)
+    return told.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"]))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,11 @@ exact copies costs no more than one document. Then
 
 Only short inverted lists are turned into their pairs. Of longer ones, first each member is checked
 against the most central one only; the links so found make components. What remains are the pairs of
-a list in different components: while there are many, further rounds with other members follow, then
-all that remain are checked. So a group of near copies takes time in proportion to its size, and no
-link between different components is lost: the components are exact.
+a list in different components: round by round some members are checked against all others and then
+leave the list, as nothing about them is open, until no open pair is left. A round makes no more than
+``ROUND_PAIRS`` pairs an entry of the lists. So a group of near copies takes time in proportion to its
+size, and no link between different components is lost: the components are exact. A list's members
+meet in parts of ``PART``, so that no task gets a whole long list.
 
 All this is done by the prints of the sets first, counts of shingles by bin of hash, whose difference
 never exceeds that of the sets. Whole sets are then read, from the texts, only for documents that are
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyBits, bounded_batches, discard, has_bit, key_filter, materialize, sweep, table
+from .common import KeyBits, WordHashes, bounded_batches, discard, has_bit, has_low_bits, key_filter, low_bitmap, materialize, sweep, table
 
 SHINGLE = 5
 #: The least similarity is NUM / DEN.
@@ -53,6 +55,8 @@ MOST_SMALL = 16
 CHECK_COST = 4
 #: Lists of up to so many members are turned into pairs at once.
 SHORT = 8
+#: So many members of a list are dealt to one task; and in a round so many pairs are made for each entry of all lists.
+PART, ROUND_PAIRS = 256, 8
 #: Whole sets are stored with so many bytes of each hash. Two different hashes of a pair agree in these once in some billion pairs.
 HASH_BYTES = 6
 #: A set's print: how many of its shingles fall into each of so many bins, up to 255.
@@ -62,17 +66,7 @@ _BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in r
 _U = np.uint64
 
 
-class _Hashes(dict):
-    """Hashes of words met so far."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
+_hashes = WordHashes()
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -178,22 +172,6 @@ def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(sign, SIGNED.format(ids))
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """The low bits of the long column ``token`` as a bitmap of fixed size."""
-    at = keys.select((F.col("token").bitwiseAND((1 << bits) - 1) + 1).alias("at"))
-    parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
-    out = np.zeros(1 << bits >> 3, dtype=np.uint8)
-    for p in parts:
-        one = np.frombuffer(p["map"], dtype=np.uint8)
-        out[(p["bucket"] - 1) * len(one) : p["bucket"] * len(one)] = one
-    return out
-
-
-def _has(bitmap: np.ndarray, tokens: np.ndarray, bits: int) -> np.ndarray:
-    at = tokens & ((1 << bits) - 1)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _entries(signed: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """(fp, n, score, token, pos): the classes' entries in lists that may have other members."""
     shared = signed.sparkSession.sparkContext.broadcast(bitmap)
@@ -206,7 +184,7 @@ def _entries(signed: DataFrame, bitmap: np.ndarray) -> DataFrame:
             tokens = np.concatenate([np.asarray(t, dtype=np.int64) for t in b["tokens"]])
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             own = np.repeat(np.arange(len(b)), sizes)
-            at = np.flatnonzero(_has(shared.value, tokens, SHARED_BITS))
+            at = np.flatnonzero(has_low_bits(shared.value, tokens, SHARED_BITS))
             for a in range(0, len(at), 100_000):
                 part = at[a : a + 100_000]
                 yield pd.DataFrame({"fp": b["fp"].to_numpy()[own[part]], "n": b["n"].to_numpy()[own[part]], "score": b["score"].to_numpy()[own[part]], "token": tokens[part], "pos": pos[part].astype(np.int32)})
@@ -330,11 +308,31 @@ def _all_pairs(entries: DataFrame, small: int) -> DataFrame:
     return found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
-def _heads(entries: DataFrame, small: int, turn: int) -> DataFrame:
-    """Pairs of each list's members with one of them: the most central, and in later turns one by a hash that differs each turn."""
+def _central(entries: DataFrame, turn: int) -> DataFrame:
+    """One entry of each list: the most central, and in later turns one by a hash that differs each turn."""
     rank = F.struct("score", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), F.col("fp"))
-    heads = entries.groupBy("token").agg(F.max_by(F.struct("fp", "n", "most", "comp"), rank).alias("y"))
-    met = entries.alias("x").join(heads.alias("h"), "token").where(_pair_test("x", "y", small))
+    found = entries.groupBy("token").agg(F.max_by(F.struct("fp", "n", "most", "comp", "k"), rank).alias("y"))
+    return found.select("token", "y.*")
+
+
+def _parts() -> Column:
+    return F.ceil(F.col("k") / PART).cast("int")
+
+
+def _parted(entries: DataFrame) -> DataFrame:
+    """entries with the part of their list, of length k, that they are dealt to."""
+    return entries.withColumn("part", F.pmod(F.xxhash64("fp"), _parts()).cast("int"))
+
+
+def _to_parts(lists: DataFrame) -> DataFrame:
+    """A row for each part of a list of length k."""
+    return lists.withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1)))
+
+
+def _meet(entries: DataFrame, heads: DataFrame, small: int) -> DataFrame:
+    """Pairs of each list's members with its heads. Members are dealt out by parts of their list, to each of which all heads of the list come; k is the list's length."""
+    x, y = _parted(entries), _to_parts(heads)
+    met = x.alias("x").join(y.alias("h").withColumn("y", F.struct("fp", "n", "most", "comp")).select("token", "part", "y"), ["token", "part"]).where(_pair_test("x", "y", small))
     return met.select(F.least(F.col("x.fp"), F.col("y.fp")).alias("a"), F.greatest(F.col("x.fp"), F.col("y.fp")).alias("b")).distinct()
 
 
@@ -345,32 +343,43 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b")
 
 
-def _rounds(lists: DataFrame, links: DataFrame, small: int, check: Callable[[DataFrame], DataFrame], rounds: int = 8) -> DataFrame:
+def _rounds(lists: DataFrame, links: DataFrame, small: int, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """links and those that check() finds among the lists' pairs, as far as they join different components.
 
-    While lists have many pairs in different components, one member of each is checked with the
-    others; once these are few, or a round has found nothing, all of them are.
+    Each round takes some members of every list that is still open, one at least, checks them with all
+    others and takes them off: nothing about them is open then. It ends when no list is left.
     """
-    total, added, known = lists.count(), 1, links
-    for k in range(rounds + 1):
-        if not total:
-            return links
+    known, turn = links, 0
+    left = materialize(lists, "jaccard-left")
+    total = left.count()
+    while total:
+        turn += 1
         comps = components(known)
-        at = lists.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        at = left.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         # lists whose members are all of one component are done with
-        open_ = at.groupBy("token").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("token")
-        at = materialize(at.join(open_, "token"), "jaccard-open")
-        parts = at.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
-        pairs = parts.agg(F.sum("pairs")).first()[0] or 0
-        last = k == rounds or pairs <= 8 * total or not added
-        if pairs:
-            new = materialize(check(_all_pairs(at, small) if last else _heads(at, small, k + 1)), "jaccard-new")
-            added = new.count()
-            known = comps.select(F.col("fp").alias("a"), F.col("comp").alias("b")).unionByName(new)
-            links = materialize(links.unionByName(new), "jaccard-all-links")
-        discard(at)
-        if last or not pairs:
-            return links
+        seen = at.groupBy("token", "comp").agg(F.count("*").alias("n_"), F.max("k").alias("k"))
+        open_ = seen.groupBy("token").agg(F.count("*").alias("c"), F.sum("n_").alias("now_k"), F.sum(F.col("n_") ** 2).alias("s"), F.max("k").alias("k")).where("c > 1")
+        open_ = materialize(open_.select("token", "k", "now_k", ((F.col("now_k") ** 2 - F.col("s")) / 2).alias("pairs")), "jaccard-open-lists")
+        pairs = open_.agg(F.sum("pairs")).first()[0] or 0
+        if not pairs:
+            break
+        now = _parted(at).drop("k").join(_to_parts(open_).select("token", "part", F.col("now_k").alias("k")), ["token", "part"]).drop("part")
+        now = materialize(now, "jaccard-open")
+        share = min(1.0, ROUND_PAIRS * total / (2 * pairs))
+        drawn = F.lit(True) if share >= 1 else F.pmod(F.xxhash64("fp", F.lit(-turn)), F.lit(1 << 20)) < int(share * (1 << 20))
+        heads = now.where(drawn).select("token", "fp", "n", "most", "comp", "k")
+        if share < 1:
+            heads = materialize(heads.unionByName(_central(now, turn)).dropDuplicates(["token", "fp"]), "jaccard-heads")
+        new = materialize(check(_meet(now, heads, small)), "jaccard-new")
+        known = comps.select(F.col("fp").alias("a"), F.col("comp").alias("b")).unionByName(new)
+        links = materialize(links.unionByName(new), "jaccard-all-links")
+        if share >= 1:
+            discard(now, open_)
+            break
+        rest = materialize(now.drop("comp").join(heads.select("token", "fp"), ["token", "fp"], "left_anti"), "jaccard-left")
+        discard(now, heads, open_, left)
+        left = rest
+    discard(left)
     return links
 
 
@@ -381,7 +390,7 @@ def _list_links(docs: DataFrame, members: DataFrame, entries: DataFrame, prints:
     live = materialize(live.join(lengths, "token"), "jaccard-lists").withColumn("comp", F.col("fp"))
     long = live.where(F.col("k") > SHORT)
     # by prints alone: every link is a pair that passes, or lies within a component of such pairs
-    near = materialize(_close(_all_pairs(live.where(F.col("k") <= SHORT), small).unionByName(_heads(long, small, 0)).distinct(), prints), "jaccard-near")
+    near = materialize(_close(_all_pairs(live.where(F.col("k") <= SHORT), small).unionByName(_meet(long, _central(long, 0), small)).distinct(), prints), "jaccard-near")
     near = _rounds(long.drop("comp"), near, small, lambda pairs: _close(pairs, prints))
     wanted = materialize(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "jaccard-wanted")
     sets = materialize(_sets(docs, members, wanted), "jaccard-sets")
@@ -411,7 +420,7 @@ def jaccard_components(docs: DataFrame, level_share: int = LEVEL_SHARE) -> DataF
     docs = docs.select("doc_id", "text")
     signed = materialize(_signatures(docs, _levels(docs, level_share)), "jaccard-signed")
     lists = signed.select("f", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("f").alias("c"), F.max("f").alias("d"))
-    bitmap = _bitmap(lists.where("c <> d").select("token"), SHARED_BITS)
+    bitmap = low_bitmap(lists.where("c <> d"), "token", SHARED_BITS)
     entries = materialize(_entries(signed, bitmap), "jaccard-entries")
     n_entries = signed.agg(F.sum(F.size("tokens"))).first()[0] or 0
     met = entries.groupBy("token").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0

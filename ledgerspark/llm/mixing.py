@@ -26,37 +26,38 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SCHEDULES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
 
 
+def placed(sizes: DataFrame, parts: int = 32) -> DataFrame:
+    """sizes (source, ...) with place: from 0 on, by code point, null last. Sources are dealt out by range and numbered within each range."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = sizes.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("id_", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "mix-sources")
+    # the upper bits of such an id are the range's number
+    ranged = ranged.withColumn("range_", F.shiftright("id_", 33))
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("range_").agg(F.count("*").alias("n_")).withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0)))  # a row a range
+    return ranged.join(F.broadcast(ranges), "range_").withColumn("place", F.col("before_") + F.col("id_").bitwiseAND((1 << 33) - 1)).drop("id_", "range_", "n_", "before_")
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes (source, source_size) to (source, source_size, place, target): the water-filling shares.
 
-    Sources are placed by code point, null last; weights repeat. There is one row a source.
+    Sources are placed by code point, null last; weights repeat. There is one row a source. All
+    sources share the budget by weight; those above their caps get these, and the rest is shared by
+    the others, until none is above: each turn is one aggregate over the sources.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    every = Window.partitionBy(F.lit(0))
-    placed = (
-        sizes.withColumn("place", F.row_number().over(every.orderBy(F.col("source").isNull(), "source")) - 1)
-        .withColumn("w", w)
-        .withColumn("cap", F.col("source_size") * F.lit(float(most)))
-        .withColumn("budget", F.sum("source_size").over(every) * F.lit(float(share)))
-    )
-    # Sources reach their cap in the order of cap / weight. With those before a source at their caps, the
-    # level is what is left by weight; a source is at its cap if the level at its place reaches it.
-    level = every.orderBy(F.col("cap") / F.col("w"), "place")
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = (
-        placed.withColumn("left", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("w").over(level.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", F.col("left") / F.col("weight_left"))
-        .withColumn("capped", F.col("cap") <= F.col("level") * F.col("w"))
-    )
-    # the level of the first source that isn't at its cap holds for all such
-    first = F.min_by(F.when(~F.col("capped"), F.col("level")), F.when(~F.col("capped"), F.col("cap") / F.col("w"))).over(every)
-    return rest.select(
-        "source",
-        "source_size",
-        "place",
-        F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * first).alias("target"),
-    )
+    rows = materialize(placed(sizes).withColumns({"w": w, "cap": F.col("source_size") * F.lit(float(most))}), "mix-targets")
+    total, open_weight = rows.agg(F.sum("source_size"), F.sum("w")).first()
+    budget, capped, level = (total or 0) * float(share), 0.0, 0.0
+    while open_weight:
+        level = (budget - capped) / open_weight
+        over = F.col("cap") <= F.lit(level) * F.col("w")
+        now, left = rows.agg(F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))).first()
+        if left == open_weight:
+            break
+        capped, open_weight = now, left
+    fits = (F.col("cap") <= F.lit(level) * F.col("w")) if open_weight else F.lit(True)
+    return rows.select("source", "source_size", "place", F.when(fits, F.col("cap")).otherwise(F.col("w") * F.lit(level)).alias("target"))
 
 
 def demand_time(done: Column, start: Column, end: Column) -> Column:
@@ -138,10 +139,17 @@ def by_position(mixed: DataFrame) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return by_position(mixed).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    last = F.round(F.get("positions", F.size("positions") - 1), 9)
+    return by_position(mixed).select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("position", 9).alias("position"), last.alias("last_position"))
 
 
-OP7_SQL = r"""
+def mixing_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curriculum: a row for each pass of each document, with the words taken in it and its training position."""
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return by_position(by_pass(mixed)).select("doc_id", "pass", "taken", F.round("position", 9).alias("position"))
+
+
+_MIXED = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
@@ -169,8 +177,21 @@ WITH d AS (
   SELECT *, full_passes * size + least(greatest(goal - full_passes * source_size - pos, 0), size) AS taken,
          CASE place % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS a,
          CASE place % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS b FROM f
+), u AS (
+  SELECT *, CASE WHEN size > 0 THEN full_passes + CASE WHEN taken > full_passes * size THEN 1 ELSE 0 END ELSE 0 END AS passes FROM g
+)
+"""
+_TIME = "round(least(greatest((2 * (({0})::DOUBLE / goal)) / (a + sqrt(greatest(a * a + 2 * (b - a) * (({0})::DOUBLE / goal), 0))), 0), 1), 9)"
+PASSES_SQL = (
+    _MIXED
+    + f"""SELECT doc_id, CAST(k + 1 AS BIGINT) AS pass, CAST(CASE WHEN k < passes - 1 THEN size ELSE taken - (passes - 1) * size END AS BIGINT) AS taken, {_TIME.format('pos + k * source_size')} AS position
+FROM (SELECT *, unnest(range(0, passes)) AS k FROM u)
+"""
 )
-SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
-       CASE WHEN taken > 0 THEN round(least(greatest((2 * (pos::DOUBLE / goal)) / (a + sqrt(greatest(a * a + 2 * (b - a) * (pos::DOUBLE / goal), 0))), 0), 1), 9) END AS position
-FROM g
+OP7_SQL = (
+    _MIXED
+    + f"""SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(passes AS BIGINT) AS passes,
+       CASE WHEN taken > 0 THEN {_TIME.format('pos')} END AS position, CASE WHEN taken > 0 THEN {_TIME.format('pos + (passes - 1) * source_size')} END AS last_position
+FROM u
 """
+)

@@ -1,9 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
 
 In DataFrame functions only. Cards are confirmed by Luhn, IBANs by mod 97, addresses by their parts.
-The score (0 to 100) starts at the kind's prior and rises if one of the kind's words stands in the
-``CONTEXT`` code points before the span (back to the last match of its kind at most). Social
-security numbers have no checksum and are only kept if such a word stands there.
+The score starts at the kind's prior and rises if one of the kind's words stands in the ``CONTEXT``
+code points before the span or after it, whatever else matches there. Social security numbers have
+no checksum and are only kept if such a word stands there.
 """
 
 from __future__ import annotations
@@ -12,17 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import Kind, all_spans, base_digest, count_of, span_sql, told
+from .spans import Kind, all_spans, base_digest, count_of, rebuilt, span_sql, told
 
 CONTEXT, RISE, LIKELY = 40, 25, 75
 #: Prior and context words by kind.
 SCORES = {
     "email": (70, "mail|contact|write|reach"),
-    "ip": (40, "ip|address|server|host|login"),
+    "ip": (50, "ip|address|server|host|login"),
     "card": (80, "card|visa|credit|pay"),
     "phone": (50, "phone|tel|call|mobile|fax"),
     "iban": (80, "iban|account|bank|konto"),
-    "ssn": (30, "ssn|social|security"),
+    "ssn": (50, "ssn|social|security"),
 }
 
 
@@ -60,7 +60,7 @@ def _ip(hit: Column, _: Column) -> Column:
 
 def _scored(name: str):
     prior, words = SCORES[name]
-    return lambda before: F.lit(prior) + F.when(before.rlike(words), RISE).otherwise(0)
+    return lambda around: F.lit(prior) + F.when(around.rlike(words), RISE).otherwise(0)
 
 
 #: Characters of an IBAN by country.
@@ -89,7 +89,7 @@ KINDS = tuple(
         ("card", r"[0-9](?:[\x20-]?[0-9]){13,}+", "", lambda h, _: _between(F.length(digits_of(h)), 14, 19) & luhn(digits_of(h))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda h, _: _between(F.length(digits_of(h)), 10, 15)),
         ("iban", IBAN, "", lambda h, _: _between(F.length(F.replace(h, F.lit(" "), F.lit(""))), 15, 34) & mod97(h)),
-        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", lambda h, before: before.rlike(SCORES["ssn"][1])),
+        ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", lambda h, around: around.rlike(SCORES["ssn"][1])),
     )
 )
 BASE = 4
@@ -105,11 +105,14 @@ def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redact(df: DataFrame, text_col: str = "text", least: int = LIKELY) -> DataFrame:
-    """df with the values of likely spans in its text replaced by their kind in brackets; pii goes."""
+    """df with the likely spans of its text replaced by their kind in brackets; pii goes.
+
+    The text is rebuilt from the spans' offsets, so nothing else changes; of spans that overlap all
+    are replaced, by the kind of the first. A null text stays null.
+    """
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
-    likely = F.filter("pii", lambda s: s["score"] >= least)
-    text = F.aggregate(likely, F.col(text_col), lambda t, s: F.replace(t, s["value"], F.get(names, s["place"])))
-    return find_pii(df, text_col).withColumn(text_col, text).drop("pii")
+    likely = F.transform(F.filter("pii", lambda s: s["score"] >= least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["place"]).alias("mark")))
+    return find_pii(df, text_col).withColumn(text_col, F.when(F.size(likely) > 0, rebuilt(F.col(text_col), likely)).otherwise(F.col(text_col))).drop("pii")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_pii": pii.op9_pii,
     "op10_warc": warc.op10_warc,
+    "mixing_passes": mixing.mixing_passes,
+    "secret_redaction": secret_scan.secret_redaction,
 }
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
@@ -25,4 +27,6 @@ SQL = {
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_pii": pii.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "mixing_passes": mixing.PASSES_SQL,
+    "secret_redaction": secret_scan.REDACTION_SQL,
 }

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .spans import Kind, all_spans, base_digest, count_of, span_sql, told
+from .common import fresh, materialize, table
+from .spans import Kind, all_spans, base_digest, count_of, places_of, rebuilt, span_sql, told
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (
@@ -78,8 +78,9 @@ def judge(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", wi
 
     A live value is one with fewer than ``wide`` owners that looks random; the rest are copied or
     weak. ``whole``: values that aren't looks_secret() are left out, the bodies of private keys are
-    values, and all values with fewer than ``wide`` owners are live. Rows that repeat stay. An empty table gives an empty one. Columns named secrets, n_copied,
-    n_live, live and row_id are replaced or dropped.
+    values, and all values with fewer than ``wide`` owners are live. Rows that repeat stay. An empty
+    table gives an empty one. Columns of df named secrets, n_copied, n_live, live, row_id, repo_,
+    owner_, values_ and bodies_ are replaced or dropped.
     """
     kept = [c for c in df.columns if c not in (text_col, "secrets", "n_copied", "n_live", "live", "row_id", "repo_", "owner_", "values_", "bodies_")]
     found = scan(df.withColumns({"repo_": repo.cast("string"), "owner_": owner.cast("string")}), text_col).select(*kept, "repo_", "owner_", "secrets", *([key_bodies(F.col(text_col)).alias("bodies_")] if whole else []))
@@ -111,24 +112,29 @@ HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]
 def redact_live(docs: DataFrame, mark: str = "[SECRET]", wide: int = WIDE) -> DataFrame:
     """docs (documents' columns) with every live value replaced by mark wherever it stands in its text, n_chars with it.
 
-    Only the texts that may hold a value are shuffled, keyed by doc_id and the text's hash; rows that
-    are equal in these get equal texts. Texts without secrets pass unchanged, null ones too.
+    The places of the values are put together and the text is rebuilt from what lies between them, so
+    of values that overlap, or that begin or lie in one another, nothing is left. Only the texts that
+    may hold a value are shuffled, keyed by doc_id and the text's hash; rows that are equal in these
+    get equal texts. Texts without secrets pass unchanged, null ones too. The owner is the column
+    source, the repository source/lang. Columns of any other name pass through.
     """
     maybe = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    keyed = docs.where(maybe).withColumns({"k_id": F.col("doc_id"), "k_hash": F.xxhash64("text"), "k_chars": F.length("text")})
+    k_id, k_hash, k_chars, live_ = (fresh(n, docs.columns) for n in ("k_id", "k_hash", "k_chars", "live_"))
+    keyed = docs.where(maybe).withColumns({k_id: F.col("doc_id"), k_hash: F.xxhash64("text"), k_chars: F.length("text")})
     live = (
-        judge(keyed.select("k_id", "k_hash", "k_chars", "source", "lang", "text"), F.concat_ws("/", "source", "lang"), F.col("source"), wide=wide, whole=True)
+        judge(keyed.select(F.col(k_id).alias("k_id"), F.col(k_hash).alias("k_hash"), F.col(k_chars).alias("k_chars"), "source", "lang", "text"), F.concat_ws("/", "source", "lang"), F.col("source"), wide=wide, whole=True)
         .where("n_live > 0")
-        .select(F.col("k_id").alias("l_id"), F.col("k_hash").alias("l_hash"), F.col("k_chars").alias("l_chars"), F.col("live").alias("live_"))
+        .select(F.col("k_id").alias("l_id"), F.col("k_hash").alias("l_hash"), F.col("k_chars").alias("l_chars"), F.col("live").alias(live_))
         .dropDuplicates(["l_id", "l_hash", "l_chars"])
     )
-    same = F.col("k_id").eqNullSafe(F.col("l_id")) & (F.col("k_hash") == F.col("l_hash")) & (F.col("k_chars") == F.col("l_chars"))
-    met = keyed.join(live, same, "left")
-    # the longest first: one may be a part of another
-    longest = F.reverse(F.array_sort(F.transform("live_", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    text = F.aggregate(F.transform(longest, lambda x: x["v"]), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
-    changed = met.withColumn("text", F.when(F.col("live_").isNotNull(), text).otherwise(F.col("text")))
-    changed = changed.withColumn("n_chars", F.when(F.col("live_").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    same = keyed[k_id].eqNullSafe(live["l_id"]) & (keyed[k_hash] == live["l_hash"]) & (keyed[k_chars] == live["l_chars"])
+    met = keyed.join(live, same, "left").select(*[keyed[c] for c in docs.columns], live[live_])
+    text, found = F.col("text"), F.col(live_)
+    spans = F.transform(F.filter(all_spans(text, KINDS), lambda s: F.array_contains(found, s["value"])), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
+    other = F.flatten(F.transform(found, lambda v: places_of(text, v)))
+    marked = F.transform(F.array_union(spans, other), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("mark")))
+    changed = met.withColumn("text", F.when(found.isNotNull(), rebuilt(text, marked)).otherwise(text))
+    changed = changed.withColumn("n_chars", F.when(found.isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return docs.where(~maybe).unionByName(changed.select(*docs.columns))
 
 
@@ -145,21 +151,25 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pipeline's secrets stage makes of all documents."""
+    return redact_live(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 _WORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 _ASSIGN = _WORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _GROUP = "regexp_extract(hit, '{}', 2)".format(_ASSIGN.replace("'", "''"))
+_KINDS_SQL = [
+    ("assign", _ASSIGN, f"length({_GROUP}) >= 8"),
+    ("access", "AKIA[A-Z0-9]+", "length(hit) >= 16"),
+    ("hex", "[0-9a-f]+", "length(hit) >= 32"),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"),
+]
 OP5_SQL = (
     "WITH"
-    + span_sql(
-        [
-            ("assign", _ASSIGN, f"length({_GROUP}) >= 8"),
-            ("access", "AKIA[A-Z0-9]+", "length(hit) >= 16"),
-            ("hex", "[0-9a-f]+", "length(hit) >= 32"),
-            ("github", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
-            ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
-            ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"),
-        ]
-    )
+    + span_sql(_KINDS_SQL)
     + f""",
 v AS (SELECT DISTINCT rid, CASE place WHEN 0 THEN {_GROUP} ELSE hit END AS value FROM y WHERE place <> 5),
 o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n_owners FROM v JOIN d USING (rid) GROUP BY value),
@@ -176,3 +186,27 @@ SELECT d.doc_id, {', '.join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in KI
 FROM d LEFT JOIN g USING (rid) LEFT JOIN w USING (rid)
 """
 )
+
+# values of few owners, where they stand, with what overlaps put together
+_NO_SECRET = PLACEHOLDER.replace(r"|^(.)\1*$", "").replace("(?:", "(")
+REDACTION_SQL = (
+    "WITH"
+    + span_sql(_KINDS_SQL)
+    + f""",
+r_p AS (SELECT rid, e, CASE place WHEN 0 THEN {_GROUP} ELSE hit END AS value FROM y WHERE place <> 5
+      AND (place <> 0 OR NOT (regexp_matches(lower({_GROUP}), '{_NO_SECRET}') OR replace(lower({_GROUP}), left(lower({_GROUP}), 1), '') = ''))),
+r_k AS (SELECT rid, unnest(list_transform(regexp_extract_all(text, '{BLOCK}', 1), lambda b: trim(b, E' \\t\\r\\n'))) AS value FROM d WHERE contains(text, 'PRIVATE KEY-----')),
+r_v AS (SELECT DISTINCT rid, value FROM (SELECT rid, value FROM r_p UNION ALL SELECT rid, value FROM r_k WHERE length(regexp_replace(value, '[^A-Za-z0-9+/]', '', 'g')) >= {KEY_CHARS})),
+r_o AS (SELECT value FROM r_v JOIN d USING (rid) GROUP BY value HAVING count(DISTINCT coalesce(source, '')) < {WIDE}),
+r_g AS (SELECT rid, value, string_split(text, value) AS gaps FROM r_v JOIN r_o USING (value) JOIN d USING (rid)),
+r_h AS (SELECT rid, value, unnest(gaps[1:len(gaps) - 1]) AS gap, unnest(range(1, len(gaps))) AS i FROM r_g),
+r_s AS (SELECT rid, CAST(sum(length(gap) + length(value)) OVER (PARTITION BY rid, value ORDER BY i) AS BIGINT) AS e, length(value) AS n FROM r_h
+      UNION ALL SELECT rid, e, length(value) AS n FROM r_p JOIN r_o USING (value)),
+r_m AS (SELECT rid, e - n AS s, e, max(e) OVER (PARTITION BY rid ORDER BY e - n, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM r_s),
+r_r AS (SELECT *, sum(CASE WHEN upto IS NULL OR s >= upto THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT DISTINCT * FROM r_m)),
+r_u AS (SELECT rid, part, min(s) AS s, max(e) AS e FROM r_r GROUP BY rid, part),
+r_w AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS since FROM r_u),
+r_x AS (SELECT rid, string_agg(substr(text, since + 1, s - since) || '[SECRET]', '' ORDER BY s) || substr(any_value(text), max(e) + 1) AS clean FROM r_w JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CASE WHEN clean IS NULL THEN n_chars ELSE length(clean) END AS n_chars, sha256(coalesce(clean, text)) AS text_sha256 FROM d LEFT JOIN r_x USING (rid)
+"""
+)

@@ -19,7 +19,10 @@ from .common import ascii_lower
 
 @dataclass(frozen=True)
 class Kind:
-    """What to look for: its pattern, a cheap test of the whole text, a test of a match (and the context before it), and the value in a match."""
+    """What to look for: its pattern, a cheap test of the whole text, a test of a match and its context, the value in a match, the score by context.
+
+    The context is that many code points before a match, a line break, and as many after it, A-Z lower-cased.
+    """
 
     name: str
     pattern: str
@@ -34,25 +37,69 @@ def spans_of(text: Column, kind: Kind, place: int) -> Column:
     """array<struct(start, place, end, value, score)> of the matches that the kind keeps, in order; empty for a null text."""
     shape = "array<struct<start:int,place:int,end:int,value:string,score:int>>"
     none = F.array().cast(shape)
-    pairs = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    gaps, hits = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    pairs = _with_after(gaps, hits, kind.context) if kind.context else F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"), F.lit("").alias("a")))
 
     def add(acc: Column, p: Column) -> Column:
         hit = p["h"]
         start = acc["at"] + F.length(p["g"])
         end = start + F.length(hit)
-        before = ascii_lower(F.substring(p["g"], -kind.context, kind.context)) if kind.context else F.lit("")
-        kept = kind.keep(hit, before) if kind.keep else F.lit(True)
+        before = F.right(F.concat(acc["tail"], p["g"]), F.lit(kind.context)) if kind.context else F.lit("")
+        around = ascii_lower(F.concat(before, F.lit("\n"), p["a"])) if kind.context else F.lit("")
+        kept = kind.keep(hit, around) if kind.keep else F.lit(True)
         value = kind.value(hit) if kind.value else hit
-        score = kind.score(before) if kind.score else F.lit(0)
+        score = kind.score(around) if kind.score else F.lit(0)
         span = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), value.alias("value"), score.alias("score"))
-        return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        tail = F.right(F.concat(before, hit), F.lit(kind.context)) if kind.context else F.lit("")
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(kept, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
     found = F.aggregate(F.filter(pairs, lambda p: p["h"].isNotNull()), start, add, lambda acc: acc["out"])
     test = F.contains(text, F.lit(kind.hint)) if kind.hint else text.isNotNull()
     return F.when(test, found).otherwise(none)
 
 
+def _with_after(gaps: Column, hits: Column, context: int) -> Column:
+    """array<struct(g, h, a)>: each match with the gap before it and the text after it, which is gathered from the end."""
+    last = F.zip_with(F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+
+    def add(acc: Column, p: Column) -> Column:
+        after = F.left(F.concat(p["g"], acc["head"]), F.lit(context))
+        return F.struct(F.left(F.concat(p["h"], after), F.lit(context)).alias("head"), F.concat(acc["out"], F.array(after)).alias("out"))
+
+    start = F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("out"))
+    after = F.reverse(F.aggregate(F.reverse(F.filter(last, lambda p: p["h"].isNotNull())), start, add, lambda acc: acc["out"]))
+    own = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    return F.zip_with(own, after, lambda p, a: F.struct(p["g"].alias("g"), p["h"].alias("h"), a.alias("a")))
+
+
+def rebuilt(text: Column, spans: Column) -> Column:
+    """text with each of spans, array<struct(start, end, mark)>, replaced by its mark; of spans that overlap, all are replaced by the first one's."""
+
+    def add(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["at"]
+        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["mark"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, piece).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(F.array_sort(spans), start, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+
+
+def places_of(text: Column, value: Column) -> Column:
+    """array<struct(start, end)>: where a value stands in a text, not overlapping itself."""
+    shape = "array<struct<start:int,end:int>>"
+    quoted = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    gaps = F.split(text, quoted, -1)
+
+    def add(acc: Column, g: Column) -> Column:
+        start = acc["at"] + F.length(g)
+        end = start + F.length(value)
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
+    return F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, add, lambda acc: acc["out"])
+
+
 def all_spans(text: Column, kinds: Sequence[Kind]) -> Column:
     """The spans of all kinds, by start, then kind as listed."""
     return F.array_sort(F.concat(*[spans_of(text, k, i) for i, k in enumerate(kinds)]))
@@ -85,6 +132,14 @@ def span_sql(kinds: Sequence[tuple[str, str, str]], context: int = 0) -> str:
 d AS (SELECT row_number() OVER () AS rid, * REPLACE (coalesce(text, '') AS text) FROM documents),
 m AS ({' UNION ALL '.join(parts)}),
 x AS (SELECT rid, place, kind, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(range(1, len(hits) + 1)) AS i FROM m),
-z AS (SELECT *, translate(right(gap, {context}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ctx,
-             CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid, place ORDER BY i) AS BIGINT) AS e FROM x),
-y AS (SELECT rid, place, kind, hit, ctx, e - length(hit) AS s, e FROM z WHERE {tests})"""
+z AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid, place ORDER BY i) AS BIGINT) AS e FROM x),
+c AS ({_context_sql(context)}),
+y AS (SELECT rid, place, kind, hit, ctx, e - length(hit) AS s, e FROM c WHERE {tests})"""
+
+
+def _context_sql(n: int) -> str:
+    if not n:
+        return "SELECT *, '' AS ctx FROM z"
+    start = "(e - length(hit))"
+    around = f"substr(text, greatest({start} - {n}, 0) + 1, least({start}, {n})) || chr(10) || substr(text, e + 1, {n})"
+    return f"SELECT z.*, translate({around}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ctx FROM z JOIN d USING (rid)"

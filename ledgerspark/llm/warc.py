@@ -18,6 +18,7 @@ smallest page_id is written in full, the others as revisit records that refer to
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,14 +71,23 @@ def _clean(url: str | None) -> str | None:
     return None if url is None else "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
 
 
+def _quoted(value: str | None) -> str | None:
+    """As _clean, and percent signs are encoded too, so that _unquoted() gives the value back."""
+    return None if value is None else _clean(value.replace("%", "%25"))
+
+
+def _unquoted(value: str | None) -> str | None:
+    return None if value is None else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), value)
+
+
 def _records(page_id, url, html, size, digest, kind, refers, key: str, date: str, chunk: int) -> Iterator[bytes]:
     """The page's records without the blank lines that end each."""
     rid = f"<urn:ledgerspark:{key}>"
-    common = [("WARC-Date", date), ("WARC-Target-URI", _clean(url)), ("X-Page-Id", page_id)]
+    common = [("WARC-Date", date), ("WARC-Target-URI", _clean(url)), ("X-Page-Id", _quoted(page_id))]
     full = [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", size)]
     if kind == "revisit":
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield _header([("WARC-Type", kind), ("WARC-Record-ID", rid), *common, ("WARC-Profile", profile), ("X-Refers-To-Page", refers), *full, ("Content-Length", 0)])
+        yield _header([("WARC-Type", kind), ("WARC-Record-ID", rid), *common, ("WARC-Profile", profile), ("X-Refers-To-Page", _quoted(refers)), *full, ("Content-Length", 0)])
         return
     payload = memoryview((html or "").encode())
     pieces = max(1, -(-len(payload) // chunk))
@@ -156,7 +166,7 @@ def read_chunks(spark: SparkSession, paths: list[str]) -> DataFrame:
                         digest, length = told, int(f["X-Payload-Length"])
                     else:
                         digest, length = None if several else hashlib.sha256(body).hexdigest(), len(body)
-                    rows.append((f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), f.get("X-Page-Id"), kind, f.get("X-Refers-To-Page"), number, int(f.get("X-Segments", 1)), length, told, digest, bytes(body) if several else None))
+                    rows.append((f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), _unquoted(f.get("X-Page-Id")), kind, _unquoted(f.get("X-Refers-To-Page")), number, int(f.get("X-Segments", 1)), length, told, digest, bytes(body) if several else None))
                     held += len(body) if several else 0
                     if held > 1 << 22 or len(rows) >= 5000:
                         yield pd.DataFrame(rows, columns=names)
@@ -201,7 +211,8 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 100, chunk: int = 1 << 16, block: int = 1 << 24) -> DataFrame:
     """Write pages (page_id, url, html) as archives in the shared folder and read them back.
 
-    A null html is an empty payload, a null url or page_id has no header field. Other columns are
+    A null html is an empty payload, a null url or page_id has no header field. Control characters and
+    spaces of a page_id of text are percent-encoded in its header and come back as they were. Other columns are
     dropped. Rows that repeat are records of their own. An empty table gives an empty result.
     """
     spark = pages.sparkSession
