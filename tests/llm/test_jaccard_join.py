@@ -80,6 +80,20 @@ def test_chain_and_shared_passage(spark):
     assert {c for d, _, c in got if d < 100} == {0}
 
 
+def test_long_list_of_many_components(spark, monkeypatch):
+    """Lists of 60 members that are mostly unlike, so that they stay open round after round, dealt to many parts."""
+    monkeypatch.setattr(j, "ROUND_PAIRS", 3)
+    monkeypatch.setattr(j, "PART", 16)
+    rng = random.Random(10)
+    passage = " ".join(f"license{i}" for i in range(40))
+    rows = [(k, passage + " " + " ".join(rng.choice(ALPHABET) for _ in range(40))) for k in range(50)]
+    rows += [(200 + k, rows[5 * k][1] + f" more{k}") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # hardly any document is sampled, so the passage counts as rare and its shingles get lists
+    got = sorted([tuple(r) for r in j.jaccard_components(df, level_share=10_000).collect()], key=str)
+    assert got == brute(rows) and len({c for *_, c in got}) == 50
+
+
 def test_edges(spark):
     """Nulls, empty texts, repeated rows and ids, ties, a very long text, clashing columns, an empty table."""
     long_text = " ".join(f"t{i}" for i in range(60_000))
