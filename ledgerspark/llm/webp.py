@@ -13,12 +13,12 @@ A side is at most 16384, so long payloads become several images, one RIFF file a
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
 from array import array
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import cache
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -35,12 +35,18 @@ CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 #: The nearby pixels that the distance codes 1 to 120 stand for, nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
+_NEAR = np.array(NEAR, dtype=np.int64)
+#: By prefix code of a length or distance: its extra bits and its least value.
+_MORE = np.maximum((np.arange(DISTANCES) - 2) >> 1, 0)
+_LEAST = np.where(np.arange(DISTANCES) < 4, np.arange(DISTANCES), (2 + (np.arange(DISTANCES) & 1)) << _MORE) + 1
 #: Code lengths that the encoder uses at most (the format has 15), its colour caches, and the longest distance, the shortest and longest copy.
-MOST_BITS, CACHES, FAR, RUN, LONGEST = 11, (2, 6), (1 << 20) - len(NEAR), 6, 4096
+MOST_BITS, CACHES, FAR, RUN, LONGEST = 11, (6,), (1 << 20) - len(NEAR), 6, 4096
 #: Predictor modes that can be undone by whole rows: left, top, top right, top left, and means of the row above.
 ROW_MODES = (1, 2, 3, 4, 8, 9)
 #: A predictor is tried if it leaves so much of the entropy of single samples at most.
 PAYS = 0.9
+#: Bytes of a stream whose tokens are looked up at once.
+PIECE, _EIGHT = 1 << 14, np.arange(8, dtype=np.uint32)
 #: Samples of one image of a payload.
 TILE_WIDTH, TILE = 64, 64 * 16384
 
@@ -54,10 +60,10 @@ class Reader:
 
     def need(self, n: int) -> None:
         while self.held < n:
-            piece = self.data[self.at : self.at + 8]
-            self.at += 8
+            piece = self.data[self.at : self.at + 32]
+            self.at += 32
             self.value |= int.from_bytes(piece, "little") << self.held
-            self.held += 64  # past the end there are zeros
+            self.held += 256  # past the end there are zeros
 
     def read(self, n: int) -> int:
         self.need(n)
@@ -93,42 +99,58 @@ class Writer:
         return b"".join(self.parts) + self.value.to_bytes(-(-self.held // 8), "little")
 
 
-def canonical(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
-    """symbol to (code as it stands in the stream, length); a lone symbol takes no bits."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) == 1:
-        return {used[0][1]: (0, 0)}
-    out, code, last = {}, 0, 0
-    for n, s in used:
-        code <<= n - last
-        last = n
-        out[s] = (int(format(code, f"0{n}b")[::-1], 2), n)
-        code += 1
+@cache
+def _reversed_bits(n: int) -> np.ndarray:
+    """The numbers of n bits by the numbers whose bits stand the other way round."""
+    out = np.zeros(1, dtype=np.int64)
+    for _ in range(n):
+        out = np.concatenate([out << 1, out << 1 | 1])
     return out
 
 
+def canonical(lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols in use by length, their lengths and their codes as they stand in the stream; a lone symbol takes no bits."""
+    n = np.asarray(lengths, dtype=np.int64)
+    used = np.flatnonzero(n)
+    used = used[np.argsort(n[used], kind="stable")]
+    n = n[used]
+    if len(used) == 1:
+        return used, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    most = int(n[-1]) if len(used) else 0
+    share = 1 << (most - n)
+    start = np.cumsum(share) - share
+    return used, n, _reversed_bits(most)[start & ((1 << most) - 1)]
+
+
 class Code:
     """A prefix code for reading."""
 
     def __init__(self, lengths: Sequence[int]):
-        codes = canonical(lengths)
-        if not codes:
-            codes = {0: (0, 0)}
-        self.most = max(n for _, n in codes.values())
-        if sum(1 << (self.most - n) for _, n in codes.values()) != 1 << self.most:
+        n = np.asarray(lengths, dtype=np.int64)
+        used = np.flatnonzero(n)
+        used = used[np.argsort(n[used], kind="stable")]
+        n = n[used]
+        if len(used) < 2:  # a lone symbol takes no bits
+            used, n = used if len(used) else np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.most = int(n[-1])
+        if int((1 << (self.most - n)).sum()) != 1 << self.most:
             raise ValueError("a prefix code is not complete")
         self.mask = (1 << self.most) - 1
         #: by the next bits: symbol << 4 | length
-        self.table = [0] * (1 << self.most)
-        for s, (code, n) in codes.items():
-            self.table[code :: 1 << n] = [s << 4 | n] * (1 << (self.most - n))
+        self.lookup = np.repeat(used << 4 | n, 1 << (self.most - n))[_reversed_bits(self.most)]
+
+    @property
+    def table(self) -> list[int]:
+        if not hasattr(self, "_table"):
+            self._table = self.lookup.tolist()
+        return self._table
 
     @classmethod
     def lone(cls, symbol: int) -> Code:
         """The code of one symbol, which takes no bits."""
         self = cls.__new__(cls)
         self.most = self.mask = 0
-        self.table = [symbol << 4]
+        self.lookup = np.array([symbol << 4], dtype=np.int64)
         return self
 
     def read(self, r: Reader) -> int:
@@ -155,49 +177,75 @@ def read_code(r: Reader, size: int) -> Code:
     code = Code(own)
     left = size if not r.read(1) else 2 + r.read(2 + 2 * r.read(3))
     k, last = 0, 8
+    table_, mask = code.table, code.mask
+    r.need(14)
+    value, held = r.value, r.held
     while k < size and left > 0:
         left -= 1
-        s = code.read(r)
+        if held < 14:
+            r.value, r.held = value, held
+            r.need(14)
+            value, held = r.value, r.held
+        x = table_[value & mask]
+        s, used = x >> 4, x & 15
         if s < 16:
             lengths[k] = s
             last = s or last
             k += 1
-            continue
-        n, x = (3 + r.read(2), last) if s == 16 else (3 + r.read(3), 0) if s == 17 else (11 + r.read(7), 0)
-        if k + n > size:
-            raise ValueError("a run of code lengths is too long")
-        lengths[k : k + n] = [x] * n
-        k += n
+        else:
+            more, least, x = ((2, 3, last), (3, 3, 0), (7, 11, 0))[s - 16]
+            n = least + (value >> used & ((1 << more) - 1))
+            used += more
+            if k + n > size:
+                raise ValueError("a run of code lengths is too long")
+            lengths[k : k + n] = [x] * n
+            k += n
+        value >>= used
+        held -= used
+    r.value, r.held = value, held
     return Code(lengths)
 
 
-def code_lengths(counts: dict[int, int], size: int, most: int) -> list[int]:
-    """Huffman lengths of at most ``most`` bits; a lone symbol has length 1."""
+def code_lengths(symbols: Sequence[int], counts: Sequence[int], size: int, most: int) -> list[int]:
+    """Huffman lengths of at most ``most`` bits for symbols with their counts; a lone symbol has length 1."""
     lengths = [0] * size
-    if len(counts) == 1:
-        lengths[next(iter(counts))] = 1
+    if len(symbols) == 1:
+        lengths[symbols[0]] = 1
         return lengths
-    order, floor = sorted(counts.items()), 0
+    n, floor = len(symbols), 0
     while True:
-        heap = [(max(n, floor), k) for k, (_, n) in enumerate(order)]
-        heapq.heapify(heap)
-        parent, k = [0] * (2 * len(order)), len(order)
-        while len(heap) > 1:
-            n, a = heapq.heappop(heap)
-            m, b = heap[0]
+        order = sorted(range(n), key=counts.__getitem__)
+        # two queues: leaves in order, and the inner nodes, which arise in order
+        weight = [max(counts[i], floor) for i in order] + [0] * (n - 1)
+        parent, leaf, node = [0] * (2 * n - 1), 0, n
+        for k in range(n, 2 * n - 1):
+            if leaf < n and (node >= k or weight[leaf] <= weight[node]):
+                a, leaf = leaf, leaf + 1
+            else:
+                a, node = node, node + 1
+            if leaf < n and (node >= k or weight[leaf] <= weight[node]):
+                b, leaf = leaf, leaf + 1
+            else:
+                b, node = node, node + 1
+            weight[k] = weight[a] + weight[b]
             parent[a] = parent[b] = k
-            heapq.heapreplace(heap, (n + m, k))
-            k += 1
-        depth = [0] * k
-        for a in range(k - 2, -1, -1):
+        depth = [0] * (2 * n - 1)
+        for a in range(2 * n - 3, -1, -1):
             depth[a] = depth[parent[a]] + 1
-        if max(depth[: len(order)], default=0) <= most:
-            for (s, _), n in zip(order, depth):
-                lengths[s] = n
+        if depth[0] <= most:
+            for i, d in zip(order, depth):
+                lengths[symbols[i]] = d
             return lengths
         floor = max(1, floor * 2)
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def write_code(w: Writer, lengths: Sequence[int]) -> None:
     used = [s for s, n in enumerate(lengths) if n]
     if not used:
@@ -211,38 +259,37 @@ def write_code(w: Writer, lengths: Sequence[int]) -> None:
         if len(used) == 2:
             w.put(used[1], 8)
         return
-    tokens: list[tuple[int, int, int]] = []
-    k, last = 0, 8
-    while k < len(lengths):
-        x, n = lengths[k], 1
-        while k + n < len(lengths) and lengths[k + n] == x:
-            n += 1
-        k += n
+    # symbol | extra bits << 5 | their number << 12
+    tokens: list[int] = []
+    last, own = 8, np.asarray(lengths, dtype=np.int64)
+    first = _runs(own).tolist()
+    for x, n in zip(own[first].tolist(), map(sub, [*first[1:], len(own)], first)):
         if x and x != last:
-            tokens.append((x, 0, 0))
+            tokens.append(x)
             last, n = x, n - 1
-        while n:
-            if x == 0 and n >= 11:
-                m = min(n, 138)
-                tokens.append((18, m - 11, 7))
-            elif n >= 3:
-                m = min(n, 10 if x == 0 else 6)
-                tokens.append((17, m - 3, 3) if x == 0 else (16, m - 3, 2))
-            else:
-                m = 1
-                tokens.append((x, 0, 0))
+        while n >= 3:
+            m = min(n, 6 if x else 138)
+            tokens.append(16 | m - 3 << 5 | 2 << 12 if x else 18 | m - 11 << 5 | 7 << 12 if m >= 11 else 17 | m - 3 << 5 | 3 << 12)
             n -= m
-    own = code_lengths(Counter(t[0] for t in tokens), 19, 7)
+        tokens += [x] * n
+    counts = [0] * 19
+    for t in tokens:
+        counts[t & 31] += 1
+    used = [s for s in range(19) if counts[s]]
+    own = code_lengths(used, [counts[s] for s in used], 19, 7)
     w.put(0, 1)
     count = max(4, 1 + max(i for i, s in enumerate(LENGTH_ORDER) if own[s]))
     w.put(count - 4, 4)
     for s in LENGTH_ORDER[:count]:
         w.put(own[s], 3)
     w.put(0, 1)
-    codes = canonical(own)
-    for s, x, n in tokens:
-        w.put(*codes[s])
-        w.put(x, n)
+    codes = {s: (c, n) for s, n, c in zip(*(x.tolist() for x in canonical(own)))}
+    value = held = 0
+    for t in tokens:
+        c, m = codes[t & 31]
+        value |= (c | (t >> 5 & 127) << m) << held
+        held += m + (t >> 12)
+    w.put(value, held)
 
 
 # --- images
@@ -263,7 +310,7 @@ def _read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         groups.append([read_code(r, n) for n in (LITERALS + LENGTHS + len(held_colours), 256, 256, 256, DISTANCES)])
     total = width * height
     if which is None and not any(c.most for c in groups[0][1:4]):
-        found = _read_green(r, groups[0], width, total, bits)
+        found = _read_green(r, groups[0], width, total, bits) if bits else _read_tokens(r, groups[0], width, total)
         if found is not None:
             return found
     out = array("I", bytes(4 * total))
@@ -334,13 +381,104 @@ def _read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.frombuffer(out, dtype=np.uint32)
 
 
+def _read_tokens(r: Reader, codes: list[Code], width: int, total: int) -> np.ndarray:
+    """The pixels where only green varies and neither a colour cache nor meta codes stand.
+
+    For every bit of a piece of the stream, the token that would begin there and the bit after it are
+    looked up at once; following these from the first bit picks the tokens that the stream holds.
+    """
+    green, red, blue, alpha, distance = codes
+    rest = int(red.lookup[0]) >> 4 << 16 | int(blue.lookup[0]) >> 4 | int(alpha.lookup[0]) >> 4 << 24
+    out = bytearray(total)
+    data = np.concatenate([np.frombuffer(r.data, np.uint8), np.zeros(32, np.uint8)]).astype(np.uint32)
+    # by byte, the 32 bits from it on
+    ahead = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24
+    lookup = green.lookup.astype(np.int32)
+    at, k, end = r.position, 0, len(r.data) * 8
+
+    def bits_at(where: np.ndarray, many) -> np.ndarray:
+        return ahead[where >> 3] >> (where & 7) & ((1 << many) - 1)  # as int64
+
+    def value_of(code: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length or distance by prefix code and extra bits, and the bit after them."""
+        more = _MORE[code]
+        return _LEAST[code] + bits_at(where, more), where + more
+
+    while k < total:
+        if at >= end and (green.most or distance.most):
+            raise ValueError("the stream ends early")
+        first = at >> 3
+        size = min(PIECE, max(1, (end >> 3) - first))
+        bound = 8 * size
+        found = lookup[(ahead[first : first + size, None] >> _EIGHT & np.uint32(green.mask)).ravel()]
+        after = np.arange(bound + 128, dtype=np.int32)  # beyond the piece each bit stands for itself
+        after[:bound] += found & 15
+        where = np.flatnonzero(found >= LITERALS << 4)
+        n = d = where
+        if len(where):
+            n, then = value_of((found[where] >> 4) - LITERALS, (first << 3) + after[where].astype(np.int64))
+            code = distance.lookup[bits_at(np.minimum(then, end), distance.most)]
+            d, then = value_of(code >> 4, np.minimum(then, end) + (code & 15))
+            after[where] = then - (first << 3)
+        if not green.most:  # one symbol that takes no bits, over and over
+            chain = np.zeros(total - k if found[0] >> 4 < LITERALS else 1, dtype=np.int64)
+            at = at + int(after[0])
+        else:
+            two = after[after]
+            four = two[two]
+            step, p, steps = memoryview(four[four]), at - (first << 3), []
+            while p < bound:
+                steps.append(p)
+                p = step[p]
+            chain = np.empty((len(steps), 8), dtype=np.int32)
+            chain[:, 0] = steps
+            chain[:, 4] = four[chain[:, 0]]
+            chain[:, 2::4] = two[chain[:, ::4]]
+            chain[:, 1::2] = after[chain[:, ::2]]
+            chain = chain.ravel()
+            # where the last eight reach the piece's end, the next one begins there
+            p = int(chain[np.argmax(chain >= bound)]) if len(chain) and chain[-1] >= bound else p
+            chain = chain[chain < bound]
+            at = (first << 3) + p
+        symbol = found[chain] >> 4
+        ref = symbol >= LITERALS
+        those = np.searchsorted(where, chain[ref])
+        many = np.ones(len(chain), dtype=np.int64)
+        many[ref] = n[those]
+        stop = k + np.cumsum(many)
+        last = int(np.searchsorted(stop, total)) + 1  # padding after the last token
+        if last <= len(chain):
+            if stop[last - 1] != total:
+                raise ValueError("a back-reference leaves the image")
+            if last < len(chain):
+                at = (first << 3) + int(chain[last])
+        symbol, ref, stop = symbol[:last], ref[:last], stop[:last]
+        view = np.frombuffer(out, np.uint8)
+        view[stop[~ref] - 1] = symbol[~ref]
+        del view
+        those = those[: np.count_nonzero(ref)]
+        back = d[those]
+        back = np.where(back > len(NEAR), back - len(NEAR), np.maximum(1, _NEAR[np.minimum(back, len(NEAR)) - 1] @ (1, width)))
+        if (back > stop[ref] - n[those]).any():
+            raise ValueError("a back-reference leaves the image")
+        for e, m, x in zip(stop[ref].tolist(), n[those].tolist(), back.tolist()):
+            b = e - m
+            out[b:e] = out[b - x : e - x] if x >= m else (out[b - x : b] * -(-m // x))[:m]
+        k = int(stop[-1]) if len(stop) else k
+    if at > end:
+        raise ValueError("the stream ends early")
+    r.at, r.value, r.held = at >> 3, 0, 0
+    r.read(at & 7)
+    return np.frombuffer(out, dtype=np.uint8).astype(np.uint32) << 8 | np.uint32(rest)
+
+
 def _read_green(r: Reader, codes: list[Code], width: int, total: int, bits: int) -> np.ndarray | None:
     """The pixels where only green varies and no meta codes stand: the loop of _read_pixels on bytes, two literals at once."""
     green, red, blue, alpha, distance = codes
     rest = red.table[0] >> 4 << 16 | blue.table[0] >> 4 | alpha.table[0] >> 4 << 24
     # symbol << 4 | length, or where two literals stand in the next bits: PAIR | second << 13 | first << 4 | both lengths
     pair = 1 << 24
-    one = np.array(green.table, dtype=np.int64)
+    one = green.lookup
     two = one[np.arange(len(one)) >> (one & 15)]
     both = (one >> 4 < LITERALS) & (two >> 4 < LITERALS) & ((one & 15) + (two & 15) <= min(green.most, 15))
     table_ = np.where(both, pair | two >> 4 << 13 | one >> 4 << 4 | (one & 15) + (two & 15), one).tolist()
@@ -413,58 +551,50 @@ def _read_green(r: Reader, codes: list[Code], width: int, total: int, bits: int)
     return np.frombuffer(out, dtype=np.uint8).astype(np.uint32) << 8 | np.uint32(rest)
 
 
-def _references(pixels: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy back-references to the last place of RUN equal pixels, where they take fewer bits than literals: starts, lengths, distances."""
+def _references(pixels: np.ndarray, lone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy back-references to the last place of RUN equal pixels, where they take fewer bits than literals: starts, lengths, distances.
+
+    A copy goes on while the last places of the next pixels stand at the same distance. lone: only green varies.
+    """
     total = len(pixels)
     none = np.zeros(0, dtype=np.int64)
     if total <= RUN:
         return none, none, none
-    if (pixels & 0xFFFF00FF == pixels[0] & 0xFFFF00FF).all():
+    if lone:
         raw = (pixels >> 8 & 255).astype(np.uint8)
         counts = np.bincount(raw)
         counts = counts[counts > 0]
     else:
-        colours, raw, counts = np.unique(pixels, return_inverse=True, return_counts=True)
-        raw = raw.astype(np.uint8 if len(colours) <= 256 else np.uint32)
-    key = np.zeros(total - RUN + 1, dtype=np.uint64)
-    for i in range(RUN):  # a clash, of more than 256 colours only, makes a short match
-        key = key << np.uint64(8) ^ raw[i : total - RUN + 1 + i]
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    last = np.full(total, -1, dtype=np.int64)
-    last[order[1:][same]] = order[:-1][same]
-    # from each place, the next one that has an earlier match
-    place = np.where(last >= 0, np.arange(total), total)
-    following = np.minimum.accumulate(place[::-1])[::-1].tolist()
-    last = last.tolist()
-    each = max(0.05, float(counts @ np.log2(total / counts)) / total)
-    data, z = raw.tobytes(), raw.itemsize
-    out = []
-    k = following[0]
-    while k < total:
-        at, n = last[k], 0
-        most = min(LONGEST, total - k)
-        step = 16
-        while n < most:
-            a, b = data[(at + n) * z : (at + n + step) * z], data[(k + n) * z : (k + n + step) * z]
-            if len(b) == len(a) and a == b:
-                n += step
-                step *= 2
-                continue
-            differ = int.from_bytes(a[: len(b)], "little") ^ int.from_bytes(b, "little")
-            n += ((differ & -differ).bit_length() - 1) // (8 * z) if differ else len(b) // z
-            break
-        n = min(n, most)
-        if n >= RUN and k - at <= FAR and n * each > 10 + (k - at).bit_length():
-            out.append((k, n, k - at))
-            k += n
-        else:
-            k += 1
-        k = following[k] if k < total else total
-    if not out:
+        _, raw, counts = np.unique(pixels, return_inverse=True, return_counts=True)
+    wide = raw.astype(np.uint64)
+    two = wide[:-1] << np.uint64(8) ^ wide[1:]
+    key = two[:-4] << np.uint64(32) ^ two[2:-2] << np.uint64(16) ^ two[4:]  # of RUN pixels
+    # the upper bits of a hash, then the place: sorted, equal keys stand together in order of place
+    place_bits = np.uint64(max(1, len(key).bit_length()))
+    mask = (np.uint64(1) << place_bits) - np.uint64(1)
+    mixed = np.sort(key * np.uint64(0x9E3779B97F4A7C15) & ~mask | np.arange(len(key), dtype=np.uint64))
+    same = np.flatnonzero((mixed[1:] ^ mixed[:-1]) <= mask)
+    here, before = (mixed[same + 1] & mask).astype(np.int64), (mixed[same] & mask).astype(np.int64)
+    equal = key[here] == key[before]  # hashes may clash; keys do where there are more than 256 colours
+    if not lone:
+        equal &= (raw[here[:, None] + np.arange(RUN)] == raw[before[:, None] + np.arange(RUN)]).all(axis=1)
+    if not equal.any():
         return none, none, none
-    found = np.array(out, dtype=np.int64)
-    return found[:, 0], found[:, 1], found[:, 2]
+    far = np.zeros(len(key) + 1, dtype=np.int64)
+    far[here[equal]] = (here - before)[equal]
+    # each place's copy ends where the distance changes
+    ends = _runs(far)[1:]
+    at = np.flatnonzero((far > 0) & (far <= FAR))
+    distance = far[at]
+    length = np.minimum(ends[np.searchsorted(ends, at, side="right")] - at + RUN - 1, LONGEST)
+    each = max(0.05, float(counts @ np.log2(total / counts)) / total)
+    pays = length * each > 10 + np.frexp(distance.astype(np.float64))[1]
+    at, length, distance = at[pays], length[pays], distance[pays]
+    chosen, i, places, sizes = [], 0, at.tolist(), length.tolist()
+    while i < len(places):
+        chosen.append(i)
+        i = bisect_left(places, places[i] + sizes[i], i + 1)
+    return at[chosen], length[chosen], distance[chosen]
 
 
 def _prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -475,11 +605,11 @@ def _prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(y < 4, y, 2 * top + (y >> np.maximum(top - 1, 0) & 1)), y & ((1 << extra) - 1), extra
 
 
-def _cost(symbols: np.ndarray) -> float:
-    """About the bits that a prefix code and its symbols take."""
-    n = np.bincount(symbols)
+def _cost(*counts: np.ndarray) -> float:
+    """About the bits that a prefix code for symbols with these counts takes, with the symbols."""
+    n = np.concatenate(counts)
     n = n[n > 0]
-    return float(n @ np.log2(len(symbols) / n)) + 5 * len(n) if len(n) else 0.0
+    return float(n @ np.log2(n.sum() / n)) + 5 * len(n) if len(n) else 0.0
 
 
 @cache
@@ -505,22 +635,27 @@ def _write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_b
     """The general encoder of an entropy-coded image. cache_bits: None for what pays."""
     pixels = np.asarray(pixels, dtype=np.uint32)
     total = len(pixels)
-    starts, lengths, distances = _references(pixels, width) if references else (np.zeros(0, dtype=np.int64),) * 3
+    lone = bool((pixels & 0xFFFF00FF == pixels[0] & 0xFFFF00FF).all())
+    starts, lengths, distances = _references(pixels, lone) if references else (np.zeros(0, dtype=np.int64),) * 3
     edge = np.zeros(total + 1, dtype=np.int64)
     edge[starts] += 1
     edge[starts + lengths] -= 1
     literal = np.cumsum(edge[:-1]) == 0
     length, length_x, length_n = _prefixes(lengths)
-    channels = [pixels >> 8 & 255, pixels >> 16 & 255, pixels & 255, pixels >> 24]
+    # green, red, blue, alpha; of those that don't vary one sample
+    channels = [(pixels if i == 0 or not lone else pixels[:1]) >> shift & 255 for i, shift in enumerate((8, 16, 0, 24))]
     channels = [c.astype(np.int64) for c in channels]
     slot = hit = None
     if cache_bits is None:
-        varied = [c for c in channels[1:] if (c != c[0]).any()]
-        cost = lambda keep, more: _cost(np.concatenate([channels[0][keep], LITERALS + length, more])) + sum(_cost(c[keep]) for c in varied)
-        best, cache_bits = cost(literal, length[:0]), 0
+        varied = [channels[0], *(c for c in channels[1:] if len(c) > 1 and (c != c[0]).any())]
+        plain = [np.bincount(c[literal], minlength=256) for c in varied]
+        copies = np.bincount(length)
+        best, cache_bits = _cost(plain[0], copies) + sum(_cost(c) for c in plain[1:]), 0
         for bits in CACHES:
             slot_, hit_ = _cached(pixels, bits)
-            now = cost(literal & ~hit_, LITERALS + LENGTHS + slot_[literal & hit_].astype(np.int64))
+            met = np.flatnonzero(hit_ & literal)
+            left = [n - np.bincount(c[met], minlength=256) for n, c in zip(plain, varied)]
+            now = _cost(left[0], copies, np.bincount(slot_[met])) + sum(_cost(c) for c in left[1:])
             if now < best:
                 best, cache_bits, slot, hit = now, bits, slot_, hit_
     elif cache_bits:
@@ -549,7 +684,7 @@ def _write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_b
     if main:
         w.put(0, 1)
     codes, bits_ = [], []
-    for x, n in zip((head, *(c[at[plain]] for c in channels[1:]), distance), (LITERALS + LENGTHS + size, 256, 256, 256, DISTANCES)):
+    for x, n in zip((head, *(c if lone else c[at[plain]] for c in channels[1:]), distance), (LITERALS + LENGTHS + size, 256, 256, 256, DISTANCES)):
         counts = np.bincount(x, minlength=n)
         if len(x) == 0 or (x[0] < 256 and counts[x[0]] == len(x)):
             w.put(0b101 if len(x) else 0b1, 3 if len(x) else 4)
@@ -558,11 +693,12 @@ def _write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_b
             codes.append(np.zeros_like(x))
             bits_.append(np.zeros_like(x))
             continue
-        own = code_lengths({int(v): int(counts[v]) for v in np.flatnonzero(counts)}, n, MOST_BITS)
+        used = np.flatnonzero(counts)
+        own = code_lengths(used.tolist(), counts[used].tolist(), n, MOST_BITS)
         write_code(w, own)
         code, bit = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        for v, (c, m) in canonical(own).items():
-            code[v], bit[v] = c, m
+        used, many, those = canonical(own)
+        code[used], bit[used] = those, many
         codes.append(code[x])
         bits_.append(bit[x])
     value, held = codes[0], bits_[0]
@@ -572,15 +708,25 @@ def _write_pixels(w: Writer, pixels: np.ndarray, width: int, main: bool, cache_b
             value[which] |= x << held[which]
             held[which] += n
 
-    for i in (1, 2, 3):
+    for i in () if lone else (1, 2, 3):
         add(plain, codes[i], bits_[i])
     for x, n in ((length_x, length_n), (codes[4], bits_[4]), (distance_x, distance_n)):
         add(ref, x, n)
     ends = np.cumsum(held)
     if n := int(ends[-1]):
-        step = np.arange(n) - np.repeat(ends - held, held)
-        packed = np.packbits((np.repeat(value, held) >> step & 1).astype(np.uint8), bitorder="little")
-        w.put(int.from_bytes(packed.tobytes(), "little"), n)
+        w.put(int.from_bytes(_packed(value, ends - held, n), "little"), n)
+
+
+def _packed(value: np.ndarray, start: np.ndarray, total: int) -> bytes:
+    """Values of at most 63 bits laid at ascending bit offsets, as little-endian bytes."""
+    words = np.zeros((total >> 6) + 2, dtype=np.uint64)
+    value, word, shift = value.astype(np.uint64), start >> 6, (start & 63).astype(np.uint64)
+    first = _runs(word)
+    own = word[first]
+    words[own] |= np.bitwise_or.reduceat(value << shift, first)
+    # what goes over a word's end; a shift by 64 is made in two steps
+    words[own + 1] |= np.bitwise_or.reduceat(value >> (np.uint64(63) - shift) >> np.uint64(1), first)
+    return words.tobytes()[: -(-total // 8)]
 
 
 # --- transforms, on arrays (height, width, 4) of A, R, G, B as int64
@@ -790,18 +936,25 @@ def _entropy(x: np.ndarray) -> float:
 
 
 def _ways(x: np.ndarray) -> list[dict]:
-    """Transforms that may pay for samples (height, width), besides none: a palette that bundles pixels, the predictor that leaves the least entropy."""
+    """Transforms that may pay for samples (height, width), besides none: a palette that bundles pixels, the predictor that leaves the least entropy.
+
+    Where neither the left nor the upper neighbour leaves less than the samples have, no other predictor is looked at.
+    """
     ways = []
-    if np.count_nonzero(np.bincount(x.ravel(), minlength=256)) <= 16:
+    counts = np.bincount(x.ravel())
+    counts = counts[counts > 0]
+    if len(counts) <= 16:
         ways.append({"palette": True})
-    y = x.astype(np.int64)
-    top, row = y[:-1], y[1:]
-    ahead, behind = top[:, 2:], top[:, :-2]
-    middle = row[:, 1:-1]
-    by = {1: row[:, :-2], 2: top[:, 1:-1], 3: ahead, 4: behind, 8: (behind + top[:, 1:-1]) >> 1, 9: (ahead + top[:, 1:-1]) >> 1} if len(row) else {1: y[:, :-1]}
-    left = {m: _entropy(((middle if len(row) else y[:, 1:]) - p) & 255) for m, p in by.items()}
+    top, row = x[:-1], x[1:]  # differences of bytes wrap around
+    ahead, behind, above, middle = top[:, 2:], top[:, :-2], top[:, 1:-1], row[:, 1:-1]
+    mean = lambda a, b: (a & b) + ((a ^ b) >> 1)
+    own = middle if len(row) else x[:, 1:]
+    plain, by = float(counts @ np.log2(x.size / counts)) * own.size / x.size, {1: row[:, :-2], 2: above} if len(row) else {1: x[:, :-1]}
+    left = {m: _entropy(own - p) for m, p in by.items()}
+    if len(row) and min(left.values()) < plain:
+        left |= {m: _entropy(own - p) for m, p in {3: ahead, 4: behind, 8: mean(behind, above), 9: mean(ahead, above)}.items()}
     mode = min(left, key=left.get)
-    if left[mode] < PAYS * _entropy(middle if len(row) else y[:, 1:]):
+    if left[mode] < PAYS * plain:
         ways.append({"predictor": mode, "size_bits": 9, "green": True})
     return ways
 
