@@ -38,7 +38,11 @@ def spans_of(text: Column, kind: Kind, place: int) -> Column:
     shape = "array<struct<start:int,place:int,end:int,value:string,score:int>>"
     none = F.array().cast(shape)
     gaps, hits = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pairs = _with_after(gaps, hits, kind.context) if kind.context else F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"), F.lit("").alias("a")))
+    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    if kind.context:  # worked out once, though it is used twice
+        pairs = F.get(F.transform(F.array(pairs), lambda x: _with_after(x, kind.context)), F.lit(0))
+    else:
+        pairs = F.transform(pairs, lambda p: F.struct(p["g"].alias("g"), p["h"].alias("h"), F.lit("").alias("a")))
 
     def add(acc: Column, p: Column) -> Column:
         hit = p["h"]
@@ -59,18 +63,18 @@ def spans_of(text: Column, kind: Kind, place: int) -> Column:
     return F.when(test, found).otherwise(none)
 
 
-def _with_after(gaps: Column, hits: Column, context: int) -> Column:
-    """array<struct(g, h, a)>: each match with the gap before it and the text after it, which is gathered from the end."""
-    last = F.zip_with(F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+def _with_after(pairs: Column, context: int) -> Column:
+    """pairs (gap, match), the last without a match, to array<struct(g, h, a)>: each match with the gap before it and the text after it, which is gathered from the end."""
 
     def add(acc: Column, p: Column) -> Column:
-        after = F.left(F.concat(p["g"], acc["head"]), F.lit(context))
-        return F.struct(F.left(F.concat(p["h"], after), F.lit(context)).alias("head"), F.concat(acc["out"], F.array(after)).alias("out"))
-
-    start = F.struct(F.lit("").alias("head"), F.array().cast("array<string>").alias("out"))
-    after = F.reverse(F.aggregate(F.reverse(F.filter(last, lambda p: p["h"].isNotNull())), start, add, lambda acc: acc["out"]))
-    own = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    return F.zip_with(own, after, lambda p, a: F.struct(p["g"].alias("g"), p["h"].alias("h"), a.alias("a")))
+        # what follows p's gap is known; with the match before it, this is what the next step needs
+        own = F.struct(p["g"].alias("g"), p["h"].alias("h"), acc["head"].alias("a"))
+        out = F.when(p["h"].isNotNull(), F.concat(F.array(own), acc["out"])).otherwise(acc["out"])
+        head = F.left(F.concat(p["g"], F.coalesce(p["h"], F.lit("")), acc["head"]), F.lit(context))
+        return F.struct(head.alias("head"), out.alias("out"))
+
+    start = F.struct(F.lit("").alias("head"), F.array().cast("array<struct<g:string,h:string,a:string>>").alias("out"))
+    return F.aggregate(F.reverse(pairs), start, add, lambda acc: acc["out"])
 
 
 def rebuilt(text: Column, spans: Column) -> Column:
