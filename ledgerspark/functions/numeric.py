@@ -81,16 +81,16 @@ def unit_scale(question: Column | str) -> Column:
     """The factor from đồng to the unit that a question names; 1 without one."""
     q = F.lower(col(question))
     out = F.lit(1.0)
-    for word, factor in reversed(UNITS):
-        out = F.when(F.contains(q, F.lit(word)), F.lit(factor)).otherwise(out)
+    for some, _, factor in reversed(UNITS):
+        out = F.when(contains_any(q, some), F.lit(factor)).otherwise(out)
     return out
 
 
 def unit_name(question: Column | str) -> Column:
     q = F.lower(col(question))
     out = F.lit("đồng")
-    for word, _ in reversed(UNITS):
-        out = F.when(F.contains(q, F.lit(word)), F.lit(word)).otherwise(out)
+    for some, name, _ in reversed(UNITS):
+        out = F.when(contains_any(q, some), F.lit(name)).otherwise(out)
     return out
 
 

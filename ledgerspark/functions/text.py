@@ -49,6 +49,11 @@ def lines(c: Column | str) -> Column:
     return F.split(col(c), "\n")
 
 
+def broken_lines(c: Column | str) -> Column:
+    """Lines as any line break parts them: CR, LF or both, form feeds and separators, too."""
+    return F.split(col(c), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]")
+
+
 def line_of(text: Column | str, offset: Column) -> Column:
     """The 1-based line of the code point at a 0-based offset."""
     before = F.substr(col(text), F.lit(1), offset)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.numeric import is_percent, unit_name, unit_scale
 from ..functions.text import col, contains_all, contains_any, quoted, strip
+from .cut import cut
 
 ALIAS_LIMIT = 100_000
+RUN = r"[\p{L}\p{N}]+"
 
 
 def uppercase_codes(question: Column | str) -> Column:
@@ -26,14 +28,17 @@ def uppercase_codes(question: Column | str) -> Column:
 def alias_matches(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, ticker, alias, start, stop): where an alias first stands between non-alphanumerics, case aside.
 
-    questions (id, question), aliases (ticker, alias). A theta join on containment; the aliases are
-    broadcast while they are a bounded dimension.
+    questions (id, question), aliases (ticker, alias). An alias is looked up by its first run of
+    alphanumerics, which is such a run of the question, too; those without any are compared with all
+    questions. The aliases are broadcast while they are a bounded dimension.
     """
-    names = aliases.select("ticker", F.lower("alias").alias("alias")).distinct()
+    names = aliases.select("ticker", F.lower("alias").alias("alias")).where("alias <> ''").distinct().withColumn("word", F.regexp_extract("alias", RUN, 0))
     if names.limit(ALIAS_LIMIT + 1).count() <= ALIAS_LIMIT:
         names = F.broadcast(names)
     q = questions.select("id", F.lower("question").alias("q"))
-    met = q.join(names, F.contains(F.col("q"), F.col("alias")) & (F.col("alias") != ""))
+    runs = q.select("id", "q", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(RUN), F.lit(0)))).alias("word"))
+    met = runs.join(names.where("word <> ''"), "word").where(F.contains(F.col("q"), F.col("alias"))).select("id", "q", "ticker", "alias")
+    met = met.unionByName(q.join(names.where("word = ''"), F.contains(F.col("q"), F.col("alias"))).select("id", "q", "ticker", "alias"))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted(F.col("alias")), F.lit(r"(?![\p{L}\p{N}])"))
     at = F.regexp_instr("q", pattern) - 1
     return met.withColumn("start", at).where("start >= 0").select("id", "ticker", "alias", "start", (F.col("start") + F.length("alias")).alias("stop"))
@@ -132,9 +137,10 @@ def understand(questions: DataFrame, aliases: DataFrame, codes: DataFrame | None
     codes = code_dimension(spark) if codes is None else codes
     known = aliases.select(F.upper("ticker").alias("code")).distinct()
     by_code = questions.select("id", F.explode(uppercase_codes("question")).alias("code")).join(known, "code").select("id", F.col("code").alias("ticker"))
-    by_name = outermost(alias_matches(questions, aliases))
+    matches = cut(alias_matches(questions, aliases), "alias-matches")
+    by_name = outermost(matches)
     # a code that only stands inside a longer name isn't a mention
-    covered = alias_matches(questions, aliases).select("id", "ticker", F.lower("ticker").alias("t"), "alias").where("t = alias").select("id", "ticker")
+    covered = matches.select("id", "ticker", F.lower("ticker").alias("t"), "alias").where("t = alias").select("id", "ticker")
     kept = by_name.select("id", "ticker")
     by_code = by_code.join(covered.exceptAll(kept), ["id", "ticker"], "left_anti")
     found = by_code.unionByName(kept).groupBy("id").agg(F.sort_array(F.collect_set("ticker")).alias("tickers"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.fuzzy import sequence_ratio, word_coverage
 from ..functions.numeric import to_number
-from ..functions.text import contains_any, lines, strip
+from ..functions.text import broken_lines, contains_any, lines, strip
 
 TABLE = ["report_id", "table_index"]
 
@@ -125,10 +125,14 @@ def by_label(plans: DataFrame, cells: DataFrame, roles: DataFrame, metrics: Data
 
 
 def number_in_line(line: Column) -> Column:
-    """The first non-zero number of a line, times the unit that follows it; commas go, dots are decimal."""
+    """The first number but 0 of a line, times the unit that follows it.
+
+    A number is digits, then groups of a mark and digits, with a hyphen or a dash in front where it is
+    negative; commas go, dots are decimal, so one of several dots isn't read.
+    """
     units = "|".join(u for u, _ in C.TEXT_UNITS)
-    pattern = rf"(?iu)(-?\d[\d.,]*)\s*({units})?"
-    numbers = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    pattern = rf"(?iu)([-–]?\d+(?:[.,]\d+)*)[\s\p{{Z}}]*({units})?"
+    numbers = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: F.translate(x, "–,", "-"))
     named = F.regexp_extract_all(F.lower(line), F.lit(pattern), F.lit(2))
 
     def value(x: Column, u: Column) -> Column:
@@ -141,14 +145,14 @@ def number_in_line(line: Column) -> Column:
 
 
 def by_text(plans: DataFrame, texts: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Tier 3: (id, value, report_id, table_index): the number of the first line that holds a metric.
+    """Tier 3: (id, value, report_id, table_index): the number of the first line that holds a metric, by table, then metric, then line.
 
-    texts: (report_id, table_index, text), the table's context and its surroundings.
+    texts: (report_id, table_index, text), the table's context and its surroundings; metrics: (id, metric_pos, metric).
     """
-    rows = plans.join(texts, TABLE).select("id", "table_pos", *TABLE, F.posexplode(lines("text")).alias("line_no", "line"))
+    rows = plans.join(texts, TABLE).select("id", "table_pos", *TABLE, F.posexplode(broken_lines("text")).alias("line_no", "line"))
     met = rows.join(metrics, "id").where((F.length(strip("metric")) >= 3) & F.contains(F.lower("line"), F.lower(strip("metric"))))
     found = met.withColumn("value", number_in_line(F.col("line"))).where("value is not null")
-    return found.groupBy("id").agg(F.min_by(F.struct("value", *TABLE), F.struct("table_pos", "line_no")).alias("x")).select("id", "x.*")
+    return found.groupBy("id").agg(F.min_by(F.struct("value", *TABLE), F.struct("table_pos", "metric_pos", "line_no")).alias("x")).select("id", "x.*")
 
 
 def cascade(questions: DataFrame, *tiers, cut=lambda df: df) -> DataFrame:
@@ -174,6 +178,46 @@ def first_nonzero(plans: DataFrame, cells: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.min_by("num", F.struct("table_pos", "col", "row")).alias("value"))
 
 
+def _digits(c: Column) -> Column:
+    """What is left of a text without anything but digits, dots and hyphens."""
+    return F.regexp_replace(c, r"[^\d.-]", "")
+
+
+def _parsed(c: Column) -> Column:
+    return F.when(c.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), c.try_cast("double"))
+
+
+def get_val(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (report_id, table_index, code, keyword), each once, with value: one cell by code, else by keyword.
+
+    The row is the first whose cell is the code, in the leftmost column that has one; without such a
+    row the first that holds the keyword (plain text, case aside) in column 0, else in column 1. The
+    value stands in the last column but one, or the last of fewer than three; what isn't a number is
+    0, and so is the value where no row is found.
+    """
+    targets = targets.distinct()
+    asked = F.coalesce(strip("code"), F.lit("")) != ""
+    by_code = rows_by_code(cells, targets.where(asked).select(*TABLE, "code")).groupBy(*TABLE, "code").agg(F.min("row").alias("by_code"))
+    word = F.lower(strip("keyword"))
+    held = targets.where(F.coalesce(word, F.lit("")) != "").join(cells.where("col < 2"), TABLE).where(F.contains(F.lower("text"), word))
+    by_word = held.groupBy(*TABLE, "code", "keyword").agg(F.min(F.struct("col", "row"))["row"].alias("by_word"))
+    width = cells.groupBy(*TABLE).agg((F.max("col") + 1).alias("width_"))
+    rows = targets.join(by_code, [*TABLE, "code"], "left")
+    same = [rows[c].eqNullSafe(by_word[c]) for c in (*TABLE, "code", "keyword")]
+    rows = rows.join(by_word, same[0] & same[1] & same[2] & same[3], "left").select(*[rows[c] for c in rows.columns], by_word["by_word"])
+    at = rows.join(width, TABLE, "left").select(*targets.columns, F.coalesce("by_code", "by_word").alias("row"), F.when(F.col("width_") >= 3, F.col("width_") - 2).otherwise(F.col("width_") - 1).alias("col"))
+    found = at.join(cells.select(*TABLE, "row", "col", "text"), [*TABLE, "row", "col"], "left")
+    return found.select(*targets.columns, F.coalesce(_parsed(_digits(F.col("text"))), F.lit(0.0)).alias("value"))
+
+
+def first_parsable(cells: DataFrame, default: float = 0.0) -> DataFrame:
+    """(report_id, table_index, value): the first number of each table's second column, or of its only one, else the default."""
+    column = F.least(F.lit(1), F.max("col").over(Window.partitionBy(*TABLE)))
+    own = cells.withColumn("at_", column).where("col = at_").withColumn("value", _parsed(_digits(F.col("text"))))
+    found = own.groupBy(*TABLE).agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("row"))).alias("value"))
+    return found.withColumn("value", F.coalesce("value", F.lit(float(default))))
+
+
 def excerpt(rows: DataFrame, keys: list[str], order: str, hit: Column, first: int = 5, last: int = 2) -> DataFrame:
     """The first and last rows of each key, and those at or next to a hit."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import contains_any, strip, strip_accents, words
 from ..functions.vectors import cosine
+from .cut import cut
 
 TOKEN_CHARS = 3
+#: Dictionaries of no more than so many rows, of a word or two each, are broadcast.
+BROADCAST_ROWS = 500_000
 TOP_TABLES = 5
 FIELD_WEIGHTS = {"context": 3.0, "headers": 2.0, "items": 1.5, "rest": 1.0}
 
@@ -33,11 +36,17 @@ def query_tokens(questions: DataFrame, distinct: bool = True) -> DataFrame:
     return out.distinct() if distinct else out
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has no more than so many (short) rows; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def token_hits(tokens: DataFrame, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, field, token) for each text field that holds a token as part of a word.
+    """(keys, field, token) for each text field that holds a token as part of a word; rows may repeat. Dealt out by keys.
 
     texts: (keys, field, text); tokens: (token). The containment join is between distinct tokens and
-    the vocabulary; common words stand in it once.
+    the vocabulary; common words stand in it once. Its result is a dictionary of words, broadcast
+    while it is small, so the texts' words aren't shuffled, only what they hit.
     """
     postings = texts.select(*keys, "field", F.explode(F.array_distinct(words("text"))).alias("word"))
     vocabulary = postings.select("word").distinct()
@@ -45,18 +54,29 @@ def token_hits(tokens: DataFrame, texts: DataFrame, keys: Sequence[str]) -> Data
     # a token is looked up by its first characters in each word's substrings of that length
     grams = vocabulary.where(F.length("word") >= TOKEN_CHARS).select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - TOKEN_CHARS + 1), lambda i: F.substr(F.col("word"), i, F.lit(TOKEN_CHARS))))).alias("gram"))
     met = wanted.withColumn("gram", F.substring("token", 1, TOKEN_CHARS)).join(grams, "gram").where(F.contains(F.col("word"), F.col("token"))).select("token", "word").distinct()
-    return postings.join(met, "word").select(*keys, "field", "token").distinct()
+    met = cut(met, "dictionary")
+    return postings.join(small(met), "word").select(*keys, "field", "token").repartition(*keys)
+
 
+def lexical_scores(questions: DataFrame, texts: DataFrame, keys: Sequence[str], weights: dict[str, float] | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(id, keys, score): over a question's distinct tokens, the weight of the best field that holds it.
 
-def lexical_scores(questions: DataFrame, texts: DataFrame, keys: Sequence[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """(id, keys, score): over a question's distinct tokens, the weight of the best field that holds it."""
+    With pairs (id, keys) only these are scored. Without, the questions' tokens come to the texts,
+    which stay dealt out by keys, so that the pairs of all questions and texts are never shuffled:
+    a top k that follows is cut in each partition first.
+    """
     weights = FIELD_WEIGHTS if weights is None else weights
     tokens = query_tokens(questions)
     w = F.lit(1.0)
     for field, x in weights.items():
         w = F.when(F.col("field") == field, F.lit(float(x))).otherwise(w)
+    if pairs is not None:
+        pairs = pairs.select("id", *keys).distinct()
+        texts = texts.join(pairs.select(*keys).distinct(), list(keys), "left_semi")
+        best = token_hits(tokens, texts, keys).groupBy(*keys, "token").agg(F.max(w).alias("w"))
+        return pairs.join(tokens, "id").join(best, [*keys, "token"]).groupBy("id", *keys).agg(F.sum("w").alias("score"))
     best = token_hits(tokens, texts, keys).groupBy(*keys, "token").agg(F.max(w).alias("w"))
-    return tokens.join(best, "token").groupBy("id", *keys).agg(F.sum("w").alias("score"))
+    return best.join(small(tokens), "token").groupBy("id", *keys).agg(F.sum("w").alias("score"))
 
 
 def rank_documents(questions: DataFrame, tables: DataFrame, k: int = 5) -> DataFrame:
@@ -66,8 +86,9 @@ def rank_documents(questions: DataFrame, tables: DataFrame, k: int = 5) -> DataF
     """
     texts = tables.select("report_id", "table_index", F.lit("rest").alias("field"), "text")
     tokens = query_tokens(questions, distinct=False).groupBy("id", "token").agg(F.count("*").alias("n"))
-    hits = token_hits(tokens, texts, ["report_id", "table_index"])
-    scores = tokens.join(hits, "token").groupBy("id", "report_id", "table_index").agg(F.sum("n").cast("double").alias("score"))
+    keys = ["report_id", "table_index"]
+    hits = token_hits(tokens, texts, keys).dropDuplicates([*keys, "token"])
+    scores = hits.join(small(tokens), "token").groupBy("id", *keys).agg(F.sum("n").cast("double").alias("score"))
     best = scores.groupBy("id", "report_id").agg(F.max("score").alias("score"))
     return top_k(best, ["id"], [F.desc("score"), F.col("report_id")], k)
 
@@ -75,26 +96,47 @@ def rank_documents(questions: DataFrame, tables: DataFrame, k: int = 5) -> DataF
 def bm25(questions: DataFrame, texts: DataFrame, key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(id, key, score); texts (key, text). Words in lower case; those that a question repeats count again."""
     counted = texts.select(key, words("text").alias("ws"))
-    lengths = counted.select(key, F.size("ws").alias("len"))
-    stats = lengths.agg(F.count("*").cast("double").alias("n_docs"), F.avg("len").alias("mean_len"))
+    stats = counted.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("ws")).alias("mean_len"))
     tokens = questions.select("id", F.explode(words("question")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("times"))
-    wanted = tokens.select("token").distinct()
-    postings = counted.select(key, F.size("ws").alias("len"), F.explode("ws").alias("token")).join(wanted, "token", "left_semi").groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
+    wanted = small(tokens.select("token").distinct())
+    found = counted.select(key, F.size("ws").alias("len"), F.explode("ws").alias("token")).join(wanted, "token", "left_semi")
+    # dealt out by text once; what follows needs no other shuffle until the top k
+    postings = cut(found.groupBy(key, "len", "token").agg(F.count("*").alias("tf")), "postings").repartition(key)
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    known = tokens.join(df, "token").crossJoin(F.broadcast(stats))  # one row
-    return known.join(postings, "token").groupBy("id", key).agg(F.sum(F.col("times") * idf * weight).alias("score"))
+    known = cut(tokens.join(df, "token").crossJoin(F.broadcast(stats)), "known-tokens")  # stats is one row
+    return postings.join(small(known), "token").groupBy("id", key).agg(F.sum(F.col("times") * idf * weight).alias("score"))
+
+
+def holding(texts: DataFrame, needles: DataFrame, key: str) -> DataFrame:
+    """(id, key) of the texts (key, text) that hold a whole needle (id, needle).
+
+    A text that holds a needle has each of its inner words; it is looked up by the one that fewest
+    texts have, and then compared. Needles of fewer than three words are compared with all texts.
+    """
+    ws = F.regexp_extract_all("needle", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    inner = needles.select("id", F.explode(F.array_distinct(F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0))))).alias("word"))
+    wanted = small(inner.select("word").distinct())
+    found = cut(texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word")).join(wanted, "word", "left_semi"), "needle-words")
+    often = found.groupBy("word").agg(F.count("*").alias("n"))
+    # a needle with a word that no text has isn't there
+    rarest = inner.join(often, "word", "left").groupBy("id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    pairs = found.join(small(rarest), "word").select("id", key)
+    met = texts.join(pairs, key).join(small(needles), "id").where(F.contains(F.col("text"), F.col("needle")))
+    short = needles.where(F.size(ws) < 3)
+    all_ = texts.join(small(short), F.contains(F.col("text"), F.col("needle")))
+    return met.select("id", key).unionByName(all_.select("id", key))
 
 
 def statement_type(table_type: Column, text: Column) -> Column:
-    """BS, IS, CF or NOTE, by the table's type or its text without accents."""
-    named = F.create_map(*[F.lit(x) for p in (("Balance Sheet", "BS"), ("Income Statement", "IS"), ("Cash Flow Statement", "CF"), ("Notes", "NOTE")) for x in p])
+    """BS, IS or CF, the first that the table's type is or its text names (accents aside), else NOTE."""
+    names = {"BS": "Balance Sheet", "IS": "Income Statement", "CF": "Cash Flow Statement"}
     plain = strip_accents(text)
     found = F.lit("NOTE")
     for kind, ws in reversed(C.STATEMENT_WORDS):
-        found = F.when(contains_any(plain, ws), F.lit(kind)).otherwise(found)
-    return F.coalesce(F.try_element_at(named, table_type), found)
+        found = F.when(F.coalesce(table_type == names[kind], F.lit(False)) | contains_any(plain, ws), F.lit(kind)).otherwise(found)
+    return found
 
 
 def code_boost(codes: Column, account_codes: Column) -> Column:
@@ -132,33 +174,33 @@ def related_penalty(question: Column, context: Column) -> Column:
     return F.when(contains_any(context, C.RELATED_TABLE) & ~contains_any(question, C.RELATED_QUESTION), -100.0).otherwise(0.0)
 
 
-def route_boost(question: Column, statement: Column) -> Column:
-    """By the first class that the question belongs to, what the table's statement gets."""
+def route_boost(question: Column, asked: Column, statement: Column) -> Column:
+    """By the first class that the question belongs to, what the table's statement gets. asked: the question and its metrics; the question alone rules a class out."""
     out = F.lit(0.0)
     for _, some, unless, gets in reversed(C.ROUTES):
         score = F.lit(0.0)
         for kind, x in gets.items():
             score = F.when(statement == kind, F.lit(x)).otherwise(score)
-        out = F.when(contains_any(question, some) & ~contains_any(question, unless), score).otherwise(out)
+        out = F.when(contains_any(asked, some) & ~contains_any(question, unless), score).otherwise(out)
     return out
 
 
 def scope_nudge(question: Column, report_id: Column) -> Column:
     separate, consolidated = contains_any(question, C.SCOPE_SEPARATE), contains_any(question, C.SCOPE_CONSOLIDATED)
     report = F.lower(report_id)
-    own = lambda w: F.when(F.contains(report, F.lit(w)), 15.0).otherwise(-15.0)
-    return F.when(separate & ~consolidated, own("separate")).when(consolidated & ~separate, own("consolidated")).otherwise(0.0)
+    own = lambda w, other: F.when(F.contains(report, F.lit(w)), 15.0).when(F.contains(report, F.lit(other)), -15.0).otherwise(0.0)
+    return F.when(separate & ~consolidated, own("separate", "consolidated")).when(consolidated & ~separate, own("consolidated", "separate")).otherwise(0.0)
 
 
 def rule_scores(candidates: DataFrame) -> DataFrame:
     """candidates (id, question, metrics, codes, lexical score, catalog's columns) with score and statement."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     items, question = low("item_col_text"), low("question")
-    memory = F.concat_ws(" ", "table_context", F.array_join("headers", " "), "preview", "item_col_text")
+    memory = memory_text(F.col("table_type"), F.col("table_context"), F.col("headers"), F.col("preview"), F.col("item_col_text"))
     context = F.lower(F.concat_ws(" ", "table_context", memory))
-    asked = F.concat_ws(" ", question, F.lower(F.array_join("metrics", " ")))
+    asked = F.concat_ws("\n", question, F.lower(F.array_join("metrics", "\n")))
     phrase = phrase_boost(F.col("metrics"), items, F.col("exact_metric_labels"), context)
-    marked = candidates.withColumns({"statement": statement_type(F.col("table_type"), memory), "phrase_": phrase, "code_": code_boost(F.col("codes"), F.col("account_codes_set"))})
+    marked = candidates.withColumns({"statement": statement_type(F.col("table_type"), context), "phrase_": phrase, "code_": code_boost(F.col("codes"), F.col("account_codes_set"))})
     score = (
         F.coalesce("lexical", F.lit(0.0))
         + F.col("code_")
@@ -166,7 +208,7 @@ def rule_scores(candidates: DataFrame) -> DataFrame:
         + fragment_penalty(F.col("metrics"), items, F.col("phrase_.hit") | (F.col("code_") > 0))
         + topic_boost(asked, context)
         + related_penalty(question, context)
-        + route_boost(question, F.col("statement"))
+        + route_boost(question, asked, F.col("statement"))
         + scope_nudge(question, F.col("report_id"))
     )
     return marked.withColumn("score", score).drop("phrase_", "code_")
@@ -196,8 +238,14 @@ def tags(tables: DataFrame) -> DataFrame:
     return listed.select("id", F.array_distinct(F.flatten(F.transform("x", lambda e: e["t"]))).alias("relevant_tables"))
 
 
-def memory_text(report_id: Column, kind: Column, context: Column, headers: Column, items: Column) -> Column:
-    """A table's labelled summary, with the first 150 characters of its items."""
+def memory_text(kind: Column, context: Column, headers: Column, preview: Column, items: Column) -> Column:
+    """All that is told of a table, labelled: what its rules are matched against. Nulls are empty."""
+    own = lambda c: F.coalesce(c, F.lit(""))
+    return strip(F.format_string("Loại bảng: %s | Ngữ cảnh: %s | Cột: %s | Mẫu: %s | Chỉ tiêu: %s", own(kind), own(context), own(F.array_join(headers, " ")), own(preview), own(items)))
+
+
+def summary_text(report_id: Column, kind: Column, context: Column, headers: Column, items: Column) -> Column:
+    """A table's labelled summary, with the first 150 characters of its items: what is embedded."""
     return F.format_string("Báo cáo: %s | Loại: %s | Ngữ cảnh: %s | Tiêu đề: %s | Chỉ tiêu: %s", report_id, kind, context, F.array_join(headers, " "), F.substring(items, 1, 150))
 
 

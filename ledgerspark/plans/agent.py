@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import answer, extract, filters, intent, lookup, rank, ratios
+from ..operators.cut import cut
 from ..operators.rank import TOP_TABLES
-from .cut import cut
 
 
 def retrieve(intents: DataFrame, catalog: DataFrame, question_vectors: DataFrame | None = None, table_vectors: DataFrame | None = None) -> DataFrame:
@@ -19,7 +19,8 @@ def retrieve(intents: DataFrame, catalog: DataFrame, question_vectors: DataFrame
     the few that are left.
     """
     lean = catalog.drop("rows")
-    candidates = filters.prefer_scope(filters.hard_filter(intents, lean))
+    keys = ["report_id", "table_index"]
+    candidates = cut(filters.prefer_scope(filters.hard_filter(intents, lean)).drop("report_type", "keyed"), "candidates")
     texts = lean.select(
         "report_id",
         "table_index",
@@ -32,10 +33,9 @@ def retrieve(intents: DataFrame, catalog: DataFrame, question_vectors: DataFrame
             )
         ).alias("t"),
     ).select("report_id", "table_index", "t.*")
-    keys = ["report_id", "table_index"]
-    lexical = rank.lexical_scores(intents.select("id", "question"), texts, keys).withColumnRenamed("score", "lexical")
+    lexical = rank.lexical_scores(intents.select("id", "question"), texts, keys, pairs=candidates).withColumnRenamed("score", "lexical")
     wanted = intents.select("id", "question", "metrics", "codes", "top_n")
-    scored = rank.rule_scores(candidates.drop("report_type", "keyed").join(wanted, "id").join(lexical, ["id", *keys], "left"))
+    scored = rank.rule_scores(candidates.join(wanted, "id").join(lexical, ["id", *keys], "left"))
     best = rank.rerank(scored, question_vectors, table_vectors, keep=TOP_TABLES)
     return best.where(F.col("rank") <= F.greatest(F.col("top_n"), F.lit(1)))
 
@@ -83,7 +83,7 @@ def answer_questions(
     by_ratio = intents.where("formula is not null").select("id", "formula").join(first_report, "id").join(values, ["report_id", "formula"]).where("value is not null").select("id", "value", *keys)
 
     codes = intents.select("id", F.posexplode("codes").alias("code_pos", "code"))
-    metrics = intents.select("id", F.explode("metrics").alias("metric"))
+    metrics = intents.select("id", F.posexplode("metrics").alias("metric_pos", "metric"))
     texts = tables.select(*keys, F.col("table_context").alias("text"))
     if reports is not None:
         near = lookup.surroundings(reports, tables)

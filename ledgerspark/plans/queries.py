@@ -100,7 +100,7 @@ SELECT id, vec_id, score, rank FROM r WHERE rank <= 5"""
 def cosine_topk(spark, sf_dir):
     e, probes = _probes(spark, sf_dir)
     # one probe a label: a stated query set against all rows
-    scored = e.crossJoin(probes).select("id", "vec_id", F.round(vectors.cosine("qv", "embedding"), 6).alias("score"))
+    scored = e.crossJoin(rank.small(probes)).select("id", "vec_id", F.round(vectors.cosine("qv", "embedding"), 6).alias("score"))
     return rank.top_k(scored, ["id"], [F.desc("score"), F.col("vec_id")], 5)
 
 
@@ -161,7 +161,7 @@ def rule_score(spark, sf_dir):
     q, c = F.lower(pick(F.col("o_orderkey"), *_QUESTIONS)), pick(F.col("o_custkey"), *_CONTEXTS)
     report = F.when(F.col("o_orderkey") % 3 == 0, "a_separate").otherwise("a_consolidated")
     rows = o.select("o_orderkey", q.alias("q"), F.lower(c).alias("c"), report.alias("r")).withColumn("statement", rank.statement_type(F.lit("Other/Details"), F.col("c")))
-    score = rank.topic_boost(F.col("q"), F.col("c")) + rank.related_penalty(F.col("q"), F.col("c")) + rank.route_boost(F.col("q"), F.col("statement")) + rank.scope_nudge(F.col("q"), F.col("r"))
+    score = rank.topic_boost(F.col("q"), F.col("c")) + rank.related_penalty(F.col("q"), F.col("c")) + rank.route_boost(F.col("q"), F.col("q"), F.col("statement")) + rank.scope_nudge(F.col("q"), F.col("r"))
     return rows.select("o_orderkey", "statement", score.alias("score"))
 
 
@@ -264,7 +264,7 @@ def garbage_predicate(spark, sf_dir):
 
 @query(
     r"""WITH l AS (SELECT row_number() OVER () AS rid, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
-n AS (SELECT *, list_transform(regexp_extract_all(line, '(?i)(-?[0-9][0-9.,]*)[ \t\n\r\f\v]*(nghìn tỷ|ngàn tỷ|trăm tỷ|tỷ|triệu|nghìn|ngàn|%)?', 1), lambda x: replace(x, ',', '')) AS xs FROM l)
+n AS (SELECT *, list_transform(regexp_extract_all(line, '([-–]?[0-9]+([.,][0-9]+)*)', 1), lambda x: replace(replace(x, ',', ''), '–', '-')) AS xs FROM l)
 SELECT doc_id, line_no, round(list_filter(list_transform(xs, lambda x: CASE WHEN regexp_matches(x, '^-?[0-9]+\.?[0-9]*$') THEN CAST(x AS DOUBLE) END), lambda v: v IS NOT NULL AND v <> 0)[1], 6) AS value
 FROM n WHERE list_filter(list_transform(xs, lambda x: CASE WHEN regexp_matches(x, '^-?[0-9]+\.?[0-9]*$') THEN CAST(x AS DOUBLE) END), lambda v: v IS NOT NULL AND v <> 0)[1] IS NOT NULL"""
 )
@@ -296,17 +296,19 @@ def classify_priority(spark, sf_dir):
 
 # --- intents
 
-_ASKED = ("tính theo tỷ đồng", "nghìn tỷ đồng", "trăm tỷ", "triệu đồng", "trăm triệu", "nghìn đồng", "bao nhiêu tỷ", "bao nhiêu phần trăm", "tăng 5%")
+_ASKED = ("tính theo tỷ đồng", "bao nhiêu tỉ đồng", "nghìn tỉ", "trăm tỉ đồng", "nghìn tỷ đồng", "trăm tỷ", "triệu đồng", "trăm triệu", "nghìn đồng", "bao nhiêu tỷ", "bao nhiêu phần trăm", "tăng 5%")
 
 
 @query(
     f"""WITH q AS (SELECT o_orderkey, {pick_sql('o_orderkey', *_ASKED)} AS q FROM orders)
-SELECT o_orderkey, CASE q WHEN 'tính theo tỷ đồng' THEN 1e-9 WHEN 'nghìn tỷ đồng' THEN 1e-12 WHEN 'trăm tỷ' THEN 1e-11 WHEN 'triệu đồng' THEN 1e-6 WHEN 'trăm triệu' THEN 1e-8 WHEN 'nghìn đồng' THEN 1e-3 ELSE 1.0 END::DOUBLE * 1e9::DOUBLE AS scale_e9,
+SELECT o_orderkey, CASE q WHEN 'tính theo tỷ đồng' THEN 'tỷ đồng' WHEN 'bao nhiêu tỉ đồng' THEN 'tỷ đồng' WHEN 'nghìn tỉ' THEN 'nghìn tỷ đồng' WHEN 'nghìn tỷ đồng' THEN 'nghìn tỷ đồng' WHEN 'trăm tỉ đồng' THEN 'trăm tỷ đồng' WHEN 'trăm tỷ' THEN 'trăm tỷ đồng'
+         WHEN 'triệu đồng' THEN 'triệu đồng' WHEN 'trăm triệu' THEN 'trăm triệu đồng' WHEN 'nghìn đồng' THEN 'nghìn đồng' ELSE 'đồng' END AS unit,
+       CASE q WHEN 'tính theo tỷ đồng' THEN 1e-9 WHEN 'bao nhiêu tỉ đồng' THEN 1e-9 WHEN 'nghìn tỉ' THEN 1e-12 WHEN 'trăm tỉ đồng' THEN 1e-11 WHEN 'nghìn tỷ đồng' THEN 1e-12 WHEN 'trăm tỷ' THEN 1e-11 WHEN 'triệu đồng' THEN 1e-6 WHEN 'trăm triệu' THEN 1e-8 WHEN 'nghìn đồng' THEN 1e-3 ELSE 1.0 END::DOUBLE * 1e9::DOUBLE AS scale_e9,
        q IN ('bao nhiêu phần trăm', 'tăng 5%') AS percent FROM q"""
 )
 def unit_scale(spark, sf_dir):
     q = pick(F.col("o_orderkey"), *_ASKED)
-    return table(spark, sf_dir, "orders").select("o_orderkey", (numeric.unit_scale(q) * 1e9).alias("scale_e9"), numeric.is_percent(q).alias("percent"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", numeric.unit_name(q).alias("unit"), (numeric.unit_scale(q) * 1e9).alias("scale_e9"), numeric.is_percent(q).alias("percent"))
 
 
 @query(
@@ -677,7 +679,7 @@ def _gold(spark, sf_dir) -> DataFrame:
     """(id, doc_id): documents that hold a whole item. The items are a stated query set against all documents."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("needle"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(b, F.contains(F.col("text"), F.col("needle"))).select("id", "doc_id")
+    return rank.holding(d, b, "doc_id")
 
 
 _SETS = f"""{_LEXICAL}, {_GOLD}, p AS (SELECT id, list(doc_id) AS predicted FROM r WHERE rank <= 5 GROUP BY id), h AS (SELECT id, list(doc_id) AS gold FROM g GROUP BY id),
@@ -791,5 +793,5 @@ def query_variants(spark, sf_dir):
 )
 def table_summary(spark, sf_dir):
     headers = F.array("p_brand", F.col("p_size").cast("string"))
-    text_ = rank.memory_text(F.col("p_brand"), F.col("p_type"), F.col("p_name"), headers, F.repeat(F.concat("p_name", F.lit(" ")), 20))
+    text_ = rank.summary_text(F.col("p_brand"), F.col("p_type"), F.col("p_name"), headers, F.repeat(F.concat("p_name", F.lit(" ")), 20))
     return table(spark, sf_dir, "part").select("p_partkey", text_.alias("summary"))

@@ -5,6 +5,7 @@ import difflib
 import pytest
 
 from ledgerspark.plans import queries as q
+from ledgerspark.plans import report_queries  # noqa: F401  (adds its queries)
 from tests.oracle import DATA, assert_same
 
 
