@@ -185,10 +185,13 @@ def build_catalog(reports: DataFrame, tickers: DataFrame | None = None) -> DataF
         "continued",
         "rows",
     )
-    if tickers is None:
-        return catalog.withColumn("company_name", F.lit(""))
+    return catalog.withColumn("company_name", F.lit("")) if tickers is None else with_names(catalog, tickers)
+
+
+def with_names(rows: DataFrame, tickers: DataFrame) -> DataFrame:
+    """rows (ticker, ...) with company_name of tickers (ticker, company_name), the empty name where it is unknown."""
     names = tickers.select("ticker", "company_name").dropDuplicates(["ticker"])
-    return catalog.join(names, "ticker", "left").withColumn("company_name", F.coalesce("company_name", F.lit("")))
+    return rows.join(names, "ticker", "left").withColumn("company_name", F.coalesce("company_name", F.lit("")))
 
 
 def cells_of(catalog: DataFrame) -> DataFrame:

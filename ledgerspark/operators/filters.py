@@ -70,6 +70,12 @@ def valid_codes(targets: DataFrame, cells: DataFrame) -> DataFrame:
     return targets.join(here, ["report_id", "table_index", "code"], "left_semi")
 
 
+def missing_codes(targets: DataFrame, cells: DataFrame) -> DataFrame:
+    """targets (id, report_id, table_index, code) whose code stands in no cell of their table: an anti-join."""
+    here = cells.select("report_id", "table_index", F.trim("text").alias("code"))
+    return targets.join(here, ["report_id", "table_index", "code"], "left_anti")
+
+
 def metric_in_labels(metric: Column | str, labels: Column | str) -> Column:
     """2 if a label equals the metric, 1 if one holds it (five characters at least), else 0; case aside."""
     m = F.lower(F.trim(col(metric)))

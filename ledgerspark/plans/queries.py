@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, numeric, text, vectors
+from ..functions import fuzzy, html, numeric, text, vectors
 from ..operators import answer, evaluate, extract, filters, intent, lookup, rank, ratios, spans
 
 QUERIES, SQL = {}, {}
@@ -105,18 +105,18 @@ def cosine_topk(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_PROBES}, s AS (SELECT id, vec_id, round(list_dot_product(qv[1:8], tv[1:8]), 6) AS first, round(coalesce(list_cosine_similarity(qv, tv), 0), 6) AS cos FROM p, e),
+    f"""WITH {_PROBES}, s AS (SELECT id, vec_id, round(list_dot_product(qv[1:8], tv[1:8]), 6) AS first, coalesce(list_cosine_similarity(qv, tv), 0) AS cos FROM p, e),
 a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first DESC, vec_id) AS k FROM s QUALIFY k <= 20),
-r AS (SELECT id, vec_id, round(first + 300 * cos, 4) AS score FROM a)
-SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS rank FROM r QUALIFY rank <= 5"""
+r AS (SELECT id, vec_id, first + 300 * cos AS score FROM a)
+SELECT id, vec_id, round(score, 4) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS rank FROM r QUALIFY rank <= 5"""
 )
 def two_stage_rerank(spark, sf_dir):
+    """rank.rerank() where the first stage is a score of its own, here of eight dimensions; its cut is the operator's meaning, not a search for the nearest vectors."""
     e, probes = _probes(spark, sf_dir)
-    both = e.crossJoin(probes)
-    cheap = both.withColumn("score", F.round(vectors.dot(F.slice("qv", 1, 8), F.slice("embedding", 1, 8)), 6))
-    first = rank.top_k(cheap, ["id"], [F.desc("score"), F.col("vec_id")], 20)
-    final = first.select("id", "vec_id", F.round(F.col("score") + 300 * F.round(vectors.cosine("qv", "embedding"), 6), 4).alias("score"))
-    return rank.top_k(final, ["id"], [F.desc("score"), F.col("vec_id")], 5)
+    cheap = F.round(vectors.dot(F.slice("qv", 1, 8), F.slice("embedding", 1, 8)), 6)
+    ranked = e.crossJoin(rank.small(probes)).select("id", F.lit("r").alias("report_id"), F.col("vec_id").alias("table_index"), cheap.alias("score"))
+    both = rank.rerank(ranked, probes.select("id", "qv"), e.select(F.lit("r").alias("report_id"), F.col("vec_id").alias("table_index"), F.col("embedding").alias("tv")), keep=20)
+    return both.where("rank <= 5").select("id", F.col("table_index").alias("vec_id"), F.round("score", 4).alias("score"), "rank")
 
 
 @query(
@@ -275,11 +275,14 @@ def free_text_number(spark, sf_dir):
 
 @query(
     r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li.*?>.*?</li>')) AS cell FROM pages)
-SELECT page_id, count(*) AS n_cells, CAST(sum(length(trim(regexp_replace(cell, '<[^>]*>', '', 'g'), ' '))) AS BIGINT) AS n_chars FROM c GROUP BY page_id"""
+SELECT page_id, count(*) AS n_cells, CAST(sum(length(trim(replace(replace(replace(regexp_replace(cell, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' '))) AS BIGINT) AS n_chars FROM c GROUP BY page_id"""
 )
 def html_text_cells(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<li.*?>.*?</li>"), F.lit(0))).alias("cell"))
-    return found.groupBy("page_id").agg(F.count("*").alias("n_cells"), F.sum(F.length(F.trim(F.regexp_replace("cell", "<[^>]*>", "")))).alias("n_chars"))
+    """The pages' list items as one row of a table each, read by the grid builder."""
+    items_ = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<li.*?>(.*?)</li>"), F.lit(1)), lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))), "")
+    grids = table(spark, sf_dir, "pages").select("page_id", html.html_grid(F.concat(F.lit("<table><tr>"), items_, F.lit("</tr></table>"))).alias("grid"))
+    cells = grids.select("page_id", F.explode(F.flatten("grid")).alias("cell"))
+    return cells.groupBy("page_id").agg(F.count("*").alias("n_cells"), F.sum(F.length("cell")).alias("n_chars"))
 
 
 _TITLES = ("Bảng cân đối kế toán", "Kết quả hoạt động kinh doanh", "Lưu chuyển tiền tệ", "Thuyết minh 5", "Khác")
@@ -416,8 +419,10 @@ def semi_valid_codes(spark, sf_dir):
 
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 def anti_unused(spark, sf_dir):
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+    one = [F.lit("r").alias("report_id"), F.lit(1).alias("table_index")]
+    targets = table(spark, sf_dir, "part").select(F.lit(1).alias("id"), *one, F.col("p_partkey").cast("string").alias("code"))
+    used = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(*one, F.col("l_partkey").cast("string").alias("text"))
+    return filters.missing_codes(targets, used).select(F.col("code").cast("long").alias("p_partkey"))
 
 
 @query(
@@ -431,14 +436,14 @@ def metric_in_label(spark, sf_dir):
 
 @query("SELECT c_custkey, CASE WHEN n_regionkey <= 2 THEN n_name ELSE '' END AS company_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def dim_lookup_default(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").where("n_regionkey <= 2").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("company_name"))
-    joined = table(spark, sf_dir, "customer").join(names, "c_nationkey", "left")
-    return joined.select("c_custkey", F.coalesce("company_name", F.lit("")).alias("company_name"))
+    names = table(spark, sf_dir, "nation").where("n_regionkey <= 2").select(F.col("n_nationkey").alias("ticker"), F.col("n_name").alias("company_name"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("ticker"))
+    return extract.with_names(rows, names).select("c_custkey", "company_name")
 
 
 # --- neighbours
 
-_EVENTS = "e AS (SELECT * FROM events WHERE user_id IS NOT NULL)"
+_EVENTS = "e AS (SELECT * FROM events)"
 
 
 @query(
@@ -446,7 +451,7 @@ _EVENTS = "e AS (SELECT * FROM events WHERE user_id IS NOT NULL)"
 SELECT p.event_id, p.user_id, coalesce(m.mark, -1) AS mark FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN m ON p.user_id = m.user_id AND p.ts >= m.ts"""
 )
 def marker_asof(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id is not null")
+    e = table(spark, sf_dir, "events")
     marks = e.where("event_type = 'signup'").groupBy("user_id", "ts").agg(F.max("event_id").alias("mark"))
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     return spans.asof(left, marks, ["user_id"], "ts", "ts", "mark", default=-1).drop("ts")
@@ -457,7 +462,7 @@ c AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_i
 
 
 def _islands(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id is not null")
+    e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return spans.chains(e.withColumn("same", F.coalesce(F.lag("event_type").over(w) == F.col("event_type"), F.lit(False))), ["user_id"], ["ts", "event_id"], F.col("same"))
 
@@ -510,7 +515,7 @@ def code_profile(spark, sf_dir):
 SELECT user_id, event_id FROM m WHERE k <= 5 OR k > n - 2 OR hit OR before = 'error' OR after = 'error'"""
 )
 def table_excerpt(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id is not null").withColumn("at", F.struct("ts", "event_id"))
+    e = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
     return lookup.excerpt(e, ["user_id"], "at", F.col("event_type") == "error").select("user_id", "event_id")
 
 
@@ -662,12 +667,14 @@ def financial_ratios(spark, sf_dir):
 @query(
     """WITH y AS (SELECT o_orderstatus, year(o_orderdate) AS year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY ALL),
 l AS (SELECT *, lag(total) OVER (PARTITION BY o_orderstatus ORDER BY year) AS prev FROM y)
-SELECT o_orderstatus, CAST(year AS INT) AS year, round(total, 2) AS total, round((total - prev) / nullif(prev, 0), 6) AS growth FROM l"""
+SELECT o_orderstatus, CAST(year AS INT) AS year, round((total - coalesce(prev, 0)) / nullif(coalesce(prev, 1), 0), 6) AS growth FROM l"""
 )
 def growth_yoy(spark, sf_dir):
-    years = table(spark, sf_dir, "orders").groupBy("o_orderstatus", F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
-    prev = F.lag("total").over(Window.partitionBy("o_orderstatus").orderBy("year"))
-    return years.withColumn("prev", prev).select("o_orderstatus", "year", F.round("total", 2).alias("total"), F.round(F.try_divide(F.col("total") - F.col("prev"), F.col("prev")), 6).alias("growth"))
+    """Revenue growth of the ratio registry, a status and year being a report; without a year before the numerator counts."""
+    years = table(spark, sf_dir, "orders").groupBy("o_orderstatus", F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("cur"))
+    prev = F.lag("cur").over(Window.partitionBy("o_orderstatus").orderBy("year"))
+    facts = years.withColumns({"prev": prev, "sheet": F.lit("IS"), "code": F.lit("10"), "row": F.lit(1)})
+    return ratios.ratios(facts, ["o_orderstatus", "year"]).select("o_orderstatus", "year", F.round("revenue_growth", 6).alias("growth"))
 
 
 # --- evaluation and packaging
