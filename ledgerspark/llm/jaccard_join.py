@@ -57,8 +57,8 @@ CHECK_COST = 4
 SHORT = 8
 #: So many members of a list are dealt to one task; and in a round so many pairs are made for each entry of all lists.
 PART, ROUND_PAIRS = 256, 8
-#: Whole sets are stored with so many bytes of each hash. Two different hashes of a pair agree in these once in some billion pairs.
-HASH_BYTES = 6
+#: Whole sets are stored with so many bytes of each 64-bit hash.
+HASH_BYTES = 8
 #: A set's print: how many of its shingles fall into each of so many bins, up to 255.
 PRINT_BITS = 7
 
@@ -299,7 +299,8 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "jaccard-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = materialize(small.where("a <> b").distinct(), "jaccard-edges")
+        before, edges = edges, materialize(small.where("a <> b").distinct(), "jaccard-edges")
+        discard(before, large)
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("comp"))
 
 
