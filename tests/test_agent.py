@@ -65,7 +65,7 @@ def test_scores(spark):
 
 
 def test_text_numbers_and_labels(spark):
-    for line, want in (("chi phí 1,234.5 triệu đồng", 1234500000.0), ("1.234.567 và 5 tỷ", 5e9), ("không có", None), ("0 rồi 7%", 7.0)):
+    for line, want in (("chi phí 1,234.5 triệu đồng", 1234500000.0), ("1.234.567 và 5 tỷ", 5e9), ("lãi 1.5. Hết", 1.5), ("lỗ –5 tỷ", -5e9), ("7.% 3", 7.0), ("không có", None), ("0 rồi 7%", 7.0)):
         assert spark.range(1).select(lookup.number_in_line(F.lit(line))).first()[0] == want
     rows = spark.createDataFrame([("Lợi nhuận sau thuế", "lợi nhuận sau thuế"), ("Tổng cộng", "tổng nợ"), ("Khác", "doanh thu thuần")], "label string, metric string")
     from ledgerspark.functions.fuzzy import sequence_ratio
@@ -74,10 +74,53 @@ def test_text_numbers_and_labels(spark):
     assert scores[0] == pytest.approx(1.19) and scores[1] >= 0.65 and scores[2] < 0.4
 
 
+CELLS = "report_id string, table_index int, row int, col int, text string, num double"
+
+
+def test_cells_by_code_or_keyword(spark):
+    grid = [["Chỉ tiêu", "Mã", "Năm nay", "Năm trước"], ["Lãi (lỗ)", "21", "1.5đ", "7"], ["Khác", "22", "-", None], ["21", "x", "9", "8"]]
+    rows = [("r", 1, i, j, c, None) for i, line in enumerate(grid) for j, c in enumerate(line)] + [("s", 1, 0, 0, "a", None), ("s", 1, 0, 1, "12", None)]
+    cells = spark.createDataFrame(rows, CELLS)
+    asked = [("r", 1, "21", None, 9.0), ("r", 1, "22", "lãi", 0.0), ("r", 1, "99", "LÃI (", 1.5), ("r", 1, None, "2", 9.0), ("r", 1, "", "nichts", 0.0), ("s", 1, None, "A", 12.0), ("t", 1, "1", "a", 0.0)]
+    got = lookup.get_val(cells, spark.createDataFrame([a[:4] for a in asked], "report_id string, table_index int, code string, keyword string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, asked))
+    assert {r["report_id"]: r["value"] for r in lookup.first_parsable(cells, 5.0).collect()} == {"r": 21.0, "s": 12.0}
+    assert lookup.first_parsable(cells.where("row = 0 and report_id = 'r'"), 5.0).first()["value"] == 5.0
+
+
+def test_statements_and_units(spark):
+    said = [("Notes", "theo kết quả kinh doanh", "IS"), ("Income Statement", "bảng cân đối kế toán", "BS"), (None, None, "NOTE"), ("Cash Flow Statement", "", "CF")]
+    df = spark.createDataFrame(said, "t string, b string, want string")
+    assert df.where(rank.statement_type(F.col("t"), F.col("b")) != F.col("want")).count() == 0
+    from ledgerspark.functions.numeric import unit_name, unit_scale
+
+    assert tuple(spark.range(1).select(unit_scale(F.lit("bao nhiêu tỉ đồng")), unit_name(F.lit("nghìn tỉ?")), unit_scale(F.lit("12 tỷ"))).first()) == (1e-9, "nghìn tỷ đồng", 1.0)
+    assert tuple(spark.range(1).select(rank.scope_nudge(F.lit("công ty mẹ"), F.lit("FTS_2023")), rank.scope_nudge(F.lit("công ty mẹ"), F.lit("x_consolidated"))).first()) == (0.0, -15.0)
+
+
+def test_aliases_without_words_and_needles(spark):
+    q = spark.createDataFrame([(1, "C++ và FPT Telecom"), (2, "++ hay FPTS"), (3, None)], "id int, question string")
+    names = spark.createDataFrame([("X", "++"), ("FPT", "fpt"), ("FPT", "FPT Telecom"), ("N", None), ("E", "")], "ticker string, alias string")
+    got = {(r["id"], r["alias"], r["start"]) for r in intent.alias_matches(q, names).collect()}
+    assert got == {(1, "fpt", 7), (1, "fpt telecom", 7), (2, "++", 0)}
+    texts = spark.createDataFrame([(1, "xx one two three yy"), (2, "one two four"), (3, None), (4, "short")], "doc_id int, text string")
+    needles = spark.createDataFrame([(1, "ne two thr"), (2, "hor"), (3, "one two zzz four"), (4, None)], "id int, needle string")
+    assert {tuple(r) for r in rank.holding(texts, needles, "doc_id").collect()} == {(1, 1), (2, 4)}
+
+
+def test_retrieval_scores_candidates_only(spark):
+    texts = spark.createDataFrame([(1, "rest", "alpha beta"), (2, "rest", "alpha"), (3, "rest", "gamma")], "doc_id int, field string, text string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "alpha gamma")], "id int, question string")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (2, 1)], "id int, doc_id int")
+    assert sorted(tuple(r) for r in rank.lexical_scores(q, texts, ["doc_id"], pairs=pairs).collect()) == [(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0)]
+    plan = rank.top_k(rank.lexical_scores(q, texts, ["doc_id"]), ["id"], [F.desc("score"), F.col("doc_id")], 1)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "WindowGroupLimit" in plan
+
+
 def test_token_hits_are_containment(spark):
     texts = spark.createDataFrame([(1, "rest", "Xin abcdef gh"), (2, "rest", "zabc")], "doc_id int, field string, text string")
     tokens = spark.createDataFrame([("abc",), ("cde",), ("zzz",)], "token string")
-    assert sorted((r["doc_id"], r["token"]) for r in rank.token_hits(tokens, texts, ["doc_id"]).collect()) == [(1, "abc"), (1, "cde"), (2, "abc")]
+    assert sorted({(r["doc_id"], r["token"]) for r in rank.token_hits(tokens, texts, ["doc_id"]).collect()}) == [(1, "abc"), (1, "cde"), (2, "abc")]
 
 
 def test_stream(spark, tmp_path):

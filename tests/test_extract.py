@@ -68,6 +68,11 @@ def test_grid_spans():
     assert html.parse_grid("<table><tr><td>x<br>y &amp; z</td></tr></table><table><tr><td>no</td></tr></table>") == [["x y & z"]]
 
 
+def test_spans_are_bounded():
+    wide = html.parse_grid('<table><tr><td colspan="100000000">a</td></tr></table>')
+    assert len(wide[0]) == html.MOST_COLUMNS and html.parse_grid('<table><tr><td rowspan="99999999999" colspan="0">a</td><td>b</td></tr></table>') == [["a", "b"]]
+
+
 def test_facts_to_ratios(spark):
     bs, isx, cf = {"100": 500, "140": 120, "270": 1000, "300": 600, "310": 250, "400": 400}, {"10": 800, "11": 600, "20": 200, "23": 20, "25": 30, "26": 50, "50": 100, "60": 80, "61": 72}, {"20": 90, "30": -40}
     rows = [("r", s, c, i, float(v), 640.0 if (s, c) == ("IS", "10") else None) for s, d in (("BS", bs), ("IS", isx), ("CF", cf)) for i, (c, v) in enumerate(d.items())]
@@ -93,5 +98,8 @@ def test_files(spark, catalog, tmp_path):
     (tmp_path / "t.csv").write_text(exported, encoding="utf-8")
     cells = readers.read_table_csv(spark, str(tmp_path / "t.csv")).where("row = 1").orderBy("col").collect()
     assert [c["text"] for c in cells] == ["Tổng tài sản", "270", "1000000", "-900000"]
+    (tmp_path / "q.csv").write_text('# t\n0,1\n"a\nb, ""c""",x # y\n\n1,2\n', encoding="utf-8")
+    torn = readers.read_table_csv(spark, str(tmp_path / "q.csv")).orderBy("row", "col").collect()
+    assert [(c["row"], c["col"], c["text"]) for c in torn] == [(0, 0, 'a\nb, "c"'), (0, 1, "x "), (1, 0, "1"), (1, 1, "2")]
     answers = spark.createDataFrame([(1, [("df1", "AAA_2023_table_1.csv")])], "id long, evidence array<struct<variable:string,csv_path:string>>")
     assert writers.write_package(answers, catalog, str(tmp_path / "out.zip")) == 1
