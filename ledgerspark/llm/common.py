@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -75,9 +76,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Spark deletes shuffle files once the driver has collected what refers to them; ask for that now."""
+    """Spark deletes shuffle files once the driver has collected what refers to them; ask for that now, and give back the driver's freed memory."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -36,7 +36,7 @@ WINDOW = 10
 #: A segment is closed after so many words.
 SEGMENT_WORDS = 500_000
 #: Windows that are broadcast at once, and the bits of the tables of terms and of their frequencies.
-BLOCK, TERM_BITS, FREQUENCY_BITS = 1 << 18, 26, 20
+BLOCK, TERM_BITS, FREQUENCY_BITS = 1 << 18, 24, 18
 
 _hashes = WordHashes()
 _U = np.uint64
@@ -122,7 +122,9 @@ def build_index(docs: DataFrame, bitmap: np.ndarray, segment_words: int = SEGMEN
         if ids:
             yield close(ids, lengths, terms, places)
 
-    return materialize(docs.select("doc_id", "text").mapInPandas(index, _segment_schema(docs.schema["doc_id"].dataType)), "positional-index")
+    stored = materialize(docs.select("doc_id", "text").mapInPandas(index, _segment_schema(docs.schema["doc_id"].dataType)), "positional-index")
+    shared.destroy()
+    return stored
 
 
 def frequencies(index: DataFrame) -> np.ndarray:

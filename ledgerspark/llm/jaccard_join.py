@@ -139,8 +139,8 @@ def _levels(docs: DataFrame, share: int) -> np.ndarray:
     often = some.mapInPandas(explode, "s long").groupBy("s").count().where("count > 1")
     slots = often.select(F.col("s").bitwiseAND((1 << LEVEL_BITS) - 1).alias("slot"), F.floor(F.log2("count")).alias("level")).groupBy("slot").agg(F.max("level").alias("level"))
     out = np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
-    got = slots.toPandas()  # at most a row for each of the slots
-    out[got["slot"].to_numpy(dtype=np.int64)] = np.minimum(got["level"].to_numpy(dtype=np.int64), 255)
+    got = slots.toArrow()  # at most a row for each of the slots
+    out[got["slot"].to_numpy()] = np.minimum(got["level"].to_numpy(), 255)
     return out
 
 
@@ -148,7 +148,7 @@ SIGNED = "doc_id {}, n int, fp binary, f long, score float, print binary, tokens
 
 
 def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """For each document: size, digest, its rarest shingles in order, how central it is (its mean level), and all shingles if it is small."""
+    """For each document: size, digest, its rarest shingles in order, how central it is (its mean level), and all shingles if it is small. Stored in the shared folder."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,11 +169,13 @@ def _signatures(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(sign, SIGNED.format(ids))
+    signed = materialize(docs.select("doc_id", "text").mapInPandas(sign, SIGNED.format(ids)), "jaccard-signed")
+    shared.destroy()
+    return signed
 
 
 def _entries(signed: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(fp, n, score, token, pos): the classes' entries in lists that may have other members."""
+    """(fp, n, score, token, pos): the classes' entries in lists that may have other members. Stored in the shared folder."""
     shared = signed.sparkSession.sparkContext.broadcast(bitmap)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +192,9 @@ def _entries(signed: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 yield pd.DataFrame({"fp": b["fp"].to_numpy()[own[part]], "n": b["n"].to_numpy()[own[part]], "score": b["score"].to_numpy()[own[part]], "token": tokens[part], "pos": pos[part].astype(np.int32)})
 
     found = signed.where("n > 0").select("fp", "n", "score", "tokens").mapInPandas(keep, "fp binary, n int, score float, token long, pos int")
-    return found.dropDuplicates(["fp", "token"])
+    entries = materialize(found.dropDuplicates(["fp", "token"]), "jaccard-entries")
+    shared.destroy()
+    return entries
 
 
 def _most(n: Column, pos: Column) -> Column:
@@ -419,10 +423,10 @@ def jaccard_components(docs: DataFrame, level_share: int = LEVEL_SHARE) -> DataF
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = materialize(_signatures(docs, _levels(docs, level_share)), "jaccard-signed")
+    signed = _signatures(docs, _levels(docs, level_share))
     lists = signed.select("f", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("f").alias("c"), F.max("f").alias("d"))
     bitmap = low_bitmap(lists.where("c <> d"), "token", SHARED_BITS)
-    entries = materialize(_entries(signed, bitmap), "jaccard-entries")
+    entries = _entries(signed, bitmap)
     n_entries = signed.agg(F.sum(F.size("tokens"))).first()[0] or 0
     met = entries.groupBy("token").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
     small = boundary(met / max(1, n_entries))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, sweep, table
 
 WORD_BITS = 16
 SAMPLE = 10_000
@@ -174,9 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, meta: Sequence[str] = ("n_chars",)
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "index": [i.tobytes() for i, _ in made], "value": [v.tobytes() for _, v in made]})
 
     ids = docs.select("doc_id").schema[0].dataType.simpleString()
-    got = one.select("doc_id", "y", "d.text", "d.meta").mapInPandas(features, f"doc_id {ids}, y int, index binary, value binary").toPandas().sort_values("doc_id")
+    got = one.select("doc_id", "y", "d.text", "d.meta").mapInPandas(features, f"doc_id {ids}, y int, index binary, value binary").toArrow().sort_by("doc_id")
     model = FactorisationMachine.empty(len(meta))
-    model.fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["index"], got["value"])], got["y"].to_numpy())
+    # the arrays are views of what Arrow holds
+    rows = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for i, v in zip(got["index"], got["value"])]
+    model.fit(rows, got["y"].to_numpy())
+    del rows, got
+    sweep(docs.sparkSession)
     return model
 
 
