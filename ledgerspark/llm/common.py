@@ -160,12 +160,12 @@ class KeyBits:
         self.bits = bits
         at = keys.select(_slot(F.col(column), bits).alias("at"))
         parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
-        table_ = np.zeros(bits, dtype=bool)
+        packed = np.zeros(-(-bits // 8), dtype=np.uint8)
         for p in parts:
-            one = np.unpackbits(np.frombuffer(p["map"], dtype=np.uint8), bitorder="little")
+            one = np.frombuffer(p["map"], dtype=np.uint8)
             begin = (p["bucket"] - 1) * len(one)
-            table_[begin : begin + len(one)] = one[: bits - begin]
-        self.shared = keys.sparkSession.sparkContext.broadcast(np.packbits(table_))
+            packed[begin : begin + len(one)] = one[: len(packed) - begin]
+        self.shared = keys.sparkSession.sparkContext.broadcast(packed)
 
     def slot(self, c: Column) -> Column:
         return _slot(c, self.bits)
@@ -173,7 +173,7 @@ class KeyBits:
 
 def has_bit(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
     x = slots - 1
-    return (packed[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
+    return (packed[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
 
 
 def key_filter(keys: DataFrame, column: str, bits: int = 1 << 23):
