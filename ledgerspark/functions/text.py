@@ -54,12 +54,6 @@ def broken_lines(c: Column | str) -> Column:
     return F.split(col(c), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]")
 
 
-def line_of(text: Column | str, offset: Column) -> Column:
-    """The 1-based line of the code point at a 0-based offset."""
-    before = F.substr(col(text), F.lit(1), offset)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-
-
 def last_lines(c: Column | str, n: int) -> Column:
     """The last n lines of the stripped text, as an array."""
     own = lines(strip(c))

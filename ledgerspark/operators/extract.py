@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.arrays import last_before, with_states
 from ..functions.html import html_grid
 from ..functions.numeric import normalize_number, to_number
-from ..functions.text import contains_any, last_lines, line_of, lines, strip
-from .spans import chains, pattern_spans
+from ..functions.text import contains_any, lines, strip
+from .spans import breaks, chains, matches
 
 TABLE = r"(?is)<table.*?>.*?</table>"
 PAGE = r"=====\s*PAGE\s+(\d+)\s*====="
@@ -50,23 +51,50 @@ def table_type(text: Column) -> Column:
     )
 
 
-def find_tables(reports: DataFrame) -> DataFrame:
-    """reports (report_id, ticker, year, content) to their tables: index, lines, page, context, the text before, the HTML."""
-    spans = reports.withColumn("spans", pattern_spans("content", TABLE)).withColumn("pages", page_markers(F.coalesce("content", F.lit(""))))
+def located(content: Column) -> Column:
+    """array<struct(line, context, before, html)> of the tables in a report's text: their line, the lines before, the text since the last table.
+
+    One sweep over the tables: the state is the line that is reached and the last lines up to there, so no
+    table looks at the text before the last one again.
+    """
+    final = lambda x: F.slice(lines(x), F.greatest(F.size(lines(x)) - CONTEXT_LINES + 1, F.lit(1)), F.lit(CONTEXT_LINES))
+    # what is blank before the report's first word is no line
+    so_far = lambda s, p: F.coalesce(F.concat(s["tail"], p["before"]), F.regexp_replace(p["before"], r"(?U)^\s+", ""))
+
+    def step(s: Column, p: Column) -> Column:
+        line = s["line"] + breaks(p["before"]) + breaks(p["hit"])
+        return F.struct(line.alias("line"), F.array_join(final(F.concat(so_far(s, p), p["hit"])), "\n").alias("tail"))
+
+    def told(s: Column, p: Column) -> Column:
+        context = F.array_join(final(F.regexp_replace(so_far(s, p), r"(?U)\s+$", "")), "\n")
+        return F.struct((s["line"] + breaks(p["before"])).alias("line"), context.alias("context"), p["before"].alias("before"), p["hit"].alias("html"))
+
+    start = F.struct(F.lit(1).alias("line"), F.lit(None).cast("string").alias("tail"))
+    return with_states(matches(content, TABLE), start, step, "struct<line:int,tail:string>", told)
+
 
-    def describe(s: Column, i: Column) -> Column:
-        line = line_of("content", s["start"])
-        page = F.get(F.reverse(F.filter("pages", lambda p: p["line"] <= line)), F.lit(0))["page"]
-        return F.struct(
-            (i + 1).alias("table_index"),
-            line.alias("start_line"),
-            F.coalesce(page, F.lit(1)).alias("page_number"),
-            F.array_join(last_lines(F.substr("content", F.lit(1), s["start"]), CONTEXT_LINES), "\n").alias("own_context"),
-            s["before"].alias("before"),
-            s["hit"].alias("html"),
-        )
+def find_tables(reports: DataFrame) -> DataFrame:
+    """reports (report_id, ticker, year, content) to their tables: index, lines, page, context, the text before, the HTML.
 
-    return spans.select("report_id", "ticker", "year", F.explode(F.transform("spans", describe)).alias("t")).select("report_id", "ticker", "year", "t.*")
+    A table's page is that of the last marker whose line is not after its own, 1 before any; markers and
+    tables are merged by line.
+    """
+    marks = F.transform(page_markers(F.coalesce("content", F.lit(""))), lambda m: F.struct(m["line"].alias("at"), m["page"].alias("value")))
+    swept = reports.select("report_id", "ticker", "year", located(F.col("content")).alias("tables"), marks.alias("marks"))
+    pages = last_before(F.col("marks"), F.transform("tables", lambda t: t["line"]), "int", "int")
+    both = swept.select("report_id", "ticker", "year", F.posexplode(F.zip_with("tables", pages, lambda t, p: F.struct(t.alias("t"), p.alias("page")))).alias("i", "x"))
+    t = F.col("x.t")
+    return both.select(
+        "report_id",
+        "ticker",
+        "year",
+        (F.col("i") + 1).alias("table_index"),
+        t["line"].alias("start_line"),
+        F.coalesce("x.page", F.lit(1)).alias("page_number"),
+        t["context"].alias("own_context"),
+        t["before"].alias("before"),
+        t["html"].alias("html"),
+    )
 
 
 def similar_header(a: Column, b: Column) -> Column:
@@ -82,19 +110,15 @@ def inherit_headers(tables: DataFrame) -> DataFrame:
     next table compares with the result. This is a fold over a report's tables in order.
     """
     heads = tables.groupBy("report_id").agg(F.sort_array(F.collect_list(F.struct("table_index", "continued", F.get("rows", F.lit(0)).alias("first")))).alias("ts"))
-    state = "struct<first:array<string>,out:array<struct<table_index:int,header:array<string>>>>"
 
-    def step(acc: Column, t: Column) -> Column:
+    def header(first: Column, t: Column) -> Column:
         own = F.coalesce(t["first"], F.array().cast("array<string>"))
-        needs = t["continued"] & acc["first"].isNotNull() & (F.coalesce(similar_header(own, acc["first"]), F.lit(0.0)) < 0.8)
-        header = F.when(needs, acc["first"])
-        return F.struct(
-            F.coalesce(header, own).alias("first"),
-            F.concat(acc["out"], F.array(F.struct(t["table_index"].alias("table_index"), header.alias("header")))).alias("out"),
-        ).cast(state)
-
-    start = F.struct(F.lit(None).cast("array<string>").alias("first"), F.array().cast("array<struct<table_index:int,header:array<string>>>").alias("out")).cast(state)
-    found = heads.select("report_id", F.explode(F.aggregate("ts", start, step)["out"]).alias("h")).select("report_id", "h.table_index", "h.header")
+        needs = t["continued"] & first.isNotNull() & (F.coalesce(similar_header(own, first), F.lit(0.0)) < 0.8)
+        return F.when(needs, first)
+
+    step = lambda first, t: F.coalesce(header(first, t), t["first"], F.array().cast("array<string>"))
+    told = with_states(F.col("ts"), F.lit(None).cast("array<string>"), step, "array<string>", lambda first, t: F.struct(t["table_index"].alias("table_index"), header(first, t).alias("header")))
+    found = heads.select("report_id", F.explode(told).alias("h")).select("report_id", "h.table_index", "h.header")
     joined = tables.join(found, ["report_id", "table_index"])
     return joined.withColumn("rows", F.when(F.col("header").isNotNull(), F.concat(F.array("header"), "rows")).otherwise(F.col("rows"))).drop("header")
 

@@ -7,23 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import with_states
 from ..functions.text import col
 
 
+def matches(text: Column | str, pattern: str) -> Column:
+    """array<struct(before, hit)>: the matches of a pattern, each with the text since the last one. Empty for null."""
+    own = F.coalesce(col(text), F.lit(""))
+    gaps, hits = F.split(own, pattern, -1), F.regexp_extract_all(own, F.lit(pattern), F.lit(0))
+    return F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("before"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
+
+
+def breaks(text: Column) -> Column:
+    """How many line feeds a text has."""
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def pattern_spans(text: Column | str, pattern: str) -> Column:
-    """array<struct(start, end, before, hit)>: 0-based offsets, the text since the last match, the match. Empty for null."""
-    gaps = F.split(F.coalesce(col(text), F.lit("")), pattern, -1)
-    hits = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), F.lit(0))
-    shape = "array<struct<start:int,end:int,before:string,hit:string>>"
-    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))), lambda p: p["h"].isNotNull())
-
-    def add(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["g"])
-        end = start + F.length(p["h"])
-        span = F.struct(start.alias("start"), end.alias("end"), p["g"].alias("before"), p["h"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out")), add, lambda acc: acc["out"])
+    """array<struct(start, end, line, before, hit)>: 0-based offsets, the 1-based line of the start, the text since the last match, the match. Empty for null.
+
+    Offsets and lines are running sums over the matches, so time grows with the text however many there are.
+    """
+
+    def step(s: Column, p: Column) -> Column:
+        at = s["at"] + F.length(p["before"]) + F.length(p["hit"])
+        return F.struct(at.alias("at"), (s["line"] + breaks(p["before"]) + breaks(p["hit"])).alias("line"))
+
+    def span(s: Column, p: Column) -> Column:
+        start = s["at"] + F.length(p["before"])
+        return F.struct(start.alias("start"), (start + F.length(p["hit"])).alias("end"), (s["line"] + breaks(p["before"])).alias("line"), p["before"].alias("before"), p["hit"].alias("hit"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"))
+    return with_states(matches(text, pattern), begin, step, "struct<at:int,line:int>", span)
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, right_at: str, value: str, default=None) -> DataFrame:

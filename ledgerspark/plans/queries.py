@@ -236,7 +236,7 @@ y AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER
 @query(f"WITH {_SPANS} SELECT doc_id, stop - length(hit) AS start, stop, hit, 1 + length(text[1:stop - length(hit)]) - length(replace(text[1:stop - length(hit)], chr(10), '')) AS line FROM y")
 def line_locator(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(spans.pattern_spans("text", "[0-9]+")).alias("s"))
-    return d.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("stop"), "s.hit", text.line_of("text", F.col("s.start")).cast("long").alias("line"))
+    return d.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("stop"), "s.hit", F.col("s.line").cast("long").alias("line"))
 
 
 @query(
