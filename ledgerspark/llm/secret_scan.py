@@ -2,7 +2,8 @@
 
 Patterns propose candidates in every text. The hashes of their values are aggregated over the
 corpus: by how many repositories and owners is each value used? A value that many owners have is a
-copied example; one that few have, and that looks random, is taken for live.
+copied example; one that few have, and that looks random, is taken for live. Owners decide, as one
+owner may use a live value in many repositories; how many these are is told beside it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, table
-from .spans import Kind, all_spans, base_digest, count_of, places_of, rebuilt, span_sql, told
+from .spans import Kind, all_spans, base_digest, count_of, having, places_of, rebuilt, span_sql, strays, told
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (
@@ -74,15 +75,15 @@ def ownership(candidates: DataFrame, wide: int = WIDE) -> DataFrame:
 
 
 def judge(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", wide: int = WIDE, whole: bool = False) -> DataFrame:
-    """Per row of df (its columns but the text): secrets, n_copied, n_live (distinct values), live (their values).
+    """Per row of df (its columns but the text): secrets, n_copied, n_live (distinct values), max_owners, max_repos (of its most common value, 0 without), live (their values).
 
     A live value is one with fewer than ``wide`` owners that looks random; the rest are copied or
     weak. ``whole``: values that aren't looks_secret() are left out, the bodies of private keys are
     values, and all values with fewer than ``wide`` owners are live. Rows that repeat stay. An empty
-    table gives an empty one. Columns of df named secrets, n_copied, n_live, live, row_id, repo_,
-    owner_, values_ and bodies_ are replaced or dropped.
+    table gives an empty one. Columns of df named secrets, n_copied, n_live, max_owners, max_repos, live,
+    row_id, repo_, owner_, values_ and bodies_ are replaced or dropped.
     """
-    kept = [c for c in df.columns if c not in (text_col, "secrets", "n_copied", "n_live", "live", "row_id", "repo_", "owner_", "values_", "bodies_")]
+    kept = [c for c in df.columns if c not in (text_col, "secrets", "n_copied", "n_live", "max_owners", "max_repos", "live", "row_id", "repo_", "owner_", "values_", "bodies_")]
     found = scan(df.withColumns({"repo_": repo.cast("string"), "owner_": owner.cast("string")}), text_col).select(*kept, "repo_", "owner_", "secrets", *([key_bodies(F.col(text_col)).alias("bodies_")] if whole else []))
     values = F.array_distinct(F.transform(F.filter("secrets", lambda s: (s["place"] != PEM) & (looks_secret(s) if whole else F.lit(True))), lambda s: s["value"]))
     if whole:
@@ -97,14 +98,18 @@ def judge(df: DataFrame, repo: Column, owner: Column, text_col: str = "text", wi
         .groupBy("row_id")
         .agg(
             F.count_if("copied").alias("n_copied"),
+            F.max("n_owners").alias("max_owners"),
+            F.max("n_repos").alias("max_repos"),
             F.sort_array(F.collect_list(F.when(~F.col("copied") & looks, F.col("value")))).alias("live"),
         )
     )
-    some = rows.where(F.size("values_") > 0).join(judged, "row_id").select(*kept, "secrets", "n_copied", F.size("live").cast("long").alias("n_live"), "live")
-    none = rows.where(F.size("values_") == 0).select(*kept, "secrets", F.lit(0).cast("long").alias("n_copied"), F.lit(0).cast("long").alias("n_live"), F.array().cast("array<string>").alias("live"))
+    some = rows.where(F.size("values_") > 0).join(judged, "row_id").select(*kept, "secrets", "n_copied", F.size("live").cast("long").alias("n_live"), "max_owners", "max_repos", "live")
+    none = rows.where(F.size("values_") == 0).select(*kept, "secrets", F.lit(0).cast("long").alias("n_copied"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("max_owners"), F.lit(0).cast("long").alias("max_repos"), F.array().cast("array<string>").alias("live"))
     return some.unionByName(none)
 
 
+#: Up to so many live values are each sought in their whole text; of more, only those that may stand elsewhere than where they were found.
+FEW = 16
 #: Texts in which none of KINDS can find a value don't match this.
 HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8}|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"""
 
@@ -130,11 +135,17 @@ def redact_live(docs: DataFrame, mark: str = "[SECRET]", wide: int = WIDE) -> Da
     same = keyed[k_id].eqNullSafe(live["l_id"]) & (keyed[k_hash] == live["l_hash"]) & (keyed[k_chars] == live["l_chars"])
     met = keyed.join(live, same, "left").select(*[keyed[c] for c in docs.columns], live[live_])
     text, found = F.col("text"), F.col(live_)
-    spans = F.transform(F.filter(all_spans(text, KINDS), lambda s: F.array_contains(found, s["value"])), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
-    other = F.flatten(F.transform(found, lambda v: places_of(text, v)))
-    marked = F.transform(F.array_union(spans, other), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("mark")))
-    changed = met.withColumn("text", F.when(found.isNotNull(), rebuilt(text, marked)).otherwise(text))
-    changed = changed.withColumn("n_chars", F.when(found.isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    place = lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), F.lit(mark).alias("mark"))
+    there = lambda v: F.transform(places_of(text, v), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("mark")))
+    spans_, seek_, marks_, text_ = (fresh(n, docs.columns) for n in ("spans_", "seek_", "marks_", "text_"))
+    some = lambda c: F.when(found.isNotNull(), c)
+    # step by step, as Spark resolves so deep an expression in so many rounds only
+    changed = met.withColumn(spans_, some(all_spans(text, KINDS)))
+    changed = changed.withColumn(spans_, some(having(F.col(spans_), found)))
+    changed = changed.withColumn(seek_, F.when(F.size(found) <= FEW, found).otherwise(some(strays(text, F.col(spans_), found))))
+    changed = changed.withColumn(marks_, some(F.concat(F.transform(spans_, place), F.flatten(F.transform(seek_, there)))))
+    changed = changed.withColumn(text_, F.when(found.isNotNull(), rebuilt(text, F.col(marks_))).otherwise(text))
+    changed = changed.withColumn("n_chars", F.when(found.isNotNull(), F.length(text_).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col(text_))
     return docs.where(~maybe).unionByName(changed.select(*docs.columns))
 
 
@@ -148,6 +159,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         told(s, KINDS).alias("spans"),
         "n_copied",
         "n_live",
+        "max_owners",
+        "max_repos",
     )
 
 
@@ -172,8 +185,8 @@ OP5_SQL = (
     + span_sql(_KINDS_SQL)
     + f""",
 v AS (SELECT DISTINCT rid, CASE place WHEN 0 THEN {_GROUP} ELSE hit END AS value FROM y WHERE place <> 5),
-o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n_owners FROM v JOIN d USING (rid) GROUP BY value),
-w AS (SELECT rid, count(*) FILTER (n_owners >= {WIDE}) AS n_copied,
+o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n_owners, count(DISTINCT concat(source, chr(10), concat_ws('/', source, lang))) AS n_repos FROM v JOIN d USING (rid) GROUP BY value),
+w AS (SELECT rid, max(n_owners) AS max_owners, max(n_repos) AS max_repos, count(*) FILTER (n_owners >= {WIDE}) AS n_copied,
              count(*) FILTER (n_owners < {WIDE} AND length(value) >= {LIVE_CHARS} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
                               AND NOT regexp_matches(lower(value), 'example|changeme|xxxx|1234567890123456')) AS n_live
       FROM v JOIN o USING (value) GROUP BY rid),
@@ -182,7 +195,7 @@ g AS (SELECT rid, {', '.join(f"count(*) FILTER (place = {i}) AS n_{k.name}" for
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM y GROUP BY rid)
 SELECT d.doc_id, {', '.join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in KINDS[:BASE])},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+       coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live, coalesce(max_owners, 0) AS max_owners, coalesce(max_repos, 0) AS max_repos
 FROM d LEFT JOIN g USING (rid) LEFT JOIN w USING (rid)
 """
 )
@@ -202,7 +215,7 @@ r_g AS (SELECT rid, value, string_split(text, value) AS gaps FROM r_v JOIN r_o U
 r_h AS (SELECT rid, value, unnest(gaps[1:len(gaps) - 1]) AS gap, unnest(range(1, len(gaps))) AS i FROM r_g),
 r_s AS (SELECT rid, CAST(sum(length(gap) + length(value)) OVER (PARTITION BY rid, value ORDER BY i) AS BIGINT) AS e, length(value) AS n FROM r_h
       UNION ALL SELECT rid, e, length(value) AS n FROM r_p JOIN r_o USING (value)),
-r_m AS (SELECT rid, e - n AS s, e, max(e) OVER (PARTITION BY rid ORDER BY e - n, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM r_s),
+r_m AS (SELECT rid, e - n AS s, e, max(e) OVER (PARTITION BY rid ORDER BY e - n, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM (SELECT DISTINCT rid, e, n FROM r_s)),
 r_r AS (SELECT *, sum(CASE WHEN upto IS NULL OR s >= upto THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT DISTINCT * FROM r_m)),
 r_u AS (SELECT rid, part, min(s) AS s, max(e) AS e FROM r_r GROUP BY rid, part),
 r_w AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS since FROM r_u),
