@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,6 +93,21 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Words are runs of 0-9, a-z (A-Z lower-cased) and all beyond ASCII. On UTF-8 bytes that is one translation.
+LOWER_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def word_blocks(text: str | None, block: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The LOWER_WORDS of a text in order, those of about so many bytes at a time; none for a null text."""
+    raw, at = (text or "").encode().translate(LOWER_WORDS), 0
+    while at < len(raw):
+        end = raw.find(b" ", at + block)
+        end = len(raw) if end < 0 else end
+        if words := raw[at:end].split():
+            yield words
+        at = end
+
+
 BATCH_BYTES = 1 << 22
 
 

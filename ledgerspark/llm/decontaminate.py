@@ -28,10 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, bounded_batches, discard, has_low_bits, low_bitmap, materialize, table
+from .common import LOWER_WORDS, WordHashes, bounded_batches, discard, has_low_bits, low_bitmap, materialize, table
 
-#: Words are runs of 0-9, a-z (A-Z lower-cased) and all beyond ASCII. On UTF-8 bytes that is one translation.
-_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW = 10
 #: A segment is closed after so many words.
 SEGMENT_WORDS = 500_000
@@ -44,7 +42,7 @@ _U = np.uint64
 
 def terms_of(text: str | None) -> np.ndarray:
     """The hashes of a text's words, in order."""
-    words = text.encode().translate(_WORDS).split() if text else []
+    words = text.encode().translate(LOWER_WORDS).split() if text else []
     return np.fromiter(map(_hashes.__getitem__, words), dtype=_U, count=len(words))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, mixing, pii, quality, secret_scan, url_filter, warc, webp
+from . import chat_format, decontaminate, jaccard_join, mixing, nearest, pii, quality, ranked_search, resampling, secret_scan, url_filter, warc, webp
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_pii": pii.op9_pii,
     "op10_warc": warc.op10_warc,
+    "op11_nearest": nearest.op11_nearest,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
     "mixing_passes": mixing.mixing_passes,
     "secret_redaction": secret_scan.secret_redaction,
 }
@@ -27,6 +30,8 @@ SQL = {
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_pii": pii.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_resampling": resampling.OP12_SQL,
+    "op13_ranked_search": ranked_search.OP13_SQL,
     "mixing_passes": mixing.PASSES_SQL,
     "secret_redaction": secret_scan.REDACTION_SQL,
 }
