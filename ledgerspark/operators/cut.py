@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read back: later plans start there, and a lost executor costs no more than a reread."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where that is unset, a temporary one of a local session."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet and read back: later plans start there, and a lost executor costs no more than a reread."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

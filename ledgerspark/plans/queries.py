@@ -6,11 +6,14 @@ orders and their items for statements and cells. Every query runs over its whole
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, html, numeric, text, vectors
-from ..operators import answer, evaluate, extract, filters, intent, lookup, rank, ratios, spans
+from ..operators import answer, evaluate, extract, filters, intent, lexical, lookup, rank, ratios, spans
+from ..operators.cut import shared
 
 QUERIES, SQL = {}, {}
 
@@ -42,10 +45,6 @@ def items(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
 
 
-def doc_texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("rest").alias("field"), "text")
-
-
 # --- ranking
 
 _TOKENS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= {})"
@@ -55,9 +54,22 @@ s AS (SELECT q.id, d.doc_id, CAST(count(*) AS DOUBLE) AS score FROM q JOIN docum
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 
+#: Where this process keeps the word index of a folder's documents, by session and folder.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark, sf_dir) -> lexical.Index:
+    """The word index of documents, made once a session: keys (source, doc_id)."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _INDEXES:
+        path = f"{shared(spark)}/word-index-{uuid.uuid4().hex}"
+        lexical.write_segment(table(spark, sf_dir, "documents").select("source", "doc_id", F.lit("rest").alias("field"), "text"), path, ["source", "doc_id"])
+        _INDEXES[known] = path
+    return lexical.open_index(spark, _INDEXES[known])
+
+
 def _lexical(spark, sf_dir) -> DataFrame:
-    scores = rank.lexical_scores(items(spark, sf_dir), doc_texts(spark, sf_dir), ["doc_id"])
-    return rank.top_k(scores, ["id"], [F.desc("score"), F.col("doc_id")], 5)
+    return lexical.best_lexical(text_index(spark, sf_dir), items(spark, sf_dir), ["doc_id"], 5).top
 
 
 @query(f"WITH {_LEXICAL} SELECT id, doc_id, score, rank FROM r WHERE rank <= 5")
@@ -78,9 +90,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id)
 SELECT id, doc_id, score, rank FROM r WHERE rank <= 5"""
 )
 def bm25_topk(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scores = rank.bm25(items(spark, sf_dir), texts, "doc_id").withColumn("score", F.round("score", 6))
-    return rank.top_k(scores, ["id"], [F.desc("score"), F.col("doc_id")], 5)
+    return lexical.best_bm25(text_index(spark, sf_dir), items(spark, sf_dir), ["doc_id"], 5).top
+
+
+@query(SQL["bm25_topk"])
+def bm25_topk_pruned(spark, sf_dir):
+    """The same without reading the blocks that cannot hold a result."""
+    return lexical.best_bm25(text_index(spark, sf_dir), items(spark, sf_dir), ["doc_id"], 5, prune=True).top
+
+
+@query()
+def index_blocks(spark, sf_dir):
+    """How many blocks of the index each item's terms have, and how many bm25_topk_pruned reads."""
+    return lexical.best_bm25(text_index(spark, sf_dir), items(spark, sf_dir), ["doc_id"], 5, prune=True).report
 
 
 def _probes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -126,8 +148,7 @@ m AS (SELECT id, source AS report_id, max(score) AS score FROM s GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, report_id) AS rank FROM m QUALIFY rank <= 5"""
 )
 def doc_rank_max(spark, sf_dir):
-    tables = table(spark, sf_dir, "documents").select(F.col("source").alias("report_id"), F.col("doc_id").alias("table_index"), "text")
-    return rank.rank_documents(items(spark, sf_dir), tables)
+    return lexical.best_documents(text_index(spark, sf_dir), items(spark, sf_dir), ["source"]).top.withColumnRenamed("source", "report_id")
 
 
 _QUESTIONS = (
