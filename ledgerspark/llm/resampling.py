@@ -23,7 +23,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ BUCKETS, GRAM = 10_000, 3
 #: Documents of fewer words aren't drawn; so many of a hundred are, with this seed.
 LEAST_WORDS, PERCENT, SEED = 20, 5, 42
 #: A block is closed after so many features.
-BLOCK_FEATURES = 1 << 21
+BLOCK_FEATURES = 1 << 20
 
 
 def bucket_stream(text: str | None, buckets: int = BUCKETS, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray]]:
@@ -136,11 +136,17 @@ def gains_of(target: np.ndarray, source: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log(x)) for x in ratio], dtype=np.int64)
 
 
-def weigh(streams: DataFrame, gains: np.ndarray) -> DataFrame:
-    """streams to (doc_id, row, n_words, n_features, weight), a row a text: the gains of its features, added up between its offsets."""
+def gumbel(doc_id, seed: int = SEED) -> int:
+    """The noise of a document: by the first eight hexadecimal digits of SHA-256 of ``seed:doc_id``, a null id as the empty string."""
+    h = int.from_bytes(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).digest()[:4])
+    return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+
+
+def weigh(streams: DataFrame, gains: np.ndarray, seed: int = SEED) -> DataFrame:
+    """streams to (doc_id, n_words, n_features, weight, noise), a row a text: the gains of its features, added up between its offsets."""
     shared = streams.sparkSession.sparkContext.broadcast(gains)
     id_type = streams.schema["doc_ids"].dataType.elementType
-    schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(n, T.LongType()) for n in ("row", "n_words", "n_features", "weight", "part")]])
+    schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(n, T.LongType()) for n in ("row", "n_words", "n_features", "weight", "noise", "part")]])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,24 +159,15 @@ def weigh(streams: DataFrame, gains: np.ndarray) -> DataFrame:
                 ends = np.zeros(len(offsets), dtype=np.int64)
                 if len(ends):
                     ends[0], ends[-1] = 1, 1
-                yield pd.DataFrame({"doc_id": pd.Series(list(b.doc_ids), dtype=object), "row": b.texts, "n_words": b.n_words, "n_features": sizes, "weight": np.where(sizes > 0, sums, 0), "part": ends})
+                ids = list(b.doc_ids)
+                yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "row": b.texts, "n_words": b.n_words, "n_features": sizes, "weight": np.where(sizes > 0, sums, 0), "noise": [gumbel(i, seed) for i in ids], "part": ends})
 
     parts = streams.mapInPandas(add, schema)
     # only a block's first and last text may have parts in other blocks
     whole, cut = parts.where("part = 0"), parts.where("part = 1")
     sums = [F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")]
-    return whole.drop("part").unionByName(cut.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *sums).select("doc_id", "row", "n_words", "n_features", "weight"))
-
-
-def gumbel(doc_id: Column, seed: int = SEED) -> Column:
-    """The noise of a document, a long: by the first eight hexadecimal digits of SHA-256 of ``seed:doc_id``, a null id as the empty string."""
-
-    @F.pandas_udf("long")
-    def noise(ids: pd.Series) -> pd.Series:
-        digest = (int.from_bytes(hashlib.sha256(f"{seed}:{x}".encode()).digest()[:4]) for x in ids)
-        return pd.Series([math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))) for h in digest], dtype="int64")
-
-    return noise(F.coalesce(doc_id.cast("string"), F.lit("")))
+    one = cut.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *sums, F.first("noise").alias("noise"))
+    return whole.drop("part").unionByName(one).drop("row")
 
 
 def ranked(scored: DataFrame, first: int) -> DataFrame:
@@ -208,7 +205,7 @@ def resample(docs: DataFrame, bench: DataFrame, percent: int = PERCENT, least_wo
     streams = write_streams(docs, buckets, block=block)
     gains = gains_of(sorted_counts(target, buckets), sorted_counts(streams, buckets))
     discard(target)
-    weights = weigh(streams, gains).drop("row").withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
+    weights = weigh(streams, gains, seed).withColumn("score", F.col("weight") + F.col("noise")).drop("noise")
     scored = materialize(weights.withColumn("drawn", F.col("n_words") >= least_words), "resampling-weights")
     discard(streams)
     first = scored.where("drawn").count() * percent // 100
