@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, html, numeric, text, vectors
-from ..operators import answer, evaluate, extract, filters, intent, lexical, lookup, rank, ratios, spans
+from ..operators import answer, evaluate, expressions, extract, filters, intent, lexical, lookup, rank, ratios, spans
 from ..operators.cut import shared
 
 QUERIES, SQL = {}, {}
@@ -823,3 +823,39 @@ def table_summary(spark, sf_dir):
     headers = F.array("p_brand", F.col("p_size").cast("string"))
     text_ = rank.summary_text(F.col("p_brand"), F.col("p_type"), F.col("p_name"), headers, F.repeat(F.concat("p_name", F.lit(" ")), 20))
     return table(spark, sf_dir, "part").select("p_partkey", text_.alias("summary"))
+
+
+def _formula_texts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A text for each order, the table of its items that it names, and the cells: label, line number, quantity. By the key modulo 6 the text is right (0) or has to be mended."""
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("report_id"), F.lit(1).alias("table_index"), at.alias("row"), "l_partkey", "l_linenumber", "l_quantity")
+    each = F.array(
+        F.struct(F.lit(0).alias("col"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"), F.lit(None).cast("double").alias("num")),
+        F.struct(F.lit(1).alias("col"), F.col("l_linenumber").cast("string").alias("text"), F.col("l_linenumber").cast("double").alias("num")),
+        F.struct(F.lit(2).alias("col"), F.col("l_quantity").cast("string").alias("text"), F.col("l_quantity").alias("num")),
+    )
+    cells = line.select("report_id", "table_index", "row", F.explode(each).alias("c")).select("report_id", "table_index", "row", "c.*")
+    key = F.col("o_orderkey")
+    text_ = F.when(key % 6 == 0, _formula(key)).when(key % 6 == 1, "float(df1[df1['1'] == '99']['2'].values[0])").when(key % 6 == 2, "__import__('os').getcwd()").when(key % 6 == 3, "get_val(df8, '1')").otherwise("2 / (1 - 1)")
+    texts = table(spark, sf_dir, "orders").select(key.cast("string").alias("id"), text_.alias("text"))
+    frames = texts.select("id", F.lit("df1").alias("variable"), F.col("id").alias("report_id"), F.lit(1).alias("table_index"))
+    return texts, frames, cells
+
+
+def _formula(key: Column) -> Column:
+    return F.concat(F.lit("float(df1[df1['1'].astype(str).str.strip() == '1']['2'].values[0]) * 2 + "), (key % 7).cast("string"))
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_quantity FROM lineitem WHERE l_linenumber = 1 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) = 1)
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 6 < 5 THEN l_quantity * 2 + o_orderkey % 7 END AS value,
+       CAST(CASE WHEN o_orderkey % 6 < 5 AND l_orderkey IS NOT NULL THEN o_orderkey % 6 ELSE 4 END AS INT) AS attempt,
+       CASE WHEN o_orderkey % 6 = 5 THEN 'division by zero' WHEN l_orderkey IS NULL THEN 'no such row' END AS error
+FROM orders LEFT JOIN f ON l_orderkey = o_orderkey"""
+)
+def formula_correction(spark, sf_dir):
+    """Formulas given as text; a model mends those of keys that are 1 to 4 modulo 6 at that attempt."""
+    texts, frames, cells = _formula_texts(spark, sf_dir)
+    key = F.col("id").cast("long")
+    mend = lambda failed: failed.where(key % 6 == F.col("attempt")).select("id", _formula(key).alias("text"))
+    return expressions.corrected(texts, frames, cells, mend).select("id", "value", "attempt", "error")
