@@ -15,6 +15,7 @@ from .. import config as C
 from ..functions.numeric import is_percent, unit_name, unit_scale
 from ..functions.text import col, contains_all, contains_any, quoted, strip
 from .cut import cut
+from .rank import small
 
 ALIAS_LIMIT = 100_000
 RUN = r"[\p{L}\p{N}]+"
@@ -110,7 +111,7 @@ def codes_of(metrics: DataFrame, codes: DataFrame) -> DataFrame:
     m = F.lower(strip("metric"))
     rows = metrics.withColumn("m", m)
     met = rows.join(
-        F.broadcast(codes),
+        small(codes),
         (F.col("m") == F.col("label")) | F.contains(F.col("m"), F.col("label")) | ((F.col("kind") == "standard") & (F.length("m") > 5) & F.contains(F.col("label"), F.col("m"))),
     )
     income = contains_any(F.col("m"), C.INCOME_WORDS) & ~contains_any(F.col("m"), C.NOT_INCOME_WORDS)
