@@ -4,7 +4,7 @@ import pytest
 
 from ledgerspark.llm import quality
 from ledgerspark.llm.registry import QUERIES, SQL
-from tests.oracle import DATA, assert_same
+from tests.oracle import DATA, assert_same, connect
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -20,3 +20,8 @@ def test_held_out_accuracy(spark):
     assert sum(g > b for g in good for b in bad) >= 0.95 * len(good) * len(bad)
     assert sum(r["predicted"] == r["quality"] for r in got) >= 0.9 * len(got)
     assert sum(s >= quality.THRESHOLD for s in good) == len(good)
+
+
+def test_redaction_sql_gives_one_result():
+    """A span that is found twice counts once, in whatever order rows come."""
+    assert len({tuple(sorted(connect().execute(SQL["secret_redaction"]).fetchall())) for _ in range(5)}) == 1
