@@ -1,9 +1,11 @@
 """A stored index of words, and the exact best texts by it without scoring all of them.
 
-The index is two tables. ``blocks`` is inverted: for each word its texts, those where it counts most
-first, in blocks of BLOCK with the greatest count and the least text length in each. ``texts`` is the
-forward side: each text's words with their counts. A segment is written once; further texts are
-further segments, and writing a segment again replaces it.
+The index is two tables. ``texts`` is the forward side: each text's words with their counts.
+``blocks`` is inverted: for each word its texts, those where it counts most first, in blocks of BLOCK
+with the greatest count and the least text length in each. Each task that reads the forward side
+inverts what it reads, PIECE counts at a time, so counts are never shuffled and a frequent word is in
+as many pieces as there are. A segment is written once; further texts are further segments, and
+writing a segment again replaces it.
 
 A search adds up what a question's terms earn in a text, and returns the best. It looks at the heads
 of the blocks first. The texts of each question's rarest terms are scored, and the k-th of them is a
@@ -15,9 +17,13 @@ forward side. So the result is that of scoring everything.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +32,8 @@ from .cut import cut
 from .rank import FIELD_WEIGHTS, TOKEN_CHARS, query_tokens, small, top_k
 
 BLOCK = 256
-#: Texts whose postings of a word are ordered and cut to blocks in one go, on average at most.
-LIST_TEXTS = 65_536
+#: Counts of words in texts that are inverted in one go.
+PIECE = 500_000
 #: Postings of a question's rarest terms that are looked at for the score to reach, for each text wanted.
 LEAD = 16
 #: Texts that are scored first, by what the terms looked at earn in them, for each text wanted.
@@ -42,6 +48,47 @@ class Index:
     texts: DataFrame
 
 
+def _inverted(batches: Sequence[pa.RecordBatch], part: int, mean: float, block: int) -> pa.RecordBatch:
+    """Blocks of the rows (key, field, len, word, tf), sorted by word."""
+    rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    coded = rows["word"].dictionary_encode()
+    by_word = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(by_word), dtype=np.int64)
+    place[by_word.to_numpy()] = np.arange(len(by_word))
+    word, tf, size = place[coded.indices.to_numpy()], rows["tf"].to_numpy(), rows["len"].to_numpy()
+    order = np.lexsort((-(tf / (tf + size / mean)), word))
+    word, tf, size = word[order], tf[order], size[order]
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    within = np.arange(len(word)) - np.repeat(begins, np.diff(begins, append=len(word)))
+    starts = np.flatnonzero(within % block == 0)
+    entry = {"key": rows["key"].take(pa.array(order)), "field": rows["field"].take(pa.array(order)), "tf": pa.array(tf), "len": pa.array(size)}
+    entries = pa.ListArray.from_arrays(pa.array(np.append(starts, len(word)), pa.int32()), pa.StructArray.from_arrays(list(entry.values()), list(entry)))
+    out = {
+        "word": coded.dictionary.take(by_word.take(pa.array(word[starts]))),
+        "part": pa.array(np.full(len(starts), part), pa.int64()),
+        "block": pa.array(within[starts] // block, pa.int32()),
+        "n": pa.array(np.diff(starts, append=len(word)), pa.int64()),
+        "max_tf": pa.array(np.maximum.reduceat(tf, starts)),
+        "min_len": pa.array(np.minimum.reduceat(size, starts)),
+        "entries": entries,
+    }
+    return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+
+def _pieces(mean: float, piece: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, n = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= piece:
+                yield _inverted(held, part, mean, block)
+                part, held, n = part + 1, [], 0
+        if n:
+            yield _inverted(held, part, mean, block)
+
+    return work
+
+
 def write_segment(texts: DataFrame, path: str, keys: Sequence[str], segment: str = "0") -> None:
     """texts (keys, field, text) to a segment of the index below path. Null texts have no words; texts of equal keys and field count together."""
     spark = texts.sparkSession
@@ -50,30 +97,28 @@ def write_segment(texts: DataFrame, path: str, keys: Sequence[str], segment: str
     counted = dealt.groupBy("key", "field", "word").agg(F.count("word").alias("tf"))
     pair = F.when(F.col("word").isNotNull(), F.struct("word", F.col("tf").cast("int").alias("tf")))
     forward = counted.groupBy("key", "field").agg(F.sum("tf").cast("int").alias("len"), F.collect_list(pair).alias("counts"))
-    forward.write.mode("overwrite").parquet(f"{path}/texts/segment={segment}")
-    own = spark.read.parquet(f"{path}/texts/segment={segment}")
-    size = own.agg(F.count("*").alias("n"), F.avg("len").alias("len")).first()
-    mean, parts = size["len"] or 1.0, size["n"] // LIST_TEXTS + 1
-    each = own.select("key", "field", "len", F.explode("counts").alias("c")).select("key", "field", "len", "c.word", "c.tf").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    order = Window.partitionBy("word", "part").orderBy(F.desc(F.col("tf") / (F.col("tf") + F.col("len") / mean)), "key", "field")
-    placed = each.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    heads = [F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")]
-    # the window has dealt the rows out by word and part, which the blocks keep
-    blocks = placed.groupBy("word", "part", "block").agg(*heads, F.collect_list(F.struct("key", "field", "tf", "len")).alias("entries"))
-    blocks.sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/blocks/segment={segment}")
+    forward.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/texts/segment={segment}")
+    own = spark.read.schema(forward.schema).parquet(f"{path}/texts/segment={segment}")
+    mean = own.agg(F.avg("len").alias("len")).first()["len"] or 1.0
+    each = own.select("key", "field", "len", F.explode("counts").alias("c")).select("key", "field", "len", "c.word", "c.tf")
+    entry = ", ".join(f"{n}: {each.schema[n].dataType.simpleString()}" for n in ("key", "field", "tf", "len"))
+    blocks = each.mapInArrow(_pieces(mean, PIECE, BLOCK), f"word string, part long, block int, n long, max_tf int, min_len int, entries array<struct<{entry}>>")
+    blocks.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks/segment={segment}")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/texts"))
 
 
-def containing(index: Index, tokens: DataFrame) -> DataFrame:
-    """(token, word): the index's words that contain a token of TOKEN_CHARS characters or more. Words are looked up by their substrings of that length."""
-    vocabulary = index.blocks.where("block = 0").select("word").distinct()
-    at = F.sequence(F.lit(1), F.length("word") - TOKEN_CHARS + 1)
-    grams = vocabulary.where(F.length("word") >= TOKEN_CHARS).select("word", F.explode(F.array_distinct(F.transform(at, lambda i: F.substr(F.col("word"), i, F.lit(TOKEN_CHARS))))).alias("gram"))
-    wanted = tokens.select("token").distinct().withColumn("gram", F.substring("token", 1, TOKEN_CHARS))
-    return wanted.join(grams, "gram").where(F.contains(F.col("word"), F.col("token"))).select("token", "word").distinct()
+def _holding(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """df (word, ...) with (t, factor) of each of the terms (term, t), of TOKEN_CHARS characters or more, that is part of the word; factor is 1.
+
+    A word's substrings of that length meet the terms' beginnings where the word lies, so words aren't shuffled.
+    """
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - TOKEN_CHARS + 1), lambda i: F.substr(F.col("word"), i, F.lit(TOKEN_CHARS))))
+    begins = small(terms.withColumn("gram", F.substring("term", 1, TOKEN_CHARS)))
+    met = df.where(F.length("word") >= TOKEN_CHARS).withColumn("gram", F.explode(grams)).join(begins, "gram").where(F.contains(F.col("word"), F.col("term")))
+    return met.drop("gram", "term").withColumn("factor", F.lit(1.0))
 
 
 _BLOCK_ID = ["segment", "word", "part", "block"]
@@ -87,49 +132,66 @@ class Found:
     report: DataFrame
 
 
-def best(index: Index, wanted: DataFrame, dictionary: DataFrame, earned: Column, at_most: Column, unit: Sequence[str], k: int, digits: int | None = None, prune: bool = False) -> Found:
+def best(
+    index: Index, wanted: DataFrame, dictionary: DataFrame | None, earned: Column, at_most: Column, unit: Sequence[str], k: int, digits: int | None = None, prune: bool = False, many: bool = False
+) -> Found:
     """The k best units for each id. A text earns the sum over the question's terms of times x the most that one of the term's words earns in it; a unit has its best text's score.
 
-    wanted: (id, term, times); dictionary: (term, word, factor). ``earned`` is of field, tf, len and
+    wanted: (id, term, times); dictionary: (term, word, factor), a word a term; without one a term
+    stands for all words that it is part of, with the factor 1. ``earned`` is of field, tf, len and
     factor, ``at_most`` of max_tf, min_len and factor and nowhere below. Scores are rounded to
     ``digits`` if that is given. Units are columns of the texts' key; equal scores rank by them. With
     ``prune`` blocks that cannot hold a result aren't read; without, all blocks of the terms are, and
-    their texts need no second look. The result is the same.
+    their texts need no second look. The result is the same. What the words earn is dealt out once, by
+    unit, so that pairs of ids and units aren't shuffled before the best in each part are left; where a
+    unit may have very ``many`` texts, by text, and each unit's best is found in each part first.
     """
     order = [F.desc("score"), *[F.col(u) for u in unit]]
-    names = cut(wanted.select("term").distinct().select("term", F.xxhash64("term").alias("t")), "terms")
-    factors = cut(dictionary.join(names, "term").select("t", "word", "factor"), "dictionary")
-    dictionary = small(factors)
+    # numbers that are stored, and are near each other, shuffle well
+    names = cut(wanted.select("term").distinct().withColumn("t", F.monotonically_increasing_id()), "terms")
+    if dictionary is None:
+        with_terms = lambda df: _holding(df, names)
+    else:
+        factors = cut(dictionary.join(names, "term").select("t", "word", "factor"), "dictionary")
+        with_terms = lambda df: df.join(small(factors), "word")
     wanted = cut(wanted.join(names, "term").groupBy("id", "t").agg(F.sum("times").cast("double").alias("times")), "wanted")
     stored = cut if prune else lambda df, name: df  # without, these are only read for the report
-    heads = stored(index.blocks.select(*_BLOCK_ID, "n", "max_tf", "min_len").join(dictionary, "word").select("t", *_BLOCK_ID, "n", at_most.cast("double").alias("most")), "heads")
+    heads = stored(with_terms(index.blocks.select(*_BLOCK_ID, "n", "max_tf", "min_len")).select("t", *_BLOCK_ID, "n", at_most.cast("double").alias("most")), "heads")
     terms = heads.groupBy("t").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
     known = stored(wanted.join(terms, "t").select("id", "t", "times", "n", (F.col("times") * F.col("most")).alias("most")), "known-terms")
 
     def held(blocks: DataFrame) -> DataFrame:
         """(id, key, score): what the terms in blocks (id, t, block's columns) earn in their texts."""
-        entries = index.blocks.select(*_BLOCK_ID, "entries").join(small(blocks), _BLOCK_ID).join(small(factors), ["t", "word"])
+        entries = index.blocks.select(*_BLOCK_ID, "entries").join(small(blocks), _BLOCK_ID)
+        entries = entries.withColumn("factor", F.lit(1.0)) if dictionary is None else entries.join(small(factors), ["t", "word"])
         each = entries.select("id", "t", "factor", F.explode("entries").alias("e")).select("id", "t", "factor", "e.*")
         most = each.groupBy("key", "id", "t").agg(F.max(earned.cast("double")).alias("earned"))
         return most.join(small(wanted), ["id", "t"]).groupBy("key", "id").agg(F.sum(F.col("times") * F.col("earned")).alias("score"))
 
     def all_held() -> DataFrame:
         """(id, key, score) of all texts: what their terms earn is found once, whoever asks for them."""
-        each = index.blocks.select("word", "entries").join(dictionary, "word").select("t", "factor", F.explode("entries").alias("e")).select("t", "factor", "e.*")
-        most = each.groupBy("key", "t").agg(F.max(earned.cast("double")).alias("earned")).repartition("key")
-        return most.join(small(wanted), "t").groupBy("key", "id").agg(F.sum(F.col("times") * F.col("earned")).alias("score"))
+        own = [] if many else list(unit)
+        lists = index.blocks.select("word", "entries")
+        # several terms are part of most words, so the words are dealt out, and meet the terms then
+        lists = lists if dictionary is None else with_terms(lists)
+        kept = [c for c in lists.columns if c != "entries"]
+        each = lists.select(*kept, F.explode("entries").alias("e")).select(*kept, "e.*")
+        dealt = each.select(*[F.col(f"key.{u}") for u in own], "*").repartition(*(own or ["key"]))
+        met = with_terms(dealt) if dictionary is None else dealt
+        most = met.groupBy(*own, "key", "t").agg(F.max(earned.cast("double")).alias("earned"))
+        return most.join(small(wanted), "t").groupBy(*own, "key", "id").agg(F.sum(F.col("times") * F.col("earned")).alias("score"))
 
     def scored(pairs: DataFrame) -> DataFrame:
         """(id, unit, score) of pairs (id, key), from the forward side of these texts, as far as any question asks for it."""
         pairs = cut(pairs, "candidates")
         forward = index.texts.join(pairs.select("key").distinct(), "key", "left_semi").select("key", "field", "len", F.explode("counts").alias("c"))
-        hits = forward.select("key", "field", "len", "c.word", "c.tf").join(dictionary, "word").select("key", "t", earned.cast("double").alias("earned"))
+        hits = with_terms(forward.select("key", "field", "len", "c.word", "c.tf")).select("key", "t", earned.cast("double").alias("earned"))
         earns = hits.groupBy("key", "t").agg(F.max("earned").alias("earned"))
         met = earns.join(small(wanted), "t").join(pairs, ["key", "id"], "left_semi")
         return cut(by_unit(met.groupBy("key", "id").agg(F.sum(F.col("times") * F.col("earned")).alias("score"))), "scored")
 
     def by_unit(scores: DataFrame) -> DataFrame:
-        own = scores.select("id", *[F.col(f"key.{u}") for u in unit], (F.col("score") if digits is None else F.round("score", digits)).alias("score"))
+        own = scores.select("id", *[F.col(u) if u in scores.columns else F.col(f"key.{u}") for u in unit], (F.col("score") if digits is None else F.round("score", digits)).alias("score"))
         return own.groupBy("id", *unit).agg(F.max("score").alias("score"))
 
     every = heads.join(wanted.select("id", "t"), "t").select("id", "t", *_BLOCK_ID)
@@ -178,15 +240,13 @@ def best_lexical(index: Index, questions: DataFrame, unit: Sequence[str], k: int
     """What lexical_scores() gives, the k best: over a question's distinct tokens, the weight of the best field that holds it as part of a word."""
     weights = FIELD_WEIGHTS if weights is None else weights
     tokens = query_tokens(questions).withColumnRenamed("token", "term").withColumn("times", F.lit(1))
-    dictionary = containing(index, tokens.select(F.col("term").alias("token"))).select(F.col("token").alias("term"), "word", F.lit(1.0).alias("factor"))
-    return best(index, tokens, dictionary, _field_weight(weights), F.lit(max(1.0, *weights.values())), unit, k, prune=prune)
+    return best(index, tokens, None, _field_weight(weights), F.lit(max(1.0, *weights.values())), unit, k, prune=prune)
 
 
 def best_documents(index: Index, questions: DataFrame, unit: Sequence[str], k: int = 5, prune: bool = False) -> Found:
     """What rank_documents() gives: a unit's score is its best text's, a text's the question's tokens (repeats count) that are part of its words."""
     tokens = query_tokens(questions, distinct=False).groupBy("id", F.col("token").alias("term")).agg(F.count("*").alias("times"))
-    dictionary = containing(index, tokens.select(F.col("term").alias("token"))).select(F.col("token").alias("term"), "word", F.lit(1.0).alias("factor"))
-    return best(index, tokens, dictionary, F.lit(1.0), F.lit(1.0), unit, k, prune=prune)
+    return best(index, tokens, None, F.lit(1.0), F.lit(1.0), unit, k, prune=prune, many=True)
 
 
 def best_bm25(index: Index, questions: DataFrame, unit: Sequence[str], k: int, k1: float = 1.5, b: float = 0.75, digits: int | None = 6, prune: bool = False) -> Found:

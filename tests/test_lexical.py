@@ -23,7 +23,7 @@ def plain(df, columns):
 def test_index_gives_what_all_texts_give(spark, tmp_path, monkeypatch):
     """Whole lists and pruned blocks, one segment and three; a segment written twice counts once."""
     monkeypatch.setattr(lexical, "BLOCK", 4)
-    monkeypatch.setattr(lexical, "LIST_TEXTS", 100)
+    monkeypatch.setattr(lexical, "PIECE", 100)
     texts, questions = case(spark)
     texts = texts.cache()
     lexical.write_segment(texts, f"{tmp_path}/one", ["g", "doc"])
