@@ -1,14 +1,16 @@
 """Questions to structured intents, for all questions at once.
 
-Keyword rules are expressions; entity names are a broadcast dimension matched by containment. The
-dimension is a configuration table of some hundred rows; beyond ALIAS_LIMIT it is not broadcast.
+Keyword rules are expressions; entity names are found by one automaton, in one pass over each text.
+They are a configuration table of some hundred rows; beyond ALIAS_LIMIT they are joined instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -17,7 +19,9 @@ from ..functions.text import col, contains_all, contains_any, quoted, strip
 from .cut import cut
 from .rank import small
 
+#: Up to so many names, and bytes of them, are one automaton in each task.
 ALIAS_LIMIT = 100_000
+ALIAS_BYTES = 16 << 20
 RUN = r"[\p{L}\p{N}]+"
 
 
@@ -27,29 +31,77 @@ def uppercase_codes(question: Column | str) -> Column:
 
 
 def alias_matches(questions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, ticker, alias, start, stop): where an alias first stands between non-alphanumerics, case aside.
+    """(id, ticker, alias, start, stop): where an alias first stands between non-alphanumerics, case aside; in code points.
 
-    questions (id, question), aliases (ticker, alias). An alias is looked up by its first run of
-    alphanumerics, which is such a run of the question, too; those without any are compared with all
-    questions. The aliases are broadcast while they are a bounded dimension.
+    questions (id, question), aliases (ticker, alias). While the aliases are a bounded dimension, all
+    of them are found in one pass over each text; beyond, they are looked up by words. Null questions
+    and null or empty aliases match nothing.
     """
-    names = aliases.select("ticker", F.lower("alias").alias("alias")).where("alias <> ''").distinct().withColumn("word", F.regexp_extract("alias", RUN, 0))
-    if names.limit(ALIAS_LIMIT + 1).count() <= ALIAS_LIMIT:
-        names = F.broadcast(names)
+    names = aliases.select("ticker", F.lower("alias").alias("alias")).where("alias <> ''").distinct()
+    size = names.limit(ALIAS_LIMIT + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("alias") + F.coalesce(F.octet_length("ticker"), F.lit(0))), F.lit(0)).alias("bytes")).first()
+    if size["n"] > ALIAS_LIMIT or size["bytes"] > ALIAS_BYTES:
+        return _aliases_by_word(questions, names)
+    found = _alias_pass([(r["ticker"], r["alias"]) for r in names.collect()])
+    kind = questions.schema["id"].dataType.simpleString()
+    return questions.select("id", F.lower("question").alias("q")).where("q is not null").mapInArrow(found, f"id {kind}, ticker string, alias string, start int, stop int")
+
+
+def _alias_pass(names: Sequence[tuple[str | None, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first match of each name in each row of (id, q): one walk of a trie with failure links, however many names there are."""
+    tickers: dict[str, list[str | None]] = {}
+    for ticker, alias in names:
+        tickers.setdefault(alias, []).append(ticker)
+
+    def first(automaton: ahocorasick.Automaton, q: str) -> dict[str, int]:
+        at: dict[str, int] = {}
+        for last, alias in automaton.iter(q):
+            begin = last + 1 - len(alias)
+            if alias not in at and not (begin and q[begin - 1].isalnum()) and not q[last + 1 : last + 2].isalnum():
+                at[alias] = begin
+        return at
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for alias in tickers:
+            automaton.add_word(alias, alias)
+        automaton.make_automaton()
+        for batch in batches if tickers else ():
+            hits = [(row, t, alias, begin) for row, q in enumerate(batch["q"]) for alias, begin in first(automaton, q.as_py()).items() for t in tickers[alias]]
+            out = {
+                "id": batch["id"].take(pa.array([h[0] for h in hits], pa.int64())),
+                "ticker": pa.array([h[1] for h in hits], pa.string()),
+                "alias": pa.array([h[2] for h in hits], pa.string()),
+                "start": pa.array([h[3] for h in hits], pa.int32()),
+                "stop": pa.array([h[3] + len(h[2]) for h in hits], pa.int32()),
+            }
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return work
+
+
+def _aliases_by_word(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """alias_matches() of names (ticker, alias): an alias is looked up by its first run of alphanumerics, which is such a run of the question, too; those without any are compared with all questions."""
+    names = names.withColumn("word", F.regexp_extract("alias", RUN, 0))
     q = questions.select("id", F.lower("question").alias("q"))
     runs = q.select("id", "q", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(RUN), F.lit(0)))).alias("word"))
     met = runs.join(names.where("word <> ''"), "word").where(F.contains(F.col("q"), F.col("alias"))).select("id", "q", "ticker", "alias")
     met = met.unionByName(q.join(names.where("word = ''"), F.contains(F.col("q"), F.col("alias"))).select("id", "q", "ticker", "alias"))
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted(F.col("alias")), F.lit(r"(?![\p{L}\p{N}])"))
-    at = F.regexp_instr("q", pattern) - 1
-    return met.withColumn("start", at).where("start >= 0").select("id", "ticker", "alias", "start", (F.col("start") + F.length("alias")).alias("stop"))
+    # no look-behind: Java's sees half of a letter beyond the basic plane
+    pattern = F.concat(F.lit(r"(?s)^(.*?(?:^|[^\p{L}\p{N}]))"), quoted(F.col("alias")), F.lit(r"(?![\p{L}\p{N}])"))
+    met = met.where(F.regexp_like("q", pattern)).withColumn("start", F.length(F.call_function("regexp_extract", F.col("q"), pattern, F.lit(1))))
+    return met.select("id", "ticker", "alias", "start", (F.col("start") + F.length("alias")).alias("stop"))
 
 
 def outermost(matches: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """matches without those that lie in a strictly longer one of the same key: a range anti-join within the key."""
-    spans = matches.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("all_"))
-    longer = F.exists("all_", lambda o: (o["start"] <= F.col("start")) & (o["stop"] >= F.col("stop")) & (o["stop"] - o["start"] > F.col("stop") - F.col("start")))
-    return matches.join(spans, list(keys)).where(~longer).drop("all_")
+    """matches without those that lie in a strictly longer one of the same key. Equal matches all stay.
+
+    One sweep over each key's matches by start: the greatest stop so far, and the greatest of those
+    that begin at the same place.
+    """
+    before = Window.partitionBy(*keys).orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    beside = Window.partitionBy(*keys, "start")
+    reach = matches.withColumns({"before_": F.max("stop").over(before), "beside_": F.max("stop").over(beside)})
+    return reach.where((F.coalesce("before_", F.lit(-1)) < F.col("stop")) & (F.col("beside_") <= F.col("stop"))).drop("before_", "beside_")
 
 
 def resolve_brokers(tickers: Column, question: Column, parents: Mapping[str, str] = C.BROKER_PARENTS) -> Column:
