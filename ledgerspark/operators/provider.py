@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .intent import metrics_of
@@ -34,16 +35,53 @@ def metrics_of_replies(questions: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def embed(texts: DataFrame, key: Sequence[str], model: Callable[[list[str]], list[list[float] | None]], batch: int = 256) -> DataFrame:
-    """texts (key, text) with vector: what the model gives for the first EMBEDDED_CHARS characters, each text asked for once; null for empty texts."""
-    short = F.trim(F.substring(F.coalesce("text", F.lit("")), 1, EMBEDDED_CHARS))
-    rows = texts.withColumn("short_", short)
+def _short(text: str) -> Column:
+    """What a model is asked for: the first EMBEDDED_CHARS characters, trimmed."""
+    return F.trim(F.substring(F.coalesce(text, F.lit("")), 1, EMBEDDED_CHARS))
+
+
+def _asked(shorts: DataFrame, model: Callable[[list[str]], list[list[float] | None]], batch: int) -> DataFrame:
+    """shorts (short_, other columns) with the model's vector."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for a in range(0, len(b), batch):
-                own = b["short_"].iloc[a : a + batch].tolist()
-                yield pd.DataFrame({"short_": own, "vector": model(own)})
+                own = b.iloc[a : a + batch]
+                yield own.assign(vector=model(own["short_"].tolist()))
 
-    found = rows.select("short_").where("short_ <> ''").distinct().mapInPandas(ask, "short_ string, vector array<double>")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shorts.schema)
+    return shorts.mapInPandas(ask, f"{kinds}, vector array<double>")
+
+
+def embed(texts: DataFrame, key: Sequence[str], model: Callable[[list[str]], list[list[float] | None]], batch: int = 256) -> DataFrame:
+    """texts (key, text) with vector: what the model gives for the first EMBEDDED_CHARS characters, each text asked for once; null for empty texts."""
+    rows = texts.withColumn("short_", _short("text"))
+    found = _asked(rows.select("short_").where("short_ <> ''").distinct(), model, batch)
     return rows.join(found, "short_", "left").select(*texts.columns, "vector")
+
+
+def embedded(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(hash, vector): what the table at path holds of the model of this name, a row a text; nothing where there is no table yet."""
+    schema = "hash string, vector array<double>, model string"
+    try:
+        stored = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], schema)
+    return stored.where(F.col("model") == name).dropDuplicates(["hash"]).select("hash", "vector")
+
+
+def embed_stored(texts: DataFrame, key: Sequence[str], model: Callable[[list[str]], list[list[float] | None]], name: str, path: str, batch: int = 256) -> DataFrame:
+    """embed() that asks the model only for texts of which the table at path has no vector, and adds these to it.
+
+    The table is addressed by the model's name and the SHA-256 of what the model is asked for. Only
+    new texts are written; a run that is lost or done again, or two at once, do no harm. A text for
+    which the model gives nothing has a null vector and is asked for again the next time.
+    """
+    spark = texts.sparkSession
+    rows = texts.withColumn("short_", _short("text")).withColumn("hash_", F.when(F.col("short_") != "", F.sha2("short_", 256)))
+    wanted = rows.where("hash_ is not null").select("short_", F.col("hash_").alias("hash")).dropDuplicates(["hash"])
+    new = _asked(wanted.join(embedded(spark, path, name).select("hash"), "hash", "left_anti").select("short_", "hash"), model, batch)
+    new.where("vector is not null").select("hash", "vector", F.lit(name).alias("model")).write.mode("append").partitionBy("model").parquet(path)
+    return rows.join(embedded(spark, path, name).withColumnRenamed("hash", "hash_"), "hash_", "left").select(*texts.columns, "vector")

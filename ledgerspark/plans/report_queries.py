@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text
 from ..operators import answer, extract, intent, lookup, plan, provider, rank
-from ..operators.cut import cut
+from ..operators.cut import cut, shared
 from ..sources import readers, writers
-from .queries import _PROBES, _cells, _plans, _probes, _ROWS, items, pick, pick_sql, query, table
+from .queries import _PROBES, SQL, _cells, _plans, _probes, _ROWS, items, pick, pick_sql, query, table
 
 _TITLES = ("BẢNG CÂN ĐỐI KẾ TOÁN", "BÁO CÁO KẾT QUẢ KINH DOANH", "BÁO CÁO LƯU CHUYỂN TIỀN TỆ", "Thuyết minh 7")
 _HEADER = ("Chỉ tiêu", "Mã số", "31/12/2020", "01/01/2020")
@@ -363,6 +363,18 @@ def embeddings_of_texts(spark, sf_dir):
     return found.select("doc_id", F.get("vector", F.lit(0)).alias("chars"), F.get("vector", F.lit(1)).alias("es"))
 
 
+@query(SQL["embeddings_of_texts"])
+def stored_embeddings(spark, sf_dir):
+    """The same from a table of vectors: benchmark texts, then documents are added; the last run's model knows nothing and is not asked."""
+    path = f"{shared(spark)}/embeddings-{uuid.uuid4().hex}"
+    model = lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    provider.embed_stored(table(spark, sf_dir, "benchmark").select("item_id", "text"), ["item_id"], model, "counts/1", path)
+    provider.embed_stored(docs, ["doc_id"], model, "counts/1", path)
+    found = provider.embed_stored(docs, ["doc_id"], lambda texts: [None for _ in texts], "counts/1", path)
+    return found.select("doc_id", F.get("vector", F.lit(0)).alias("chars"), F.get("vector", F.lit(1)).alias("es"))
+
+
 # --- retrieval
 
 
