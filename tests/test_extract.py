@@ -103,3 +103,26 @@ def test_files(spark, catalog, tmp_path):
     assert [(c["row"], c["col"], c["text"]) for c in torn] == [(0, 0, 'a\nb, "c"'), (0, 1, "x "), (1, 0, "1"), (1, 1, "2")]
     answers = spark.createDataFrame([(1, [("df1", "AAA_2023_table_1.csv")])], "id long, evidence array<struct<variable:string,csv_path:string>>")
     assert writers.write_package(answers, catalog, str(tmp_path / "out.zip")) == 1
+
+
+def test_plain_tables_skip_the_parser(monkeypatch):
+    """Tables of rows and closed cells alone are read by pattern, and as the parser reads them."""
+    from ledgerspark.functions import html
+
+    plain = '<table><tr><th colspan="2">a &amp; b</th><td> c </td></tr>\n<tr><td rowspan="2">1</td><td></td></tr><tr></tr></table>\n'
+    tables = [plain, "<table></table>", "<table><tr></tr></table>", "<table><tr><td>x</td></tr><tr><td>1</td><td>2 &lt; 3</td></tr></table>"]
+    found = [html.parse_grid(t) for t in tables]
+    monkeypatch.setattr(html, "_PLAIN", html.re.compile("(?!)"))
+    assert found == [html.parse_grid(t) for t in tables]
+    monkeypatch.undo()
+    monkeypatch.setattr(html, "_Cells", None)
+    assert [html.parse_grid(t) for t in tables] == found
+
+
+def test_tables_are_found_once(spark):
+    """Chains and inherited headers start from stored tables, so the reports' texts are in no later plan."""
+    from ledgerspark.operators import extract
+
+    reports = spark.createDataFrame([("R", "T", 2020, "<table><tr><td>a</td></tr></table>")], "report_id string, ticker string, year int, content string")
+    plan = extract.build_catalog(reports)._jdf.queryExecution().optimizedPlan().toString()
+    assert "html_grid" not in plan and "<table" not in plan
