@@ -45,11 +45,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: For tables of few long rows: a row group is closed by its bytes after any row. Else Parquet looks at its size after a hundred
+#: rows only, and a reader takes in as many of a group's rows at once as it has.
+LONG_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+
+
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, bounded_batches, discard, materialize, table, word_blocks
+from .common import LONG_ROWS, WordHashes, bounded_batches, discard, materialize, table, word_blocks
 
 TOP = 20
 #: A segment is closed after so many words; the first tier has so large a share of its postings, the first two so large.
@@ -131,7 +131,7 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int, segment_words: int =
             yield close(ids, sizes, found)
 
     made = docs.select("doc_id", "text").mapInPandas(index, _segment_schema(docs.schema["doc_id"].dataType))
-    return materialize(made.select(F.monotonically_increasing_id().alias("segment"), "*"), "tiered-index")
+    return materialize(made.select(F.monotonically_increasing_id().alias("segment"), "*"), "tiered-index", **LONG_ROWS)
 
 
 def items_of(bench: DataFrame) -> DataFrame:
@@ -272,7 +272,8 @@ def search_tier(index: DataFrame, block: Block, pending: DataFrame | None, tier:
     columns = ["segment", "doc_ids", "lengths", "terms", *[f"{c}{j}" for c in ("count", "docs", "tf") for j in range(tier + 1)], *[f"rest{j}" for j in range(min(tier + 1, TIERS - 1))]]
     asked, some = index.select(columns), pending is not None
     if some:
-        asked = asked.join(pending, "segment")
+        # a row a segment, of at most a block's items: the segments themselves are not shuffled
+        asked = asked.join(F.broadcast(pending), "segment")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = shared.value

@@ -191,3 +191,16 @@ def test_few_and_no_vectors(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got] == [(0, 1, 7, 1.0), (0, 2, 100, round(2**0.5, 9)), (100, 1, 7, 1.0), (100, 2, 0, round(2**0.5, 9))]
     assert nearest.search(few.limit(0), few).collect() == [] == nearest.search(few, few.limit(0)).collect()
     assert nearest.search(few.limit(1), few.limit(1)).collect() == []
+
+
+def test_segments_are_read_one_by_one(spark, monkeypatch):
+    """A row group of the tiered index is closed by its size after any segment, not after a hundred of them."""
+    import pyarrow.parquet as pq
+
+    from ledgerspark.llm import common
+
+    monkeypatch.setitem(common.LONG_ROWS, "parquet.block.size", "1024")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 50 + j}" for j in range(200))) for i in range(12)], "doc_id long, text string").coalesce(1)
+    files = ranked_search.build_index(docs, 12, 2400, segment_words=200).inputFiles()
+    sizes = [m.row_group(g).num_rows for m in (pq.ParquetFile(f.removeprefix("file://")).metadata for f in files) for g in range(m.num_row_groups)]
+    assert sum(sizes) == 12 and max(sizes) <= 3
