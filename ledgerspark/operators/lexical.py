@@ -36,6 +36,9 @@ BLOCK = 256
 PIECE = 500_000
 #: Postings of a question's rarest terms that are looked at for the score to reach, for each text wanted.
 LEAD = 16
+#: What a task counts words of or sums scores over: so many bytes of text, so many counts. There are as many tasks as the index asks
+#: for, so that the memory of one does not grow with it.
+TASK_BYTES, TASK_COUNTS = 16 << 20, 1_000_000
 #: Texts that are scored first, by what the terms looked at earn in them, for each text wanted.
 MOST_HOPEFUL = 4
 
@@ -48,6 +51,11 @@ class Index:
     texts: DataFrame
 
 
+def tasks(spark: SparkSession, size: int | None, each: int) -> int:
+    """How many tasks share a size, each with so much of it: the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // each))
+
+
 def _inverted(batches: Sequence[pa.RecordBatch], part: int, mean: float, block: int) -> pa.RecordBatch:
     """Blocks of the rows (key, field, len, word, tf), sorted by word."""
     rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
@@ -93,7 +101,8 @@ def write_segment(texts: DataFrame, path: str, keys: Sequence[str], segment: str
     """texts (keys, field, text) to a segment of the index below path. Null texts have no words; texts of equal keys and field count together."""
     spark = texts.sparkSession
     # dealt out by text once; what follows until it is written needs no other shuffle
-    dealt = texts.select(F.struct(*keys).alias("key"), "field", "text").repartition("key").select("key", "field", F.explode_outer(words("text")).alias("word"))
+    size = texts.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"]
+    dealt = texts.select(F.struct(*keys).alias("key"), "field", "text").repartition(tasks(spark, size, TASK_BYTES), "key").select("key", "field", F.explode_outer(words("text")).alias("word"))
     counted = dealt.groupBy("key", "field", "word").agg(F.count("word").alias("tf"))
     pair = F.when(F.col("word").isNotNull(), F.struct("word", F.col("tf").cast("int").alias("tf")))
     forward = counted.groupBy("key", "field").agg(F.sum("tf").cast("int").alias("len"), F.collect_list(pair).alias("counts"))
@@ -155,6 +164,9 @@ def best(
         factors = cut(dictionary.join(names, "term").select("t", "word", "factor"), "dictionary")
         with_terms = lambda df: df.join(small(factors), "word")
     wanted = cut(wanted.join(names, "term").groupBy("id", "t").agg(F.sum("times").cast("double").alias("times")), "wanted")
+    # a word that isn't in a dictionary may be told to several terms
+    counts = index.blocks.select("word", "n") if dictionary is None else index.blocks.select("word", "n").join(small(factors), "word")
+    parts = tasks(index.blocks.sparkSession, counts.agg(F.sum("n").alias("n")).first()["n"], TASK_COUNTS if dictionary is not None else TASK_COUNTS // 4)
     stored = cut if prune else lambda df, name: df  # without, these are only read for the report
     heads = stored(with_terms(index.blocks.select(*_BLOCK_ID, "n", "max_tf", "min_len")).select("t", *_BLOCK_ID, "n", at_most.cast("double").alias("most")), "heads")
     terms = heads.groupBy("t").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
@@ -164,7 +176,7 @@ def best(
         """(id, key, score): what the terms in blocks (id, t, block's columns) earn in their texts."""
         entries = index.blocks.select(*_BLOCK_ID, "entries").join(small(blocks), _BLOCK_ID)
         entries = entries.withColumn("factor", F.lit(1.0)) if dictionary is None else entries.join(small(factors), ["t", "word"])
-        each = entries.select("id", "t", "factor", F.explode("entries").alias("e")).select("id", "t", "factor", "e.*")
+        each = entries.select("id", "t", "factor", F.explode("entries").alias("e")).select("id", "t", "factor", "e.*").repartition(parts, "key", "id")
         most = each.groupBy("key", "id", "t").agg(F.max(earned.cast("double")).alias("earned"))
         return most.join(small(wanted), ["id", "t"]).groupBy("key", "id").agg(F.sum(F.col("times") * F.col("earned")).alias("score"))
 
@@ -176,7 +188,7 @@ def best(
         lists = lists if dictionary is None else with_terms(lists)
         kept = [c for c in lists.columns if c != "entries"]
         each = lists.select(*kept, F.explode("entries").alias("e")).select(*kept, "e.*")
-        dealt = each.select(*[F.col(f"key.{u}") for u in own], "*").repartition(*(own or ["key"]))
+        dealt = each.select(*[F.col(f"key.{u}") for u in own], "*").repartition(parts, *(own or ["key"]))
         met = with_terms(dealt) if dictionary is None else dealt
         most = met.groupBy(*own, "key", "t").agg(F.max(earned.cast("double")).alias("earned"))
         return most.join(small(wanted), "t").groupBy(*own, "key", "id").agg(F.sum(F.col("times") * F.col("earned")).alias("score"))

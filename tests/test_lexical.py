@@ -59,3 +59,19 @@ def test_empty_index(spark, tmp_path):
     index = lexical.open_index(spark, str(tmp_path))
     for prune in (False, True):
         assert lexical.best_bm25(index, questions, ["doc"], 4, prune=prune).top.collect() == []
+
+
+def test_tasks_grow_with_the_index(spark, monkeypatch, tmp_path):
+    """The memory of a task does not grow with the texts: there are more tasks instead, with the same result."""
+    texts = spark.createDataFrame([(i, "rest", f"apple w{i} w{i % 3} pear{i % 7}") for i in range(200)], "doc_id long, field string, text string")
+    asked = spark.createDataFrame([(1, "apple w1 w77"), (2, "pear3 w2")], "id long, question string")
+    found, parts = [], []
+    for k, (size, counts) in enumerate([(16 << 20, 10**6), (100, 10)]):
+        monkeypatch.setattr(lexical, "TASK_BYTES", size)
+        monkeypatch.setattr(lexical, "TASK_COUNTS", counts)
+        lexical.write_segment(texts, f"{tmp_path}/{k}", ["doc_id"])
+        index = lexical.open_index(spark, f"{tmp_path}/{k}")
+        parts.append(len(index.texts.inputFiles()))
+        found.append([sorted(map(tuple, lexical.best_bm25(index, asked, ["doc_id"], 5, prune=p).top.collect())) for p in (False, True)])
+    assert found[0] == found[1] and found[0][0] == found[0][1]
+    assert parts[0] <= 4 < 20 < parts[1]
