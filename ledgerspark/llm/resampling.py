@@ -25,7 +25,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import bounded_batches, discard, materialize, table, word_blocks
 
@@ -55,27 +54,18 @@ def bucket_stream(text: str | None, buckets: int = BUCKETS, gram: int = GRAM) ->
         before = own[len(own) - gram + 1 :] if gram > 1 and len(own) >= gram else own if gram > 1 else []
 
 
-def _stream_schema(id_type: T.DataType) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("doc_ids", T.ArrayType(id_type)),
-            T.StructField("texts", T.ArrayType(T.LongType())),
-            T.StructField("n_words", T.ArrayType(T.LongType())),
-            T.StructField("offsets", T.ArrayType(T.LongType())),
-            T.StructField("stream", T.BinaryType()),
-        ]
-    )
+STREAMS = "doc_ids array<string>, texts array<long>, n_words array<long>, offsets array<long>, stream binary"
 
 
 def write_streams(docs: DataFrame, buckets: int = BUCKETS, gram: int = GRAM, block: int = BLOCK_FEATURES) -> DataFrame:
     """docs (doc_id, text) to blocks (doc_ids, texts, n_words, offsets, stream), stored in the shared folder.
 
-    texts numbers the rows of docs; a text whose stream goes on in a further block stands in both, with
-    the words that it has in each.
+    Ids are kept as texts, as pandas has whole numbers beside a null as floats. texts numbers the rows of docs; a text
+    whose stream goes on in a further block stands in both, with the words that it has in each.
     """
     if not 0 < buckets <= 1 << 16:
         raise ValueError("a bucket is a uint16")
-    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, rows, words, offsets, parts, held = [], [], [], [], [], 0
@@ -87,7 +77,7 @@ def write_streams(docs: DataFrame, buckets: int = BUCKETS, gram: int = GRAM, blo
             return out
 
         for batch in batches:
-            for doc_id, text, row in zip(batch["doc_id"].astype(object), batch["text"], batch["row"]):
+            for doc_id, text, row in zip(batch["doc_id"], batch["text"], batch["row"]):
                 doc_id = None if pd.isna(doc_id) else doc_id
                 begun = False
                 for n, found in bucket_stream(text, buckets, gram):
@@ -108,7 +98,7 @@ def write_streams(docs: DataFrame, buckets: int = BUCKETS, gram: int = GRAM, blo
         if ids:
             yield close()
 
-    return materialize(docs.mapInPandas(write, _stream_schema(docs.schema["doc_id"].dataType)), "bucket-streams")
+    return materialize(docs.mapInPandas(write, STREAMS), "bucket-streams")
 
 
 def sorted_counts(streams: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -136,17 +126,16 @@ def gains_of(target: np.ndarray, source: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log(x)) for x in ratio], dtype=np.int64)
 
 
-def gumbel(doc_id, seed: int = SEED) -> int:
+def gumbel(doc_id: str | None, seed: int = SEED) -> int:
     """The noise of a document: by the first eight hexadecimal digits of SHA-256 of ``seed:doc_id``, a null id as the empty string."""
     h = int.from_bytes(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).digest()[:4])
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
 def weigh(streams: DataFrame, gains: np.ndarray, seed: int = SEED) -> DataFrame:
-    """streams to (doc_id, n_words, n_features, weight, noise), a row a text: the gains of its features, added up between its offsets."""
+    """streams to (doc_id, n_words, n_features, weight, noise), a row a text: the gains of its features, added up between its offsets. doc_id is a text."""
     shared = streams.sparkSession.sparkContext.broadcast(gains)
-    id_type = streams.schema["doc_ids"].dataType.elementType
-    schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(n, T.LongType()) for n in ("row", "n_words", "n_features", "weight", "noise", "part")]])
+    schema = "doc_id string, row long, n_words long, n_features long, weight long, noise long, part long"
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -205,7 +194,7 @@ def resample(docs: DataFrame, bench: DataFrame, percent: int = PERCENT, least_wo
     streams = write_streams(docs, buckets, block=block)
     gains = gains_of(sorted_counts(target, buckets), sorted_counts(streams, buckets))
     discard(target)
-    weights = weigh(streams, gains, seed).withColumn("score", F.col("weight") + F.col("noise")).drop("noise")
+    weights = weigh(streams, gains, seed).withColumns({"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "score": F.col("weight") + F.col("noise")}).drop("noise")
     scored = materialize(weights.withColumn("drawn", F.col("n_words") >= least_words), "resampling-weights")
     discard(streams)
     first = scored.where("drawn").count() * percent // 100

@@ -118,6 +118,16 @@ def test_resampling(spark, block):
     assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, len(drawn) + 1))
 
 
+@pytest.mark.parametrize("block", [1 << 21, 3])
+def test_resampling_keeps_whole_ids_beside_a_null(spark, block):
+    """An id's noise is that of its digits, and the id comes back as it was, also where another id of the block is null."""
+    docs = [(2**53 + 1, "a b c d"), (None, "a b c"), (7, ""), (2**62 + 3, None)]
+    got = resampling.resample(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([("a b",)], "text string"), percent=100, least_words=0, block=block).collect()
+    rows, _ = brute_resample(docs, ["a b"])
+    assert sorted(((r["doc_id"], r["weight"], r["score"]) for r in got), key=str) == sorted(((r[0], r[2], r[3]) for r in rows), key=str)
+    assert sorted(r["rank"] for r in got) == [1, 2, 3, 4]
+
+
 def test_stream_of_long_texts():
     """Parts of a text give what the whole gives, wherever it is cut."""
     rng = random.Random(0)
