@@ -196,17 +196,18 @@ def get_val(cells: DataFrame, targets: DataFrame) -> DataFrame:
     0, and so is the value where no row is found.
     """
     targets = targets.distinct()
-    asked = F.coalesce(strip("code"), F.lit("")) != ""
-    by_code = rows_by_code(cells, targets.where(asked).select(*TABLE, "code")).groupBy(*TABLE, "code").agg(F.min("row").alias("by_code"))
-    word = F.lower(strip("keyword"))
-    held = targets.where(F.coalesce(word, F.lit("")) != "").join(cells.where("col < 2"), TABLE).where(F.contains(F.lower("text"), word))
-    by_word = held.groupBy(*TABLE, "code", "keyword").agg(F.min(F.struct("col", "row"))["row"].alias("by_word"))
-    width = cells.groupBy(*TABLE).agg((F.max("col") + 1).alias("width_"))
-    rows = targets.join(by_code, [*TABLE, "code"], "left")
-    same = [rows[c].eqNullSafe(by_word[c]) for c in (*TABLE, "code", "keyword")]
-    rows = rows.join(by_word, same[0] & same[1] & same[2] & same[3], "left").select(*[rows[c] for c in rows.columns], by_word["by_word"])
-    at = rows.join(width, TABLE, "left").select(*targets.columns, F.coalesce("by_code", "by_word").alias("row"), F.when(F.col("width_") >= 3, F.col("width_") - 2).otherwise(F.col("width_") - 1).alias("col"))
-    found = at.join(cells.select(*TABLE, "row", "col", "text"), [*TABLE, "row", "col"], "left")
+    asked, word = F.coalesce(strip("code"), F.lit("")) != "", F.lower(strip("keyword"))
+    # cells are dealt out by table once: what follows, by row and by target, stays where a table lies
+    placed = cells.select(*TABLE, "row", "col", "text").withColumn("width_", F.max("col").over(Window.partitionBy(*TABLE)) + 1)
+    met = targets.join(placed, TABLE, "left")
+    at = F.when(F.col("width_") >= 3, F.col("width_") - 2).otherwise(F.col("width_") - 1)
+    rows = met.groupBy(*targets.columns, "row").agg(
+        F.min(F.when(asked & (strip("text") == F.col("code")), F.col("col"))).alias("by_code"),
+        F.min(F.when((F.col("col") < 2) & (F.coalesce(word, F.lit("")) != "") & F.contains(F.lower("text"), word), F.col("col"))).alias("by_word"),
+        F.max(F.when(F.col("col") == at, F.col("text"))).alias("value_"),
+    )
+    first = lambda by: F.min(F.when(F.col(by).isNotNull(), F.struct(by, "row", "value_")))
+    found = rows.groupBy(*targets.columns).agg(F.coalesce(first("by_code")["value_"], F.when(first("by_code").isNull(), first("by_word")["value_"])).alias("text"))
     return found.select(*targets.columns, F.coalesce(_parsed(_digits(F.col("text"))), F.lit(0.0)).alias("value"))
 
 

@@ -77,3 +77,14 @@ def test_many_tables(spark):
         took[n] = time.perf_counter() - began
         assert tuple(got) == (n, 3 * n * (n + 1) // 2, n * (n + 1) // 2)
     assert took[20_000] < 12 * max(took[5000], 0.5), took
+
+
+def test_get_val_shuffles_cells_once(spark):
+    """Targets are dealt out to be distinct and by table, cells by table; rows and targets are grouped where these lie."""
+    from ledgerspark.operators.lookup import get_val
+
+    cells = spark.createDataFrame([("r", 1, 0, 0, "x"), ("r", 1, 0, 1, "60"), ("r", 1, 0, 2, "7"), ("r", 1, 0, 3, "8")], "report_id string, table_index int, row int, col int, text string")
+    targets = spark.createDataFrame([("r", 1, "60", None), ("r", 1, "61", "X"), ("r", 1, None, "y"), ("s", 1, "60", "x"), (None, 1, "60", "x")], "report_id string, table_index int, code string, keyword string")
+    found = get_val(cells, targets)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3
+    assert sorted(((r["report_id"], r["code"], r["keyword"], r["value"]) for r in found.collect()), key=str) == sorted([("r", "60", None, 7.0), ("r", "61", "X", 7.0), ("r", None, "y", 0.0), ("s", "60", "x", 0.0), (None, "60", "x", 0.0)], key=str)
