@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -178,17 +179,24 @@ def evaluate(texts: DataFrame, frames: DataFrame, cells: DataFrame) -> DataFrame
     read = cut(texts.select("id", "text", parsed("text").alias("p")), "parsed")
     wanted = read.select("id", F.posexplode("p.cells").alias("slot", "c")).select("id", "slot", "c.*").join(frames.select("id", "variable", *TABLE), ["id", "variable"], "left")
     wanted = cut(wanted, "cells-wanted")
-    same = F.when(F.col("part"), F.contains(F.lower("match_text"), F.lower(F.get("codes", F.lit(0))))).otherwise(F.array_contains("codes", F.col("match_text")))
-    match = cells.select(*TABLE, "row", F.col("col").cast("string").alias("by"), strip("text").alias("match_text"))
-    rows = wanted.where("by is not null").select("id", "slot", *TABLE, "by", "codes", "part", "col").join(match, [*TABLE, "by"]).where(same)
-    first = rows.groupBy("id", "slot", *TABLE, "col").agg(F.min("row").alias("row"))
-    at = cells.select(*TABLE, "row", F.col("col").cast("string").alias("col"), "num")
-    direct = first.join(at, [*TABLE, "row", "col"], "left").select("id", "slot", F.lit(True).alias("row_found"), "num")
-    named = wanted.where("by is null and report_id is not null")
-    by_name = get_val(cells, named.select(*TABLE, "code", "keyword"))
-    keys = [named[c].eqNullSafe(by_name[c]) for c in (*TABLE, "code", "keyword")]
-    loose = named.join(by_name, keys[0] & keys[1] & keys[2] & keys[3]).select(named["id"], named["slot"], F.lit(True).alias("row_found"), by_name["value"].alias("num"))
-    got = wanted.select("id", "slot", "variable", "report_id", "fallback").join(direct.unionByName(loose), ["id", "slot"], "left")
+    own, named = wanted.where("by is not null and report_id is not null"), wanted.where("by is null and report_id is not null")
+    found = []
+    # each form meets the cells once, and only where there are such; what follows stays where a table lies
+    if own.limit(1).count():
+        at = cells.select(*TABLE, "row", F.col("col").cast("string").alias("at"), "num", strip("text").alias("match_text"))
+        same = F.when(F.col("part"), F.contains(F.lower("match_text"), F.lower(F.get("codes", F.lit(0))))).otherwise(F.array_contains("codes", F.col("match_text")))
+        met = own.select("id", "slot", *TABLE, "by", "codes", "part", "col").join(at, TABLE).where("at = by or at = col")
+        rows = met.groupBy("id", "slot", *TABLE, "row").agg(F.max((F.col("at") == F.col("by")) & same).alias("chosen"), F.max(F.when(F.col("at") == F.col("col"), F.col("num"))).alias("num"))
+        found.append(rows.where("chosen").groupBy("id", "slot", *TABLE).agg(F.min_by("num", "row").alias("num")).select("id", "slot", F.lit(True).alias("row_found"), "num"))
+    if named.limit(1).count():
+        by_name = get_val(cells, named.select(*TABLE, "code", "keyword"))
+        keys = [named[c].eqNullSafe(by_name[c]) for c in (*TABLE, "code", "keyword")]
+        found.append(named.join(by_name, keys[0] & keys[1] & keys[2] & keys[3]).select(named["id"], named["slot"], F.lit(True).alias("row_found"), by_name["value"].alias("num")))
+    got = wanted.select("id", "slot", "variable", "report_id", "fallback")
+    if found:
+        got = got.join(reduce(DataFrame.unionByName, found), ["id", "slot"], "left")
+    else:
+        got = got.withColumns({"row_found": F.lit(None).cast("boolean"), "num": F.lit(None).cast("double")})
     value = F.coalesce("num", F.when(F.col("row_found") & F.col("fallback").isNotNull(), 0.0), "fallback")
     why = F.when(F.col("report_id").isNull(), F.concat(F.lit("no table "), "variable")).when(value.isNull(), F.when(F.col("row_found"), "blank cell").otherwise("no such row"))
     by_id = got.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.when(why.isNull(), value).alias("value")))).alias("found"), F.min_by(why, F.when(why.isNotNull(), F.col("slot"))).alias("why"))
@@ -202,20 +210,21 @@ def corrected(texts: DataFrame, frames: DataFrame, cells: DataFrame, correct: Ca
     """texts (id, text) to (id, text, value, attempt, error): evaluated, and those that fail asked for again, up to ``attempts`` times.
 
     ``correct`` takes (id, text, error, attempt) of all that have failed so far and gives (id, text) for
-    those that it can mend; it is asked once an attempt, for all together. Rows that succeed leave. The
-    rest keeps its last error and has no value: it is for the cascade. Without ``correct`` nothing is asked.
+    those that it can mend; it is asked once an attempt, for all together. Rows that succeed leave, and only
+    mended texts are evaluated again, as any other fails as before. The rest keeps its last error and has no
+    value: it is for the cascade. Without ``correct`` nothing is asked.
     """
-    open_, done = texts.select("id", "text"), []
+    open_, stay, done = texts.select("id", "text"), None, []
     for k in range(attempts + 1):
-        got = evaluate(open_, frames, cells).withColumn("attempt", F.lit(k))
-        done.append(got.where("error is null"))
+        got = evaluate(open_, frames, cells)
+        done.append(got.where("error is null").withColumn("attempt", F.lit(k)))
         failed = got.where("error is not null")
+        failed = failed if stay is None else failed.unionByName(stay)
         if k == attempts or correct is None or failed.limit(1).count() == 0:
-            done.append(failed)
+            done.append(failed.withColumn("attempt", F.lit(k)))
             break
         mended = correct(failed.select("id", "text", "error", F.lit(k + 1).alias("attempt"))).select("id", F.col("text").alias("new_"))
-        open_ = cut(failed.select("id", "text").join(mended.dropDuplicates(["id"]), "id", "left").select("id", F.coalesce("new_", "text").alias("text")), "corrected")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("id", "text", "value", "attempt", "error")
+        asked = cut(failed.join(mended.dropDuplicates(["id"]), "id", "left"), "corrected")
+        open_ = asked.where("new_ is not null").select("id", F.col("new_").alias("text"))
+        stay = asked.where("new_ is null").drop("new_")
+    return reduce(DataFrame.unionByName, done).select("id", "text", "value", "attempt", "error")

@@ -141,3 +141,20 @@ def test_without_model_or_rows(spark, cells):
     assert e.corrected(none, frames_of(spark, ["a"]), cells, None).collect() == []
     one = e.corrected(spark.createDataFrame([("a", "x")], "id string, text string"), frames_of(spark, ["a"]), cells, None).collect()
     assert [(r["id"], r["value"], r["attempt"]) for r in one] == [("a", None, 0)]
+
+
+def test_texts_that_are_not_mended_are_not_evaluated_again(spark, cells, monkeypatch):
+    """Each attempt evaluates what was mended for it, and cells that no text names aren't read by name."""
+    evaluated, own = [], e.evaluate
+
+    def counted(texts, *rest):
+        evaluated.append(sorted(r["id"] for r in texts.collect()))
+        return own(texts, *rest)
+
+    monkeypatch.setattr(e, "evaluate", counted)
+    monkeypatch.setattr(e, "get_val", lambda *_: pytest.fail("no text has get_val"))
+    texts = spark.createDataFrame([("a", "1 +"), ("b", "1 / 0"), ("c", "2 + 2"), ("d", "'x'")], "id string, text string")
+    mend = lambda failed: failed.where("(id = 'a' and attempt = 1) or (id = 'd' and attempt = 3)").select("id", F.when(F.col("id") == "a", "1 +").otherwise("3").alias("text"))
+    got = {r["id"]: r for r in e.corrected(texts, frames_of(spark, list("abcd")), cells, mend).collect()}
+    assert evaluated == [["a", "b", "c", "d"], ["a"], [], ["d"], []]
+    assert {k: (r["value"], r["attempt"], r["error"]) for k, r in got.items()} == {"a": (None, 4, "refused: not an expression"), "b": (None, 4, "division by zero"), "c": (4.0, 0, None), "d": (3.0, 3, None)}
