@@ -18,12 +18,13 @@ def executable(plan: Column, answer: Column) -> Column:
 
 def prune(ranked: DataFrame, used: DataFrame) -> DataFrame:
     """ranked (id, report_id, table_index, rank, ...) without tables that the answer doesn't use; questions without a used table keep all."""
-    with_use = used.select("id").distinct()
-    keep = ranked.join(used.select("id", "report_id", "table_index").distinct(), ["id", "report_id", "table_index"], "left_semi")
-    rest = ranked.join(with_use, "id", "left_anti")
-    kept = keep.unionByName(rest).drop("rank")
+    # both are read once a join, ranked once in all
+    own = used.select(F.col("id").alias("id_"), F.col("report_id").alias("report_"), F.col("table_index").alias("table_")).distinct().withColumn("used_", F.lit(True))
+    same = (ranked["id"] == own["id_"]) & ranked["report_id"].eqNullSafe(own["report_"]) & (ranked["table_index"] == own["table_"])
+    met = ranked.join(own, same, "left").drop("id_", "report_", "table_").join(used.select("id").distinct().withColumn("asked_", F.lit(True)), "id", "left")
     # ranks are closed up, so that the first table is df1
-    return kept.join(ranked.select("id", "report_id", "table_index", F.col("rank").alias("old_")), ["id", "report_id", "table_index"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("old_"))).drop("old_")
+    kept = met.where("used_ or asked_ is null").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("rank")))
+    return kept.drop("used_", "asked_")
 
 
 def evidence(ranked: DataFrame) -> DataFrame:

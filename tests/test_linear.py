@@ -88,3 +88,15 @@ def test_get_val_shuffles_cells_once(spark):
     found = get_val(cells, targets)
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3
     assert sorted(((r["report_id"], r["code"], r["keyword"], r["value"]) for r in found.collect()), key=str) == sorted([("r", "60", None, 7.0), ("r", "61", "X", 7.0), ("r", None, "y", 0.0), ("s", "60", "x", 0.0), (None, "60", "x", 0.0)], key=str)
+
+
+def test_prune_reads_what_is_ranked_once(spark, tmp_path):
+    """Its plan scans ranked once, and a table of a report without a name is kept as any other."""
+    from ledgerspark.operators.answer import prune
+
+    rows = [(1, "r", 1, 1), (1, None, 2, 2), (1, "r", 3, 3), (2, "r", 5, 1), (2, "r", 7, 2), (3, "r", 1, 1), (3, "r", 2, 4)]
+    spark.createDataFrame(rows, "id long, report_id string, table_index long, rank int").write.parquet(f"{tmp_path}/ranked")
+    used = spark.createDataFrame([(1, None, 2), (1, "r", 3), (1, "r", 3), (3, "r", 2)], "id long, report_id string, table_index long")
+    found = prune(spark.read.parquet(f"{tmp_path}/ranked"), used)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert sorted((r["id"], r["table_index"], r["rank"]) for r in found.collect()) == [(1, 2, 1), (1, 3, 2), (2, 5, 1), (2, 7, 2), (3, 2, 1)]
