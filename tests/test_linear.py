@@ -100,3 +100,24 @@ def test_prune_reads_what_is_ranked_once(spark, tmp_path):
     found = prune(spark.read.parquet(f"{tmp_path}/ranked"), used)
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
     assert sorted((r["id"], r["table_index"], r["rank"]) for r in found.collect()) == [(1, 2, 1), (1, 3, 2), (2, 5, 1), (2, 7, 2), (3, 2, 1)]
+
+
+def test_runs_of_blank_lines_and_many_pages(spark):
+    """Contexts look past any number of blank lines; pages are right however many markers there are."""
+    rng = random.Random(7)
+    say = lambda: rng.choice(["\n" * rng.choice([1, 14, 16, 70, 300]), "a line\n", "　 \n", "===== PAGE %d =====\n" % rng.randint(1, 99), "x <table><tr><td>1</td></tr></table>"])
+    texts = ["".join(say() for _ in range(n)) for n in (10, 40, 200, 200)] + [" \n" * 20 + "é\n<table></table>", "\n" * 5000 + "a\n" * 20 + "\n" * 2000 + "<table\n></TABLE>"]
+    df = spark.createDataFrame([(str(k), None, None, t) for k, t in enumerate(texts)], "report_id string, ticker string, year int, content string")
+    got = {}
+    for r in extract.find_tables(df).orderBy("report_id", "table_index").collect():
+        got.setdefault(int(r["report_id"]), []).append((r["start_line"], r["page_number"], r["own_context"]))
+    assert got == {k: w for k, t in enumerate(texts) if (w := plain_tables(t))}
+
+
+def test_catalog_is_not_shuffled(spark):
+    """What looks at neighbouring tables is worked out where the report lies, and cells are only normalised where they are asked for."""
+    df = spark.createDataFrame([("r", "T", 2020, "a\n<table><tr><td>1</td></tr></table>")], "report_id string, ticker string, year int, content string")
+    found = extract.build_catalog(df)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    plan = found.select("report_id", "table_index", "start_line", "table_context")._jdf.queryExecution().executedPlan().toString()
+    assert "grid" not in plan.split("ReadSchema:")[-1]
