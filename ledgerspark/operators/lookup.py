@@ -242,9 +242,12 @@ def surroundings(reports: DataFrame, tables: DataFrame, before: int = 15, after:
     return rows.select(*TABLE, F.regexp_replace(text, r"(?is)<table.*?>.*?</table>|<tr.*?>.*?</tr>|<td.*?>.*?</td>", " ").alias("text"))
 
 
-def first_three_columns(cells: DataFrame) -> DataFrame:
-    """(report_id, table_index, codes): the distinct texts of the first three columns below the header."""
-    return cells.where("col < 3 and row > 0").groupBy(*TABLE).agg(F.sort_array(F.collect_set(strip("text"))).alias("codes"))
+def first_three_columns(catalog: DataFrame) -> DataFrame:
+    """(report_id, table_index, codes): the distinct texts of the first three columns below the header, where a table has any."""
+    texts = F.flatten(F.transform(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), lambda r: F.transform(F.slice(r, 1, 3), strip)))
+    codes = F.array_sort(F.array_distinct(F.filter(texts, lambda x: x.isNotNull())))
+    # generated, as a filter would work the rows out a second time
+    return catalog.select(*TABLE, F.explode(F.filter(F.array(codes), lambda x: F.size(x) > 0)).alias("codes"))
 
 
 def text_content(cells: DataFrame) -> DataFrame:
