@@ -5,7 +5,8 @@ the predictor, cross-colour, subtract-green and palette transforms; it returns p
 The encoder can write each of these but meta prefix codes. Bytes become grey samples:
 ``encode_bytes`` writes them with back-references, with the colour cache that pays and with the
 transform that pays. Matches are found and bits packed by numpy; Python loops over back-references
-when writing, over symbols when reading.
+when writing, over symbols when reading. ``encode_many`` and ``decode_many`` do the same for many short
+payloads at once, as calls on short arrays take longer than the work.
 
 A side is at most 16384, so long payloads become several images, one RIFF file after the other.
 """
@@ -16,7 +17,7 @@ import hashlib
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 from operator import sub
 
@@ -49,6 +50,12 @@ PAYS = 0.9
 PIECE, _EIGHT = 1 << 14, np.arange(8, dtype=np.uint32)
 #: Samples of one image of a payload.
 TILE_WIDTH, TILE = 64, 64 * 16384
+#: Samples of the payloads that are coded together, and at most, as the key of RUN samples and a place make up 64 bits.
+TOGETHER, PLACES = 1 << 15, 1 << 16
+#: What red, blue and alpha have as codes where only green varies: 0, 0 and 255.
+ONLY_GREEN = 0b101 | 0b101 << 11 | 0b101 << 22 | 255 << 25
+#: What estimates in sums of another order may be off by.
+CLOSE = 1 + 1e-9
 
 
 # --- bits and prefix codes
@@ -95,6 +102,11 @@ class Writer:
             self.value >>= whole * 8
             self.held -= whole * 8
 
+    @property
+    def position(self) -> int:
+        """Bits written."""
+        return 8 * sum(map(len, self.parts)) + self.held
+
     def bytes(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes(-(-self.held // 8), "little")
 
@@ -122,14 +134,41 @@ def canonical(lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return used, n, _reversed_bits(most)[start & ((1 << most) - 1)]
 
 
+@cache
+def _reversed_few(n: int) -> list[int]:
+    return _reversed_bits(n).tolist()
+
+
+def _few(lengths: Sequence[int]) -> list[tuple[int, int, int]]:
+    """canonical for a handful of symbols, without arrays: symbols in use, lengths, codes."""
+    out, code, last = [], 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        out.append((s, n, _reversed_few(n)[code & (1 << n) - 1]))
+        code, last = code + 1, n
+    return out if len(out) != 1 else [(out[0][0], 0, 0)]
+
+
+def _few_table(lengths: Sequence[int]) -> list[int]:
+    """Code(lengths).table for a handful of symbols."""
+    codes = _few(lengths) or [(0, 0, 0)]
+    most = codes[-1][1]
+    if sum(1 << (most - n) for _, n, _ in codes) != 1 << most:
+        raise ValueError("a prefix code is not complete")
+    out = [0] * (1 << most)
+    for s, n, c in codes:
+        out[c :: 1 << n] = [s << 4 | n] * (1 << (most - n))
+    return out
+
+
 class Code:
     """A prefix code for reading."""
 
     def __init__(self, lengths: Sequence[int]):
-        n = np.asarray(lengths, dtype=np.int64)
+        n = np.frombuffer(bytes(lengths), np.uint8)
         used = np.flatnonzero(n)
         used = used[np.argsort(n[used], kind="stable")]
-        n = n[used]
+        n = n[used].astype(np.int64)
         if len(used) < 2:  # a lone symbol takes no bits
             used, n = used if len(used) else np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
         self.most = int(n[-1])
@@ -162,22 +201,28 @@ class Code:
 
 
 def read_code(r: Reader, size: int) -> Code:
-    lengths = [0] * size
+    lengths = read_lengths(r, size)
+    return Code.lone(lengths) if isinstance(lengths, int) else Code(lengths)
+
+
+def read_lengths(r: Reader, size: int) -> bytearray | int:
+    """Code lengths, or the symbol that is told to be the only one."""
+    lengths = bytearray(size)
     if r.read(1):
         two, wide = r.read(1), r.read(1)
         symbols = [r.read(8 if wide else 1)] + ([r.read(8)] if two else [])
         if not two:
-            return Code.lone(symbols[0])
+            return symbols[0]
         for s in symbols:
             lengths[s] = 1
-        return Code(lengths)
+        return lengths
     own = [0] * 19
     for k in range(4 + r.read(4)):
         own[LENGTH_ORDER[k]] = r.read(3)
-    code = Code(own)
+    table_ = _few_table(own)
+    mask = len(table_) - 1
     left = size if not r.read(1) else 2 + r.read(2 + 2 * r.read(3))
     k, last = 0, 8
-    table_, mask = code.table, code.mask
     r.need(14)
     value, held = r.value, r.held
     while k < size and left > 0:
@@ -198,37 +243,46 @@ def read_code(r: Reader, size: int) -> Code:
             used += more
             if k + n > size:
                 raise ValueError("a run of code lengths is too long")
-            lengths[k : k + n] = [x] * n
+            if x:
+                lengths[k : k + n] = bytes((x,)) * n
             k += n
         value >>= used
         held -= used
     r.value, r.held = value, held
-    return Code(lengths)
+    return lengths
 
 
-def code_lengths(symbols: Sequence[int], counts: Sequence[int], size: int, most: int) -> list[int]:
+def code_lengths(symbols: Sequence[int], counts: Sequence[int], size: int, most: int) -> bytearray:
     """Huffman lengths of at most ``most`` bits for symbols with their counts; a lone symbol has length 1."""
-    lengths = [0] * size
+    lengths = bytearray(size)
     if len(symbols) == 1:
         lengths[symbols[0]] = 1
         return lengths
-    n, floor = len(symbols), 0
+    n, floor, beyond = len(symbols), 0, 1 << 62
+    order = sorted(range(n), key=counts.__getitem__)
     while True:
-        order = sorted(range(n), key=counts.__getitem__)
         # two queues: leaves in order, and the inner nodes, which arise in order
-        weight = [max(counts[i], floor) for i in order] + [0] * (n - 1)
-        parent, leaf, node = [0] * (2 * n - 1), 0, n
-        for k in range(n, 2 * n - 1):
-            if leaf < n and (node >= k or weight[leaf] <= weight[node]):
-                a, leaf = leaf, leaf + 1
+        leaves, inner = [max(counts[i], floor) for i in order], [beyond] * n
+        leaves.append(beyond)
+        parent, leaf, node = [0] * (2 * n - 1), 0, 0
+        for k in range(n - 1):
+            a, b = leaves[leaf], inner[node]
+            if a <= b:
+                parent[leaf] = k + n
+                leaf += 1
+                x, a = a, leaves[leaf]
             else:
-                a, node = node, node + 1
-            if leaf < n and (node >= k or weight[leaf] <= weight[node]):
-                b, leaf = leaf, leaf + 1
+                parent[n + node] = k + n
+                node += 1
+                x, b = b, inner[node]
+            if a <= b:
+                parent[leaf] = k + n
+                leaf += 1
+                inner[k] = x + a
             else:
-                b, node = node, node + 1
-            weight[k] = weight[a] + weight[b]
-            parent[a] = parent[b] = k
+                parent[n + node] = k + n
+                node += 1
+                inner[k] = x + b
         depth = [0] * (2 * n - 1)
         for a in range(2 * n - 3, -1, -1):
             depth[a] = depth[parent[a]] + 1
@@ -247,9 +301,8 @@ def _runs(x: np.ndarray) -> np.ndarray:
 
 
 def write_code(w: Writer, lengths: Sequence[int]) -> None:
-    used = [s for s, n in enumerate(lengths) if n]
-    if not used:
-        used = [0]
+    own = np.frombuffer(bytes(lengths), np.uint8)
+    used = np.flatnonzero(own).tolist() or [0]
     if len(used) <= 2 and max(used) < 256 and all(lengths[s] <= 1 for s in used):
         w.put(1, 1)
         w.put(len(used) - 1, 1)
@@ -261,8 +314,7 @@ def write_code(w: Writer, lengths: Sequence[int]) -> None:
         return
     # symbol | extra bits << 5 | their number << 12
     tokens: list[int] = []
-    last, own = 8, np.asarray(lengths, dtype=np.int64)
-    first = _runs(own).tolist()
+    last, first = 8, _runs(own).tolist()
     for x, n in zip(own[first].tolist(), map(sub, [*first[1:], len(own)], first)):
         if x and x != last:
             tokens.append(x)
@@ -271,7 +323,8 @@ def write_code(w: Writer, lengths: Sequence[int]) -> None:
             m = min(n, 6 if x else 138)
             tokens.append(16 | m - 3 << 5 | 2 << 12 if x else 18 | m - 11 << 5 | 7 << 12 if m >= 11 else 17 | m - 3 << 5 | 3 << 12)
             n -= m
-        tokens += [x] * n
+        if n:
+            tokens += [x] * n
     counts = [0] * 19
     for t in tokens:
         counts[t & 31] += 1
@@ -283,7 +336,7 @@ def write_code(w: Writer, lengths: Sequence[int]) -> None:
     for s in LENGTH_ORDER[:count]:
         w.put(own[s], 3)
     w.put(0, 1)
-    codes = {s: (c, n) for s, n, c in zip(*(x.tolist() for x in canonical(own)))}
+    codes = {s: (c, n) for s, n, c in _few(own)}
     value = held = 0
     for t in tokens:
         c, m = codes[t & 31]
@@ -830,8 +883,8 @@ def _unbundle(p: np.ndarray, width: int, palette: np.ndarray) -> np.ndarray:
     return full[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """A WebP file with a VP8L chunk to an array (height, width) of ARGB."""
+def _opened(data: bytes) -> tuple[Reader, int, int]:
+    """A WebP file's VP8L chunk behind its head, width and height."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise ValueError("not lossless WebP")
     r = Reader(data[21 : 20 + int.from_bytes(data[16:20], "little")])
@@ -839,6 +892,12 @@ def decode(data: bytes) -> np.ndarray:
     r.read(1)
     if r.read(3):
         raise ValueError("unknown version")
+    return r, width, height
+
+
+def decode(data: bytes) -> np.ndarray:
+    """A WebP file with a VP8L chunk to an array (height, width) of ARGB."""
+    r, width, height = _opened(data)
     undo, coded = [], width
     while r.read(1):
         kind = r.read(2)
@@ -869,7 +928,11 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def _file(w: Writer) -> bytes:
-    body = b"\x2f" + w.bytes()
+    return _riff(w.bytes())
+
+
+def _riff(stream: bytes) -> bytes:
+    body = b"\x2f" + stream
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
@@ -959,6 +1022,10 @@ def _ways(x: np.ndarray) -> list[dict]:
     return ways
 
 
+def _grey(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) * np.uint32(0x10101) | np.uint32(0xFF000000)
+
+
 def encode_bytes(payload: bytes) -> bytes:
     """A payload of a positive multiple of 64 bytes to grey images of 64 samples a row, each coded in the way that takes the fewest bytes.
 
@@ -968,8 +1035,7 @@ def encode_bytes(payload: bytes) -> bytes:
     out = []
     for a in range(0, len(payload), TILE):
         x = np.frombuffer(payload, np.uint8, count=min(TILE, len(payload) - a), offset=a).reshape(-1, TILE_WIDTH)
-        pixels = x.astype(np.uint32) * np.uint32(0x10101) | np.uint32(0xFF000000)
-        out.append(min((encode(pixels, cache_bits=None, references=True, **how) for how in ({"green": True}, *_ways(x))), key=len))
+        out.append(min((encode(_grey(x), cache_bits=None, references=True, **how) for how in ({"green": True}, *_ways(x))), key=len))
     return b"".join(out)
 
 
@@ -982,6 +1048,328 @@ def decode_bytes(media: bytes) -> bytes:
     return b"".join(out)
 
 
+def _together(items: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
+    """Neighbours that have so many bytes together at most; a longer one is alone."""
+    held, size = [], 0
+    for x in items:
+        if held and size + len(x) > most:
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        yield held
+
+
+def encode_many(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """encode_bytes of each payload, the same bytes, worked out for many short payloads at once."""
+    for group in _together(payloads, TOGETHER):
+        yield from _encode_together(group) if len(group) > 1 else map(encode_bytes, group)
+
+
+def decode_many(media: Iterable[bytes]) -> Iterator[bytes]:
+    """decode_bytes of each, worked out for many short ones at once."""
+    for group in _together(media, PIECE):
+        yield from _decode_together(group) if len(group) > 1 else map(decode_bytes, group)
+
+
+@cache
+def _copy_codes(width: int) -> tuple[np.ndarray, ...]:
+    """By length, then by distance: prefix codes, extra values, extra bits; and the bits of a distance."""
+    far = np.arange(PLACES)
+    coded, near = far + len(NEAR), _near(width)
+    coded[: len(near)] = np.where(near > 0, near, coded[: len(near)])
+    return *_prefixes(np.arange(LONGEST + 1)), *_prefixes(coded), np.frexp(far.astype(np.float64))[1]
+
+
+@cache
+def _grey_slots(bits: int) -> np.ndarray:
+    """By sample, its slot in a colour cache after subtract-green."""
+    return np.array([(CACHE_FACTOR * (0xFF000000 | g << 8) & 0xFFFFFFFF) >> (32 - bits) for g in range(256)])
+
+
+def _entropies(n: np.ndarray) -> np.ndarray:
+    """By row of counts, about the bits that the symbols take."""
+    size = n.sum(axis=1)
+    return size * np.log2(np.maximum(size, 1)) - (n * np.log2(np.maximum(n, 1))).sum(axis=1)
+
+
+def _costs(*counts: np.ndarray) -> np.ndarray:
+    """_cost by row."""
+    n = np.concatenate(counts, axis=1)
+    return _entropies(n) + 5 * np.count_nonzero(n, axis=1)
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """By row of code lengths, which are complete or all 0, the codes as they stand in the stream."""
+    key = np.arange(len(lengths))[:, None] << 4 | lengths
+    order = np.argsort(key.astype(np.uint16).ravel() if len(lengths) <= 1 << 12 else key.ravel(), kind="stable")
+    n = lengths.ravel()[order]
+    share = np.where(n > 0, 1 << (MOST_BITS - n), 0)
+    out = np.zeros(lengths.size, dtype=np.int64)
+    out[order] = _reversed_bits(MOST_BITS)[np.cumsum(share) - share & (1 << MOST_BITS) - 1]
+    return out
+
+
+def _encode_together(payloads: list[bytes]) -> list[bytes]:
+    """encode_bytes of payloads that have TOGETHER bytes at most, by arrays over all their samples.
+
+    Those for which a colour cache, a palette or a predictor may pay are coded by encode besides.
+    """
+    many, sizes = len(payloads), np.array([len(p) for p in payloads])
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(payloads), np.uint8)
+    total, owner = len(raw), np.repeat(np.arange(many), sizes)
+    sample = owner << 8 | raw
+    counts = np.bincount(sample, minlength=many << 8).reshape(many, 256)
+    length_code, length_x, length_n, distance_code, distance_x, distance_n, wide = _copy_codes(TILE_WIDTH)
+
+    # back-references, as _references finds them; equal keys stand together in order of place, so those of one payload do
+    two = raw.astype(np.uint64)
+    two = two[:-1] << np.uint64(8) | two[1:]
+    key = two[:-4] << np.uint64(48) | two[2:-2] << np.uint64(32) | two[4:] << np.uint64(16)
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    same = np.flatnonzero((key[1:] ^ key[:-1]) < np.uint64(PLACES))
+    place = key.astype(np.uint16)
+    here, before = place[same + 1].astype(np.int64), place[same].astype(np.int64)
+    far = np.zeros(total, dtype=np.int64)
+    far[here] = np.where(owner[here] == owner[before], here - before, 0)
+    far[ends[:, None] - np.arange(1, RUN)] = 0  # what begins there goes over the payload's end
+    first = _runs(far)
+    last = np.append(first[1:], total)
+    at = np.flatnonzero(far)
+    distance = far[at]
+    length = np.minimum(np.repeat(last, last - first)[at] - at + RUN - 1, LONGEST)
+    each = []
+    for n, size in zip(counts, sizes.tolist()):
+        n = n[n > 0]
+        each.append(max(0.05, float(n @ np.log2(size / n)) / size))
+    pays = length * np.array(each)[owner[at]] > 10 + wide[distance]
+    at, length, distance = at[pays], length[pays], distance[pays]
+    below = np.zeros(total + 1, dtype=np.int64)
+    below[at + 1] = 1
+    then, chosen, i = np.cumsum(below)[at + length].tolist(), [], 0
+    while i < len(then):
+        chosen.append(i)
+        i = then[i]
+    starts, length, distance = at[chosen], length[chosen], distance[chosen]
+
+    # a row for each literal and back-reference, in order
+    edge = np.zeros(total + 1, dtype=np.int8)
+    edge[starts] += 1
+    edge[starts + length] -= 1
+    literal = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    first = literal.copy()
+    first[starts] = True
+    at = np.flatnonzero(first)
+    ref = np.flatnonzero(~literal[at])
+    head, of = raw[at].astype(np.int64), owner[at]
+    head[ref] = LITERALS + length_code[length]
+    head += of * (LITERALS + LENGTHS)
+    heads = np.bincount(head, minlength=many * (LITERALS + LENGTHS)).reshape(many, -1)
+    back = owner[starts] * DISTANCES + distance_code[distance]
+    backs = np.bincount(back, minlength=many * DISTANCES).reshape(many, -1)
+
+    # what may take fewer bits
+    cached, plain = np.zeros(many, dtype=bool), _costs(heads) * CLOSE
+    for bits in CACHES:
+        slot = owner << bits | _grey_slots(bits)[raw]
+        slot = slot.astype(np.uint16) if many << bits <= 1 << 16 else slot
+        order = np.argsort(slot, kind="stable")
+        by_slot, by_sample = slot[order], raw[order]
+        hit = np.zeros(total, dtype=bool)
+        hit[order[1:]] = (by_slot[1:] == by_slot[:-1]) & (by_sample[1:] == by_sample[:-1])
+        met = np.flatnonzero(hit & literal)
+        left = heads[:, :LITERALS] - np.bincount(sample[met], minlength=many << 8).reshape(many, -1)
+        cached |= _costs(left, heads[:, LITERALS:], np.bincount(slot[met], minlength=many << bits).reshape(many, -1)) <= plain
+    rows, of_row = raw.reshape(-1, TILE_WIDTH), owner[::TILE_WIDTH]
+    lower = np.flatnonzero(of_row[1:] == of_row[:-1]) + 1
+    row, group = rows[lower], of_row[lower, None] << 8
+    by = [np.bincount((group | row[:, 1:-1] - p).ravel(), minlength=many << 8).reshape(many, -1) for p in (row[:, :-2], rows[lower - 1, 1:-1])]
+    plain = _entropies(counts) * (by[0].sum(axis=1) / sizes) * CLOSE
+    other = (np.count_nonzero(counts, axis=1) <= 16) | (sizes == TILE_WIDTH) | (np.minimum(*map(_entropies, by)) <= plain)
+
+    # codes and heads of the streams
+    written, n_head, n_back = [], [], []
+    for k, height in enumerate((sizes // TILE_WIDTH).tolist()):
+        w = Writer()
+        _head(w, TILE_WIDTH, height)
+        w.put(1 | GREEN << 1, 6)  # no other transform, no colour cache, no meta codes
+        for n, lengths in ((heads[k], n_head), (backs[k], n_back)):
+            used = np.flatnonzero(n)
+            own = bytearray(len(n))
+            if len(used) < 2:
+                w.put(0b101 | int(used[0]) << 3 if len(used) else 0b1, 11 if len(used) else 4)
+            else:
+                own = code_lengths(used.tolist(), n[used].tolist(), len(n), MOST_BITS)
+                write_code(w, own)
+            if n.size == LITERALS + LENGTHS:
+                w.put(ONLY_GREEN, 33)
+            lengths.append(own)
+        written.append(w)
+    n_head, n_back = (np.frombuffer(b"".join(x), np.uint8).astype(np.int64).reshape(many, -1) for x in (n_head, n_back))
+
+    value, held = _codes(n_head)[head], n_head.ravel()[head]
+    shift, more = held[ref], value[ref]
+    for x, n in ((length_x[length], length_n[length]), (_codes(n_back)[back], n_back.ravel()[back]), (distance_x[distance], distance_n[distance])):
+        more |= x << shift
+        shift += n
+    value[ref], held[ref] = more, shift
+    # each stream begins at a word
+    until = np.cumsum(held)
+    stop = until[np.cumsum(np.bincount(of, minlength=many)) - 1]
+    begin = np.append(0, stop[:-1])
+    before = np.array([w.position for w in written])
+    words = (before + stop - begin + 63) >> 6
+    word = np.cumsum(words) - words
+    stream = _packed(value, until - held + ((word << 6) + before - begin)[of], int(words.sum()) << 6)
+    out = []
+    for k, (w, a, n) in enumerate(zip(written, (word << 3).tolist(), ((before + stop - begin + 7) >> 3).tolist())):
+        h = w.bytes()
+        x = np.frombuffer(payloads[k], np.uint8).reshape(-1, TILE_WIDTH)
+        if cached[k]:
+            media = encode(_grey(x), cache_bits=None, references=True, green=True)
+        else:
+            media = _riff(h[:-1] + bytes([h[-1] | stream[a + len(h) - 1]]) + stream[a + len(h) : a + n])
+        if other[k]:
+            media = min((media, *(encode(_grey(x), cache_bits=None, references=True, **how) for how in _ways(x))), key=len)
+        out.append(media)
+    return out
+
+
+def _plain_stream(media: bytes) -> tuple[bytes, int, bytearray, bytearray, int] | None:
+    """Of one image as _encode_together writes it: the stream from its tokens on, bits before them, code lengths of samples and distances, samples; else None."""
+    if 8 + int.from_bytes(media[4:8], "little") != len(media):
+        return None
+    r, width, height = _opened(media)
+    if width != TILE_WIDTH or r.read(6) != 1 | GREEN << 1:
+        return None
+    head = read_lengths(r, LITERALS + LENGTHS)
+    if isinstance(head, int) or r.read(33) != ONLY_GREEN:
+        return None
+    back = read_lengths(r, DISTANCES)
+    if isinstance(back, int):
+        if back >= DISTANCES:
+            return None
+        back, lone = bytearray(DISTANCES), back
+        back[lone] = 1
+    return None if r.over else (r.data[r.position >> 3 :], r.position & 7, head, back, width * height)
+
+
+def _lookups(lengths: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Code(x).lookup of all together, and by code where its own begins and the mask of its bits; None if one is not complete."""
+    n = np.frombuffer(b"".join(lengths), np.uint8).reshape(len(lengths), -1).astype(np.int64)
+    n[~n.any(axis=1), 0] = 1
+    n[np.count_nonzero(n, axis=1) == 1] <<= 4  # a lone symbol takes no bits: 16 to 240 stand for 0
+    key = (np.arange(len(n))[:, None] << 8 | n).ravel()
+    used = np.flatnonzero(n)
+    used = used[np.argsort(key[used], kind="stable")]
+    code, bits = used // n.shape[1], n.ravel()[used]
+    bits[bits > 15] = 0
+    most = np.zeros(len(n), dtype=np.int64)
+    np.maximum.at(most, code, bits)
+    share, size = 1 << (most[code] - bits), 1 << most
+    if (np.bincount(code, share, len(n)) != size).any():
+        return None
+    base, top = np.cumsum(size) - size, int(most.max())
+    entry = np.repeat((used - code * n.shape[1]) << 4 | bits, share)
+    of = np.repeat(np.arange(len(n)), size)
+    place = np.arange(len(of)) - base[of]
+    return entry[base[of] + _reversed_bits(top)[place << (top - most)[of]]].astype(np.int32), base, size - 1
+
+
+def _decode_together(media: list[bytes]) -> list[bytes]:
+    """decode_bytes of each, by arrays over the bits of all streams, as _read_tokens has them; what isn't plain, or is damaged, goes by decode_bytes."""
+    found = [_plain_stream(m) for m in media]
+    read = iter(_read_together([s for s in found if s]))
+    return [p if s and (p := next(read)) is not None else decode_bytes(m) for s, m in zip(found, media)]
+
+
+def _read_together(streams: list[tuple[bytes, int, bytearray, bytearray, int]]) -> list[bytes] | list[None]:
+    """The samples of each stream; None for all, if one is damaged."""
+    if not streams:
+        return []
+    damaged = [None] * len(streams)
+    texts, skips, greens, distances, totals = zip(*streams)
+    if not (greens := _lookups(greens)) or not (distances := _lookups(distances)) or not greens[2].all():
+        return damaged
+    sizes, totals = np.array([len(t) for t in texts]), np.array(totals)
+    bounds = 8 * np.cumsum(sizes)
+    begins = bounds - 8 * sizes + np.array(skips)
+    bound, owner = int(bounds[-1]), np.repeat(np.arange(len(streams)), sizes)
+
+    data = np.concatenate([np.frombuffer(b"".join(texts), np.uint8), np.zeros(32, np.uint8)]).astype(np.uint32)
+    ahead = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24
+
+    def bits_at(where: np.ndarray, mask) -> np.ndarray:
+        return ahead[where >> 3] >> (where & 7) & mask
+
+    def value_of(code: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        more = _MORE[code]
+        return _LEAST[code] + bits_at(where, (1 << more) - 1), where + more
+
+    lookup, base, mask = greens
+    found = ahead[: bound >> 3, None] >> _EIGHT & mask.astype(np.uint32)[owner, None]
+    found += base.astype(np.uint32)[owner, None]
+    found = lookup[found.ravel()]
+    after = np.arange(bound + 128, dtype=np.int32)
+    after[:bound] += found & 15
+    where = np.flatnonzero(found >= LITERALS << 4)
+    n, then = value_of((found[where] >> 4) - LITERALS, after[where].astype(np.int64))
+    lookup, base, mask = distances
+    of = owner[where >> 3]
+    code = lookup[bits_at(then, mask[of]) + base[of]]
+    d, then = value_of(code >> 4, then + (code & 15))
+    after[where] = then
+    two = after[after]
+    four = two[two]
+    step, steps, many = memoryview(four[four]), [], []
+    for p, end in zip(begins.tolist(), bounds.tolist()):
+        many.append(-len(steps))
+        while p < end:
+            steps.append(p)
+            p = step[p]
+        many[-1] += len(steps)
+    chain = np.empty((len(steps), 8), dtype=np.int32)
+    chain[:, 0] = steps
+    chain[:, 4] = four[chain[:, 0]]
+    chain[:, 2::4] = two[chain[:, ::4]]
+    chain[:, 1::2] = after[chain[:, ::2]]
+    chain = chain[chain < np.repeat(bounds, many)[:, None]]  # row by row
+
+    of, symbol = owner[chain >> 3], found[chain] >> 4
+    ref = np.flatnonzero(symbol >= LITERALS)
+    those = np.searchsorted(where, chain[ref])
+    n, d = n[those], d[those]
+    size = np.ones(len(chain), dtype=np.int64)
+    size[ref] = n
+    stop, many = np.cumsum(size), np.bincount(of, minlength=len(streams))
+    if not many.all():
+        return damaged
+    first = np.cumsum(many) - many
+    start = stop - size
+    start -= start[first][of]
+    used = start < totals[of]  # the others are padding
+    last = first + np.bincount(of[used], minlength=len(streams)) - 1
+    if ((start + size)[last] != totals).any() or (after[chain[last]] > bounds).any():
+        return damaged
+    used_ref = used[ref]
+    ref, n, d = ref[used_ref], n[used_ref], d[used_ref]
+    d = np.where(d > len(NEAR), d - len(NEAR), np.maximum(1, _NEAR[np.minimum(d, len(NEAR)) - 1] @ (1, TILE_WIDTH)))
+    if (d > start[ref]).any():
+        return damaged
+    ends = np.cumsum(totals)
+    start += (ends - totals)[of]
+    out = bytearray(int(ends[-1]))
+    view, plain = np.frombuffer(out, np.uint8), np.flatnonzero(used & (symbol < LITERALS))
+    view[start[plain]] = symbol[plain]
+    del view
+    for b, m, x in zip(start[ref].tolist(), n.tolist(), d.tolist()):
+        out[b : b + m] = out[b - x : b - x + m] if x >= m else (out[b - x : b] * -(-m // x))[:m]
+    return [bytes(out[a:b]) for a, b in zip((ends - totals).tolist(), ends.tolist())]
+
+
 def payload_of(text: str | None) -> bytes:
     raw = (text or "").encode()
     return raw + bytes(-len(raw) % 64 or (0 if raw else 64))
@@ -999,7 +1387,7 @@ def store_media(df: DataFrame, text_col: str = "text") -> DataFrame:
     @F.pandas_udf(T.BinaryType())
     def put(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series([encode_bytes(payload_of(t)) for t in b])
+            yield pd.Series(encode_many(map(payload_of, b)))
 
     return df.withColumn("media", put(F.col(text_col))).drop(*({text_col} - {"media"}))
 
@@ -1014,8 +1402,7 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for m in b:
-                p = decode_bytes(m)
+            for m, p in zip(b, decode_many(b)):
                 x = np.bincount(np.frombuffer(p, np.uint8), minlength=256)
                 feature = f"{len(p) // TILE_WIDTH}:{np.count_nonzero(x)}:{int(x @ np.arange(256))}"
                 rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))

@@ -308,6 +308,29 @@ def test_webp_payload_codings(monkeypatch):
         assert (webp.decode(plain(image, green=True, cache_bits=bits, references=True)) == image).all()
 
 
+def test_webp_many_payloads(monkeypatch):
+    """Short payloads are coded and read together, with the bytes that each has alone."""
+    rng = np.random.default_rng(5)
+    words = ["alpha ", "beta, ", "gamma. ", "delta\n", "é🙂 ", *("".join(map(chr, rng.integers(33, 120, 9))) for _ in range(300))]
+    texts = [webp.payload_of("".join(rng.choice(words, n))) for n in rng.integers(20, 120, 40)]
+    odd = [webp.payload_of(t) for t in (None, "", "a", "x" * 64, "x" * 65, "ab" * 3000, LONG)]
+    odd += [rng.integers(0, 256, 6400).astype(np.uint8).tobytes(), rng.choice(np.frombuffer(b"acgt", np.uint8), 640).tobytes()]
+    odd += [(np.arange(64 * 64) * 3 + np.repeat(rng.integers(0, 256, 64), 64)).astype(np.uint8).tobytes(), bytes(range(128)), texts[0]]
+    payloads = [p for pair in zip(texts, odd * 4) for p in pair]
+    alone = [webp.encode_bytes(p) for p in payloads]
+    for most, piece in ((100, 100), (3000, 1000), (webp.TOGETHER, webp.PIECE), (webp.PLACES, 1 << 16)):
+        monkeypatch.setattr(webp, "TOGETHER", most)
+        monkeypatch.setattr(webp, "PIECE", piece)
+        assert list(webp.encode_many(payloads)) == alone and list(webp.decode_many(alone)) == payloads
+    assert list(webp.encode_many([])) == list(webp.decode_many([])) == []
+    with pytest.raises(ValueError):
+        list(webp.decode_many([alone[0], alone[2][:-20], alone[4]]))
+    media = [webp.encode_bytes(t) for t in texts]
+    for name in ("encode", "decode"):
+        monkeypatch.setattr(webp, name, None)  # none of the texts is coded by itself
+    assert list(webp.encode_many(texts)) == media and list(webp.decode_many(media)) == texts
+
+
 def test_webp_predictor_by_rows():
     image = np.random.default_rng(3).integers(0, 256, (9, 11, 4))
     for m in webp.ROW_MODES:
