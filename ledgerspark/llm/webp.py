@@ -17,7 +17,7 @@ import hashlib
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cache
 from operator import sub
 
@@ -1048,15 +1048,16 @@ def decode_bytes(media: bytes) -> bytes:
     return b"".join(out)
 
 
-def _together(items: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
+def _together(items: Iterable[bytes], most: int, size_of: Callable[[bytes], int] = len) -> Iterator[list[bytes]]:
     """Neighbours that have so many bytes together at most; a longer one is alone."""
     held, size = [], 0
     for x in items:
-        if held and size + len(x) > most:
+        n = size_of(x)
+        if held and size + n > most:
             yield held
             held, size = [], 0
         held.append(x)
-        size += len(x)
+        size += n
     if held:
         yield held
 
@@ -1067,9 +1068,15 @@ def encode_many(payloads: Iterable[bytes]) -> Iterator[bytes]:
         yield from _encode_together(group) if len(group) > 1 else map(encode_bytes, group)
 
 
+def _stored_size(media: bytes) -> int:
+    """Stored bytes, and some for the samples that the head tells of, as a few bytes may hold a million."""
+    head = int.from_bytes(media[21:25], "little")
+    return len(media) + ((head & 0x3FFF) + 1) * ((head >> 14 & 0x3FFF) + 1) // 16
+
+
 def decode_many(media: Iterable[bytes]) -> Iterator[bytes]:
     """decode_bytes of each, worked out for many short ones at once."""
-    for group in _together(media, PIECE):
+    for group in _together(media, PIECE, _stored_size):
         yield from _decode_together(group) if len(group) > 1 else map(decode_bytes, group)
 
 

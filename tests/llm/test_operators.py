@@ -331,6 +331,16 @@ def test_webp_many_payloads(monkeypatch):
     assert list(webp.encode_many(texts)) == media and list(webp.decode_many(media)) == texts
 
 
+def test_webp_many_samples_in_few_bytes(monkeypatch):
+    """Stored bytes don't bound the samples that are read together."""
+    payloads = [bytes(64 * 3000), b"ab" * 64 * 1500] * 3 + [bytes(webp.TILE + 64), b"c" * 64]
+    media, together, seen = [webp.encode_bytes(p) for p in payloads], webp._decode_together, []
+    assert sum(map(len, media)) < webp.PIECE
+    monkeypatch.setattr(webp, "_decode_together", lambda group: seen.append(together(group)) or seen[-1])
+    assert list(webp.decode_many(media)) == payloads
+    assert all(sum(map(len, g)) <= 16 * webp.PIECE for g in seen)
+
+
 def test_webp_predictor_by_rows():
     image = np.random.default_rng(3).integers(0, 256, (9, 11, 4))
     for m in webp.ROW_MODES:
