@@ -126,3 +126,18 @@ def test_tables_are_found_once(spark):
     reports = spark.createDataFrame([("R", "T", 2020, "<table><tr><td>a</td></tr></table>")], "report_id string, ticker string, year int, content string")
     plan = extract.build_catalog(reports)._jdf.queryExecution().optimizedPlan().toString()
     assert "html_grid" not in plan and "<table" not in plan
+
+def test_error_log(spark):
+    """Tables without a cell, whatever their markup; the reports' texts are worked on once, not once more to ask whether they have tables."""
+    texts = {
+        "a": "\n\nx\n<table></table>\n<table><tr><td></td></tr></table><TABLE a='1'>\n<tr></tr></table>\n<table><!-- <td>1</td> --></table>",
+        "b": '<table><tr><th colspan="2">1</th></tr></table>\n<table>\n<tr>\n</tr><tr><td>1</td></tr></table><table><td>1</table><table><tr><td class="x">1</table><table>1</table>',
+        "c": "<table> <tr> <td>",
+        "d": None,
+    }
+    reports = spark.createDataFrame([(k, "T", 2020, t) for k, t in texts.items()], "report_id string, ticker string, year int, content string")
+    found = extract.empty_tables(reports)
+    got = sorted((r["report_id"], r["table_index"], r["message"]) for r in found.collect())
+    assert got == [("a", k, f"table at line {line} has no cells") for k, line in ((1, 4), (3, 5), (4, 7))] + [("b", 5, "table at line 4 has no cells")]
+    for df in (found, extract.find_tables(reports)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
