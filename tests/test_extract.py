@@ -141,3 +141,28 @@ def test_error_log(spark):
     assert got == [("a", k, f"table at line {line} has no cells") for k, line in ((1, 4), (3, 5), (4, 7))] + [("b", 5, "table at line 4 has no cells")]
     for df in (found, extract.find_tables(reports)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_catalog_is_written_from_one_reading(spark, tmp_path, monkeypatch):
+    """Each row is worked out once; files hold neighbouring tickers, a large one is shared by several, and unknown years and tickers are kept."""
+    monkeypatch.setattr(writers, "FILE_ROWS", 4, raising=False)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string", useArrow=False)
+    def title(k):
+        seen.add(1)
+        return f"t{k}"
+
+    rows = [(f"r{k}", k, "A" if k < 20 else f"T{k}" if k % 7 else None, 2020 + k % 2 if k % 5 else None) for k in range(40)]
+    stored = spark.createDataFrame(rows, "report_id string, table_index int, ticker string, year int")
+    stored.write.parquet(f"{tmp_path}/stored")
+    stored = spark.read.parquet(f"{tmp_path}/stored")
+    writers.write_catalog(stored.withColumn("title", title("table_index")), f"{tmp_path}/catalog")
+    assert seen.value == 40
+    found = readers.read_catalog(spark, f"{tmp_path}/catalog").withColumn("file", F.col("_metadata.file_path")).collect()
+    assert sorted((r["report_id"], r["table_index"], r["ticker"], r["year"], r["title"]) for r in found) == sorted((*r, f"t{r[1]}") for r in rows)
+    files = {}
+    for r in found:
+        files.setdefault((r["year"], r["file"]), []).append(r["ticker"])
+    assert len({file for (year, file), tickers in files.items() if year == 2021 and "A" in tickers}) > 1
+    assert all(tickers == sorted(tickers, key=lambda t: (t is not None, t)) for tickers in files.values())
