@@ -41,14 +41,20 @@ def retrieve(intents: DataFrame, catalog: DataFrame, question_vectors: DataFrame
 
 
 def documents_of(intents: DataFrame, catalog: DataFrame, limit: int = 5) -> DataFrame:
-    """(id, relevant_docs): the filtered reports; where no entity is named and there are many, the best by their tables' words."""
-    candidates = filters.prefer_scope(filters.hard_filter(intents, catalog.drop("rows")))
-    docs = candidates.select("id", "report_id").distinct()
+    """(id, relevant_docs): the filtered reports; where no entity is named and there are many, the best by their tables' words.
+
+    Reports are filtered by their names, tickers and years; the tables' texts are only read if there is a question that needs them.
+    """
+    reports = catalog.select("report_id", "ticker", "year").distinct()
+    candidates = filters.prefer_scope(filters.hard_filter(intents, reports))
+    docs = cut(candidates.select("id", "report_id").distinct(), "documents")
     counted = docs.groupBy("id").agg(F.count("*").alias("n")).join(intents.select("id", F.size("tickers").alias("nt")), "id")
     many = counted.where((F.col("nt") == 0) & (F.col("n") > limit)).select("id")
-    tables = catalog.select("report_id", "table_index", F.concat_ws(" ", "table_context", F.array_join("headers", " "), "table_type").alias("text"))
-    ranked = rank.rank_documents(intents.join(many, "id", "left_semi").select("id", "question"), tables, limit).select("id", "report_id")
-    kept = docs.join(many, "id", "left_anti").unionByName(docs.join(ranked, ["id", "report_id"], "left_semi"))
+    kept = docs
+    if not many.isEmpty():
+        tables = catalog.select("report_id", "table_index", F.concat_ws(" ", "table_context", F.array_join("headers", " "), "table_type").alias("text"))
+        ranked = rank.rank_documents(intents.join(many, "id", "left_semi").select("id", "question"), tables, limit).select("id", "report_id")
+        kept = docs.join(many, "id", "left_anti").unionByName(docs.join(ranked, ["id", "report_id"], "left_semi"))
     return kept.groupBy("id").agg(F.array_sort(F.collect_set("report_id")).alias("relevant_docs"))
 
 

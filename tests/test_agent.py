@@ -130,3 +130,20 @@ def test_stream(spark, tmp_path):
     run = follow_reports(spark, str(tmp_path / "in"), str(tmp_path / "catalog"), str(tmp_path / "state"))
     assert run.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "catalog")).select("ticker", "table_index").first() == ("SAM", 1)
+
+
+def test_documents_of_reads_texts_only_to_rank(spark, tmp_path):
+    """Where all questions name an entity, the catalog's texts are in no plan; a question that names none still gets the best by words."""
+    from ledgerspark.plans.agent import documents_of
+
+    rows = [(f"R{k}_{'separate' if k % 2 else 'consolidated'}", 1 + i, "AAA" if k < 2 else "BBB", 2020, f"topic{k}word" if i else "all", ["h"], "Notes") for k in range(8) for i in range(2)]
+    spark.createDataFrame(rows, "report_id string, table_index int, ticker string, year int, table_context string, headers array<string>, table_type string").write.parquet(f"{tmp_path}/c")
+    catalog = spark.read.parquet(f"{tmp_path}/c")
+    named = [(1, "?", ["AAA"], [2020], "separate"), (2, "?", ["AAA", "BBB"], [], "consolidated")]
+    ask = lambda rows: spark.createDataFrame(rows, "id long, question string, tickers array<string>, years array<int>, report_type string")
+    found = documents_of(ask(named), catalog, 3)
+    assert "table_context" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {1: ["R1_separate"], 2: ["R0_consolidated", "R2_consolidated", "R4_consolidated", "R6_consolidated"]}
+    assert {r["id"]: r["relevant_docs"] for r in found.collect()} == want
+    both = {r["id"]: r["relevant_docs"] for r in documents_of(ask([*named, (3, "topic5word", [], [2020], "separate")]), catalog, 3).collect()}
+    assert {k: both[k] for k in want} == want and both[3] == ["R5_separate"]
