@@ -8,8 +8,8 @@ Features: each distinct word, hashed; each structure statistic (shares of charac
 distinct words, pairs and lines, lengths), cut into bins, so that the machine learns its shape and
 its interplay with others; each metadata number, binned by its logarithm. Whole texts are read.
 
-Fitting: on at most ``sample`` labelled rows, those with the smallest hash of doc_id, on the driver.
-Scoring runs over batches on the executors; the broadcast model has a fixed size.
+Fitting: on all labelled rows, dealt out by the hash of doc_id to parts of about PART_ROWS. Each part is
+fitted in a task, from the same start; the model is the parts' mean by their rows. Scoring runs over batches on the executors; the broadcast model has a fixed size.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, sweep, table
+from .common import bounded_batches, discard, key_filter, materialize, table
 
 WORD_BITS = 16
-SAMPLE = 10_000
+#: Labelled rows of a part, which a task holds at once, and numbers of a model that are averaged together.
+PART_ROWS, BLOCK = 10_000, 1 << 13
 THRESHOLD = 0.3
 #: Bins of shares: their upper ends.
 EDGES = np.array([0.0005, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.11, 0.16, 0.25, 0.4, 0.55, 0.7, 0.85, 0.95])
@@ -101,6 +102,15 @@ class FactorisationMachine:
         n = (1 << word_bits) + len(STATS) * BINS + 64 * meta
         return cls(0.0, np.zeros(n, np.float32), np.random.default_rng(seed).normal(0, 0.05, (n, rank)).astype(np.float32), meta, word_bits)
 
+    def numbers(self) -> np.ndarray:
+        """All that is fitted, in one array of doubles."""
+        return np.concatenate([[self.bias], self.weights, self.factors.ravel()]).astype(np.float64)
+
+    def with_numbers(self, numbers: np.ndarray) -> FactorisationMachine:
+        """A machine of this shape with what numbers() gave."""
+        n = len(self.weights)
+        return FactorisationMachine(float(numbers[0]), numbers[1 : n + 1].astype(np.float32), numbers[n + 1 :].reshape(self.factors.shape).astype(np.float32), self.meta, self.word_bits)
+
     def margin(self, index: np.ndarray, value: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Rows lie end to end in index and value."""
         vx = self.factors[index] * value[:, None]
@@ -154,34 +164,54 @@ def _meta_columns(df: DataFrame, meta: Sequence[str]) -> Column:
     return F.array(*[df[c].cast("double") for c in meta]) if meta else F.array().cast("array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, meta: Sequence[str] = ("n_chars",), sample: int = SAMPLE, label_col: str = "quality") -> FactorisationMachine:
+def train(docs: DataFrame, labels: DataFrame, meta: Sequence[str] = ("n_chars",), part_rows: int = PART_ROWS, label_col: str = "quality") -> FactorisationMachine:
     """Fit on docs (doc_id, text, meta) with labels (doc_id, a 0/1 column).
 
     Null labels and ids are left out; rows of one id count by the mean of their labels, and of
-    documents of one id the first text in order is taken. At most ``sample`` ids are used, those
-    with the smallest hash, whatever the size of the tables: the bound on what the driver holds.
+    documents of one id the first text in order is taken. All of them are used, in parts of about
+    ``part_rows`` ids: that bounds what a task holds, and the driver gets one model however many there are.
     Without any label the score is 0.5 plus noise of the untrained factors.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text", _meta_columns(docs, meta).alias("meta")).join(F.broadcast(chosen), "doc_id")
-    one = rows.groupBy("doc_id").agg(F.min(F.struct("text", "meta")).alias("d"), F.first("y").alias("y"))
+    known = materialize(known, "quality-labels")
+    parts = max(1, -(-known.count() // part_rows))
+    ids = docs.select("doc_id").schema[0].dataType
+    # texts are only shuffled where there is a label
+    labelled = docs.where(key_filter(known, "doc_id", 1 << 25)(F.col("doc_id"))) if known.schema["doc_id"].dataType == ids else docs
+    texts = labelled.select("doc_id", "text", _meta_columns(docs, meta).alias("meta"))
+    one = texts.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "meta")).alias("d"), F.first("y").alias("y"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [featurize(t, m) for t, m in zip(b["text"], b["meta"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "index": [i.tobytes() for i, _ in made], "value": [v.tobytes() for _, v in made]})
-
-    ids = docs.select("doc_id").schema[0].dataType.simpleString()
-    got = one.select("doc_id", "y", "d.text", "d.meta").mapInPandas(features, f"doc_id {ids}, y int, index binary, value binary").toArrow().sort_by("doc_id")
-    model = FactorisationMachine.empty(len(meta))
-    # the arrays are views of what Arrow holds
-    rows = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for i, v in zip(got["index"], got["value"])]
-    model.fit(rows, got["y"].to_numpy())
-    del rows, got
-    sweep(docs.sparkSession)
-    return model
+            yield pd.DataFrame({"part": b["part"], "doc_id": b["doc_id"], "y": b["y"], "index": [i.tobytes() for i, _ in made], "value": [v.tobytes() for _, v in made]})
+
+    begin = FactorisationMachine.empty(len(meta))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pd.concat(held).sort_values("doc_id")
+        model = FactorisationMachine.empty(len(meta))
+        model.fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(rows["index"], rows["value"])], rows["y"].to_numpy())
+        flat = model.numbers()
+        blocks = [flat[at : at + BLOCK].tobytes() for at in range(0, len(flat), BLOCK)]
+        yield pd.DataFrame({"block": range(len(blocks)), "part": rows["part"].iloc[0], "n": len(rows), "numbers": blocks})
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        total = sum(np.frombuffer(x, np.float64) * n for x, n in zip(rows["numbers"], rows["n"]))
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "numbers": [(total / rows["n"].sum()).tobytes()]})
+
+    made = one.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "y", "d.text", "d.meta").mapInPandas(features, f"part int, doc_id {ids.simpleString()}, y int, index binary, value binary")
+    # a part is a task
+    each = made.repartitionById(parts, F.col("part")).mapInPandas(fit, "block int, part int, n long, numbers binary")
+    got = each.groupBy("block").applyInPandas(mean, "block int, numbers binary").toPandas().sort_values("block")
+    discard(known)
+    return begin.with_numbers(np.concatenate([np.frombuffer(x, np.float64) for x in got["numbers"]])) if len(got) else begin
 
 
 def with_score(df: DataFrame, model: FactorisationMachine, meta: Sequence[str] = ("n_chars",), text_col: str = "text", name: str = "score") -> DataFrame:

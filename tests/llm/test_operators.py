@@ -499,3 +499,19 @@ def test_warc(spark):
     named = spark.createDataFrame([(i, "u\r\nv", "p" * 100) for i in ids], "page_id string, url string, html string")
     back = warc.round_trip(named).collect()
     assert sorted(r["page_id"] for r in back) == sorted(ids) and {r["refers_to"] for r in back} == {None, ""}
+
+
+def test_quality_learns_from_all_labels(spark):
+    """However few rows a part has, each labelled text's own word has a weight, and parts together tell good from bad; one part gives what a plain fit gives."""
+    texts = [f"own{k} " + ("fine clear prose of some length" if k % 2 else "$$ 99 buy ## now 11") for k in range(240)]
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(240)], "doc_id long, quality int")
+    model = quality.train(df, labels, ("n_chars",), 50)
+    own = [quality.featurize(f"own{k}", [None])[0][0] for k in range(240)]
+    assert all(model.weights[at] != 0 for at in own)
+    scores = model.score([quality.featurize(t, [len(t)]) for t in texts])
+    assert all((s > 0.5) == bool(k % 2) for k, s in enumerate(scores))
+    plain = quality.FactorisationMachine.empty(1)
+    plain.fit([quality.featurize(t, [len(t)]) for t in texts], np.arange(240) % 2)
+    whole = quality.train(df, labels)
+    assert np.array_equal(whole.weights, plain.weights) and np.array_equal(whole.factors, plain.factors) and whole.bias == plain.bias
